@@ -22,7 +22,7 @@ from .common import table, words
 RULES: tuple[tuple[str, str], ...] = (
     ("min_words", "n_words < 50"),
     ("repeat_words", "100 * n_repeat_words > 50 * n_words"),
-    ("symbols", "2 * n_symbols > 3 * n_words"),
+    ("symbols", "10 * n_symbols > 3 * n_words"),
     ("dup_lines", "2 * n_dup_lines > n_lines"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 20 * n_words"),
@@ -116,13 +116,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM p),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, (VALUES (0), (1), (2)) o(k) WHERE c > 1 GROUP BY doc_id),
 m AS (
-  SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
          length(regexp_replace(t, '[^!]+', '', 'g'))::BIGINT AS n_bangs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality_rules
+from . import language_id, licenses, mixing, ngram_join, quality_rules
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_mixing": mixing.op5_mixing,
         "op6_license_scan": licenses.op6_license_scan,
+        "op7_language_id": language_id.op7_language_id,
+        "op10_ngram_join": ngram_join.op10_ngram_join,
     }
 
 
