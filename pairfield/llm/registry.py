@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, licenses, mixing, ngram_join, quality_rules
+from . import language_id, licenses, mixing, ngram_join, packing, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_packing": packing.op1_packing,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_mixing": mixing.op5_mixing,
         "op6_license_scan": licenses.op6_license_scan,
