@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from . import language_id, licenses, mixing, ngram_join, packing, quality_rules
+from . import language_id, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_mixing": mixing.op5_mixing,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_language_id": language_id.op7_language_id,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_ngram_join": ngram_join.op10_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": line_dedup.ORACLE,
         "op3_quality_rules": quality_rules.ORACLE,
         "op5_mixing": mixing.ORACLE,
         "op6_license_scan": licenses.ORACLE,
