@@ -19,3 +19,21 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, wherever it was imported from on the driver."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if any(Path(f).name == "pairfield_code.zip" for f in context._python_includes):
+        return spark
+    root = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="pairfield-")) / "pairfield_code.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path("pairfield") / p.relative_to(root))
+    context.addPyFile(str(to))
+    return spark
