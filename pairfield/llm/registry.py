@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from ..session import ship
 from . import language_id, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, toxicity
 
 
+def _shipped(query):
+    """The query, after the package has been sent to the executors (for the Python workers)."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        return query(ship(spark), sf_dir)
+
+    return run
+
+
 def queries() -> dict:
     return {
-        "op1_packing": packing.op1_packing,
+        "op1_packing": _shipped(packing.op1_packing),
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_mixing": mixing.op5_mixing,
         "op6_license_scan": licenses.op6_license_scan,
-        "op7_language_id": language_id.op7_language_id,
-        "op9_toxicity": toxicity.op9_toxicity,
-        "op10_ngram_join": ngram_join.op10_ngram_join,
+        "op7_language_id": _shipped(language_id.op7_language_id),
+        "op9_toxicity": _shipped(toxicity.op9_toxicity),
+        "op10_ngram_join": _shipped(ngram_join.op10_ngram_join),
     }
 
 
