@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from ..session import ship
-from . import language_id, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, toxicity
+from . import language_id, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity
 
 
 def _shipped(query):
@@ -26,6 +26,7 @@ def queries() -> dict:
         "op5_mixing": mixing.op5_mixing,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_language_id": _shipped(language_id.op7_language_id),
+        "op8_suffix_dedup": _shipped(suffix_dedup.op8_suffix_dedup),
         "op9_toxicity": _shipped(toxicity.op9_toxicity),
         "op10_ngram_join": _shipped(ngram_join.op10_ngram_join),
     }
