@@ -45,3 +45,8 @@ def cut(df: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pairfield-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def local_shared() -> str:
+    """A folder for tables between stages where the session names none (tests)."""
+    return tempfile.mkdtemp(prefix="pairfield-shared-")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from ..session import ship
-from . import language_id, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity
+from . import audio, language_id, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity
 
 
 def _shipped(query):
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op1_packing": _shipped(packing.op1_packing),
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_audio_fingerprints": _shipped(audio.op4_audio_fingerprints),
         "op5_mixing": mixing.op5_mixing,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_language_id": _shipped(language_id.op7_language_id),
