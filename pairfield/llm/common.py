@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def local_shared() -> str:
-    """A folder for tables between stages where the session names none (tests)."""
-    return tempfile.mkdtemp(prefix="pairfield-shared-")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a local one only where the session names none (tests)."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or tempfile.mkdtemp(prefix="pairfield-shared-")
+
+
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows behind a Parquet table in the shared folder, and its path for ``discard``."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table
+from .common import cut, discard, partitions, store, table
 from .components import components
 from .hashing import mix, shingles
 
-DIM, FANOUT, PAGE = 64, 16, 1 << 14
+DIM, FANOUT, PAGE, BITMAP = 64, 16, 1 << 14, 1 << 24
 
 
 def differ(n: int, percent: int) -> int:
@@ -116,62 +116,89 @@ def _utf8(column: pa.Array) -> list[bytes]:
     return [(x or b"").lower() for x in column.cast(pa.binary()).to_pylist()]
 
 
-def index(df: DataFrame, text: str, doc_id: str, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, key, vector, contents) per row; contents only for the first of equal sets in a task."""
+def _texts(df: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, n):
+            yield whole.slice(at, n)
+
+
+def _lists(x: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(x) if x else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(y) for y in x])]).astype(np.int32)), pa.array(flat))
+
+
+def _key(s: np.ndarray) -> bytes:
+    return np.array([np.add.reduce(mix(s)), np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))], np.uint64).tobytes()
+
+
+def sizes(df: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
+    """(doc_id, n, key) per row; key is null for an empty set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            sets = shingles(_utf8(batch.column(1)), k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "key"])
+
+    return _texts(df, text, doc_id).mapInArrow(run, "doc_id long, n long, key binary")
+
+
+def contents(df: DataFrame, text: str, doc_id: str, k: int, percent: int) -> DataFrame:
+    """(content, doc_id): the group contents that documents are listed under, for the first of equal sets in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sets = shingles(_utf8(batch.column(1)), k)
-                keys, vectors, contents = [], [], []
-                for s, known in zip(sets, batch.column(0).is_valid().to_pylist(), strict=True):
-                    key = np.array([np.add.reduce(mix(s)), np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))], np.uint64).tobytes() if len(s) else None
-                    fresh = key is not None and known and key not in seen
-                    if fresh:
-                        seen.add(key)
-                    keys.append(key)
-                    vectors.append(count_vector(s).tobytes() if fresh else None)
-                    contents.append(group_contents(s, percent).view(np.int64) if fresh else np.zeros(0, np.int64))
-                flat = pa.array(np.concatenate(contents) if contents else np.zeros(0, np.int64))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in contents])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
-                    ["doc_id", "n", "key", "vector", "contents"],
-                )
-
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, key binary, vector binary, contents array<long>")
+        for batch in _slices(batches):
+            ids, found = [], []
+            for d, s in zip(batch.column(0).to_pylist(), shingles(_utf8(batch.column(1)), k), strict=True):
+                key = _key(s) if len(s) else None
+                if d is not None and key is not None and key not in seen:
+                    seen.add(key)
+                    ids.append(d)
+                    found.append(group_contents(s, percent).view(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(np.array(ids, np.int64), [len(x) for x in found]))], ["content", "doc_id"])
+
+    return _texts(df, text, doc_id).mapInArrow(run, "content long, doc_id long")
 
 
 def _blocks(listed: DataFrame) -> DataFrame:
-    """(content, doc_id, rank) of contents under two or more documents. Streams over sorted rows; holds one batch."""
+    """Contents under two or more documents, streamed over sorted rows: of three or more, all rows as (content, doc_id,
+    rank, hub), hub the first document; of two, one row without content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rank, held = None, 0, None
-        for batch in batches:
-            if not batch.num_rows:
+        c = d = np.zeros(0, np.int64)  # rows of the last content that still wait
+        passed, last, hub = 0, None, 0  # rows of it that have gone out already
+        for batch in _with_end(batches):
+            end = batch is None
+            if not end:
+                c, d = np.concatenate([c, batch.column(0).to_numpy()]), np.concatenate([d, batch.column(1).to_numpy()])
+            if not len(c):
                 continue
-            c, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if held is not None:
-                c, d = np.concatenate([[held[0]], c]), np.concatenate([[held[1]], d])
-            fresh = np.ones(len(c), bool)
-            fresh[1:] = c[1:] != c[:-1]
-            base = 0 if held is None else rank
-            first = np.maximum.accumulate(np.where(fresh, np.arange(len(c)), 0))
-            ranks = np.arange(len(c)) - first + np.where(first == 0, base, 0)
-            more = np.zeros(len(c), bool)
-            more[:-1] = ~fresh[1:]
-            out = more | (ranks > 0)
-            # the last row waits for what comes next
-            held, rank, out[-1] = (c[-1], d[-1]), int(ranks[-1]), False
-            yield pa.RecordBatch.from_arrays([pa.array(c[out]), pa.array(d[out]), pa.array(ranks[out])], ["content", "doc_id", "rank"])
-        if held is not None and rank > 0:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]]), pa.array([rank])], ["content", "doc_id", "rank"])
+            fresh = np.concatenate([[True], c[1:] != c[:-1]])
+            start = np.flatnonzero(fresh)
+            length = np.diff(np.append(start, len(c)))
+            before = np.zeros(len(start), np.int64)
+            hubs = d[start].copy()
+            if passed and c[0] == last:
+                before[0], hubs[0] = passed, hub
+            total = length + before
+            run_of = np.repeat(np.arange(len(start)), length)
+            rank = np.arange(len(c)) - start[run_of] + before[run_of]
+            wait = np.zeros(len(start), bool)
+            wait[-1] = not end and total[-1] < 3
+            big, two = (total >= 3)[run_of], ((total == 2) & ~wait)[run_of] & (rank == 1)
+            out = np.flatnonzero(big | two)
+            yield pa.RecordBatch.from_arrays([pa.array(c[out], mask=~big[out]), pa.array(d[out]), pa.array(rank[out]), pa.array(hubs[run_of][out])], ["content", "doc_id", "rank", "hub"])
+            passed, last, hub = (int(total[-1]) if total[-1] >= 3 else 0), c[-1], int(hubs[-1])
+            keep = start[-1] if wait[-1] else len(c)
+            c, d = c[keep:], d[keep:]
 
     n = partitions(listed.sparkSession)
-    return listed.repartition(n, "content").sortWithinPartitions("content", "doc_id").mapInArrow(run, "content long, doc_id long, rank long")
+    return listed.repartition(n, "content").sortWithinPartitions("content", "doc_id").mapInArrow(run, "content long, doc_id long, rank long, hub long")
 
 
 def _probe(rows: DataFrame, percent: int) -> DataFrame:
@@ -220,18 +247,42 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def _sets(df: DataFrame, text: str, doc_id: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(doc_id, set) of the wanted documents."""
+    """(doc_id, n, vector, s) of the wanted documents. A bitmap of fixed size keeps most other texts out of the shuffle."""
+    bit = lambda: F.xxhash64("doc_id").bitwiseAND(F.lit(BITMAP - 1))
+    maps = wanted.select((bit() + 1).alias("x"))  # bucket numbers and places begin at 1
+    maps = maps.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    bitmap = np.zeros(BITMAP, bool)
+    for r in maps.collect():  # at most BITMAP / 32768 rows
+        own = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+        bitmap[((r["bucket"] - 1) * len(own) + np.flatnonzero(own)) % BITMAP] = True
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value)
+        for batch in batches:
+            yield batch.select(["doc_id", "text"]).filter(pa.array(known[batch.column(2).to_numpy()] > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            sets = shingles(_utf8(batch.column(1)), k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary()), _lists([s.view(np.int64) for s in sets])], ["doc_id", "n", "vector", "s"])
+
+    rows = _texts(df, text, doc_id).filter("doc_id is not null").withColumn("bit", bit()).mapInArrow(near, "doc_id long, text string")
+    return rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, vector binary, s array<long>").dropDuplicates(["doc_id"])
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose summed coordinate minima leave room for a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sets = [s.view(np.int64) for s in shingles(_utf8(batch.column(1)), k)]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["doc_id", "s"])
+        for batch in batches:
+            va, vb = (np.frombuffer(b"".join(batch[x].to_pylist()), np.uint32).reshape(-1, DIM).astype(np.int64) for x in ("va", "vb"))
+            fits = np.minimum(va, vb).sum(axis=1) >= need(batch["na"].to_numpy(), batch["nb"].to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(fits))
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
-    return rows.mapInArrow(run, "doc_id long, s array<long>").dropDuplicates(["doc_id"])
+    a = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
+    b = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,19 +294,28 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of df."""
-    listed = cut(index(df, text, doc_id, k, percent))
-    blocks = cut(_blocks(listed.select(F.explode("contents").alias("content"), "doc_id")))
+    spark = df.sparkSession
+    listed = cut(sizes(df, text, doc_id, k))
     copies = listed.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "key")
     firsts = copies.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    edges = [copies.join(firsts, "key").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))]
-    if not blocks.isEmpty():
-        points = listed.filter(F.col("vector").isNotNull()).select("doc_id", "n", "vector").join(blocks.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        points = cut(points)
-        sets = cut(_sets(df, text, doc_id, k, points.select("doc_id")))
+    edges = copies.join(firsts, "key").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    blocks, path = store(_blocks(contents(df, text, doc_id, k, percent)))
+    # the first round's hubs are the blocks' first documents
+    pairs = cut(blocks.filter("rank > 0").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    if not pairs.isEmpty():
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        sets = cut(_sets(df, text, doc_id, k, wanted))
+        points = sets.select("doc_id", "n", "vector")
         labels = points.select("doc_id", F.col("doc_id").alias("label"))
-        done, hubs = 0, 1
-        open_blocks = blocks
+        found = _bounded(pairs, points, percent)
+        open_blocks = blocks.filter("content is not null").select("content", "doc_id", "rank")
+        done, hubs = 1, 3
         while True:
+            links = _verify(found, sets, percent)
+            # labels of the components so far, over the labels before
+            ends = links.join(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("doc_id").alias("b"), F.col("label").alias("lb")), "b")
+            merged = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), "component")
+            labels = cut(labels.join(merged, "label", "left").select("doc_id", F.coalesce("component", "label").alias("label")))
             known = open_blocks.join(labels, "doc_id")
             state = known.groupBy("content").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rank").alias("last"))
             state = state.filter(f"x <> y and last > {done}").select("content", "last")
@@ -265,20 +325,12 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5,
             hub = rows.filter(F.col("rank") < done + hubs).withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / PAGE)))).withColumn("hub", F.lit(True))
             member = rows.filter(F.col("rank") > done).withColumn("page", F.floor(F.col("rank") / PAGE)).withColumn("hub", F.lit(False))
             probe = hub.unionByName(member).join(points, "doc_id").select("content", "page", "hub", "doc_id", "rank", "label", "n", "vector")
-            links = cut(_verify(_probe(probe, percent).distinct(), sets, percent))
-            edges.append(links)
-            # labels of the components so far, over the labels before
-            ends = links.join(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("doc_id").alias("b"), F.col("label").alias("lb")), "b")
-            merged = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), "component")
-            labels = cut(labels.join(merged, "label", "left").select("doc_id", F.coalesce("component", "label").alias("label")))
+            found = _probe(probe, percent).distinct()
             open_blocks = rows.select("content", "doc_id", "rank")
             done, hubs = done + hubs, hubs * 4
-        edges.append(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("b")))
-        edges = [edges[0], edges[-1]]
-    every = edges[0]
-    for e in edges[1:]:
-        every = every.unionByName(e)
-    found = components(every)
+        edges = edges.unionByName(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("b")))
+    found = components(edges)
+    discard(spark, path)
     out = listed.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
