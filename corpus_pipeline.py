@@ -58,7 +58,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are a table in the shared folder before the next one reads them."""
     docs = common.table(spark, sf_dir, "documents")
-    home = spark.sparkContext.getConf().get("spark.checkpoint.dir") or common.local_shared()
+    home = common.shared_folder(spark)
     for name, stage in STAGES[:-1]:
         to = f"{home}/pipeline-{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(to)
