@@ -37,3 +37,13 @@ def ship(spark: SparkSession) -> SparkSession:
             z.write(p, Path("pairfield") / p.relative_to(root))
     context.addPyFile(str(to))
     return spark
+
+
+def cut(df):
+    """The rows behind a reliable checkpoint in the shared folder (``spark.checkpoint.dir``), so plans do not pile up over steps."""
+    import tempfile
+
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pairfield-checkpoint-"))
+    return df.checkpoint(eager=True)
