@@ -24,6 +24,7 @@ are left aside. Strings are compared by 64-bit hashes inside a bucket.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,40 +86,40 @@ def _anchors(texts: list[bytes], length: int, none: tuple) -> list[tuple[np.ndar
 
 
 class CoverRanks:
-    """Ranks of cover-sample strings in rows of bytes. All rows are laid out alike, so columns have one residue."""
+    """Ranks of cover-sample strings in rows of bytes. All rows are laid out alike, so columns have one residue.
+
+    Arrays stand column by column, as suffixes of one column are sorted together.
+    """
 
     def __init__(self, rows: np.ndarray):
         self.m, self.width = rows.shape
-        padded = np.zeros((self.m, self.width + COVER), np.uint8)
-        padded[:, : self.width] = rows
         p, self.inverse = powers(self.width + COVER + 1)
-        self.h = np.zeros((self.m, self.width + COVER + 1), np.uint64)
-        np.cumsum((padded.astype(np.uint64) + np.uint64(1)) * p[:-1], axis=1, dtype=np.uint64, out=self.h[:, 1:])
-        self.columns = np.array([c for c in range(self.width) if c % COVER in set(SAMPLE.tolist())])
+        self.h = np.zeros((self.width + COVER + 1, self.m), np.uint64)
+        self.h[1:] = 1
+        self.h[1 : self.width + 1] += rows.T
+        self.h[1:] *= p[: self.width + COVER, None]
+        np.cumsum(self.h, axis=0, dtype=np.uint64, out=self.h)
+        columns = [c for c in range(self.width) if c % COVER in set(SAMPLE.tolist())]
         self.where = np.full(self.width + 1, -1)
-        self.where[self.columns] = np.arange(len(self.columns))
-        ranks = self._rank(self.strings(self.columns, COVER))
+        self.where[columns] = np.arange(len(columns))
+        names = np.stack([self.strings(c, COVER) for c in columns])
         for reach in (COVER, 2 * COVER):
             # a column further on by a multiple of the modulus is in the sample as well
-            later = np.minimum(self.columns + reach, self.width)
-            follow = np.where(self.where[later] >= 0, ranks[:, self.where[later]], 0)
-            ranks = self._rank(ranks.astype(np.uint64) * np.uint64(1 << 32) + follow.astype(np.uint64))
-        self.ranks = ranks
-
-    @staticmethod
-    def _rank(x: np.ndarray) -> np.ndarray:
-        return np.unique(x, return_inverse=True)[1].reshape(x.shape) + 1
+            follow = np.zeros_like(names)
+            for i, c in enumerate(columns):
+                if c + reach < self.width and self.where[c + reach] >= 0:
+                    follow[i] = names[self.where[c + reach]]
+            names = mix(names * np.uint64(0x9FB21C651E98DF25) + follow)
+        self.ranks = np.unique(names, return_inverse=True)[1].reshape(names.shape).astype(np.uint64)
 
-    def strings(self, columns: np.ndarray | int, n: int) -> np.ndarray:
-        return mix((self.h[:, columns + n] - self.h[:, columns]) * self.inverse[columns])
+    def strings(self, c: int, n: int) -> np.ndarray:
+        return mix((self.h[c + n] - self.h[c]) * self.inverse[c])
 
     def suffixes(self, c: int, length: int) -> np.ndarray:
         """What tells the length-byte suffix at column c of each row apart: head, cover rank behind it, tail."""
-        head = self.strings(c, COVER)
-        rank = self.ranks[:, self.where[c + STEP[c % COVER]]].astype(np.uint64)
         rest = 4 * COVER
-        tail = self.strings(c + rest, length - rest)
-        return mix(head + mix(rank + np.uint64(0x632BE59BD9B4E019)) + tail * np.uint64(0x9FB21C651E98DF25))
+        rank = self.ranks[self.where[c + STEP[c % COVER]]]
+        return mix(self.strings(c, COVER) + mix(rank + np.uint64(0x632BE59BD9B4E019)) + self.strings(c + rest, length - rest) * np.uint64(0x9FB21C651E98DF25))
 
 
 def repeated_starts(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -129,6 +130,7 @@ def repeated_starts(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right
     back = length - GRAM
     out = np.zeros((len(rows), back + 1), bool)
     step = back + 1 if len(rows) <= ROWS else 16
+    own = mix(group.view(np.uint64))
     for first in range(0, back + 1, step):
         columns = range(first, min(first + step, back + 1))
         # one slice of suffix columns at a time; ranks must be joint over the rows, so they are made per slice
@@ -137,13 +139,11 @@ def repeated_starts(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right
             valid = np.flatnonzero((back - c <= left) & (length - back + c <= right))
             if len(valid) < 2:
                 continue
-            s = parts.suffixes(c - first, length)[valid] + mix(group[valid].astype(np.uint64))
-            order = np.argsort(s, kind="stable")
-            same = s[order][1:] == s[order][:-1]
-            twice = np.zeros(len(s), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            out[valid[order[twice]], c] = True
+            s = (parts.suffixes(c - first, length) + own)[valid]
+            ordered = np.sort(s)
+            twice = ordered[1:][ordered[1:] == ordered[:-1]]
+            if len(twice):
+                out[valid[np.isin(s, twice)], c] = True
     return out
 
 
@@ -215,14 +215,27 @@ def find_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length
         held: list[tuple] = []  # whole buckets, and what has come of the last
 
         def done(rows: list[tuple]) -> pa.RecordBatch:
-            width = -(-(back + length) // COVER) * COVER
-            grid = np.zeros((len(rows), width), np.uint8)
-            for i, (_, _, _, left, body) in enumerate(rows):
-                grid[i, back - left : back - left + len(body)] = np.frombuffer(body, np.uint8)
-            left = np.array([r[3] for r in rows])
-            right = np.array([len(r[4]) for r in rows]) - left
-            starts = repeated_starts(np.array([r[0] for r in rows]), grid, left, right, length)
-            found = [(rows[r][1], rows[r][2] - back + a, rows[r][2] - back + b) for r, a, b in _runs(starts, length)]
+            # occurrences with the same bytes around them are sorted once
+            kinds: dict[tuple, list[int]] = {}
+            for i, (key, _, _, left, body) in enumerate(rows):
+                kinds.setdefault((key, left, body), []).append(i)
+            per_key = Counter(key for key, _, _ in kinds)
+            n = len(kinds)
+            left = np.fromiter((k[1] for k in kinds), np.int64, n)
+            right = np.fromiter((len(k[2]) - k[1] for k in kinds), np.int64, n)
+            several = np.fromiter((len(x) > 1 for x in kinds.values()), bool, n)
+            column = np.arange(back + 1)
+            starts = several[:, None] & (back - column <= left[:, None]) & (length - back + column <= right[:, None])
+            mixed = np.array([i for i, k in enumerate(kinds) if per_key[k[0]] > 1], np.int64)
+            if len(mixed):
+                listed = list(kinds)
+                grid = np.zeros((len(mixed), -(-(back + length) // COVER) * COVER), np.uint8)
+                for j, i in enumerate(mixed.tolist()):
+                    _, own, body = listed[i]
+                    grid[j, back - own : back - own + len(body)] = np.frombuffer(body, np.uint8)
+                starts[mixed] |= repeated_starts(np.array([listed[i][0] for i in mixed.tolist()], np.int64), grid, left[mixed], right[mixed], length)
+            members = list(kinds.values())
+            found = [(rows[i][1], rows[i][2] - back + a, rows[i][2] - back + b) for r, a, b in _runs(starts, length) for i in members[r]]
             d, a, b = zip(*found, strict=True) if found else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "start", "end"])
 
