@@ -190,10 +190,11 @@ class Model:
         for a, b in _blocks(texts):
             s, begin = signs(texts[a:b])
             key, start = grams(s, begin)
-            letters[a:b] = np.add.reduceat((s > 0).astype(np.int64), begin[:-1])
-            total = np.add.reduceat(self._score(key, ORDER), start[:-1], axis=0, dtype=np.float64)
+            # sums by differences of running sums, as a text may have no sign at all
+            letters[a:b] = np.diff(np.concatenate([[0], np.cumsum(s > 0)])[begin])
+            running = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self._score(key, ORDER), axis=0, dtype=np.float64)])
             signs_in[a:b] = np.diff(start)
-            h[a:b] = -total / signs_in[a:b, None]
+            h[a:b] = -np.diff(running[start], axis=0) / np.maximum(signs_in[a:b, None], 1)
         return h, signs_in, letters
 
 

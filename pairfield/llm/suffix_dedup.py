@@ -24,6 +24,7 @@ are left aside. Strings are compared by 64-bit hashes inside a bucket.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -91,7 +92,7 @@ class CoverRanks:
     Arrays stand column by column, as suffixes of one column are sorted together.
     """
 
-    def __init__(self, rows: np.ndarray):
+    def __init__(self, rows: np.ndarray, ranked: bool = True):
         self.m, self.width = rows.shape
         p, self.inverse = powers(self.width + COVER + 1)
         self.h = np.zeros((self.width + COVER + 1, self.m), np.uint64)
@@ -110,7 +111,8 @@ class CoverRanks:
                 if c + reach < self.width and self.where[c + reach] >= 0:
                     follow[i] = names[self.where[c + reach]]
             names = mix(names * np.uint64(0x9FB21C651E98DF25) + follow)
-        self.ranks = np.unique(names, return_inverse=True)[1].reshape(names.shape).astype(np.uint64)
+        # a part of a bucket keeps the names, which are equal where joint ranks would be
+        self.ranks = np.unique(names, return_inverse=True)[1].reshape(names.shape).astype(np.uint64) if ranked else names
 
     def strings(self, c: int, n: int) -> np.ndarray:
         return mix((self.h[c + n] - self.h[c]) * self.inverse[c])
@@ -133,13 +135,17 @@ def repeated_starts(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right
     own = mix(group.view(np.uint64))
     for first in range(0, back + 1, step):
         columns = range(first, min(first + step, back + 1))
-        # one slice of suffix columns at a time; ranks must be joint over the rows, so they are made per slice
-        parts = CoverRanks(rows[:, first : min(columns[-1] + length + COVER, rows.shape[1])])
-        for c in columns:
+        # one slice of suffix columns at a time, of a large bucket in parts of its rows
+        ids = np.empty((len(columns), len(rows)), np.uint64)
+        for a in range(0, len(rows), ROWS):
+            part = CoverRanks(rows[a : a + ROWS, first : min(columns[-1] + length + COVER, rows.shape[1])], len(rows) <= ROWS)
+            for i, c in enumerate(columns):
+                ids[i, a : a + ROWS] = part.suffixes(c - first, length)
+        for i, c in enumerate(columns):
             valid = np.flatnonzero((back - c <= left) & (length - back + c <= right))
             if len(valid) < 2:
                 continue
-            s = (parts.suffixes(c - first, length) + own)[valid]
+            s = (ids[i] + own)[valid]
             ordered = np.sort(s)
             twice = ordered[1:][ordered[1:] == ordered[:-1]]
             if len(twice):
@@ -212,18 +218,15 @@ def find_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.int64()), pa.array(body, pa.binary())], ["key", "doc_id", "at", "left", "body"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # whole buckets, and what has come of the last
+        # occurrences with the same bytes around them are sorted once: (key, left, bytes) to (doc_id, place, ...)
+        kinds: dict[tuple, array] = {}
 
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            # occurrences with the same bytes around them are sorted once
-            kinds: dict[tuple, list[int]] = {}
-            for i, (key, _, _, left, body) in enumerate(rows):
-                kinds.setdefault((key, left, body), []).append(i)
+        def done() -> pa.RecordBatch:
             per_key = Counter(key for key, _, _ in kinds)
             n = len(kinds)
             left = np.fromiter((k[1] for k in kinds), np.int64, n)
             right = np.fromiter((len(k[2]) - k[1] for k in kinds), np.int64, n)
-            several = np.fromiter((len(x) > 1 for x in kinds.values()), bool, n)
+            several = np.fromiter((len(x) > 2 for x in kinds.values()), bool, n)
             column = np.arange(back + 1)
             starts = several[:, None] & (back - column <= left[:, None]) & (length - back + column <= right[:, None])
             mixed = np.array([i for i, k in enumerate(kinds) if per_key[k[0]] > 1], np.int64)
@@ -234,19 +237,24 @@ def find_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length
                     _, own, body = listed[i]
                     grid[j, back - own : back - own + len(body)] = np.frombuffer(body, np.uint8)
                 starts[mixed] |= repeated_starts(np.array([listed[i][0] for i in mixed.tolist()], np.int64), grid, left[mixed], right[mixed], length)
-            members = list(kinds.values())
-            found = [(rows[i][1], rows[i][2] - back + a, rows[i][2] - back + b) for r, a, b in _runs(starts, length) for i in members[r]]
-            d, a, b = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "start", "end"])
-
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if len(held) >= ROWS and row[0] != held[-1][0]:
-                    yield done(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield done(held)
+            members = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in kinds.values()]
+            d, s, e = [], [], []
+            for r, a, b in _runs(starts, length):
+                d.append(members[r][:, 0])
+                s.append(members[r][:, 1] - back + a)
+                e.append(members[r][:, 1] - back + b)
+            kinds.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (d, s, e)], ["doc_id", "start", "end"])
+
+        last = None
+        for batch in _slices(batches, 4096):
+            for key, doc, at, left, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if len(kinds) >= ROWS and key != last:
+                    yield done()
+                last = key
+                kinds.setdefault((key, left, body), array("q")).extend((doc, at))
+        if kinds:
+            yield done()
 
     around = wanted.mapInArrow(context, "key long, doc_id long, at long, left long, body binary")
     dealt = around.repartition(partitions(df.sparkSession), "key").sortWithinPartitions("key")
