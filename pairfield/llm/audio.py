@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, trimmed
 
 RATE, FRAME, HOP, SPAN, RUN = 8000, 256, 64, 16, 4
 MOST_BIT_ERRORS, LEAST_OVERLAP = 0.15, 8
@@ -108,7 +108,7 @@ def fingerprints(df: DataFrame, audio: str, doc_id: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))], ["doc_id", "codes"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(audio).cast("binary").alias("audio"))
-    return rows.mapInArrow(run, "doc_id long, codes array<int>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, codes array<int>")
 
 
 def search(prints: DataFrame, is_query, most_errors: float = MOST_BIT_ERRORS, least_overlap: int = LEAST_OVERLAP) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table, trimmed
 
 ORDER, BITS = 4, 6
 #: About so many labelled rows (by hash of the text) are what the rejection threshold is calibrated on.
@@ -80,7 +80,7 @@ def grams(s: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[inside], at[begin]
 
 
-def _blocks(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _blocks(texts: list[str], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` characters; one long text is a range of its own."""
     a = n = 0
     for i, t in enumerate(texts):
@@ -97,12 +97,12 @@ def count_grams(df: DataFrame, text: str = "text", label: str = "lang") -> DataF
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in slices(batches, 1024):
             labels = np.array(batch.column(1).to_pylist(), object)
             texts = np.array(batch.column(0).to_pylist(), object)
             for name in dict.fromkeys(labels):
                 mine = texts[labels == name].tolist()
-                for a, b in _blocks(mine):
+                for a, b in _blocks(mine, 1 << 20):
                     key, _ = grams(*signs(mine[a:b]))
                     u, n = np.unique(key, return_counts=True)
                     if name in total:
@@ -113,7 +113,7 @@ def count_grams(df: DataFrame, text: str = "text", label: str = "lang") -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], ["label", "gram", "n"])
 
     rows = df.select(F.col(text).alias("text"), F.col(label).alias("label")).dropna()
-    return rows.mapInArrow(count, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(trimmed(count), "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,14 +231,14 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", calibration_ro
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def excess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             h, n, letters = shared.value.entropy(batch.column(0).to_pylist())
             own = np.array([shared.value.languages.index(x) for x in batch.column(1).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(h[np.arange(len(own)), own]), pa.array(n)], ["own", "h", "n"])
 
     every = max(1, df.filter(F.col(label).isNotNull()).count() // calibration_rows)
     sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    seen = sample.mapInArrow(excess, "own long, h double, n long").toPandas()
+    seen = sample.mapInArrow(trimmed(excess), "own long, h double, n long").toPandas()
     model.usual, model.room = np.full(len(counts), np.inf), np.full(len(counts), np.inf)
     for j in range(len(counts)):
         own = seen[seen["own"] == j]
@@ -257,11 +257,11 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             name, score, rejected = judge(shared.value, batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], [*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 
-    return wanted.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return wanted.mapInArrow(trimmed(run), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def fold(doc_id: Column, parts: int) -> Column:

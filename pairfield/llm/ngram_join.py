@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, partitions, store, table
+from .common import cut, discard, partitions, store, table, trimmed
 from .components import components
 from .hashing import mix, shingles
 
@@ -143,7 +143,7 @@ def sizes(df: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
             sets = shingles(_utf8(batch.column(1)), k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "key"])
 
-    return _texts(df, text, doc_id).mapInArrow(run, "doc_id long, n long, key binary")
+    return _texts(df, text, doc_id).mapInArrow(trimmed(run), "doc_id long, n long, key binary")
 
 
 def contents(df: DataFrame, text: str, doc_id: str, k: int, percent: int) -> DataFrame:
@@ -162,7 +162,7 @@ def contents(df: DataFrame, text: str, doc_id: str, k: int, percent: int) -> Dat
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(np.array(ids, np.int64), [len(x) for x in found]))], ["content", "doc_id"])
 
-    return _texts(df, text, doc_id).mapInArrow(run, "content long, doc_id long")
+    return _texts(df, text, doc_id).mapInArrow(trimmed(run), "content long, doc_id long")
 
 
 def _blocks(listed: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _blocks(listed: DataFrame) -> DataFrame:
             c, d = c[keep:], d[keep:]
 
     n = partitions(listed.sparkSession)
-    return listed.repartition(n, "content").sortWithinPartitions("content", "doc_id").mapInArrow(run, "content long, doc_id long, rank long, hub long")
+    return listed.repartition(n, "content").sortWithinPartitions("content", "doc_id").mapInArrow(trimmed(run), "content long, doc_id long, rank long, hub long")
 
 
 def _probe(rows: DataFrame, percent: int) -> DataFrame:
@@ -238,7 +238,7 @@ def _probe(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in got])), pa.array(np.concatenate([x[1] for x in got]))], ["a", "b"])
 
     ordered = rows.repartition(partitions(rows.sparkSession), "content", "page").sortWithinPartitions("content", "page")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -267,8 +267,8 @@ def _sets(df: DataFrame, text: str, doc_id: str, k: int, wanted: DataFrame) -> D
             sets = shingles(_utf8(batch.column(1)), k)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary()), _lists([s.view(np.int64) for s in sets])], ["doc_id", "n", "vector", "s"])
 
-    rows = _texts(df, text, doc_id).filter("doc_id is not null").withColumn("bit", bit()).mapInArrow(near, "doc_id long, text string")
-    return rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, vector binary, s array<long>").dropDuplicates(["doc_id"])
+    rows = _texts(df, text, doc_id).filter("doc_id is not null").withColumn("bit", bit()).mapInArrow(trimmed(near), "doc_id long, text string")
+    return rows.join(wanted, "doc_id", "left_semi").mapInArrow(trimmed(run), "doc_id long, n long, vector binary, s array<long>").dropDuplicates(["doc_id"])
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -282,7 +282,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     a = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
     b = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, trimmed
 from .tokens import encoder
 
 SIZE, CLOSING, MAX_QUEUES = 4096, 2, 64
@@ -65,7 +65,7 @@ def encode(df: DataFrame, path: str, text: str = "text", source: str = "source",
     else:
         queue = F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit(""))), F.lit(MAX_QUEUES)).cast("int")
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).withColumn("queue", queue.cast("int"))
-    return rows.mapInArrow(run, "chunk int, queue int, start long, n long, doc_id long, source string, ids binary")
+    return rows.mapInArrow(trimmed(run), "chunk int, queue int, start long, n long, doc_id long, source string, ids binary")
 
 
 class Service:
@@ -149,7 +149,7 @@ def cut_pieces(chunks: DataFrame, size: int = SIZE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i == 7 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     placed = chunks.join(base.drop("held"), ["chunk", "queue"]).select("doc_id", "source", "queue", (F.col("start") + F.col("base")).alias("start"), "n", "ids")
-    return placed.mapInArrow(run, PIECES)
+    return placed.mapInArrow(trimmed(run), PIECES)
 
 
 def pack(df: DataFrame, path: str, size: int = SIZE) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table
+from .common import cut, partitions, table, trimmed
 from .hashing import mix, powers, prefix_hash, range_hash
 
 LENGTH, GRAM, COVER, ROWS = 400, 64, 64, 8192
@@ -199,7 +199,7 @@ def find_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length
                 n = [len(p) for p, _ in found]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k in found])), pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.concatenate([p for p, _ in found]))], ["key", "doc_id", "at"])
 
-    listed = cut(docs.mapInArrow(anchor, "key long, doc_id long, at long"))
+    listed = cut(docs.mapInArrow(trimmed(anchor), "key long, doc_id long, at long"))
     often = listed.groupBy("key").count().filter("count > 1").select("key")
     hits = listed.join(often, "key").groupBy("doc_id").agg(F.collect_list(F.struct("at", "key")).alias("hits"))
     wanted = cut(docs.join(hits, "doc_id"))
@@ -256,9 +256,9 @@ def find_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length
         if kinds:
             yield done()
 
-    around = wanted.mapInArrow(context, "key long, doc_id long, at long, left long, body binary")
+    around = wanted.mapInArrow(trimmed(context), "key long, doc_id long, at long, left long, body binary")
     dealt = around.repartition(partitions(df.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(sort, "doc_id long, start long, end long"), wanted.select("doc_id", "text")
+    return dealt.mapInArrow(trimmed(sort), "doc_id long, start long, end long"), wanted.select("doc_id", "text")
 
 
 def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
@@ -281,7 +281,7 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], kind), pa.array(out[2], pa.string())], ["doc_id", "spans", "kept"])
 
-    judged = texts.join(per, "doc_id").mapInArrow(keep, "doc_id long, spans array<struct<start:long,end:long>>, kept string").dropDuplicates(["doc_id"])
+    judged = texts.join(per, "doc_id").mapInArrow(trimmed(keep), "doc_id long, spans array<struct<start:long,end:long>>, kept string").dropDuplicates(["doc_id"])
     rows = base.join(copied, base["sha"] == copied["copied"], "left").join(judged, "doc_id", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     empty = F.sha2(F.lit("").cast("binary"), 256)

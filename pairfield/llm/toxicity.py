@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trimmed
 from .hashing import prefix_hash, range_hash
 from .language_id import fold
 
@@ -146,7 +146,7 @@ def train(df: DataFrame, text: str = "text", label: str = "label", rows: int = T
                 ["features", "sizes", "label"],
             )
 
-    got = sample.mapInArrow(run, "features binary, sizes binary, label int").toArrow()
+    got = sample.mapInArrow(trimmed(run), "features binary, sizes binary, label int").toArrow()
     got = got.sort_by([("features", "ascending"), ("label", "ascending")])  # the order of tasks does not matter
     sizes = [np.frombuffer(x, "<u4") for x in got["sizes"].to_pylist()]
     per = np.concatenate(sizes) if sizes else np.zeros(0, np.uint32)
@@ -168,7 +168,7 @@ def score(df: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[str, ..
             spans = [[{"start": a, "end": b, "p": q} for a, b, q in own] for own in spans]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array(spans, span)], [*batch.schema.names[:-1], "score", "spans"])
 
-    return wanted.mapInArrow(run, f"{schema}, score double, spans array<struct<start:long,end:long,p:double>>")
+    return wanted.mapInArrow(trimmed(run), f"{schema}, score double, spans array<struct<start:long,end:long,p:double>>")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
