@@ -21,12 +21,22 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     )
 
 
+#: Most bytes of an Arrow batch on its way to Python: executors hold several batches per task outside the heap.
+ARROW_BATCH = 4 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once per application, wherever it was imported from on the driver."""
+    """Send this package to the executors, once per application, wherever it was imported from on the driver.
+
+    Arrow batches are limited to ``ARROW_BATCH`` bytes where the session allows more.
+    """
     import tempfile
     import zipfile
     from pathlib import Path
 
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(limit)) <= ARROW_BATCH:
+        spark.conf.set(limit, f"{ARROW_BATCH}b")
     context = spark.sparkContext
     if any(Path(f).name == "pairfield_code.zip" for f in context._python_includes):
         return spark
