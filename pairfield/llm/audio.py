@@ -136,11 +136,12 @@ def search(prints: DataFrame, is_query, most_errors: float = MOST_BIT_ERRORS, le
 
 
 def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: n_codes, class_id (smallest id of equal codes), and the query class it aligns with best, if any."""
+    """Per document: n_codes, class_id (smallest id of equal codes), the query class it aligns with best, if any, and
+    ``partners``: every query class it aligns with, by id."""
     prints = cut(fingerprints(table(spark, sf_dir, "documents"), "text", "doc_id"))
     found = search(prints, F.col("doc_id") % 100 == 0)
-    best = found.groupBy("doc_id").agg(F.min(F.struct("bit_error", "query_id", "offset", "overlap")).alias("b"), F.count("*").alias("n_queries"))
+    best = found.groupBy("doc_id").agg(F.min(F.struct("bit_error", "query_id", "offset", "overlap")).alias("b"), F.count("*").alias("n_queries"), F.array_sort(F.collect_list(F.struct("query_id", "offset", "votes", "overlap", "bit_error"))).alias("partners"))
     rows = prints.select("doc_id", F.size("codes").cast("long").alias("n_codes"), F.when(F.size("codes") > 0, F.sha2(F.array_join("codes", ","), 256)).alias("sign"))
     classes = rows.filter("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("class_id"))
     out = rows.join(classes, "sign", "left").join(best.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
-    return out.select("doc_id", "n_codes", "class_id", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), *[F.col(f"b.{c}").alias(c) for c in ("query_id", "offset", "overlap", "bit_error")])
+    return out.select("doc_id", "n_codes", "class_id", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), *[F.col(f"b.{c}").alias(c) for c in ("query_id", "offset", "overlap", "bit_error")], F.coalesce("partners", F.array()).alias("partners"))

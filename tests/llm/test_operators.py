@@ -170,6 +170,15 @@ def test_audio_finds_a_shifted_copy(spark):
     assert [(r["query_id"], r["doc_id"], r["offset"]) for r in rows] == [(0, 1, -10)] and rows[0]["bit_error"] < 0.01
 
 
+def test_audio_query_gives_all_partners(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    text = "".join(chr(c) for c in rng.integers(32, 127, 4000))
+    docs_of(spark, [text[:3200]]).union(docs_of(spark, [text[640:3840]]).withColumn("doc_id", F.lit(100))).union(docs_of(spark, [text[320:3520]]).withColumn("doc_id", F.lit(7))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in registry.queries()["op4_audio_fingerprints"](spark, str(tmp_path)).collect()}
+    assert [(p["query_id"], p["offset"]) for p in rows[7]["partners"]] == [(0, -5), (100, 5)]
+    assert [p["query_id"] for p in rows[0]["partners"]] == [100] and all(len(r["partners"]) == r["n_queries"] for r in rows.values())
+
+
 def test_mix_reaches_targets(spark):
     rows = registry.queries()["op5_mixing"](spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source")
