@@ -4,9 +4,11 @@ A recording (binary, unsigned 8-bit mono PCM) is cut into overlapping frames; ea
 pitch classes. Over the image of frames and pitch classes, 16 filters compare sums of rectangles, read off an integral
 image; each answer becomes two bits (Gray code), so every position gives one packed 32-bit code.
 
-Alignment: runs of ``RUN`` equal codes vote for an offset; per pair the offset with most votes is taken (offset
-histogram), and the bit errors over the whole overlap decide. Recordings with equal codes are one class, which is
-compared once; the result carries its size.
+Alignment: every query is laid against every recording at every offset, for a bound of 15 % bit errors leaves no index
+that both is exact and passes over much. At an offset each bit of the overlap votes for it (equal) or against it; per pair
+the offset with most votes is taken among those within the bound of bit errors over the whole overlap. The work is the
+product of all queries' and all recordings' lengths. The queries are broadcast. Recordings with equal codes are one class,
+which is compared once; the result carries its size.
 
 The tables of this library's tests hold no audio, so the query reads each document's UTF-8 bytes as PCM. As in any search
 here, the rows whose id is divisible by 100 are the queries, against all rows.
@@ -27,12 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, trimmed
 
-RATE, FRAME, HOP, SPAN, RUN = 8000, 256, 64, 16, 4
+RATE, FRAME, HOP, SPAN = 8000, 256, 64, 16
 MOST_BIT_ERRORS, LEAST_OVERLAP = 0.15, 8
 #: (kind, pitch class, height, width): by rule, so that kinds, places and sizes all vary.
 FILTERS = tuple((k % 6, (5 * k) % 8, 1 + k % 4, (4, 8, 12, 16)[k * 7 % 4]) for k in range(16))
 LEVELS = (-0.15, 0.0, 0.15)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
+LOW, HIGH = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 def _fold() -> np.ndarray:
@@ -111,28 +114,86 @@ def fingerprints(df: DataFrame, audio: str, doc_id: str) -> DataFrame:
     return rows.mapInArrow(trimmed(run), "doc_id long, codes array<int>")
 
 
+def _align(rows: list[np.ndarray], query: np.ndarray, most_errors: float, least_overlap: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, offset, votes, overlap, errors) of each of rows' best offset within the bound; rows alike in length.
+
+    Two codes at a time are compared, as one 64-bit word; ``mask`` hides what lies outside a row.
+    """
+    m, sizes = len(query), np.array([len(r) for r in rows])
+    wide = sizes.max()
+    d = np.zeros((len(rows), wide + 2), np.uint64)
+    here = np.zeros_like(d)
+    for i, r in enumerate(rows):
+        d[i, 1 : len(r) + 1] = r
+        here[i, 1 : len(r) + 1] = LOW
+    d, mask = d[:, :-1] | d[:, 1:] << HIGH, here[:, :-1] | here[:, 1:] << HIGH
+    q = np.append(query, np.zeros(m % 2, np.uint32)).astype(np.uint64)
+    pairs = q[::2] | q[1::2] << HIGH
+    # rows fall into blocks so that the sums of one block stay in a few MB
+    step = max(1, (1 << 20) // (wide + m))
+    for a in range(0, len(rows), step):
+        x, own, n = np.empty_like(d[a : a + step]), d[a : a + step], sizes[a : a + step, None]
+        bits = np.empty(x.shape, np.uint8)
+        errors = np.zeros((len(x), wide + m + 1), np.int32)  # column c: offset c - m
+        for k, pair in enumerate(pairs):
+            np.bitwise_xor(own, pair, out=x)
+            np.bitwise_and(x, mask[a : a + step] if 2 * k + 1 < m else mask[a : a + step] & LOW, out=x)
+            np.bitwise_count(x, out=bits)
+            into = errors[:, m - 1 - 2 * k : m + wide - 2 * k]
+            np.add(into, bits, out=into)
+        offset = np.arange(-m, wide + 1)
+        overlap = np.minimum(m, n - offset) - np.maximum(0, -offset)
+        row, c = np.nonzero((overlap >= least_overlap) & (errors <= np.floor(most_errors * 32 * overlap + 1)))
+        e, o, at = errors[row, c].astype(np.int64), overlap[row, c].astype(np.int64), offset[c]
+        good = e / (o * 32) <= most_errors
+        row, e, o, at = row[good], e[good], o[good], at[good]
+        votes = o * 32 - 2 * e
+        order = np.lexsort((at, -votes, row))
+        order = order[np.diff(row[order], prepend=-1) != 0]
+        yield row[order] + a, at[order], votes[order], o[order], e[order]
+
+
+def _groups(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of recordings alike in length, at most 2^16 codes in each group or one recording."""
+    order = np.argsort(sizes, kind="stable")
+    a = 0
+    while a < len(order):
+        b = int(np.searchsorted(sizes[order], sizes[order[a]] * 5 // 4, side="right"))
+        b = min(b, a + max(1, (1 << 16) // int(sizes[order[b - 1]])))
+        yield order[a:b]
+        a = b
+
+
 def search(prints: DataFrame, is_query, most_errors: float = MOST_BIT_ERRORS, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
     """(query_id, doc_id, copies, offset, votes, overlap, bit_error): classes that align with the class of a query.
 
     query_id and doc_id are the smallest ids of the classes (query_id: among the queries); a class does not match itself.
     """
+    spark = prints.sparkSession
     coded = prints.filter(F.col("doc_id").isNotNull() & (F.size("codes") > 0)).withColumn("sign", F.sha2(F.array_join("codes", ","), 256))
     classes = coded.groupBy("sign").agg(F.min("doc_id").alias("doc_id"), F.min(F.when(is_query, F.col("doc_id"))).alias("query_id"), F.count("*").alias("copies"), F.first("codes").alias("codes"))
-    classes = cut(classes.drop("sign"))
-    runs = F.transform(F.filter(F.transform("codes", lambda x, i: i), lambda i: i + RUN <= F.size("codes")), lambda i: F.struct(F.xxhash64(F.slice("codes", i + 1, RUN)).alias("key"), i.alias("at")))
-    # a run that repeats within a recording votes once, from its first place
-    listed = classes.select("doc_id", "query_id", F.explode(runs).alias("r")).groupBy("doc_id", "query_id", F.col("r.key").alias("key")).agg(F.min("r.at").alias("at"))
-    asked = listed.filter("query_id is not null").select("query_id", F.col("doc_id").alias("own"), "key", F.col("at").alias("query_at"))
-    votes = asked.join(listed.select("doc_id", "key", "at"), "key").filter("own <> doc_id").groupBy("query_id", "own", "doc_id", (F.col("at") - F.col("query_at")).alias("offset")).count()
-    best = votes.groupBy("query_id", "own", "doc_id").agg(F.max(F.struct(F.col("count").alias("votes"), (-F.col("offset")).alias("back"))).alias("v"))
-    best = best.select("query_id", "own", "doc_id", (-F.col("v.back")).alias("offset"), F.col("v.votes").alias("votes"))
-    q = classes.select(F.col("doc_id").alias("own"), F.col("codes").alias("qc"))
-    d = classes.select("doc_id", "copies", "codes")
-    pairs = best.join(q, "own").join(d, "doc_id").withColumns({"q0": F.greatest(-F.col("offset"), F.lit(0)), "d0": F.greatest(F.col("offset"), F.lit(0))})
-    pairs = pairs.withColumn("overlap", F.least(F.size("qc") - F.col("q0"), F.size("codes") - F.col("d0")))
-    errors = F.aggregate(F.zip_with(F.slice("qc", F.col("q0") + 1, F.col("overlap")), F.slice("codes", F.col("d0") + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda a, x: a + x)
-    scored = pairs.withColumn("bit_error", errors / (F.col("overlap") * 32))
-    return scored.filter((F.col("overlap") >= least_overlap) & (F.col("bit_error") <= most_errors)).select("query_id", "doc_id", "copies", "offset", "votes", "overlap", "bit_error")
+    classes = cut(classes.filter(F.size("codes") >= least_overlap).drop("sign"))
+    asked = classes.filter("query_id is not null").select("query_id", F.col("doc_id").alias("own"), "codes").toArrow()
+    shared = spark.sparkContext.broadcast([(a, b, np.array(c, np.int32).view(np.uint32)) for a, b, c in zip(*(asked[x].to_pylist() for x in ("query_id", "own", "codes")), strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            held = [np.asarray(x.values).view(np.uint32) for x in batch.column(2)]
+            for group in _groups(np.array([len(x) for x in held])):
+                rows = [held[i] for i in group]
+                for query_id, own, query in shared.value:
+                    for row, at, votes, overlap, errors in _align(rows, query, most_errors, least_overlap):
+                        row = group[row]
+                        other = doc[row] != own
+                        if other.any():
+                            row, at, votes, overlap, errors = (v[other] for v in (row, at, votes, overlap, errors))
+                            found = [np.full(len(row), query_id), doc[row], copies[row], at.astype(np.int32), votes, overlap.astype(np.int32), errors / (overlap * 32)]
+                            yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["query_id", "doc_id", "copies", "offset", "votes", "overlap", "bit_error"])
+
+    # every class costs as much as its length times that of all queries: dealt out evenly, not by size of the files
+    spread = classes.select("doc_id", "copies", "codes").repartition(4 * spark.sparkContext.defaultParallelism)
+    return spread.mapInArrow(trimmed(run), "query_id long, doc_id long, copies long, offset int, votes long, overlap int, bit_error double")
 
 
 def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,6 +170,30 @@ def test_audio_finds_a_shifted_copy(spark):
     assert [(r["query_id"], r["doc_id"], r["offset"]) for r in rows] == [(0, 1, -10)] and rows[0]["bit_error"] < 0.01
 
 
+def test_audio_search_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    sound = np.clip(128 + 60 * np.sin(np.cumsum(rng.uniform(0.1, 1.5, 90).repeat(100))) + rng.normal(0, 10, 9000), 0, 255).astype(np.uint8)
+    codes = [audio.codes(audio.chroma(sound[a:b])) for a, b in ((0, 5000), (320, 5320), (650, 8000), (1007, 4000), (16, 6000), (2100, 2100 + 64 * 26 + 3), (4000, 9000))]
+    for share in (0.05, 0.1, 0.14, 0.2):  # noisy copies, bits flipped all over
+        codes.append(codes[0] ^ np.packbits(rng.random((len(codes[0]), 32)) < share, axis=1).view(np.int32)[:, 0])
+    codes += [np.tile(codes[0][20:31], 4), np.tile(codes[0][20:31], 9)[5:], codes[3][:9], codes[3][:8], codes[3][:7], np.zeros(40, np.int32), np.zeros(55, np.int32)]
+    df = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(codes)], "doc_id long, codes array<int>")
+    got = {(r["query_id"], r["doc_id"]): (r["offset"], r["overlap"], r["bit_error"]) for r in audio.search(df, F.col("doc_id") % 3 == 0).collect()}
+    want = {}
+    for q in range(0, len(codes), 3):
+        for d in range(len(codes)):
+            best = None
+            for o in range(-len(codes[q]), len(codes[d])):
+                a, b = codes[q][max(-o, 0) :], codes[d][max(o, 0) :]
+                n = min(len(a), len(b))
+                e = int(np.bitwise_count((a[:n] ^ b[:n]).view(np.uint32)).sum())
+                if n >= 8 and e / (n * 32) <= 0.15 and (best is None or 32 * n - 2 * e > best[0]):
+                    best = 32 * n - 2 * e, o, n, e / (n * 32)
+            if best and q != d:
+                want[q, d] = best[1:]
+    assert got == want and {(0, 7), (0, 8), (0, 9), (0, 1)} <= set(want)
+
+
 def test_audio_query_gives_all_partners(spark, tmp_path):
     rng = np.random.default_rng(5)
     text = "".join(chr(c) for c in rng.integers(32, 127, 4000))
