@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, trimmed
+from .common import cut, slices, table, trimmed
 
 ORDER, BITS = 4, 6
-#: About so many labelled rows (by hash of the text) are what the rejection threshold is calibrated on.
-CALIBRATION_ROWS = 20_000
 QUANTILE, SLACK = 0.999, 4.0
+#: The quantile's rank is exact up to one part in so many of a language's rows.
+ACCURACY = 1_000_000
 
 
 def _alphabet() -> np.ndarray:
@@ -216,8 +216,8 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     return ["und" if x else model.languages[b] for x, b in zip(none, best, strict=True)], np.where(none, 0.0, share[rows, best]), rejected
 
 
-def train(df: DataFrame, text: str = "text", label: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Counts over all labelled rows; the rejection threshold from about ``calibration_rows`` of them."""
+def train(df: DataFrame, text: str = "text", label: str = "lang") -> Model:
+    """Counts and the rejection threshold, both over all labelled rows."""
     rows = count_grams(df, text, label).toArrow()
     names = np.array(rows["label"].to_pylist(), object)
     gram, n = rows["gram"].to_numpy().astype(np.uint32), rows["n"].to_numpy()
@@ -236,16 +236,14 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", calibration_ro
             own = np.array([shared.value.languages.index(x) for x in batch.column(1).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(h[np.arange(len(own)), own]), pa.array(n)], ["own", "h", "n"])
 
-    every = max(1, df.filter(F.col(label).isNotNull()).count() // calibration_rows)
-    sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    seen = sample.mapInArrow(trimmed(excess), "own long, h double, n long").toPandas()
+    seen = cut(labelled.mapInArrow(trimmed(excess), "own long, h double, n long"))
     model.usual, model.room = np.full(len(counts), np.inf), np.full(len(counts), np.inf)
-    for j in range(len(counts)):
-        own = seen[seen["own"] == j]
-        if len(own):
-            model.usual[j] = np.average(own["h"], weights=own["n"])
-            over = (own["h"] - model.usual[j]) * np.sqrt(own["n"])
-            model.room[j] = SLACK * max(np.quantile(over, QUANTILE), 1.0)
+    # one row a language each
+    for r in seen.groupBy("own").agg((F.sum(F.col("h") * F.col("n")) / F.sum("n")).alias("usual")).collect():
+        model.usual[r["own"]] = r["usual"] if r["usual"] is not None else np.inf
+    usual = F.get(F.array(*map(F.lit, model.usual.tolist())), F.col("own").cast("int"))
+    for r in seen.groupBy("own").agg(F.percentile_approx((F.col("h") - usual) * F.sqrt("n"), QUANTILE, ACCURACY).alias("over")).collect():
+        model.room[r["own"]] = SLACK * max(r["over"], 1.0)
     shared.unpersist()
     return model
 

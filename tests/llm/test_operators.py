@@ -153,6 +153,16 @@ def test_language_and_toxicity_on_held_out_rows(spark):
     assert np.mean([r["toxic"] == r["predicted"] for r in rows]) > 0.9
 
 
+def test_rejection_is_calibrated_on_all_labelled_rows(spark):
+    usual = "the cat sat on the mat and looked at the dog "
+    rows = [(i, f"{usual}{i}", "en") for i in range(40_500)] + [(50_000 + i, f"olen talo ja metsä {i}", "fi") for i in range(3)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    h, n, _ = model.entropy([t for _, t, la in rows if la == "fi"])
+    mean = np.average(h[:, 1], weights=n)
+    assert model.languages == ["en", "fi"] and np.isfinite(model.usual).all()
+    assert model.usual[1] == pytest.approx(mean) and model.room[1] == pytest.approx(4 * max(1, ((h[:, 1] - mean) * np.sqrt(n)).max()))
+
+
 def test_kneser_ney_sums_to_one():
     s = language_id.signs(["hello there world", "hello where"])
     key, n = np.unique(language_id.grams(*s)[0], return_counts=True)
