@@ -12,7 +12,8 @@ at which its part of each queue begins (one row per chunk and queue; Spark broad
 and else joins by shuffle), and cuts its own documents into pieces. Documents are not gathered by source, so a hot source
 is spread like any other.
 
-Sources beyond ``MAX_QUEUES`` share queues by hash, which bounds the state of a cycle.
+Every source has a queue of its own, at any number of sources. The names and totals of the queues, one of each a source,
+are gathered and broadcast; the sums over all queues are made for blocks of cycles, so that they stay in a few MB.
 
 Nulls and edges: a null text is empty and gives the closing id alone; a null source is a source of its own; repeated
 rows are packed as often as they occur; an empty table gives no pieces; further columns are left aside.
@@ -21,6 +22,7 @@ rows are packed as often as they occur; an empty table gives no pieces; further
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import cut, table, trimmed
 from .tokens import encoder
 
-SIZE, CLOSING, MAX_QUEUES = 4096, 2, 64
+SIZE, CLOSING = 4096, 2
+#: Numbers (queues times cycles) that a block of a document's cycles may hold.
+BLOCK = 1 << 19
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -40,13 +44,13 @@ def encode(df: DataFrame, path: str, text: str = "text", source: str = "source",
     """(chunk, queue, start, n, doc_id, source, ids): start is the document's place in its queue within the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, sent = TaskContext.get().partitionId(), [0] * MAX_QUEUES
+        chunk, sent = TaskContext.get().partitionId(), defaultdict(int)
         own = encoder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 ids = [np.append(x, np.uint32(closing)) for x in own.encode([t or "" for t in batch.column(2).to_pylist()])]
-                queue = batch.column(3).to_pylist()
+                queue = [known.value[s] for s in batch.column(1).to_pylist()]
                 start = []
                 for q, x in zip(queue, ids, strict=True):
                     start.append(sent[q])
@@ -58,13 +62,9 @@ def encode(df: DataFrame, path: str, text: str = "text", source: str = "source",
                     ["chunk", "queue", "start", "n", "doc_id", "source", "ids"],
                 )
 
-    names = df.select(F.col(source).cast("string").alias("source")).distinct().orderBy("source").limit(MAX_QUEUES + 1).collect()
-    if len(names) <= MAX_QUEUES:
-        known = {r["source"]: i for i, r in enumerate(names)}
-        queue = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(i)) for k, i in known.items()]) if known else F.lit(0)
-    else:
-        queue = F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit(""))), F.lit(MAX_QUEUES)).cast("int")
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).withColumn("queue", queue.cast("int"))
+    names = df.select(F.col(source).cast("string").alias("source")).distinct().orderBy("source").collect()  # one row a source
+    known = df.sparkSession.sparkContext.broadcast({r["source"]: i for i, r in enumerate(names)})
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     return rows.mapInArrow(trimmed(run), "chunk int, queue int, start long, n long, doc_id long, source string, ids binary")
 
 
@@ -92,17 +92,23 @@ class Service:
         t = self.totals[queue]
         first, last = ((start + 1) * self.cycles - 1) // t, ((start + n) * self.cycles - 1) // t
         cycle = np.arange(first, last + 2)
-        sent = self.sent(cycle)
-        begin = np.maximum(sent[queue, :-1], start)
-        end = np.minimum(sent[queue, 1:], start + n)
-        before = (sent[:queue, 1:] - sent[:queue, :-1]).sum(axis=0)
-        place = sent[:, :-1].sum(axis=0) + before + begin - sent[queue, :-1]
+        own = self.whole[queue, 0] * cycle + self.part[queue, 0] * cycle // self.cycles
+        begin, end = np.maximum(own[:-1], start), np.minimum(own[1:], start + n)
+        sends = end > begin
+        cycle, begin, end, skipped = cycle[:-1][sends], begin[sends], end[sends], begin[sends] - own[:-1][sends]
+        place = np.empty(len(cycle), np.int64)
+        step = max(1, BLOCK // len(self.totals))
+        for a in range(0, len(cycle), step):
+            c = cycle[a : a + step]
+            edges = np.union1d(c, c + 1)
+            sent = self.sent(edges)
+            at, to = np.searchsorted(edges, c), np.searchsorted(edges, c + 1)
+            place[a : a + step] = sent.sum(axis=0)[at] + (sent[:queue, to] - sent[:queue, at]).sum(axis=0)
+        place += skipped
         out: list[tuple[int, int, int, int]] = []
         at = had = 0
         runs: list[list[int]] = []
         for b, e, p in zip(begin.tolist(), end.tolist(), place.tolist(), strict=True):
-            if e <= b:
-                continue
             if runs and runs[-1][1] + runs[-1][2] == p and runs[-1][0] + runs[-1][2] == b:
                 runs[-1][2] += e - b
             else:
@@ -131,12 +137,11 @@ def cut_pieces(chunks: DataFrame, size: int = SIZE) -> DataFrame:
     held = chunks.groupBy("chunk", "queue").agg(F.sum("n").alias("held"))
     run_up = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = cut(held.withColumn("base", F.coalesce(F.sum("held").over(run_up), F.lit(0))))
-    totals = [0] * MAX_QUEUES
-    for r in base.groupBy("queue").agg(F.sum("held").alias("t")).collect():  # at most MAX_QUEUES rows
-        totals[r["queue"]] = r["t"]
+    sums = {r["queue"]: r["t"] for r in base.groupBy("queue").agg(F.sum("held").alias("t")).collect()}  # one row a source
+    totals = chunks.sparkSession.sparkContext.broadcast([sums.get(q, 0) for q in range(max(sums, default=0) + 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        service = Service(totals, size)
+        service = Service(totals.value, size)
         for batch in batches:
             rows: list[tuple] = []
             for r in range(batch.num_rows):
