@@ -34,9 +34,10 @@ ACCURACY = 1_000_000
 
 
 def _alphabet() -> np.ndarray:
-    """Sign of each code point below 65536: 0 for what is no letter, 1..26 for a..z, else 27..63 by a rule."""
-    out = np.zeros(65536, np.uint8)
-    for c in range(65536):
+    """Sign of each code point: 0 for what is no letter, 1..26 for a..z, else 27..63 by a rule."""
+    out = np.zeros(0x110000, np.uint8)
+    # planes 4 to 16 have no letters
+    for c in range(0x40000):
         x = chr(c)
         if x.isalpha():
             y = ord(x.lower()[0])
@@ -56,7 +57,7 @@ def signs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code = np.frombuffer(joined, np.uint32)
     lengths = np.fromiter((len(t) + ORDER for t in texts), np.int64, len(texts))
     begin = np.concatenate([[0], np.cumsum(lengths)])
-    all_signs = np.where(code < 65536, _SIGNS[0][np.minimum(code, 65535)], 27 + (code >> 7) % 37).astype(np.uint8)
+    all_signs = _SIGNS[0][code]
     # runs of blanks inside a text become one; the blanks before it stay
     drop = np.zeros(len(code), bool)
     drop[1:] = (all_signs[1:] == 0) & (all_signs[:-1] == 0)

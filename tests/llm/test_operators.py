@@ -183,6 +183,12 @@ def test_rejection_is_calibrated_on_all_labelled_rows(spark):
     assert model.usual[1] == pytest.approx(mean) and model.room[1] == pytest.approx(4 * max(1, ((h[:, 1] - mean) * np.sqrt(n)).max()))
 
 
+def test_letters_in_all_planes():
+    model = language_id.Model.fit(["en"], {"en": np.unique(language_id.grams(*language_id.signs(["hello"]))[0], return_counts=True)})
+    names, scores, rejected = language_id.judge(model, ["\U0001f600\U0001f680 \U0001f600", "\U00010414\U0001043c", "\U00020000\u4e2d"])
+    assert names == ["und", "en", "en"] and scores[0] == 0 and rejected.tolist() == [True, False, False]
+
+
 def test_kneser_ney_sums_to_one():
     s = language_id.signs(["hello there world", "hello where"])
     key, n = np.unique(language_id.grams(*s)[0], return_counts=True)
