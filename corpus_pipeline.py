@@ -15,7 +15,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the language models reject; ``lang`` becomes the predicted language."""
-    ship(spark)
+    common.give_back(ship(spark))
     model = language_id.train(docs.filter(language_id.fold(F.col("doc_id"), 3) != 1))
     judged = language_id.predict(docs, model, keep=COLUMNS)
     return judged.filter(~F.col("rejected")).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
@@ -23,18 +23,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out lines that an earlier line matches; documents stay, ``n_chars`` follows."""
+    common.give_back(spark)
     return line_dedup.drop_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest doc_id; a document without words is no duplicate."""
-    ship(spark)
+    common.give_back(ship(spark))
     groups = ngram_join.join(docs).filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(groups, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    common.give_back(spark)
     copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("__doc")).agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
     joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__doc")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
@@ -42,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    ship(spark)
+    common.give_back(ship(spark))
     return packing.pack(docs, packing.default_path())
 
 

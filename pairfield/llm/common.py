@@ -88,10 +88,30 @@ def slices(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[pa.Recor
             yield whole.slice(at, n)
 
 
+def blocks(texts: list, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``limit`` characters or bytes, so that temporary arrays stay small; one long text is a range of its own."""
+    a = n = 0
+    for i, t in enumerate(texts):
+        n += len(t)
+        if n >= limit:
+            yield a, i + 1
+            a, n = i + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Has executors collect their garbage, so that heaps which one stage has filled shrink before the next one's Python workers start."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def trimmed(run: Callable) -> Callable:
     """The function for ``mapInArrow``, which at its end gives freed memory back: workers live on for other stages."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the system's pool keeps nothing back that malloc_trim does not reach
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:

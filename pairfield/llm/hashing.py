@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import blocks
+
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -24,7 +26,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The multiplier's first n powers and their inverses, mod 2^64."""
     if len(_POWERS[0]) < n:
         for at, r in enumerate((_R, _R_INVERSE)):
-            p = np.full(max(n, 1 << 21), r, np.uint64)
+            p = np.full(max(n, 1 << 19), r, np.uint64)
             p[0] = 1
             _POWERS[at] = np.multiply.accumulate(p)
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -55,12 +57,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Per text its distinct k-word shingles as sorted hashes; shorter texts give their whole word sequence as one."""
     out: list[np.ndarray] = []
-    a = n = 0
-    for i, t in enumerate(texts):
-        n += len(t) + 1
-        if n >= 1 << 21 or i + 1 == len(texts):
-            out += _shingles(texts[a : i + 1], k)
-            a, n = i + 1, 0
+    for a, b in blocks(texts):
+        out += _shingles(texts[a:b], k)
     return out
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table, trimmed
+from .common import blocks, cut, slices, table, trimmed
 
 ORDER, BITS = 4, 6
 QUANTILE, SLACK = 0.999, 4.0
@@ -81,29 +81,17 @@ def grams(s: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[inside], at[begin]
 
 
-def _blocks(texts: list[str], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` characters; one long text is a range of its own."""
-    a = n = 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= limit:
-            yield a, i + 1
-            a, n = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def count_grams(df: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
     """(label, gram, n) over all rows with a text and a label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 512):
             labels = np.array(batch.column(1).to_pylist(), object)
             texts = np.array(batch.column(0).to_pylist(), object)
             for name in dict.fromkeys(labels):
                 mine = texts[labels == name].tolist()
-                for a, b in _blocks(mine, 1 << 20):
+                for a, b in blocks(mine):
                     key, _ = grams(*signs(mine[a:b]))
                     u, n = np.unique(key, return_counts=True)
                     if name in total:
@@ -188,7 +176,7 @@ class Model:
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: cross-entropy in bits per sign by language, signs, letters."""
         h, signs_in, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        for a, b in _blocks(texts):
+        for a, b in blocks(texts):
             s, begin = signs(texts[a:b])
             key, start = grams(s, begin)
             # sums by differences of running sums, as a text may have no sign at all

@@ -47,8 +47,8 @@ def encode(df: DataFrame, path: str, text: str = "text", source: str = "source",
         chunk, sent = TaskContext.get().partitionId(), defaultdict(int)
         own = encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
                 ids = [np.append(x, np.uint32(closing)) for x in own.encode([t or "" for t in batch.column(2).to_pylist()])]
                 queue = [known.value[s] for s in batch.column(1).to_pylist()]
                 start = []

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table, trimmed
+from .common import blocks, cut, partitions, table, trimmed
 from .hashing import mix, powers, prefix_hash, range_hash
 
 LENGTH, GRAM, COVER, ROWS = 400, 64, 64, 8192
@@ -58,12 +58,8 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> list[tuple[np.ndarray,
     """Per text the places of its anchors and their keys."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    a = n = 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= 1 << 21 or i + 1 == len(texts):
-            out += _anchors(texts[a : i + 1], length, none)
-            a, n = i + 1, 0
+    for a, b in blocks(texts):
+        out += _anchors(texts[a:b], length, none)
     return out
 
 

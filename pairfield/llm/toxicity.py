@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, trimmed
+from .common import blocks, slices, table, trimmed
 from .hashing import prefix_hash, range_hash
 from .language_id import fold
 
@@ -65,15 +65,6 @@ def read(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return feature, sentence, text, spans
 
 
-def _blocks(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    a = n = 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= limit or i + 1 == len(texts):
-            yield a, i + 1
-            a, n = i + 1, 0
-
-
 @dataclass
 class Scorer:
     weight: np.ndarray
@@ -84,7 +75,7 @@ class Scorer:
         out, spans = np.zeros(len(texts)), [[] for _ in texts]
         if not np.isfinite(self.bias):
             return out, spans
-        for a, b in _blocks(texts):
+        for a, b in blocks(texts):
             feature, sentence, text, where = read(texts[a:b])
             if not len(text):
                 continue
@@ -135,7 +126,7 @@ def train(df: DataFrame, text: str = "text", label: str = "label", rows: int = T
     sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 64):
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             feature, sentence, text_of, _ = read(texts)
             per = np.bincount(sentence, minlength=len(text_of)) if len(text_of) else np.zeros(0, np.int64)
@@ -163,7 +154,7 @@ def score(df: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[str, ..
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 512):
             p, spans = shared.value.score([t or b"" for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()])
             spans = [[{"start": a, "end": b, "p": q} for a, b, q in own] for own in spans]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array(spans, span)], [*batch.schema.names[:-1], "score", "spans"])
