@@ -1,25 +1,26 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
-A document's set is its distinct k-word shingles. Two documents link when 100 * intersection >= percent * union.
-
-1. Blocks. Shingles are hashed into groups; how many groups depends on the band of the set's size. Linked sets differ in
-   at most d = (100 - percent) * n / percent shingles, hence in at most d groups, so of any choice of d + 1 groups in
-   an order common to all sets at least one group is shared with all its shingles. The order is by group count, largest
-   first. A document is listed under d + 1 group contents; only contents that two documents share form a block.
-   Common passages do not make blocks, as a group also holds the text around them.
-2. Points. The counts of 64 hash groups are a document's point. Per block a packed R-tree over the points answers, for
-   a few hub documents at a time, which others may overlap enough: the overlap is at most the sum of the coordinate
-   minima, for a node taken over its corner of maxima.
-3. Verification of the surviving pairs by the sizes of the exact intersections.
-4. Components. Pairs inside one component are not looked at again; hubs grow by four times from round to round until
-   each block is one component or all its pairs have been decided, so no link between components is lost and no group
-   of copies is expanded into pairs.
-
-Equal sets are joined by a 128-bit set key and enter the blocks once per task.
+A document's set is its distinct k-word shingles. Two documents link when 100 * intersection >= percent * union. Rows with
+equal sets are one node, known by a 64-bit key of the set.
+
+1. Groups. Shingles are hashed into groups; how many groups depends on the band of the set's size. Linked sets differ in
+   at most d = (100 - percent) * n / percent shingles, hence in at most d groups. So if all group contents have one order,
+   here by how many nodes hold them and then by value, the first d + 1 of a set's contents hold one that also is among the
+   first of the other set. Contents that one node alone holds come first and need no listing: most documents have more
+   than d of them and are done. What common passages fill comes last and is not listed.
+2. Blocks. Nodes listed under one content form a block. Each node is first held against the hub (smallest node) with
+   which it shares most contents, then against its other hubs as far as no link has joined them yet.
+3. Points. In blocks that are not one component by then, the counts of hash groups are a node's point, of about as many
+   coordinates as the set has shingles. A packed R-tree over a page of points answers, for every node outside the
+   block's largest component, which others may overlap enough: the overlap is at most the sum of the coordinate minima,
+   for a tree node taken over its corner of maxima. Nodes of one component are not paired again. All pairs of a block
+   that are in different components are covered, so no link between components is lost, and only pairs that pass the
+   bound leave the task.
+4. Verification by the sizes of the exact intersections, and components over the links.
 
 Nulls and edges: a null text or one without words has an empty set and links with nothing; a null doc_id keeps its row
-and links with nothing; rows with the same doc_id are one document; equal texts link; empty tables give empty results;
-further columns are left aside.
+and links with nothing; of rows that repeat a doc_id each has the component of its own text; equal texts link; empty
+tables give empty results; further columns are left aside.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, partitions, store, table, trimmed
+from .common import cut, discard, partitions, slices, store, table, tidy, trimmed
 from .components import components
 from .hashing import mix, shingles
 
-DIM, FANOUT, PAGE, BITMAP = 64, 16, 1 << 14, 1 << 24
+FANOUT, BITMAP = 16, 1 << 24
+#: Bytes of points in a page, and contents under at least so many nodes count as equally common.
+PAGE_BYTES, COMMON = 1 << 22, 4096
 
 
 def differ(n: int, percent: int) -> int:
@@ -59,25 +62,33 @@ def _bands(n: int, percent: int) -> Iterator[tuple[int, int]]:
             return
 
 
-def group_contents(s: np.ndarray, percent: int) -> np.ndarray:
-    """The group contents (64-bit) that a set is listed under."""
-    n, d = len(s), differ(len(s), percent)
-    if not d:
-        return np.zeros(0, np.uint64)  # links only with equal sets
+def group_contents(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """(band, contents of the groups that are not empty): 64-bit numbers whose low 6 bits are the band."""
+    if not differ(len(s), percent):
+        return []  # links only with equal sets
     mixed, out = mix(s + np.uint64(0xA5A5A5A5A5A5A5A5)), []
     low, high = (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), (mixed >> np.uint64(32)).astype(np.float64)
-    for band, groups in _bands(n, percent):
+    for band, groups in _bands(len(s), percent):
         g = ((s >> np.uint64(16)) % np.uint64(groups)).astype(np.int64)
-        count = np.bincount(g, minlength=groups)
+        filled = np.bincount(g, minlength=groups) > 0
         # sums of 32-bit halves are exact in doubles
         content = np.bincount(g, low, groups).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(np.bincount(g, high, groups).astype(np.uint64) + np.uint64(band << 40) + np.arange(groups, dtype=np.uint64) * np.uint64(1 << 45))
-        content = mix(content)
-        out.append(content[np.lexsort((content, -count))[: d + 1]])
-    return np.concatenate(out)
+        out.append((band, mix(content[filled]) & ~np.uint64(63) | np.uint64(band)))
+    return out
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & np.uint64(DIM - 1)).astype(np.int64), minlength=DIM).astype(np.uint32)
+def coordinates(band: int) -> int:
+    return 1 << min(14, max(4, band // 2))
+
+
+def count_vector(s: np.ndarray, band: int) -> np.ndarray:
+    """Counts by hash group; one byte each as long as a group holds 16 shingles or so, four in larger bands."""
+    count = np.bincount((s & np.uint64(coordinates(band) - 1)).astype(np.int64), minlength=coordinates(band))
+    return count.astype(_kind(band))
+
+
+def _kind(band: int) -> type:
+    return np.uint8 if band < 36 else np.uint32
 
 
 def need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -104,11 +115,11 @@ class CountTree:
         for level in range(len(self.levels) - 1, -1, -1):
             top, least = self.levels[level]
             # a node passes if its corner could hold enough for its smallest set
-            nodes = nodes[np.minimum(top[nodes], q).sum(axis=1) >= need(size, least[nodes], percent)]
+            nodes = nodes[np.minimum(top[nodes], q).sum(axis=1, dtype=np.int64) >= need(size, least[nodes], percent)]
             below = self.levels[level - 1][1] if level else self.sizes
             nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             nodes = nodes[nodes < len(below)]
-        hit = nodes[np.minimum(self.points[nodes], q).sum(axis=1) >= need(size, self.sizes[nodes], percent)]
+        hit = nodes[np.minimum(self.points[nodes], q).sum(axis=1, dtype=np.int64) >= need(size, self.sizes[nodes], percent)]
         return self.order[hit]
 
 
@@ -120,106 +131,117 @@ def _texts(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, n):
-            yield whole.slice(at, n)
-
-
 def _lists(x: list[np.ndarray]) -> pa.ListArray:
     flat = np.concatenate(x) if x else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(y) for y in x])]).astype(np.int32)), pa.array(flat))
 
 
-def _key(s: np.ndarray) -> bytes:
-    return np.array([np.add.reduce(mix(s)), np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))], np.uint64).tobytes()
+def _node(s: np.ndarray) -> int:
+    return int((np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) + np.uint64(len(s))).view(np.int64))
 
 
 def sizes(df: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
-    """(doc_id, n, key) per row; key is null for an empty set."""
+    """(doc_id, n, node) per row; node is null for an empty set or a null doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             sets = shingles(_utf8(batch.column(1)), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "key"])
+            nodes = [_node(s) if len(s) and d is not None else None for d, s in zip(batch.column(0).to_pylist(), sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n", "node"])
 
-    return _texts(df, text, doc_id).mapInArrow(trimmed(run), "doc_id long, n long, key binary")
+    return _texts(df, text, doc_id).mapInArrow(trimmed(run), "doc_id long, n long, node long")
 
 
 def contents(df: DataFrame, text: str, doc_id: str, k: int, percent: int) -> DataFrame:
-    """(content, doc_id): the group contents that documents are listed under, for the first of equal sets in a task."""
+    """(content, node, spare): group contents, for the first of equal sets in a task. spare: how many contents a node need not list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in _slices(batches):
-            ids, found = [], []
-            for d, s in zip(batch.column(0).to_pylist(), shingles(_utf8(batch.column(1)), k), strict=True):
-                key = _key(s) if len(s) else None
-                if d is not None and key is not None and key not in seen:
-                    seen.add(key)
-                    ids.append(d)
-                    found.append(group_contents(s, percent).view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(np.array(ids, np.int64), [len(x) for x in found]))], ["content", "doc_id"])
-
-    return _texts(df, text, doc_id).mapInArrow(trimmed(run), "content long, doc_id long")
-
-
-def _blocks(listed: DataFrame) -> DataFrame:
-    """Contents under two or more documents, streamed over sorted rows: of three or more, all rows as (content, doc_id,
-    rank, hub), hub the first document; of two, one row without content."""
+        seen: set[int] = set()
+        for batch in slices(batches):
+            found: list[np.ndarray] = []
+            nodes, spare = [], []
+            for s in shingles(_utf8(batch.column(1)), k):
+                node = _node(s)
+                if len(s) and node not in seen:
+                    seen.add(node)
+                    for _, c in group_contents(s, percent):
+                        found.append(c)
+                        nodes.append(node)
+                        spare.append(len(c) - differ(len(s), percent) - 1)
+            if found:
+                times = [len(c) for c in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), times)), pa.array(np.repeat(np.array(spare, np.int32), times))], ["content", "node", "spare"])
+
+    rows = _texts(df, text, doc_id).filter("doc_id is not null")
+    return rows.mapInArrow(trimmed(run), "content long, node long, spare int")
+
+
+def shared(listed: DataFrame) -> DataFrame:
+    """(content, node, spare, holders) of contents that two nodes hold or more, streamed over sorted rows; holders counts up to COMMON."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = d = np.zeros(0, np.int64)  # rows of the last content that still wait
-        passed, last, hub = 0, None, 0  # rows of it that have gone out already
+        c = d = np.zeros(0, np.int64)
+        e = np.zeros(0, np.int32)  # rows of the last content that still wait
+        common = None  # a content of which COMMON rows have gone out
+        last_node = None
         for batch in _with_end(batches):
-            end = batch is None
-            if not end:
-                c, d = np.concatenate([c, batch.column(0).to_numpy()]), np.concatenate([d, batch.column(1).to_numpy()])
+            if batch is not None:
+                c, d, e = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((c, d, e)))
+                once = np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
+                if common is not None and len(c) and c[0] == common and d[0] == last_node:
+                    once[0] = False  # the row before has gone out already
+                    once[1:] &= ~((c[1:] == common) & (d[1:] == last_node))
+                c, d, e = c[once], d[once], e[once]
             if not len(c):
                 continue
-            fresh = np.concatenate([[True], c[1:] != c[:-1]])
-            start = np.flatnonzero(fresh)
+            start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
             length = np.diff(np.append(start, len(c)))
-            before = np.zeros(len(start), np.int64)
-            hubs = d[start].copy()
-            if passed and c[0] == last:
-                before[0], hubs[0] = passed, hub
-            total = length + before
-            run_of = np.repeat(np.arange(len(start)), length)
-            rank = np.arange(len(c)) - start[run_of] + before[run_of]
-            wait = np.zeros(len(start), bool)
-            wait[-1] = not end and total[-1] < 3
-            big, two = (total >= 3)[run_of], ((total == 2) & ~wait)[run_of] & (rank == 1)
-            out = np.flatnonzero(big | two)
-            yield pa.RecordBatch.from_arrays([pa.array(c[out], mask=~big[out]), pa.array(d[out]), pa.array(rank[out]), pa.array(hubs[run_of][out])], ["content", "doc_id", "rank", "hub"])
-            passed, last, hub = (int(total[-1]) if total[-1] >= 3 else 0), c[-1], int(hubs[-1])
-            keep = start[-1] if wait[-1] else len(c)
-            c, d = c[keep:], d[keep:]
+            holders = np.minimum(length, COMMON)
+            if c[0] == common:
+                holders[0] = COMMON
+            wait = batch is not None and holders[-1] < COMMON
+            upto = start[-1] if wait else len(c)
+            each = np.repeat(holders, length)[:upto]
+            out = np.flatnonzero(each > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]), pa.array(d[out]), pa.array(e[out]), pa.array(each[out].astype(np.int32))], ["content", "node", "spare", "holders"])
+            if not wait:
+                common, last_node = int(c[-1]), int(d[-1])
+            c, d, e = c[upto:], d[upto:], e[upto:]
 
     n = partitions(listed.sparkSession)
-    return listed.repartition(n, "content").sortWithinPartitions("content", "doc_id").mapInArrow(trimmed(run), "content long, doc_id long, rank long, hub long")
+    return listed.repartition(n, "content").sortWithinPartitions("content", "node").mapInArrow(trimmed(run), "content long, node long, spare int, holders int")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from (x for x in batches if x.num_rows)
+    yield None
+
+
+def blocks(hits: DataFrame) -> DataFrame:
+    """(content, node, band, hub): what nodes are listed under, where two or more are."""
+    band = F.col("content").bitwiseAND(F.lit(63)).cast("int")
+    per = hits.groupBy("node", band.alias("band")).agg(F.sort_array(F.collect_set(F.struct("holders", "content"))).alias("x"), F.min("spare").alias("spare"))
+    listed = per.select("node", "band", F.explode(F.slice("x", F.lit(1), F.greatest(F.size("x") - F.col("spare"), F.lit(0)))).alias("y")).select(F.col("y.content").alias("content"), "node", "band")
+    listed = cut(listed)
+    hubs = listed.groupBy("content").agg(F.min("node").alias("hub"), F.count("*").alias("c")).filter("c > 1").select("content", "hub")
+    return listed.join(hubs, "content").select("content", "node", "band", "hub")
 
 
 def _probe(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): per page of a block, its hubs against its other members, through the tree. Rows: content, page, hub, doc_id, rank, label, n, vector."""
+    """(a, b) that the tree leaves: per page of a block, its queries against its members. Rows: content, page, asks, node, label, n, vector."""
 
     def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        hub, doc, rank, label, n = (t[x].to_numpy() for x in ("hub", "doc_id", "rank", "label", "n"))
-        points = np.frombuffer(b"".join(t["vector"].to_pylist()), np.uint32).reshape(-1, DIM).astype(np.int64)
-        a, b = [], []
-        members = np.flatnonzero(~hub)
-        if not len(members):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        tree = CountTree(points[members], n[members]) if len(members) > FANOUT else None
-        for h in np.flatnonzero(hub):
-            if tree is None:
-                x = members[np.minimum(points[members], points[h]).sum(axis=1) >= need(n[h], n[members], percent)]
-            else:
-                x = members[tree.reach(points[h], n[h], percent)]
-            x = x[(rank[x] > rank[h]) & (label[x] != label[h])]
-            a.append(np.full(len(x), doc[h]))
-            b.append(doc[x])
+        band = int(t["content"][0].as_py()) & 63
+        asks, node, label, n = (t[x].to_numpy() for x in ("asks", "node", "label", "n"))
+        points = np.frombuffer(b"".join(t["vector"].to_pylist()), _kind(band)).reshape(-1, coordinates(band))
+        members, queries = np.flatnonzero(asks < 2), np.flatnonzero(asks == 2)
+        tree, a, b = CountTree(points[members], n[members]), [], []
+        for q in queries:
+            x = members[tree.reach(points[q], n[q], percent)]
+            # of two that both ask, the smaller one does
+            x = x[(label[x] != label[q]) & ((asks[x] == 0) | (node[x] > node[q]))]
+            a.append(np.full(len(x), node[q]))
+            b.append(node[x])
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,13 +263,20 @@ def _probe(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(trimmed(run), "a long, b long")
 
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from (x for x in batches if x.num_rows)
-    yield None
+def _pages(open_rows: DataFrame, points: DataFrame) -> DataFrame:
+    """Rows for ``_probe``: members dealt over pages, and what is outside the largest component as queries to each page."""
+    per = open_rows.groupBy("content", "label").agg(F.count("*").alias("c"))
+    state = per.groupBy("content").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.sum("c").alias("size"))
+    width = F.call_function("shiftleft", F.lit(1), F.least(F.lit(14), F.greatest(F.lit(4), F.floor(F.col("band") / 2).cast("int"))))
+    placed = open_rows.join(state, "content").withColumn("pages", F.ceil(F.col("size") * width / F.lit(PAGE_BYTES)))
+    asks = (F.col("label") != F.col("largest")).cast("int")
+    member = placed.select("content", "node", "band", "label", asks.alias("asks"), F.pmod(F.xxhash64("node"), F.col("pages")).alias("page"))
+    query = placed.filter("label <> largest").select("content", "node", "band", "label", F.lit(2).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)).alias("page"))
+    return member.unionByName(query).join(points, ["node", "band"]).select("content", "page", "asks", "node", "label", "n", "vector")
 
 
-def _sets(df: DataFrame, text: str, doc_id: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(doc_id, n, vector, s) of the wanted documents. A bitmap of fixed size keeps most other texts out of the shuffle."""
+def _sets(df: DataFrame, text: str, doc_id: str, k: int, percent: int, wanted: DataFrame) -> DataFrame:
+    """(node, n, points (band, vector), s) of the wanted (doc_id, node). A bitmap of fixed size keeps most other texts out of the shuffle."""
     bit = lambda: F.xxhash64("doc_id").bitwiseAND(F.lit(BITMAP - 1))
     maps = wanted.select((bit() + 1).alias("x"))  # bucket numbers and places begin at 1
     maps = maps.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
@@ -255,84 +284,93 @@ def _sets(df: DataFrame, text: str, doc_id: str, k: int, wanted: DataFrame) -> D
     for r in maps.collect():  # at most BITMAP / 32768 rows
         own = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
         bitmap[((r["bucket"] - 1) * len(own) + np.flatnonzero(own)) % BITMAP] = True
-    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    known = df.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value)
-        for batch in batches:
-            yield batch.select(["doc_id", "text"]).filter(pa.array(known[batch.column(2).to_numpy()] > 0))
+        bits = known.value
+        for batch in slices(batches):
+            at = batch.column(2).to_numpy()
+            yield batch.select(["doc_id", "text"]).filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            sets = shingles(_utf8(batch.column(1)), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary()), _lists([s.view(np.int64) for s in sets])], ["doc_id", "n", "vector", "s"])
+        kind = pa.list_(pa.struct([("band", pa.int32()), ("vector", pa.binary())]))
+        for batch in slices(batches):
+            sets = shingles(_utf8(batch.column(0)), k)
+            at = [i for i, (s, node) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if len(s) and _node(s) == node]
+            sets = [sets[i] for i in at]
+            points = [[{"band": b, "vector": count_vector(s, b).tobytes()} for b, _ in _bands(len(s), percent)] for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at, pa.int64())), pa.array([len(s) for s in sets], pa.int64()), pa.array(points, kind), _lists([s.view(np.int64) for s in sets])], ["node", "n", "points", "s"])
 
     rows = _texts(df, text, doc_id).filter("doc_id is not null").withColumn("bit", bit()).mapInArrow(trimmed(near), "doc_id long, text string")
-    return rows.join(wanted, "doc_id", "left_semi").mapInArrow(trimmed(run), "doc_id long, n long, vector binary, s array<long>").dropDuplicates(["doc_id"])
+    return rows.join(wanted, "doc_id").select("text", "node").mapInArrow(trimmed(run), "node long, n long, points array<struct<band:int,vector:binary>>, s array<long>").dropDuplicates(["node"])
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose summed coordinate minima leave room for a link."""
+    """The (a, b, band) whose summed coordinate minima leave room for a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            va, vb = (np.frombuffer(b"".join(batch[x].to_pylist()), np.uint32).reshape(-1, DIM).astype(np.int64) for x in ("va", "vb"))
-            fits = np.minimum(va, vb).sum(axis=1) >= need(batch["na"].to_numpy(), batch["nb"].to_numpy(), percent)
-            yield batch.select(["a", "b"]).filter(pa.array(fits))
+        for batch in slices(batches):
+            va, vb, bands = (batch[x].to_pylist() for x in ("va", "vb", "band"))
+            most = np.array([np.minimum(np.frombuffer(x, _kind(z)), np.frombuffer(y, _kind(z))).sum(dtype=np.int64) for x, y, z in zip(va, vb, bands, strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(most >= need(batch["na"].to_numpy(), batch["nb"].to_numpy(), percent)))
 
-    a = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
-    b = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(trimmed(run), "a long, b long")
+    a, b = (points.select(F.col("node").alias(x), "band", F.col("n").alias(f"n{x}"), F.col("vector").alias(f"v{x}")) for x in "ab")
+    return pairs.join(a, ["a", "band"]).join(b, ["b", "band"]).select("a", "b", "band", "na", "nb", "va", "vb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    a = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    b = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after links (a, b); a label is the smallest node of a component."""
+    ends = _labelled(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    merged = components(ends).select(F.col("node").alias("label"), "component")
+    return cut(labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("label")))
+
+
+def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").filter("la <> lb")
+
+
 def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of df."""
     spark = df.sparkSession
-    listed = cut(sizes(df, text, doc_id, k))
-    copies = listed.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "key")
-    firsts = copies.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    edges = copies.join(firsts, "key").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    blocks, path = store(_blocks(contents(df, text, doc_id, k, percent)))
-    # the first round's hubs are the blocks' first documents
-    pairs = cut(blocks.filter("rank > 0").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
-    if not pairs.isEmpty():
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = cut(_sets(df, text, doc_id, k, wanted))
-        points = sets.select("doc_id", "n", "vector")
-        labels = points.select("doc_id", F.col("doc_id").alias("label"))
-        found = _bounded(pairs, points, percent)
-        open_blocks = blocks.filter("content is not null").select("content", "doc_id", "rank")
-        done, hubs = 1, 3
-        while True:
-            links = _verify(found, sets, percent)
-            # labels of the components so far, over the labels before
-            ends = links.join(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("doc_id").alias("b"), F.col("label").alias("lb")), "b")
-            merged = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), "component")
-            labels = cut(labels.join(merged, "label", "left").select("doc_id", F.coalesce("component", "label").alias("label")))
-            known = open_blocks.join(labels, "doc_id")
-            state = known.groupBy("content").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rank").alias("last"))
-            state = state.filter(f"x <> y and last > {done}").select("content", "last")
-            rows = cut(known.join(state, "content").filter(F.col("rank") >= done))
-            if rows.isEmpty():
-                break
-            hub = rows.filter(F.col("rank") < done + hubs).withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / PAGE)))).withColumn("hub", F.lit(True))
-            member = rows.filter(F.col("rank") > done).withColumn("page", F.floor(F.col("rank") / PAGE)).withColumn("hub", F.lit(False))
-            probe = hub.unionByName(member).join(points, "doc_id").select("content", "page", "hub", "doc_id", "rank", "label", "n", "vector")
-            found = _probe(probe, percent).distinct()
-            open_blocks = rows.select("content", "doc_id", "rank")
-            done, hubs = done + hubs, hubs * 4
-        edges = edges.unionByName(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("b")))
-    found = components(edges)
-    discard(spark, path)
-    out = listed.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    rows = cut(sizes(df, text, doc_id, k))
+    firsts = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    with tidy(spark):
+        hits, hit_path = store(shared(contents(df, text, doc_id, k, percent)))
+        listed = cut(blocks(hits))
+    discard(spark, hit_path)
+    hubs = cut(listed.filter("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.min("band").alias("band")))
+    part = None
+    if not hubs.isEmpty():
+        with tidy(spark):
+            wanted = cut(listed.select("node").distinct().join(firsts, "node").select(F.col("first").alias("doc_id"), "node"))
+            sets, set_path = store(_sets(df, text, doc_id, k, percent, wanted))
+        points = sets.select("node", "n", F.explode("points").alias("p")).select("node", "n", "p.band", "p.vector")
+        labels = cut(sets.select("node", F.col("node").alias("label")))
+        best = cut(hubs.groupBy("b").agg(F.max(F.struct("c", "a", "band")).alias("x")).select("x.a", "b", "x.band"))
+        labels = _merge(labels, _verify(_bounded(best, points, percent), sets, percent))
+        others = _labelled(hubs.join(best.select("a", "b"), ["a", "b"], "left_anti"), labels).select("a", "b", "band")
+        labels = _merge(labels, _verify(_bounded(others, points, percent), sets, percent))
+        known = listed.select("content", "node", "band").join(labels, "node")
+        several = known.groupBy("content").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("content")
+        open_rows = cut(known.join(several, "content"))
+        found = cut(_probe(_pages(open_rows, points), percent).distinct())
+        labels = _merge(labels, _verify(found, sets, percent))
+        part = labels.join(firsts, "node").groupBy("label").agg(F.min("first").alias("component_id"))
+        part = cut(labels.join(part, "label").select("node", "component_id"))
+        discard(spark, set_path)
+    home = firsts.select("node", F.col("first").alias("component_id"))
+    if part is not None:
+        home = firsts.join(part, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    out = rows.join(home, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,8 +82,8 @@ def test_ngram_join_by_brute_force(spark):
 
 def test_count_tree_keeps_all_within_the_bound():
     rng = np.random.default_rng(0)
-    points = rng.poisson(3, (700, ngram_join.DIM)).astype(np.int64)
-    points[100:140] = points[100] + rng.poisson(0.05, (40, ngram_join.DIM))
+    points = rng.poisson(3, (700, 64)).astype(np.int64)
+    points[100:140] = points[100] + rng.poisson(0.05, (40, 64))
     sizes = points.sum(axis=1)
     tree = ngram_join.CountTree(points, sizes)
     for q in (0, 100, 120, 699):
