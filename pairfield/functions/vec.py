@@ -51,6 +51,35 @@ class Vec:
         """Null for the zero vector."""
         return F.try_divide(F.lit(1.0), self.norm())
 
+    def inverse_norm_squared(self) -> Column:
+        """Null for the zero vector."""
+        return F.try_divide(F.lit(1.0), self.norm_squared())
+
+    def __getitem__(self, i: int) -> Column:
+        return self.parts[i]
+
+    def _every(self, o: Vec, f) -> Column:
+        a, b, c = (f(p, q) for p, q in zip(self.parts, o.parts, strict=True))
+        return a & b & c
+
+    def equals(self, o: Vec) -> Column:
+        return self._every(o, lambda a, b: a == b)
+
+    def __le__(self, o: Vec) -> Column:
+        return self._every(o, lambda a, b: a <= b)
+
+    def __ge__(self, o: Vec) -> Column:
+        return self._every(o, lambda a, b: a >= b)
+
+    def __lt__(self, o: Vec) -> Column:
+        return self._every(o, lambda a, b: a < b)
+
+    def __gt__(self, o: Vec) -> Column:
+        return self._every(o, lambda a, b: a > b)
+
+    def to_string(self) -> Column:
+        return F.concat(F.lit("{"), F.concat_ws(", ", *[c.cast("string") for c in self.parts]), F.lit("}"))
+
     def largest(self) -> Column:
         return F.greatest(*self.parts)
 
@@ -114,5 +143,10 @@ def isfinite(x: Column) -> Column:
     return ~(isinf(x) | F.isnan(x))
 
 
+def signbit(x: Column) -> Column:
+    """Whether the sign is negative, also of -0.0, which the text form tells from 0.0."""
+    return F.startswith(x.cast("string"), F.lit("-"))
+
+
 def sincos(x: Column) -> Column:
     return F.struct(F.sin(x).alias("sin"), F.cos(x).alias("cos"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .forces import ALIVE, DEAD
@@ -14,11 +15,13 @@ FACES = tuple((a, side) for a in "xyz" for side in (-1, 1))
 
 @dataclass(frozen=True)
 class Boundary:
-    kind: str  # open, absorbing, periodic, reflective, repulsive
+    kind: str  # open, absorbing, periodic, reflective, repulsive, custom
     thickness: float = -1.0
     #: Repulsive: SQL over ``d``, the distance to the face.
     wall: str = "0e0"
     halo: bool = False
+    #: Custom: from the face (axis, side) and the domain's corners to new columns of the rows that touch it.
+    action: Callable[[tuple[str, int], dict, dict], dict[str, Column]] | None = None
 
 
 #: Wall laws as SQL over d.
@@ -89,6 +92,8 @@ def apply(df: DataFrame, boundaries: dict[tuple[str, int], Boundary], low: dict[
         elif b.kind == "repulsive":
             far = F.abs(F.col(a) - F.lit(wall)) * (2.0 if b.halo else 1.0)
             df = df.withColumn("d", far).withColumn(f"f{a}", F.when(on, F.col(f"f{a}") - F.lit(float(side)) * F.expr(b.wall)).otherwise(F.col(f"f{a}"))).drop("d")
+        elif b.kind == "custom":
+            df = df.withColumns({c: F.when(on, v).otherwise(F.col(c)) for c, v in b.action((a, side), low, high).items()})
         else:
             raise ValueError(f"unknown boundary {b.kind}")
         df = df.drop("__touched")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import cache
+from math import floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,45 @@ def cell_index(df: DataFrame, low: dict[str, float], size: float, counts: dict[s
     return df.withColumns({f"c{a}": cell[a] for a in "xyz"} | {"cell": F.when(inside, flat).otherwise(F.lit(-1))})
 
 
+#: Cells per cutoff of the named strategies.
+STRATEGIES = {"cutoff": 1.0, "half": 0.5, "third": 1 / 3}
+
+
+def cell_width(reach: float, strategy: str | tuple[str, float] = "cutoff") -> float:
+    """``cutoff``, ``half`` or ``third`` of the reach, or ("factor", f) of it, or ("absolute", width)."""
+    if isinstance(strategy, str):
+        return reach * STRATEGIES[strategy]
+    kind, value = strategy
+    if value <= 0:
+        raise ValueError("a cell has a positive width")
+    return {"factor": reach * value, "absolute": value}[kind]
+
+
+def grid_size(extent: tuple[float, float, float], reach: float, strategy: str | tuple[str, float] = "cutoff", skin: float = 0.0) -> tuple[tuple[int, int, int], tuple[float, float, float]]:
+    """Cells per axis and their stretched widths: the reach is at most half the least extent that is not 0, and an axis has two cells or more."""
+    some = [e for e in extent if e > 0]
+    reach = min(reach, min(some) / 2) if some else reach
+    target = cell_width(reach, strategy) + skin
+    counts = tuple(max(2, floor(e / target)) for e in extent)
+    return counts, tuple(e / n for e, n in zip(extent, counts, strict=True))
+
+
+def reordered(df: DataFrame, bin_: Column) -> DataFrame:
+    """The rows in order of a bin number, stored range by range, so that rows of one bin lie together."""
+    return df.repartitionByRange(bin_).sortWithinPartitions(bin_, "id")
+
+
+def region_by_cells(df: DataFrame, low: dict[str, float], size: float, counts: dict[str, int], region: tuple[tuple, tuple]) -> DataFrame:
+    """Rows of ``cell_index`` in the cells that a region overlaps, and outside the grid where the region reaches beyond it: what
+    a table kept by cell need read before the exact test."""
+    lo, hi = (dict(zip("xyz", corner, strict=True)) for corner in region)
+    test = F.lit(True)
+    for a in "xyz":
+        test = test & F.col(f"c{a}").between(floor((lo[a] - low[a]) / size), floor((hi[a] - low[a]) / size))
+    beyond = any(lo[a] < low[a] or hi[a] >= low[a] + size * counts[a] for a in "xyz")
+    return df.filter((test | (F.col("cell") == -1)) if beyond else (test & (F.col("cell") >= 0)))
+
+
 def histogram(df: DataFrame) -> DataFrame:
     return df.groupBy("cell", "type").count()
 
@@ -29,7 +69,7 @@ def prefix_sums(counts: DataFrame) -> DataFrame:
     return per.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def morton(x: Column, y: Column, z: Column, bits: int = 10) -> Column:
+def morton(x: Column, y: Column, z: Column, bits: int = 21) -> Column:
     """Interleaved bits, x lowest."""
     out = F.lit(0).cast("long")
     for b in range(bits):
@@ -38,36 +78,46 @@ def morton(x: Column, y: Column, z: Column, bits: int = 10) -> Column:
     return out
 
 
-def hilbert(bits: int):
-    """A vectorised function of x, y, z: position on the three-dimensional Hilbert curve of 2^bits cells a side.
+@cache
+def hilbert_steps() -> tuple[int, ...]:
+    """One step down the curve, by (state * 8 + octant): next state * 8 + digit.
 
-    Works bit plane by bit plane: the plane's octant is looked up in the current frame of the curve, whose axes are then
-    permuted and flipped for the next plane. As one Column expression it would double with each plane.
+    A state says how the axes of the current octant stand (a permutation with flips) and whether an odd number of ones has
+    gone into the Gray code so far. Going down, each axis in turn flips the first one where the point lies in its upper
+    half, and else changes places with it. States are found from the upright one on.
     """
+    upright = ((0, False), (1, False), (2, False)), 0
+    number, queue, out = {upright: 0}, [upright], []
+    for axes, odd in queue:
+        for octant in range(8):
+            bits = [(octant >> source & 1) ^ flipped for source, flipped in axes]
+            below = list(axes)
+            for d, upper in enumerate(bits):
+                if upper:
+                    below[0] = below[0][0], not below[0][1]
+                else:
+                    below[0], below[d] = below[d], below[0]
+            digit, last = 0, odd
+            for b in bits:
+                last ^= b
+                digit = digit * 2 + last
+            state = tuple(below), int(last)
+            if state not in number:
+                number[state] = len(number)
+                queue.append(state)
+            out.append(number[state] * 8 + digit)
+    return tuple(out)
+
+
+def hilbert(df: DataFrame, x: str, y: str, z: str, bits: int, name: str = "key") -> DataFrame:
+    """df with the place of (x, y, z) on the Hilbert curve of 2^bits cells a side; one projection a bit plane."""
     if 3 * bits > 64:
         raise ValueError("too many bits")
-
-    @F.pandas_udf("long")
-    def key(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
-        at = np.stack([s.to_numpy(np.int64) for s in (x, y, z)])
-        n = at.shape[1]
-        axis, flip = np.zeros(n, np.int64), np.zeros(n, np.int64)  # where the frame enters, and its rotation
-        out = np.zeros(n, np.int64)
-        for b in range(bits - 1, -1, -1):
-            octant = (at >> b & 1).T @ np.array([1, 2, 4])
-            turned = octant ^ flip
-            by = axis + 1
-            turned = (turned >> by | turned << (3 - by)) & 7
-            rank = turned.copy()
-            for k in (1, 2):
-                rank ^= turned >> k  # inverse Gray code
-            out = out << 3 | rank
-            low = np.where(rank == 0, 0, (rank - 1) // 2 * 2)
-            entry = low ^ low >> 1
-            trailing = lambda v: np.where(v & 1 == 0, 0, np.where(v & 2 == 0, 1, np.where(v & 4 == 0, 2, 3)))  # noqa: E731  ones at the low end
-            step = np.where(rank == 0, 0, np.where(rank % 2 == 0, trailing(np.maximum(rank - 1, 0)), trailing(rank)) % 3)
-            flip = flip ^ (entry << by | entry >> (3 - by)) & 7
-            axis = (axis + step + 1) % 3
-        return pd.Series(out)
-
-    return key
+    table = F.array(*map(F.lit, hilbert_steps()))
+    out = df.select("*", F.lit(0).cast("long").alias("__key"), F.lit(0).alias("__state"))
+    for b in range(bits - 1, -1, -1):
+        bit = lambda c, at, b=b: F.shiftleft(F.shiftright(F.col(c), b).bitwiseAND(F.lit(1)).cast("int"), at)
+        octant = bit(x, 0).bitwiseOR(bit(y, 1)).bitwiseOR(bit(z, 2))
+        out = out.withColumn("__step", F.get(table, F.col("__state") * 8 + octant))
+        out = out.withColumns({"__key": F.col("__key") * 8 + F.col("__step").bitwiseAND(F.lit(7)), "__state": F.shiftright("__step", 3)})
+    return out.withColumnRenamed("__key", name).drop("__state", "__step")

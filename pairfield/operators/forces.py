@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.laws import Law, law_table, scale_by_type
-from .pairs import bonded, direct, grid
+from ..plans.laws import Law, NoForce, active, distinct_laws, law_table, of_types, scale_by_type, within
+from .pairs import bonded, both_ways, interaction_pairs
 
 ALIVE, DEAD, PASSIVE, STATIONARY, INVALID = 1, 2, 4, 8, 128
 EXERTING, MOVABLE, ALL = ALIVE | STATIONARY, ALIVE | PASSIVE, 15
@@ -14,6 +14,8 @@ EXERTING, MOVABLE, ALL = ALIVE | STATIONARY, ALIVE | PASSIVE, 15
 
 def summed(df: DataFrame, *parts: DataFrame) -> DataFrame:
     """df with fx, fy, fz: the sum of (id, fx, fy, fz) rows; 0 where there are none. Spark sums partially before the shuffle."""
+    if not parts:
+        return df.withColumns({f"f{a}": F.lit(0.0) for a in "xyz"})
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -22,21 +24,105 @@ def summed(df: DataFrame, *parts: DataFrame) -> DataFrame:
     return out.withColumns({f"f{a}": F.coalesce(f"f{a}", F.lit(0.0)) for a in "xyz"})
 
 
-def by_scale(pairs: DataFrame, scale: str) -> DataFrame:
-    s = pairs.filter("r2 > 0").withColumn("s", F.expr(scale))
-    return s.select(F.col("id_a").alias("id"), *[(F.col("s") * F.col(f"d{a}")).alias(f"f{a}") for a in "xyz"])
+def _both(pairs: DataFrame, on_a: list[Column], on_b: list[Column]) -> DataFrame:
+    """(id, fx, fy, fz): what a pair gives to each of its particles, from one row."""
+    row = lambda name, f: F.struct(F.col(name).alias("id"), *[c.alias(f"f{a}") for c, a in zip(f, "xyz", strict=True)])
+    return pairs.select(F.inline(F.array(row("id_a", on_a), row("id_b", on_b))))
 
 
-def pair_forces(df: DataFrame, law: Law | dict[tuple[int, int], Law], types: list[int] | None = None, box=(None, None, None), bonds: DataFrame | None = None, bond_law: Law | None = None) -> DataFrame:
-    """df with the net force of a law for all pairs, or of one per type pair, and of bonds beside it."""
-    table = {(0, 0): law} if isinstance(law, Law) else law_table(law, types)
-    reach = max(x.reach for x in table.values())
-    scale = law.scale() if isinstance(law, Law) else scale_by_type(table)
-    pairs = direct(df, box=box) if reach > 1e100 else grid(df, reach, box=box)
-    parts = [by_scale(pairs, scale)]
+def by_scale(pairs: DataFrame, scale: str) -> DataFrame:
+    """Central forces of unordered pairs, equal and opposite."""
+    s = pairs.filter("r2 > 0").withColumn("s", F.expr(scale))
+    parts = [F.col("s") * F.col(f"d{a}") for a in "xyz"]
+    return _both(s, parts, [-c for c in parts])
+
+
+def by_law(pairs: DataFrame, law: Law) -> DataFrame:
+    """What one law gives for unordered pairs, by its symmetry; the first of a pair has the lower type, then the lower id."""
+    if not law.at_zero:
+        pairs = pairs.filter("r2 > 0")
+    if law.symmetry == "nonsymmetric":
+        each = both_ways(pairs)
+        return each.select(F.col("id_a").alias("id"), *[F.expr(v).alias(f"f{a}") for v, a in zip(law.vector(), "xyz", strict=True)])
+    turned = F.lit(False) if law.central else (F.col("type_b") < F.col("type_a")) | ((F.col("type_a") == F.col("type_b")) & (F.col("id_b") < F.col("id_a")))
+    return _one_way(pairs, law, turned)
+
+
+def _one_way(pairs: DataFrame, law: Law, turned: Column) -> DataFrame:
+    if not law.central:
+        swap = [c for c in pairs.columns if c[-2:] in ("_a", "_b")]
+        other = lambda c: c[:-1] + ("b" if c[-1] == "a" else "a")
+        pairs = pairs.withColumn("__t", turned).select(*[F.when(F.col("__t"), F.col(other(c))).otherwise(F.col(c)).alias(c) for c in swap], *[F.when(F.col("__t"), -F.col(f"d{a}")).otherwise(F.col(f"d{a}")).alias(f"d{a}") for a in "xyz"], "r2")
+    parts = pairs.select("id_a", "id_b", *[F.expr(v).alias(f"g{a}") for v, a in zip(law.vector(), "xyz", strict=True)])
+    on_a = [F.col(f"g{a}") for a in "xyz"]
+    return _both(parts, on_a, on_a if law.symmetry == "symmetric" else [-c for c in on_a])
+
+
+def _type_parts(df: DataFrame, table: dict[tuple[int, int], Law], box) -> list[DataFrame]:
+    """Force rows of a table of laws. Laws of finite and of unlimited reach have a join each, over the types that they concern."""
+    parts, laws = [], active(table)
+    for far in (False, True):
+        own = {k: v for k, v in laws.items() if (v.reach > 1e100) == far}
+        if not own:
+            continue
+        some = df.filter(F.col("type").isin(sorted({t for pair in own for t in pair})))
+        pairs = interaction_pairs(some, None if far else max(v.reach for v in own.values()), box=box)
+        central = {k: v for k, v in own.items() if v.central}
+        if central:
+            parts.append(by_scale(pairs, scale_by_type(central)))
+        for law, of in distinct_laws({k: v for k, v in own.items() if not v.central}).items():
+            parts.append(by_law(pairs.filter(f"({of_types(of)}){within(law)}"), law))
+    return parts
+
+
+def _bond_parts(df: DataFrame, bonds: DataFrame, law: Law | dict[int, Law]) -> list[DataFrame]:
+    """One law for all bonds, or by the number in the bonds' column ``law``. src is the first of a pair."""
+    if isinstance(law, Law):
+        return [_bond_part(bonded(df, bonds.select("src", "dst"), directed=False), law)]
+    pairs = bonded(df, bonds.select("src", "dst", "law"), directed=False)
+    return [_bond_part(pairs.filter(F.col("law") == n).drop("law"), own) for n, own in sorted(law.items()) if not isinstance(own, NoForce)]
+
+
+def _bond_part(pairs: DataFrame, law: Law) -> DataFrame:
+    if law.central and law.symmetry == "antisymmetric":
+        return by_scale(pairs, law.scale())
+    if law.symmetry == "nonsymmetric":
+        return by_law(pairs, law)
+    return _one_way(pairs if law.at_zero else pairs.filter("r2 > 0"), law, F.lit(False))
+
+
+def pair_forces(df: DataFrame, law: Law | dict[tuple[int, int], Law], types: list[int] | None = None, box=(None, None, None), bonds: DataFrame | None = None, bond_law: Law | dict[int, Law] | None = None, strict_states: bool = False) -> DataFrame:
+    """df with the net force of a law for all pairs, or of one per type pair, and of bonds beside it.
+
+    By default every state exerts and receives. With ``strict_states`` dead particles take no part and passive ones
+    receive only.
+    """
+    acting = df.filter(in_state(ALL & ~DEAD)) if strict_states else df
+    if strict_states:
+        # a passive particle may not act: its part of a pair is computed, the other's is left out
+        return _strict(df, acting, law, types, box, bonds, bond_law)
+    return summed(df, *_parts(acting, law, types, box, bonds, bond_law))
+
+
+def _parts(df, law, types, box, bonds, bond_law) -> list[DataFrame]:
+    if isinstance(law, Law):
+        pairs = interaction_pairs(df, None if law.reach > 1e100 else law.reach, box=box)
+        parts = [] if isinstance(law, NoForce) else [by_scale(pairs, law.scale()) if law.central and law.symmetry == "antisymmetric" else by_law(pairs, law)]
+    else:
+        parts = _type_parts(df, law_table(law, types), box)
     if bonds is not None:
-        parts.append(by_scale(bonded(df, bonds), bond_law.scale()))
-    return summed(df, *parts)
+        parts += _bond_parts(df, bonds, bond_law)
+    return parts
+
+
+def _strict(df, acting, law, types, box, bonds, bond_law) -> DataFrame:
+    exerting = acting.filter(in_state(EXERTING))
+    passive = acting.filter(~in_state(EXERTING))
+    among = _parts(exerting, law, types, box, bonds, bond_law)
+    # forces on passive rows: all pairs of both kinds, less those of passive rows with each other
+    keep = lambda parts: [x.join(passive.select("id"), "id", "left_semi") for x in parts]
+    minus = lambda parts: [x.withColumns({f"f{a}": -F.col(f"f{a}") for a in "xyz"}) for x in parts]
+    return summed(df, *among, *keep(_parts(acting, law, types, box, bonds, bond_law)), *minus(_parts(passive, law, types, box, bonds, bond_law)))
 
 
 def in_state(mask: int):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -29,6 +29,8 @@ class System:
     controllers: list[tuple[Trigger, Callable[[DataFrame], DataFrame]]] = field(default_factory=list)
     time: float = 0.0
     step: int = 0
+    #: Repulsive walls push after the pair forces of a step, which else would overwrite theirs.
+    walls_push: bool = True
 
     def update_forces(self) -> None:
         self.df = self.force(self.df)
@@ -37,6 +39,12 @@ class System:
         if self.walls:
             self.df = B.apply(self.df, self.walls, self.low, self.high)
 
+    def apply_walls(self) -> None:
+        """Only the repulsive faces, over the forces as they stand."""
+        push = {f: b for f, b in self.walls.items() if b.kind == "repulsive"}
+        if push and self.walls_push:
+            self.df = B.apply(self.df, push, self.low, self.high)
+
     def apply_force_fields(self) -> None:
         for f in self.fields:
             self.df = f(self.df, self.time)
@@ -50,6 +58,7 @@ class System:
         self.df = cut(drift(half_kick(self.df, dt), dt))  # the pair join reads it twice
         self.apply_boundary_conditions()
         self.update_forces()
+        self.apply_walls()
         self.apply_force_fields()
         self.df = half_kick(self.df, dt)
         self.apply_controllers()
@@ -63,16 +72,35 @@ def steps_of(duration: float, dt: float) -> int:
     return int(duration / dt)
 
 
-def run(system: System, dt: float, steps: int, method: str = "verlet", monitors: list[tuple[Trigger, Callable]] = ()) -> System:
-    """Forces once without fields, then the steps; a monitor's trigger is asked once per step, after the clock has moved."""
+def run(system: System, dt: float, steps: int, method: str | Callable[[System, float], None] = "verlet", monitors: Iterable = ()) -> System:
+    """Forces once without fields, then the steps; triggers are asked once per step, after the clock has moved.
+
+    A monitor is a pair (trigger, function of the system) or an object with ``trigger``, ``record`` and perhaps ``init``,
+    ``before_step`` and ``finalize``. ``method`` is a stage of the system or a function of one's own. A system that has run
+    before goes on with its clock.
+    """
     if dt <= 0:
         raise ValueError("dt must be positive")
+    step = method if callable(method) else lambda s, h: getattr(s, method)(h)
+    call = lambda m, name, *a: getattr(m, name, lambda *_: None)(*a)
+    monitors = list(monitors)
+    for m in monitors:
+        call(m, "init", dt, system.time, system.time + dt * steps, system.step, steps)
     system.update_forces()
     for _ in range(steps):
-        getattr(system, method)(dt)
+        for m in monitors:
+            call(m, "before_step", system)
+        step(system, dt)
         system.df = cut(system.df)
         system.time, system.step = system.time + dt, system.step + 1
-        for trigger, record in monitors:
+        for m in monitors:
+            trigger, record = m if isinstance(m, tuple) else (m.trigger, m.record)
             if trigger(Moment(system.time, system.step)):
                 record(system)
+    for m in monitors:
+        call(m, "finalize")
     return system
+
+
+def run_for_duration(system: System, dt: float, duration: float, **more) -> System:
+    return run(system, dt, steps_of(duration, dt), **more)

@@ -30,14 +30,26 @@ def potential_energy(pairs: DataFrame, energy: str) -> DataFrame:
     return pairs.filter("id_a < id_b and r2 > 0").agg(F.sum(F.expr(energy)).alias("potential_energy"), F.count("*").alias("pairs"))
 
 
+def average_velocity(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("n"), *[F.avg(f"v{a}").alias(f"u{a}") for a in "xyz"])
+
+
 def temperature(df: DataFrame, dims: int = 3) -> DataFrame:
-    """sum m |v - mean v|^2 / (dims * n) in one pass of sums; 0 without dimensions."""
-    sums = df.agg(F.count("*").alias("n"), F.sum("mass").alias("m"), *[F.avg(f"v{a}").alias(f"u{a}") for a in "xyz"], *[F.sum(F.col("mass") * F.col(f"v{a}")).alias(f"p{a}") for a in "xyz"], F.sum(F.col("mass") * (F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz"))).alias("e"))
-    spread = F.col("e")
-    for a in "xyz":
-        spread = spread - 2 * F.col(f"u{a}") * F.col(f"p{a}") + F.col("m") * F.col(f"u{a}") * F.col(f"u{a}")
-    t = F.when(F.lit(dims) == 0, F.lit(0.0)).otherwise(F.try_divide(spread, F.lit(float(dims)) * F.col("n")))
-    return sums.select("n", *[f"u{a}" for a in "xyz"], t.alias("temperature"))
+    """sum m |v - mean v|^2 / (dims * n), centred before squares are summed; 0 without dimensions."""
+    mean = average_velocity(df)
+    off = [F.col(f"v{a}") - F.col(f"u{a}") for a in "xyz"]
+    spread = F.sum(F.col("mass") * (off[0] * off[0] + off[1] * off[1] + off[2] * off[2]))
+    # one row of means beside each particle
+    both = df.join(F.broadcast(mean)).agg(F.max("n").alias("n"), *[F.max(f"u{a}").alias(f"u{a}") for a in "xyz"], spread.alias("e"))
+    t = F.when(F.lit(dims) == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("e"), F.lit(float(dims)) * F.col("n")))
+    return both.select("n", *[f"u{a}" for a in "xyz"], t.alias("temperature"))
+
+
+def heat(df: DataFrame, target: float, dims: int = 3, seed: int = 42) -> DataFrame:
+    """Starting velocities of a temperature: normal with variance target / mass on the first axes, for all rows."""
+    if target < 0:
+        raise ValueError("the temperature must not be negative")
+    return df.withColumns({f"v{a}": F.sqrt(F.lit(float(target)) / F.col("mass")) * F.randn(seed + i) for i, a in enumerate("xyz"[:dims])})
 
 
 def thermostat(df: DataFrame, target: float, most: float, dims: int = 3, seed: int = 42) -> DataFrame:

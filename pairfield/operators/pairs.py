@@ -1,68 +1,116 @@
 """Pairs of particles within a distance.
 
-``grid`` hashes positions into cells of the cutoff's size and equi-joins each particle with the 27 cells around its
-own, then keeps pairs by the exact distance, so Catalyst sees an ordinary hash-partitioned join and AQE may split dense
-cells. ``direct`` compares all pairs, for laws without a cutoff: both sides are dealt into blocks and equi-joined on the
-block pair, so the work spreads over executors without a Cartesian product. Both give directed pairs; equality with the
-cutoff counts as inside.
+``grid`` hashes positions into cells of the cutoff's size and equi-joins each particle with its own cell and the 13 cells
+on one side of it, then keeps pairs by the exact distance: every unordered pair is made once, Catalyst sees an ordinary
+hash-partitioned join, and AQE may split dense cells. ``direct`` compares all pairs, for laws without a cutoff: both sides
+are dealt into blocks, as many as the row count asks for, and equi-joined on the block pair, so the work spreads over
+executors without a Cartesian product. Equality with the cutoff counts as inside. On periodic axes a cell's number says how
+often its particle has been carried around, so images cost a subtraction and no rounding per pair.
 """
 
 from __future__ import annotations
 
 from itertools import product
-from math import floor
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
+COLUMNS = ("id", "type", "x", "y", "z", "mass", "charge")
+#: The own cell, and of each pair of opposite neighbours one.
+HALF = tuple(o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0))
+#: Rows of a block of the direct strategy.
+BLOCK_ROWS = 2048
 
 
 def _side(df: DataFrame, suffix: str, columns: tuple[str, ...]) -> list[Column]:
     return [F.col(c).alias(c + suffix) for c in columns]
 
 
-def _measured(pairs: DataFrame, box: tuple[float | None, ...]) -> DataFrame:
-    d = {}
-    for a, length in zip(AXES, box, strict=True):
-        delta = F.col(f"{a}_b") - F.col(f"{a}_a")
-        # minimum image on periodic axes
-        d[f"d{a}"] = delta if length is None else delta - F.lit(float(length)) * F.round(delta / F.lit(float(length)))
-    out = pairs.withColumns(d)
-    return out.withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+def _have(df: DataFrame, columns: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(c for c in columns if c in df.columns)
+
+
+def _squared(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
+
 
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Each unordered pair in both directions."""
 
-def grid(df: DataFrame, cutoff: float, columns: tuple[str, ...] = ("id", "type", "x", "y", "z", "mass", "charge"), box: tuple[float | None, ...] = (None, None, None)) -> DataFrame:
-    """Directed pairs within the cutoff: ``columns`` with suffixes _a and _b, dx, dy, dz (from a to b) and r2."""
+    def back(c: str) -> Column:
+        if c[-2:] in ("_a", "_b"):
+            return F.col(c[:-1] + ("b" if c[-1] == "a" else "a")).alias(c)
+        return (-F.col(c) if c in ("dx", "dy", "dz") else F.col(c)).alias(c)
+
+    return pairs.select(F.inline(F.array(F.struct(*pairs.columns), F.struct(*map(back, pairs.columns)))))
+
+
+def grid(df: DataFrame, cutoff: float, columns: tuple[str, ...] = COLUMNS, box: tuple[float | None, ...] = (None, None, None), directed: bool = True) -> DataFrame:
+    """Pairs within the cutoff: ``columns`` with suffixes _a and _b, dx, dy, dz (from a to b) and r2; each once unless ``directed``."""
     counts = [None if length is None else floor(length / cutoff) for length in box]
     if any(n is not None and n < 3 for n in counts):
-        return direct(df, cutoff, columns, box)  # wrapped neighbours would coincide
-    cells = []
+        return direct(df, cutoff, columns, box, directed)  # wrapped neighbours would coincide
+    columns = _have(df, columns)
+    cell, around = {}, {}
     for a, length, n in zip(AXES, box, counts, strict=True):
         size = cutoff if n is None else length / n
-        cell = F.floor(F.col(a) / F.lit(float(size))).cast("long")
-        cells.append(cell if n is None else F.pmod(cell, F.lit(n)))
-    home = df.select(*_side(df, "_a", columns), *[c.alias(f"c{a}") for c, a in zip(cells, AXES, strict=True)])
-    around = F.array(*[F.struct(*[F.lit(o).cast("long").alias(f"o{a}") for o, a in zip(offsets, AXES, strict=True)]) for offsets in product((-1, 0, 1), repeat=3)])
-    spread = df.select(*_side(df, "_b", columns), *[c.alias(f"c{a}") for c, a in zip(cells, AXES, strict=True)], F.explode(around).alias("o"))
-    moved = [(F.col(f"c{a}") + F.col(f"o.o{a}") if n is None else F.pmod(F.col(f"c{a}") + F.col(f"o.o{a}"), F.lit(n))).alias(f"c{a}") for a, n in zip(AXES, counts, strict=True)]
-    spread = spread.select(*[f"{c}_b" for c in columns], *moved)
-    pairs = home.join(spread, [f"c{a}" for a in AXES]).filter("id_a <> id_b").drop("cx", "cy", "cz")
-    return _measured(pairs, box).filter(F.col("r2") <= F.lit(float(cutoff * cutoff)))
-
-
-def direct(df: DataFrame, cutoff: float | None = None, columns: tuple[str, ...] = ("id", "type", "x", "y", "z", "mass", "charge"), box: tuple[float | None, ...] = (None, None, None), blocks: int = 8) -> DataFrame:
-    """The same over all pairs; without a cutoff every pair stays."""
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+        cell[a] = F.floor(F.col(a) / F.lit(float(size))).cast("long")
+        around[a] = length, n
+
+    def placed(suffix: str, at: dict[str, Column]) -> list[Column]:
+        """Wrapped cells, and positions as seen from them."""
+        out = []
+        for a in AXES:
+            length, n = around[a]
+            out.append((at[a] if n is None else F.pmod(at[a], F.lit(n))).alias(f"c{a}"))
+            out.append((F.col(a) if n is None else F.col(a) - F.lit(float(length)) * F.floor(at[a] / F.lit(n)).cast("double")).alias(f"i{a}{suffix}"))
+        return out
+
+    home = df.select(*_side(df, "_a", columns), *placed("_a", cell))
+    offsets = F.array(*[F.struct(*[F.lit(o).cast("long").alias(f"o{a}") for o, a in zip(offset, AXES, strict=True)]) for offset in HALF])
+    spread = df.select("*", *[cell[a].alias(f"__c{a}") for a in AXES], F.explode(offsets).alias("o"))
+    own = (F.col("o.ox") == 0) & (F.col("o.oy") == 0) & (F.col("o.oz") == 0)
+    spread = spread.select(*_side(df, "_b", columns), *placed("_b", {a: F.col(f"__c{a}") + F.col(f"o.o{a}") for a in AXES}), own.alias("own"))
+    pairs = home.join(spread, [f"c{a}" for a in AXES]).filter("NOT own OR id_a < id_b")
+    pairs = pairs.withColumns({f"d{a}": F.col(f"i{a}_b") - F.col(f"i{a}_a") for a in AXES}).drop("cx", "cy", "cz", "own", *[f"i{a}_{s}" for a in AXES for s in "ab"])
+    pairs = _squared(pairs).filter(F.col("r2") <= F.lit(float(cutoff * cutoff)))
+    return both_ways(pairs) if directed else pairs
+
+
+def direct(df: DataFrame, cutoff: float | None = None, columns: tuple[str, ...] = COLUMNS, box: tuple[float | None, ...] = (None, None, None), directed: bool = True, blocks: int | None = None) -> DataFrame:
+    """The same over all pairs; without a cutoff every pair stays. Each block meets itself and the later ones."""
+    columns = _have(df, columns)
+    blocks = blocks or max(4, ceil(df.count() / BLOCK_ROWS))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    a = df.select(*_side(df, "_a", columns), own.alias("p"), F.explode(every).alias("q"))
-    b = df.select(*_side(df, "_b", columns), own.alias("q"), F.explode(every).alias("p"))
-    pairs = _measured(a.join(b, ["p", "q"]).filter("id_a <> id_b").drop("p", "q"), box)
-    return pairs if cutoff is None else pairs.filter(F.col("r2") <= F.lit(float(cutoff * cutoff)))
+    dealt = df.select("*", own.alias("__own"))
+    a = dealt.select(*_side(df, "_a", columns), F.col("__own").alias("p"), F.explode(F.sequence(F.col("__own"), F.lit(blocks - 1))).alias("q"))
+    b = dealt.select(*_side(df, "_b", columns), F.col("__own").alias("q"), F.explode(F.sequence(F.lit(0), F.col("__own"))).alias("p"))
+    pairs = a.join(b, ["p", "q"]).filter("p <> q OR id_a < id_b").drop("p", "q")
+    d = {}
+    for x, length in zip(AXES, box, strict=True):
+        delta = F.col(f"{x}_b") - F.col(f"{x}_a")
+        # minimum image on periodic axes
+        d[f"d{x}"] = delta if length is None else delta - F.lit(float(length)) * F.floor(delta / F.lit(float(length)) + F.lit(0.5)).cast("double")
+    pairs = _squared(pairs.withColumns(d))
+    pairs = pairs if cutoff is None else pairs.filter(F.col("r2") <= F.lit(float(cutoff * cutoff)))
+    return both_ways(pairs) if directed else pairs
+
+
+def bonded(df: DataFrame, bonds: DataFrame, columns: tuple[str, ...] = COLUMNS, directed: bool = True) -> DataFrame:
+    """Explicit pairs (src, dst) with the bonds' further columns; no cutoff and no wrap."""
+    columns = _have(df, columns)
+    out = bonds.join(df.select(*_side(df, "_a", columns)), F.col("src") == F.col("id_a")).join(df.select(*_side(df, "_b", columns)), F.col("dst") == F.col("id_b"))
+    out = _squared(out.drop("src", "dst").withColumns({f"d{a}": F.col(f"{a}_b") - F.col(f"{a}_a") for a in AXES}))
+    return both_ways(out) if directed else out
+
+
+def interaction_pairs(df: DataFrame, reach: float | None, columns: tuple[str, ...] = COLUMNS, box: tuple[float | None, ...] = (None, None, None), directed: bool = False) -> DataFrame:
+    """The pairs that an interaction of this reach looks at, for kernels of one's own."""
+    return direct(df, None, columns, box, directed) if reach is None or reach > 1e100 else grid(df, reach, columns, box, directed)
 
 
-def bonded(df: DataFrame, bonds: DataFrame, columns: tuple[str, ...] = ("id", "type", "x", "y", "z", "mass", "charge")) -> DataFrame:
-    """Explicit pairs (src, dst), both directions; no cutoff and no wrap."""
-    both = bonds.select("src", "dst").union(bonds.select("dst", "src"))
-    out = both.join(df.select(*_side(df, "_a", columns)), F.col("src") == F.col("id_a")).join(df.select(*_side(df, "_b", columns)), F.col("dst") == F.col("id_b"))
-    return _measured(out.drop("src", "dst"), (None, None, None))
+def interaction_batches(df: DataFrame, reach: float | None, kernel, schema: str, columns: tuple[str, ...] = COLUMNS, box: tuple[float | None, ...] = (None, None, None)) -> DataFrame:
+    """``kernel`` over Arrow batches of pairs: an iterator of batches in, one of batches of ``schema`` out."""
+    return interaction_pairs(df, reach, columns, box).mapInArrow(kernel, schema)

@@ -1,7 +1,9 @@
-"""Pair laws: the force on the first of two particles is ``scale * r``, r pointing from the first to the second.
+"""Pair laws: the force on the first of two particles, r pointing from the first to the second.
 
-A law is a small immutable value. Its scale is one SQL expression over r2 (squared distance, never 0) and the particles'
-columns with suffixes _a and _b, so it stays inside generated code.
+A law is a small immutable value. Central laws give ``scale``: one SQL expression over r2 (squared distance, never 0) and
+the particles' columns with suffixes _a and _b, so it stays inside generated code; the force is scale * r. Other laws give
+``vector``, three expressions that may also use dx, dy and dz. ``symmetry`` says what the second particle gets: the
+opposite (antisymmetric), the same (symmetric), or what the law says with both exchanged (nonsymmetric).
 """
 
 from __future__ import annotations
@@ -20,6 +22,11 @@ class MixingError(ValueError):
 class Law:
     cutoff: float | None = None
 
+    #: Class attributes, not parameters: what the second particle gets, and whether particles in one place interact.
+    symmetry = "antisymmetric"
+    central = True
+    at_zero = False
+
     @property
     def reach(self) -> float:
         return NO_CUTOFF if self.cutoff is None else self.cutoff
@@ -27,6 +34,9 @@ class Law:
     def scale(self) -> str:
         raise NotImplementedError
 
+    def vector(self) -> tuple[str, str, str]:
+        return tuple(f"({self.scale()} * d{a})" for a in "xyz")
+
     def energy(self) -> str | None:
         return None
 
@@ -129,9 +139,40 @@ class SoftGravity(Law):
 
 @dataclass(frozen=True)
 class Constant(Law):
-    """The same force on every first particle; symmetric pairs add it to both."""
+    """The same force on every first particle (of two, the one of the lower type, then of the lower id)."""
 
     force: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    central = False
+    at_zero = True
+
+    def vector(self) -> tuple[str, str, str]:
+        return tuple(f"{float(f)!r}e0" for f in self.force)
+
+    def _mixed(self, other: Constant) -> Law:
+        return replace(self, cutoff=self._longer(other), force=tuple(x + y for x, y in zip(self.force, other.force, strict=True)))
+
+
+@dataclass(frozen=True)
+class SymmetricConstant(Constant):
+    """A constant force that both particles get alike."""
+
+    symmetry = "symmetric"
+
+
+@dataclass(frozen=True)
+class Custom(Law):
+    """Any SQL over the pair: three components, and how the second particle takes part."""
+
+    parts: tuple[str, str, str] = ("0e0", "0e0", "0e0")
+    kind: str = "antisymmetric"
+    central = False
+
+    @property
+    def symmetry(self) -> str:
+        return self.kind
+
+    def vector(self) -> tuple[str, str, str]:
+        return self.parts
 
 
 def law_table(given: dict[tuple[int, int], Law], types: list[int]) -> dict[tuple[int, int], Law]:
@@ -155,12 +196,20 @@ def distinct_laws(table: dict[tuple[int, int], Law]) -> dict[Law, list[tuple[int
     return out
 
 
+def of_types(pairs: list[tuple[int, int]]) -> str:
+    return " OR ".join(f"(type_a = {a} AND type_b = {b})" + ("" if a == b else f" OR (type_a = {b} AND type_b = {a})") for a, b in pairs)
+
+
+def active(table: dict[tuple[int, int], Law]) -> dict[tuple[int, int], Law]:
+    return {pair: law for pair, law in table.items() if not isinstance(law, NoForce)}
+
+
+def within(law: Law) -> str:
+    """A condition on r2, if the law has a cutoff."""
+    return "" if law.reach > 1e100 else f" AND r2 <= {law.reach * law.reach!r}e0"
+
+
 def scale_by_type(table: dict[tuple[int, int], Law]) -> str:
-    """One SQL expression: the pair's law by its types, 0 beyond that law's cutoff. Equal laws share a branch."""
-    cases = []
-    for law, pairs in distinct_laws(table).items():
-        if isinstance(law, NoForce):
-            continue
-        own = " OR ".join(f"(type_a = {a} AND type_b = {b})" + ("" if a == b else f" OR (type_a = {b} AND type_b = {a})") for a, b in pairs)
-        cases.append(f"WHEN ({own}) AND r2 <= {law.reach * law.reach!r}e0 THEN {law.scale()}")
+    """One SQL expression for central laws: the pair's law by its types, 0 beyond that law's cutoff. Equal laws share a branch."""
+    cases = [f"WHEN ({of_types(pairs)}){within(law)} THEN {law.scale()}" for law, pairs in distinct_laws(active(table)).items()]
     return f"(CASE {' '.join(cases)} ELSE 0e0 END)" if cases else "0e0"

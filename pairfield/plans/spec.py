@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 class SpecError(ValueError):
     """A declaration that no system can be built from."""
@@ -21,12 +23,33 @@ def validate(df: DataFrame) -> None:
         raise SpecError("a state is empty, invalid or unknown")
 
 
+def ranked(df: DataFrame, name: str, *order) -> DataFrame:
+    """df with a row number from 0 in this order. Rows are sorted range by range, and only the ranges' counts are gathered, so no task sees all rows."""
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__range"), within.alias("__at")))
+    counts = {r["__range"]: r["count"] for r in placed.groupBy("__range").count().collect()}  # one row a range
+    starts, total = {}, 0
+    for k in sorted(counts):
+        starts[k], total = total, total + counts[k]
+    start = F.lit(0).cast("long") if not starts else F.element_at(F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v)]), F.col("__range")).cast("long")
+    return placed.withColumn(name, start + F.col("__at")).drop("__range", "__at")
+
+
+def check_bonds(df: DataFrame, bonds: DataFrame) -> None:
+    """Raises for bonds whose ends are no particles, or the same one."""
+    ends = bonds.select(F.col("src").alias("id")).union(bonds.select("dst")).distinct()
+    if not ends.join(df.select("id"), "id", "left_anti").limit(1).isEmpty():
+        raise SpecError("a bond names an unknown id")
+    if not bonds.filter("src = dst").limit(1).isEmpty():
+        raise SpecError("a bond joins a particle to itself")
+
+
 def assign_ids(df: DataFrame, order: str) -> DataFrame:
     """Missing ids, in input order, get the least unused ids: the k-th gap gets the k-th unused number."""
-    missing = df.filter("id is null").withColumn("__k", F.row_number().over(Window.orderBy(order)))
+    missing = ranked(df.filter("id is null"), "__k", order)
     used = df.filter("id is not null").select("id")
     n = missing.count()
-    free = df.sparkSession.range(n + used.count()).join(used, "id", "left_anti").withColumn("__k", F.row_number().over(Window.orderBy("id"))).filter(F.col("__k") <= n)
+    free = ranked(df.sparkSession.range(n + used.count()).join(used, "id", "left_anti"), "__k", "id").filter(F.col("__k") < n)
     filled = missing.drop("id").join(free, "__k").drop("__k").select(*df.columns)
     return df.filter("id is not null").unionByName(filled)
 
@@ -39,7 +62,7 @@ def id_map(df: DataFrame, bonds: DataFrame) -> DataFrame:
     """Dense ids: ids with bonds first, ascending in each group."""
     bonded = bonds.select(F.col("src").alias("b")).union(bonds.select("dst")).distinct()
     ids = df.select(F.col("id").alias("user_id")).join(bonded, F.col("user_id") == F.col("b"), "left")
-    return ids.select("user_id", (F.row_number().over(Window.orderBy(F.col("b").isNull(), "user_id")) - 1).cast("long").alias("id"))
+    return ranked(ids.select("user_id", F.col("b").isNull().alias("__free")), "id", "__free", "user_id").select("user_id", "id")
 
 
 def repeated_pairs(pairs: DataFrame) -> DataFrame:

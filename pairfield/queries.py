@@ -12,7 +12,7 @@ from .operators import boundaries as B
 from .operators import cells, forces, graph, observables, pairs
 from .operators.integrate import YOSHIDA, System
 from .plans import laws, spec
-from .session import cut, ship
+from .session import cut
 from .sources.generators import BONDS_SQL, PARTICLES_SQL, cuboid, derived, ellipsoid
 from .streaming import triggers
 
@@ -103,7 +103,7 @@ _BOND_ROWS = f"SELECT id_a AS id, {_BOND.scale()} * dx AS fx, {_BOND.scale()} *
 @query("bond_force", f"{P}, e AS ({BONDS_SQL}) SELECT {FORCE_OUT} FROM ({with_force_sql('p', f'SELECT id, sum(fx) AS fx, sum(fy) AS fy, sum(fz) AS fz FROM ({_BOND_ROWS}) GROUP BY id')})")
 def bond_force(spark, d):
     p = _p(spark, d)
-    return rounded(forces.summed(p, forces.by_scale(pairs.bonded(p, derived(spark, d, BONDS_SQL)), _BOND.scale())), *FORCE)
+    return rounded(forces.summed(p, forces.by_scale(pairs.bonded(p, derived(spark, d, BONDS_SQL), directed=False), _BOND.scale())), *FORCE)
 
 
 @query("bond_plus_type_force", f"{P}, e AS ({BONDS_SQL}) SELECT {FORCE_OUT} FROM ({with_force_sql('p', force_sql('p', LJ.scale(), 3.0, None, f' UNION ALL {_BOND_ROWS}'))})")
@@ -113,12 +113,12 @@ def bond_plus_type_force(spark, d):
 
 @query("pair_list_cutoff", f"{P} SELECT id_a, id_b, {r6('r2')} FROM ({pair_sql('p', 1.3)}) WHERE id_a < id_b")
 def pair_list_cutoff(spark, d):
-    return pairs.grid(_p(spark, d), 1.3).filter("id_a < id_b").select("id_a", "id_b", (F.round("r2", 6) + F.lit(0.0)).alias("r2"))
+    return pairs.grid(_p(spark, d), 1.3, directed=False).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), (F.round("r2", 6) + F.lit(0.0)).alias("r2"))
 
 
 @query("periodic_pairs", f"{P} SELECT id_a, id_b, {r6('r2')} FROM ({pair_sql('p', 1.3, BOX)}) WHERE id_a < id_b")
 def periodic_pairs(spark, d):
-    return pairs.grid(_p(spark, d), 1.3, box=BOX).filter("id_a < id_b").select("id_a", "id_b", (F.round("r2", 6) + F.lit(0.0)).alias("r2"))
+    return pairs.grid(_p(spark, d), 1.3, box=BOX, directed=False).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), (F.round("r2", 6) + F.lit(0.0)).alias("r2"))
 
 
 @query("neighbor_count", f"{P} SELECT p.id, coalesce(n, 0) AS n FROM p LEFT JOIN (SELECT id_a, count(*) AS n FROM ({pair_sql('p', 2.0)}) GROUP BY id_a) c ON c.id_a = p.id")
@@ -323,11 +323,22 @@ query("cell_histogram", f"{P} SELECT cell, type, count(*) AS count FROM ({_FLAT}
 query("cell_prefix_sum", f"{P}, n AS (SELECT cell, count(*) AS n FROM ({_FLAT}) GROUP BY cell) SELECT cell, n, CAST(coalesce(sum(n) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM n")(lambda spark, d: cells.prefix_sums(cells.histogram(_cells(spark, d))))
 _MORTON = " | ".join(f"(((c{a} >> {b}) & 1) << {3 * b + i})" for b in range(10) for i, a in enumerate("xyz"))
 query("morton_key", f"{P} SELECT id, {_MORTON} AS key FROM ({_FLAT})")(lambda spark, d: _cells(spark, d).select("id", cells.morton(F.col("cx"), F.col("cy"), F.col("cz")).alias("key")))
-query("hilbert_key", None)(lambda spark, d: _cells(ship(spark), d).select("id", cells.hilbert(5)("cx", "cy", "cz").alias("key")))
+
+
+def _hilbert_sql(bits: int) -> str:
+    """A nested select per bit plane over the same table of steps."""
+    table, source = "[" + ", ".join(map(str, cells.hilbert_steps())) + "]", f"(SELECT id, cx, cy, cz, 0 AS state, 0::BIGINT AS key FROM ({_FLAT}))"
+    for b in range(bits - 1, -1, -1):
+        octant = f"((cx >> {b}) & 1) + 2 * ((cy >> {b}) & 1) + 4 * ((cz >> {b}) & 1)"
+        source = f"(SELECT id, cx, cy, cz, step >> 3 AS state, key * 8 + (step & 7) AS key FROM (SELECT *, {table}[state * 8 + {octant} + 1] AS step FROM {source}))"
+    return f"{P} SELECT id, key FROM {source}"
+
+
+query("hilbert_key", _hilbert_sql(5))(lambda spark, d: cells.hilbert(_cells(spark, d), "cx", "cy", "cz", 5).select("id", "key"))
 
 # -- declarations, generators, triggers, graphs -------------------------------------------------------------------------
 query("type_map", "SELECT user_type, CAST(dense_rank() OVER (ORDER BY user_type) - 1 AS INT) AS type FROM (SELECT DISTINCT CAST(p_size AS INT) AS user_type FROM part)")(lambda spark, d: spec.type_map(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_size").cast("int").alias("type"))))
-query("id_map", f"{P}, e AS (SELECT * FROM ({BONDS_SQL}) WHERE src % 3 = 0), b AS (SELECT src AS n FROM e UNION SELECT dst FROM e) SELECT p.id AS user_id, row_number() OVER (ORDER BY b.n IS NULL, p.id) - 1 AS id FROM p LEFT JOIN b ON b.n = p.id")(lambda spark, d: spec.id_map(_p(spark, d), derived(spark, d, BONDS_SQL).filter("src % 3 = 0")))
+query("id_map", f"{P}, e AS (SELECT * FROM ({BONDS_SQL})), b AS (SELECT src AS n FROM e UNION SELECT dst FROM e) SELECT p.id AS user_id, row_number() OVER (ORDER BY b.n IS NULL, p.id) - 1 AS id FROM p LEFT JOIN b ON b.n = p.id")(lambda spark, d: spec.id_map(_p(spark, d), derived(spark, d, BONDS_SQL)))
 query("auto_ids", "WITH r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey * 2 END AS id FROM part), m AS (SELECT k, row_number() OVER (ORDER BY k) AS n FROM r WHERE id IS NULL), f AS (SELECT g AS id, row_number() OVER (ORDER BY g) AS n FROM range((SELECT count(*) FROM part)) t(g) WHERE g NOT IN (SELECT id FROM r WHERE id IS NOT NULL)) SELECT k, id FROM r WHERE id IS NOT NULL UNION ALL SELECT m.k, f.id FROM m JOIN f USING (n)")(lambda spark, d: spec.assign_ids(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_partkey") * 2).alias("id")), "k"))
 query("cuboid_gen", "SELECT i AS id, 1 + (i // 12) * 5e-1 AS x, 2 + ((i // 4) % 3) * 5e-1 AS y, 3 + (i % 4) * 5e-1 AS z FROM range(24) t(i)")(lambda spark, d: cuboid(spark, (1, 2, 3), (2, 3, 4), 0.5).select("id", "x", "y", "z"))
 query("sphere_gen", "SELECT x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM range(-3, 4) a(x), range(-2, 3) b(y), range(-4, 5) c(z) WHERE x * x / 9e0 + y * y / 4e0 + z * z / 16e0 < 1")(lambda spark, d: ellipsoid(spark, (0, 0, 0), (3, 2, 4), 1.0).select("x", "y", "z"))
@@ -341,11 +352,17 @@ query("trigger_every", "SELECT event_id AS step FROM events WHERE (event_id + 1)
 query("trigger_between", "SELECT event_id AS step FROM events WHERE event_id >= 3 AND event_id < 500 AND NOT event_id = 7")(lambda spark, d: _clock(spark, d).filter((triggers.between(3, 500) & ~triggers.at_step(7)).column()).select("step"))
 _CHAIN = f"e AS ({BONDS_SQL})"
 query("unique_nodes", f"WITH {_CHAIN} SELECT src AS node FROM e UNION SELECT dst FROM e")(lambda spark, d: graph.unique_nodes(derived(spark, d, BONDS_SQL)))
-query("connected_components", f"WITH {_CHAIN}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, node - node % 10 AS component FROM n")(lambda spark, d: graph.components(derived(spark, d, BONDS_SQL)))
-query("intersection_graph", "WITH m AS (SELECT DISTINCT p_size AS set_id, p_partkey % 97 AS node FROM part WHERE p_partkey < 300) SELECT DISTINCT a.set_id AS a, b.set_id AS b FROM m a JOIN m b USING (node) WHERE a.set_id <> b.set_id")(lambda spark, d: graph.intersection_graph(spark.read.parquet(f"{d}/part.parquet").filter("p_partkey < 300").select(F.col("p_size").alias("set_id"), (F.col("p_partkey") % 97).alias("node")).distinct()))
+query("connected_components", f"WITH RECURSIVE {_CHAIN}, u AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e), r(node, seen) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a) SELECT node, min(seen) AS component FROM r GROUP BY node")(lambda spark, d: graph.components(derived(spark, d, BONDS_SQL)))
+query("intersection_graph", "WITH m AS (SELECT DISTINCT p_size AS set_id, p_partkey AS node FROM part UNION SELECT p_size, p_partkey + 7 FROM part) SELECT DISTINCT a.set_id AS a, b.set_id AS b FROM m a JOIN m b USING (node) WHERE a.set_id <> b.set_id")(lambda spark, d: graph.intersection_graph(_sets_of_parts(spark, d)))
 query("dup_pairs", "SELECT least(l_partkey % 50, l_suppkey % 50) AS a, greatest(l_partkey % 50, l_suppkey % 50) AS b, count(*) AS count FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")(lambda spark, d: spec.repeated_pairs(spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50).alias("b"))))
 
 
+def _sets_of_parts(spark, d) -> DataFrame:
+    """Sets by part size; each part is also in the set of the part seven keys before it."""
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_size").alias("set_id"), F.explode(F.array("p_partkey", F.col("p_partkey") + 7)).alias("node"))
+    return part.distinct()
+
+
 @query("vec_ops", f"{P} SELECT id, round(x * vx + y * vy + z * vz, 9) + 0e0 AS dot, round(sqrt(x * x + y * y + z * z), 6) AS norm, greatest(x, y, z) AS largest, least(x, y, z) AS least, (vx > 0 AND vy > 0 AND vz > 0) AS all_up FROM p")
 def vec_ops(spark, d):
     x, v = V.Vec.of(), V.Vec.of("v")
@@ -356,3 +373,6 @@ def vec_ops(spark, d):
 def scalar_math(spark, d):
     x, vx = F.col("x"), F.col("vx")
     return _p(spark, d).select("id", F.round(V.rsqrt(x + 1), 6).alias("rsqrt"), F.round(V.exp2(vx), 6).alias("exp2"), (V.truncate(vx * 3) + F.lit(0.0)).alias("trunc"), F.round(V.hypot3(x, F.col("y"), F.col("z")), 6).alias("hypot"), V.clamp(vx, F.lit(-0.5), F.lit(0.5)).alias("clamp"), (F.round(V.remainder(x, F.lit(2.0)), 6) + F.lit(0.0)).alias("remainder"))
+
+
+from . import system_queries  # noqa: E402, F401  registers its queries here

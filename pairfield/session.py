@@ -49,11 +49,21 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df):
-    """The rows behind a reliable checkpoint in the shared folder (``spark.checkpoint.dir``), so plans do not pile up over steps."""
+def shared_dir(context) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one only where driver and executors are one process."""
     import tempfile
 
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="pairfield-shared-")
+
+
+def cut(df):
+    """The rows behind a reliable checkpoint in the shared folder (``spark.checkpoint.dir``), so plans do not pile up over steps."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pairfield-checkpoint-"))
+        context.setCheckpointDir(shared_dir(context))
     return df.checkpoint(eager=True)

@@ -1,14 +1,18 @@
-"""Snapshot files: XYZ text, PART binary records, VTK text."""
+"""Snapshot files: Parquet by step, XYZ text, PART binary records, VTK text."""
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
-from xml.sax.saxutils import quoteattr
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: The binary snapshot's header and row.
 HEADER, ROW, MAGIC = struct.Struct("<4sIQQI"), struct.Struct("<fffIIB"), b"PART"
 
@@ -59,32 +63,94 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "step long, x double, y double, z double, type int, id long, state int")
 
 
+class XMLWriter:
+    """Elements with attributes, indented, texts escaped; ``with`` closes what it opens."""
+
+    def __init__(self, out):
+        self.out, self.depth = out, 0
+        out.write('<?xml version="1.0"?>\n')
+
+    def _line(self, text: str) -> None:
+        self.out.write(f"{'  ' * self.depth}{text}\n")
+
+    @staticmethod
+    def _head(name: str, attributes: dict) -> str:
+        return name + "".join(f" {k}={quoteattr(str(v))}" for k, v in attributes.items())
+
+    @contextmanager
+    def element(self, name: str, **attributes) -> Iterator[None]:
+        self._line(f"<{self._head(name, attributes)}>")
+        self.depth += 1
+        yield
+        self.depth -= 1
+        self._line(f"</{name}>")
+
+    def empty(self, name: str, **attributes) -> None:
+        self._line(f"<{self._head(name, attributes)}/>")
+
+    def text(self, text: str) -> None:
+        self.out.write(f"{escape(text)}\n")
+
+
+#: Point data by field name, as (VTK type, columns).
+VTP_FIELDS = {"velocity": ("Float64", ("vx", "vy", "vz")), "force": ("Float64", ("fx", "fy", "fz")), "type": ("Int32", ("type",)), "id": ("Int64", ("id",))}
+
+
 def write_vtp(df: DataFrame, folder: str, base: str, step: int, fields: tuple[str, ...] = ("velocity", "force", "type", "id")) -> str:
-    """One VTK PolyData file with the chosen fields; positions are always there."""
-    parts = {"velocity": ("Float64", 3, ("vx", "vy", "vz")), "force": ("Float64", 3, ("fx", "fy", "fz")), "type": ("Int32", 1, ("type",)), "id": ("Int64", 1, ("id",))}
-    rows = df.orderBy("id").collect()  # a frame for a viewer
-    to = f"{folder}/{base}_{step:05}.vtp"
-
-    def array(name: str, kind: str, width: int, columns: tuple[str, ...]) -> str:
-        body = "\n".join(" ".join(_number(r[c]) if kind == "Float64" else str(r[c]) for c in columns) for r in rows)
-        return f"<DataArray type={quoteattr(kind)} Name={quoteattr(name)} NumberOfComponents=\"{width}\" format=\"ascii\">\n{body}\n</DataArray>"
-
-    data = "\n".join(array(f, *parts[f]) for f in fields)
-    Path(to).write_text(
-        '<?xml version="1.0"?>\n<VTKFile type="PolyData" version="0.1" byte_order="LittleEndian">\n<PolyData>\n'
-        f'<Piece NumberOfPoints="{len(rows)}" NumberOfVerts="0" NumberOfLines="0" NumberOfStrips="0" NumberOfPolys="0">\n'
-        f"<PointData>\n{data}\n</PointData>\n<Points>\n{array('Points', 'Float64', 3, ('x', 'y', 'z'))}\n</Points>\n</Piece>\n</PolyData>\n</VTKFile>\n"
-    )
+    """One VTK PolyData file with the chosen fields, rows by id, a vertex cell each; positions are always there.
+
+    A frame for a viewer, written on the driver row by row.
+    """
+    frame = cut(df.orderBy("id"))
+    n, to = frame.count(), f"{folder}/{base}_{step:05}.vtp"
+    with open(to, "w") as f:
+        xml = XMLWriter(f)
+
+        def array(name: str, kind: str, lines, width: int = 1) -> None:
+            with xml.element("DataArray", type=kind, Name=name, NumberOfComponents=width, format="ascii"):
+                for line in lines:
+                    xml.text(line)
+
+        def column(kind: str, columns: tuple[str, ...]):
+            for r in frame.select(*columns).toLocalIterator():
+                yield " ".join(_number(v) if kind == "Float64" else str(v) for v in r)
+
+        with xml.element("VTKFile", type="PolyData", version="0.1", byte_order="LittleEndian"), xml.element("PolyData"):
+            with xml.element("Piece", NumberOfPoints=n, NumberOfVerts=n, NumberOfLines=0, NumberOfStrips=0, NumberOfPolys=0):
+                with xml.element("PointData"):
+                    for name in fields:
+                        kind, columns = VTP_FIELDS[name]
+                        array(name, kind, column(kind, columns), len(columns))
+                with xml.element("Points"):
+                    array("Points", "Float64", column("Float64", ("x", "y", "z")), 3)
+                with xml.element("Verts"):
+                    array("connectivity", "Int64", map(str, range(n)))
+                    array("offsets", "Int64", map(str, range(1, n + 1)))
     return to
 
 
 def write_pvd(folder: str, base: str, frames: list[tuple[float, str]]) -> str:
     to = f"{folder}/{base}.pvd"
-    sets = "\n".join(f'<DataSet timestep="{_number(t)}" file={quoteattr(Path(f).name)}/>' for t, f in frames)
-    Path(to).write_text(f'<?xml version="1.0"?>\n<VTKFile type="Collection" version="0.1">\n<Collection>\n{sets}\n</Collection>\n</VTKFile>\n')
+    with open(to, "w") as f:
+        xml = XMLWriter(f)
+        with xml.element("VTKFile", type="Collection", version="0.1"), xml.element("Collection"):
+            for t, path in frames:
+                xml.empty("DataSet", timestep=_number(t), file=Path(path).name)
+    return to
+
+
+def write_parquet(df: DataFrame, folder: str, step: int, time: float) -> str:
+    """A frame as a Parquet partition step=..., written by the executors."""
+    to = f"{folder}/step={step}"
+    df.withColumn("time", F.lit(float(time))).write.mode("overwrite").parquet(to)
     return to
 
 
+def read_parquet(spark: SparkSession, folder: str, step: int | None = None) -> DataFrame:
+    """All frames of a folder, or one to start from: positions, velocities, old positions and forces as they were."""
+    return spark.read.parquet(folder) if step is None else spark.read.parquet(f"{folder}/step={step}").drop("time")
+
+
 def colour_range(df: DataFrame) -> DataFrame:
     """Types scaled to 0..1 for a viewer; a single type is 0."""
     ends = df.agg(F.min("type").alias("lo"), F.max("type").alias("hi"))

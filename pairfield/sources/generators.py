@@ -53,5 +53,11 @@ def ellipsoid(spark: SparkSession, center, radii, spacing: float, first_id: int
     return grid.filter(within).select((i + first_id).alias("id"), F.lit(type_).alias("type"), *[(F.lit(float(c)) + F.col(f"d{a}")).alias(a) for a, c in zip("xyz", center, strict=True)], F.lit(float(mass)).alias("mass"), F.lit(1).alias("state"))
 
 
+def thermal(df: DataFrame, velocity) -> DataFrame:
+    """df with what ``velocity``, a function from the position's Columns to three Columns, adds to the velocities."""
+    extra = velocity(F.col("x"), F.col("y"), F.col("z"))
+    return df.withColumns({f"v{a}": (F.col(f"v{a}") if f"v{a}" in df.columns else F.lit(0.0)) + v for a, v in zip("xyz", extra, strict=True)})
+
+
 def maxwell_boltzmann(df: DataFrame, average: float, dims: int, seed: int = 42) -> DataFrame:
     return df.withColumns({f"v{a}": F.lit(average) * F.randn(seed + i) for i, a in enumerate("xyz"[:dims])})

@@ -78,6 +78,8 @@ def when(test: Callable[[Moment], bool]) -> Trigger:
 
 def periodically(period: float, offset: float = 0.0) -> Trigger:
     """Fires once ``period`` has passed since it last fired; asked once per step."""
+    if period <= 0:
+        raise ValueError("the period must be positive")
     last = [offset - period]
 
     def test(m: Moment) -> bool:

@@ -128,7 +128,7 @@ def test_graph(spark):
 def test_hilbert_is_a_path(spark):
     n = 8
     df = spark.range(n**3).select(*[(F.floor(F.col("id") / n**k) % n).alias(a) for k, a in enumerate("xyz")])
-    rows = df.select("x", "y", "z", cells.hilbert(3)("x", "y", "z").alias("key")).orderBy("key").collect()
+    rows = cells.hilbert(df, "x", "y", "z", 3).select("x", "y", "z", "key").orderBy("key").collect()
     assert [r["key"] for r in rows] == list(range(n**3))
     assert all(math.dist(a[:3], b[:3]) == 1 for a, b in zip(rows[:-1], rows[1:], strict=True))
 
