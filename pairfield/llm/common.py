@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir  # noqa: F401  operators take cut from here
+
 #: A word is a maximal run of characters other than these.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -40,22 +41,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows behind a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
-
-    Only where the session names no folder (tests) is a local one set.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pairfield-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or tempfile.mkdtemp(prefix="pairfield-shared-")
+    """The folder that all executors share."""
+    return shared_dir(spark.sparkContext)
 
 
 def store(df: DataFrame) -> tuple[DataFrame, str]:
