@@ -21,6 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept_as(keep: tuple[str, ...], own: tuple[str, ...]) -> dict[str, str]:
+    """Names under which an operator passes columns on: a name that is one of the operator's own results gets ``_in`` behind it."""
+    out: dict[str, str] = {}
+    for c in keep:
+        name = c
+        while name in own or name in out.values():
+            name += "_in"
+        out[c] = name
+    return out
+
+
+def kept(keep: tuple[str, ...], own: tuple[str, ...]) -> tuple[Column, list[Column]]:
+    """The passed-on columns as one struct ``__kept``, out of the way of an operator's working columns, and what takes them out of it."""
+    names = kept_as(keep, own)
+    whole = F.struct(*[F.col(c).alias(n) for c, n in names.items()]) if names else F.struct(F.lit(0).alias("none"))
+    return whole.alias("__kept"), [F.col("__kept")[n].alias(n) for n in names.values()]
+
+
 def words(text: Column) -> Column:
     """Whitespace-delimited words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")

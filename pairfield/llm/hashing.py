@@ -65,7 +65,7 @@ def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
 def _shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
     w, begin = word_hashes(texts)
     s = w.copy()
-    for j in range(1, k):
+    for j in range(1, min(k, len(w))):
         s[: len(s) - j] = mix(s[: len(s) - j] * np.uint64(0x9FB21C651E98DF25) + w[j:])
     out = []
     for a, b in zip(begin[:-1], begin[1:], strict=True):

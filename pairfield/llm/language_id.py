@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, slices, table, trimmed
+from .common import blocks, cut, kept_as, slices, table, trimmed
 
 ORDER, BITS = 4, 6
 QUANTILE, SLACK = 0.999, 4.0
@@ -238,9 +238,10 @@ def train(df: DataFrame, text: str = "text", label: str = "lang") -> Model:
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, lang_pred, score, rejected. Row-local."""
+    """``keep`` (``_in`` behind names of results), lang_pred, score, rejected. Row-local."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    wanted = df.select(*keep, F.col(text).alias("__text"))
+    names = kept_as(keep, ("lang_pred", "score", "rejected"))
+    wanted = df.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,15 +1,20 @@
-"""License scans: an exact containment join between text blocks (lines) and licence templates.
+"""License scans: an exact containment join between text blocks and licence templates.
 
-Template tokens are put in one global order, rarest first, by document frequency over the whole table. A block is a
-candidate for a template only if it holds one of the template's prefix tokens (the rarest ``size - need + 1``); it must
-then be long enough, leave enough room behind the first shared token (positional filter), and hold at least ``need`` of
-the template's distinct tokens when counted. The templates are a fixed list of a few hundred tokens, so they travel as
-literals and the join needs no shuffle; only the frequencies (at most one row per template token) are gathered.
+A block is any run of consecutive words of the text, across lines, as long as the template allows: the template's words
+divided by the threshold. A block matches if it holds at least ``need`` of the template's distinct tokens.
+
+Template tokens are put in one global order, rarest first, by document frequency over the whole table. A matching block
+holds one of the template's prefix tokens (the rarest ``size - need + 1``), so only blocks around their places are looked
+at; of these only such that begin with a token of the template, as others hold no more than the next one that does, and
+that are long enough (length filter) and begin early enough before the prefix token and the text's end to hold ``need``
+tokens (positional filter). Then tokens are counted. The templates are a fixed list of a few hundred tokens, so they travel
+as literals and the join needs no shuffle; only the frequencies (at most one row per template token) are gathered.
 
 Beside the method's labels the scan reports every place where a base phrase stands word by word.
 
 Nulls and edges: a null or empty text has no words, no labels and score 0; repeated rows are scanned each on its own; an
-empty table leaves the order to the alphabet; further columns are passed on by ``scan(..., keep=...)`` only.
+empty table leaves the order to the alphabet; further columns are passed on by ``scan(..., keep=...)`` only,
+with ``_in`` behind names that are results of the scan.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, kept, table
 
 #: Base phrases and their labels.
 PHRASES = {
@@ -77,36 +82,51 @@ def _starts(w: Column) -> Column:
     return F.filter(F.transform(w, found), lambda x: x.isNotNull())
 
 
-def scan(df: DataFrame, order: list[str], text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """``keep``, n_words, places (start, label) and matches (block text, label, containment)."""
+def _templates(order: list[str], threshold: float) -> list[tuple[str, list[str], int, list[str], int]]:
+    """(label, tokens rarest first, need, prefix, most words of a block)."""
     rank = {w: i for i, w in enumerate(order)}
-    templates = []
+    out = []
     for label, notice in TEMPLATES:
         tokens = sorted(set(notice.split()), key=rank.__getitem__)
         need = ceil(round(threshold * len(tokens), 9))
-        templates.append((label, tokens, need, tokens[: len(tokens) - need + 1]))
-    prefixes = sorted({w for *_, prefix in templates for w in prefix})
-    listed = F.array(*map(F.lit, order))
-
-    def matches(b: Column, line: Column) -> Column:
-        found = []
-        for label, tokens, need, prefix in templates:
-            t = F.array(*map(F.lit, tokens))
-            first = F.get(F.array_intersect(F.array(*map(F.lit, prefix)), b), F.lit(0))
-            room = F.least(len(tokens) - F.array_position(t, first), F.size(b) - F.array_position(b, first)) + 1
-            both = F.size(F.array_intersect(t, b))
-            found.append(F.when((F.size(b) >= need) & first.isNotNull() & (room >= need) & (both >= need), F.struct(line.alias("block"), F.lit(label).alias("label"), (both / F.lit(len(tokens))).alias("containment"))))
-        return F.filter(F.array(*found), lambda x: x.isNotNull())
+        out.append((label, tokens, need, tokens[: len(tokens) - need + 1], width(notice, threshold)))
+    return out
+
+
+def width(notice: str, threshold: float = THRESHOLD) -> int:
+    return ceil(round(len(notice.split()) / threshold, 9))
+
+
+def scan(df: DataFrame, order: list[str], text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
+    """``keep``, n_words, places (start, label) and matches (start, words, label, containment): all blocks, by their first word."""
+    templates = _templates(order, threshold)
+    prefixes = sorted({w for _, _, _, prefix, _ in templates for w in prefix})
+    every = F.array(*map(F.lit, prefixes))
+    kind = "array<struct<start:int,words:int,label:string,containment:double>>"
+
+    def of_template(w: Column, at: Column, label: str, tokens: list[str], need: int, prefix: list[str], most: int) -> Column:
+        t, own = F.array(*map(F.lit, tokens)), F.array(*map(F.lit, prefix))
+        around = F.filter(at, lambda q: F.array_contains(own, F.get(w, q)))
+        begins = F.transform(around, lambda q: F.filter(F.sequence(F.greatest(q - (most - 1), F.lit(0)), q), lambda p: F.array_contains(t, F.get(w, p)) & (F.size(w) - p >= need)))
+        held = lambda p: F.size(F.array_intersect(t, F.slice(w, p + 1, most))) / F.lit(len(tokens))
+        counted = F.transform(F.array_distinct(F.flatten(begins)), lambda p: F.struct(p.alias("start"), F.least(F.lit(most), F.size(w) - p).alias("words"), F.lit(label).alias("label"), held(p).alias("containment")))
+        return F.filter(counted, lambda x: x["containment"] * len(tokens) > need - 0.5)
+
+    def matches(w: Column, at: Column) -> Column:
+        return F.flatten(F.array(*[of_template(w, at, *x) for x in templates])).cast(kind)
 
     low = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    a = df.select(*keep, low.alias("__t")).withColumn("__w", _tokens(F.col("__t")))
+    passed, out = kept(keep, ("n_words", "places", "matches"))
+    a = df.select(passed, low.alias("__t")).withColumn("__w", _tokens(F.col("__t")))
     joined = F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" "))
     any_phrase = joined.rlike(f" ({'|'.join(PHRASES)}) ")
     none = F.expr("cast(array() as array<struct<start:int,label:string>>)")
-    # lines that hold a prefix token, cut down to the ordered template vocabulary
-    lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(rf"(?<![0-9a-z])({'|'.join(prefixes)})(?![0-9a-z])"))
-    pairs = F.flatten(F.transform(lines, lambda x: F.flatten(F.transform(F.array(F.array_intersect(listed, _tokens(x))), lambda b: matches(b, x)))))
-    return a.select(*keep, F.size("__w").cast("long").alias("n_words"), F.when(any_phrase, _starts(F.col("__w"))).otherwise(none).alias("places"), pairs.alias("matches"))
+    # most texts hold no prefix token at all
+    any_prefix = F.col("__t").rlike(rf"(?<![0-9a-z])({'|'.join(prefixes)})(?![0-9a-z])")
+    places = F.filter(F.transform("__w", lambda x, i: F.when(F.array_contains(every, x), i)), lambda i: i.isNotNull())
+    a = a.withColumn("__at", F.when(any_prefix, places).otherwise(F.expr("cast(array() as array<int>)")))
+    pairs = F.when(F.size("__at") > 0, matches(F.col("__w"), F.col("__at"))).otherwise(F.expr(f"cast(array() as {kind})"))
+    return a.select(*out, F.size("__w").cast("long").alias("n_words"), F.when(any_phrase, _starts(F.col("__w"))).otherwise(none).alias("places"), pairs.alias("matches"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,18 +144,17 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _P = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
-_T = ", ".join(f"({i}, '{label}', '{t}')" for i, (label, t) in enumerate(TEMPLATES))
+_T = ", ".join(f"({i}, '{label}', '{t}', {width(t)})" for i, (label, t) in enumerate(TEMPLATES))
 ORACLE = rf"""
 WITH p(phrase, label, n) AS (VALUES {_P}),
-raw(id, label, notice) AS (VALUES {_T}),
-t AS (SELECT id, label, list_distinct(string_split(notice, ' ')) AS t FROM raw),
+raw(id, label, notice, width) AS (VALUES {_T}),
+t AS (SELECT id, label, width, list_distinct(string_split(notice, ' ')) AS t FROM raw),
 d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
 w AS (SELECT r, doc_id, s, regexp_extract_all(s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
 i AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 b AS (SELECT r, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS z, list_distinct(list(label)) AS l FROM i, p WHERE w[i:i + n - 1] = string_split(phrase, ' ') GROUP BY r),
-l AS (SELECT r, unnest(string_split(s, chr(10))) AS line FROM w),
-x AS (SELECT r, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM l WHERE regexp_matches(line, 'licen|permi|software|source|redis')),
-m AS (SELECT r, list_distinct(list(label)) AS l, max(len(list_intersect(t, b)) / len(t)) AS c FROM x, t WHERE len(list_intersect(t, b)) >= ceil(round(0.8 * len(t), 9)) GROUP BY r)
+x AS (SELECT r, label, len(t) AS size, len(list_intersect(t, w[i:i + width - 1])) AS held FROM i, t WHERE list_contains(t, w[i])),
+m AS (SELECT r, list_distinct(list(label)) AS l, max(held / size) AS c FROM x WHERE held >= ceil(round(0.8 * size, 9)) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.a::BIGINT AS first_word, b.z::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(b.l), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.l, []), coalesce(m.l, [])))), ','), '') AS labels,

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import kept, table, words
 
 #: (name, SQL condition under which the rule fails), in bit order. Integer arithmetic only, so that engines agree.
 RULES: tuple[tuple[str, str], ...] = (
@@ -63,10 +63,11 @@ def _covered(windows: Column) -> Column:
 
 
 def ledger(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: ``keep``, the measurements and ``fail_bits`` (bit i: rule i fails)."""
+    """One row per document: ``keep`` (``_in`` behind names that are measurements), the measurements and ``fail_bits`` (bit i: rule i fails)."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    a = df.select(*keep, body.alias("__t"), words(F.col(text)).alias("__w"), lines.alias("__l"))
+    passed, out = kept(keep, ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_bangs", "fail_bits"))
+    a = df.select(passed, body.alias("__t"), words(F.col(text)).alias("__w"), lines.alias("__l"))
     b = a.withColumn("__h", F.transform("__w", lambda x: F.xxhash64(x)))
     n = F.size("__w")
     c = b.withColumn(
@@ -74,7 +75,7 @@ def ledger(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         F.transform(F.slice("__h", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(F.col("__h"), i + 1), F.get(F.col("__h"), i + 2))),
     )
     measured = c.select(
-        *keep,
+        *out,
         n.cast("long").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("__t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),

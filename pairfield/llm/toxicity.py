@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, slices, table, trimmed
+from .common import blocks, kept_as, slices, table, trimmed
 from .hashing import prefix_hash, range_hash
 from .language_id import fold
 
@@ -147,9 +147,10 @@ def train(df: DataFrame, text: str = "text", label: str = "label", rows: int = T
 
 
 def score(df: DataFrame, scorer: Scorer, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, score, spans (start, end, p) of offending sentences."""
+    """``keep`` (``_in`` behind names of results), score, spans (start, end, p) of offending sentences."""
     shared = df.sparkSession.sparkContext.broadcast(scorer)
-    wanted = df.select(*keep, F.col(text).alias("__text"))
+    names = kept_as(keep, ("score", "spans"))
+    wanted = df.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 

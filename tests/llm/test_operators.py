@@ -51,6 +51,18 @@ def test_odd_rows(spark, odd, empty):
         assert packing.pack(df, packing.default_path()).select("doc_id", "start").count() >= n
 
 
+def test_names_that_clash_are_passed_on(spark, odd, empty):
+    names = tuple(odd.columns)
+    for df in (odd, empty):
+        scorer = toxicity.train(df.withColumn("label", F.lit(1)))
+        for out in (quality_rules.ledger(df, keep=names), licenses.scan(df, licenses.token_order(df), keep=names), language_id.predict(df, language_id.train(df), keep=names), toxicity.score(df, scorer, keep=names)):
+            rows = out.collect()
+            assert len(out.columns) == len(set(out.columns)) and len(rows) == df.count()
+            for r in rows:
+                r = r.asDict()
+                assert r.get("n_words_in", r["n_words"]) == 7 and r["__t"] == "t" and r.get("score_in", r["score"]) == 1.0 and r.get("lang_pred_in", r["lang_pred"]) == "l" and r.get("places_in", r["places"]) == 9
+
+
 def test_ngram_join_by_brute_force(spark):
     rng = random.Random(1)
     texts = []
@@ -239,6 +251,28 @@ def test_audio_query_gives_all_partners(spark, tmp_path):
     assert [p["query_id"] for p in rows[0]["partners"]] == [100] and all(len(r["partners"]) == r["n_queries"] for r in rows.values())
 
 
+def test_wrapped_notices_are_found(spark):
+    import textwrap
+
+    texts = ["one two three\n" + textwrap.fill("Zuvor " * 9 + notice + " danach" * 9, 72) for _, notice in licenses.TEMPLATES] + ["\n".join(n.split()) for _, n in licenses.TEMPLATES]
+    texts += ["Under CC BY NC 4 0 terms", "licensed " + "x " * 40 + "under the apache license version 2 0", " ".join(licenses.TEMPLATES[8][1].split()[:12])]
+    rows = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, texts), licenses.token_order(docs_of(spark, texts))).collect()}
+    for i, (label, notice) in enumerate(licenses.TEMPLATES * 2):
+        best = max((m for m in rows[i]["matches"] if m["label"] == label), key=lambda m: m["containment"])
+        assert best["containment"] == 1, (i, label)
+    assert {m["label"] for m in rows[20]["matches"]} == {"cc-by-nc"} and rows[21]["matches"] and not rows[22]["matches"]
+
+
+def test_license_oracle_on_lines_without_licence_words(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    docs_of(spark, ["Under CC BY NC 4 0 terms", "released under\nthe MIT\nlicense", "cc by nc 4 0", "", "permission is hereby granted"]).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"select doc_id, labels, score from ({licenses.ORACLE}) order by doc_id").fetchall()
+    got = registry.queries()["op6_license_scan"](spark, str(tmp_path)).select("doc_id", "labels", "score").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want and want[0][1] == "cc-by,cc-by-nc"
+
+
 def test_mix_reaches_targets(spark):
     rows = registry.queries()["op5_mixing"](spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source")
@@ -253,4 +287,5 @@ def test_ablation(spark):
 
 
 def test_short_texts_are_one_shingle():
+    assert [len(x) for x in shingles([b"a b"], 5)] == [1] and [len(x) for x in shingles([b""], 4)] == [0]
     assert [len(x) for x in shingles([b"a b", b"", b"a b c d e", b"  "], 4)] == [1, 0, 2, 0]
