@@ -126,7 +126,8 @@ def scan(df: DataFrame, order: list[str], text: str = "text", keep: tuple[str, .
     places = F.filter(F.transform("__w", lambda x, i: F.when(F.array_contains(every, x), i)), lambda i: i.isNotNull())
     a = a.withColumn("__at", F.when(any_prefix, places).otherwise(F.expr("cast(array() as array<int>)")))
     pairs = F.when(F.size("__at") > 0, matches(F.col("__w"), F.col("__at"))).otherwise(F.expr(f"cast(array() as {kind})"))
-    return a.select(*out, F.size("__w").cast("long").alias("n_words"), F.when(any_phrase, _starts(F.col("__w"))).otherwise(none).alias("places"), pairs.alias("matches"))
+    found = a.select("__kept", F.size("__w").cast("long").alias("__n"), F.when(any_phrase, _starts(F.col("__w"))).otherwise(none).alias("__p"), pairs.alias("__m"))
+    return found.select(*out, F.col("__n").alias("n_words"), F.col("__p").alias("places"), F.col("__m").alias("matches"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def ledger(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         F.transform(F.slice("__h", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(F.col("__h"), i + 1), F.get(F.col("__h"), i + 2))),
     )
     measured = c.select(
-        *out,
+        "__kept",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("__t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -85,7 +85,8 @@ def ledger(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         F.length(F.regexp_replace("__t", r"[^!]+", "")).cast("long").alias("n_bangs"),
     )
     bits = " + ".join(f"(CASE WHEN {rule} THEN {BIT[name]} ELSE 0 END)" for name, rule in RULES)
-    return measured.withColumn("fail_bits", F.expr(bits).cast("long"))
+    judged = measured.withColumn("fail_bits", F.expr(bits).cast("long"))
+    return judged.select(F.struct(*[c for c in judged.columns if c != "__kept"]).alias("__own"), "__kept").select(*out, "__own.*")
 
 
 def apply_policy(rows: DataFrame, policy: Policy) -> DataFrame:
