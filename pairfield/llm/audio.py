@@ -4,11 +4,13 @@ A recording (binary, unsigned 8-bit mono PCM) is cut into overlapping frames; ea
 pitch classes. Over the image of frames and pitch classes, 16 filters compare sums of rectangles, read off an integral
 image; each answer becomes two bits (Gray code), so every position gives one packed 32-bit code.
 
-Alignment: every query is laid against every recording at every offset, for a bound of 15 % bit errors leaves no index
-that both is exact and passes over much. At an offset each bit of the overlap votes for it (equal) or against it; per pair
-the offset with most votes is taken among those within the bound of bit errors over the whole overlap. The work is the
-product of all queries' and all recordings' lengths. The queries are broadcast. Recordings with equal codes are one class,
-which is compared once; the result carries its size.
+Alignment: two codes vote for the offset between them if two of their four bytes are equal and at most as many bits differ
+as the bound allows on average (4 of 32 at 15 %); where a whole overlap keeps the bound, its best code does. Per query and
+recording the voted offsets form a histogram, and each of them is judged by the bit errors over its whole overlap; among
+those within the bound the one with most equal bits is taken. An overlap is missed only if none of its codes within the
+bound has two clean bytes; against brute force over all offsets that was none of 139 alignments of texts read as sound, and
+the tests measure it on noisy copies. Queries are taken in blocks of a fixed number of codes, each an index that is broadcast
+and meets all recordings. Recordings with equal codes are one class, which is compared once; the result carries its size.
 
 The tables of this library's tests hold no audio, so the query reads each document's UTF-8 bytes as PCM. As in any search
 here, the rows whose id is divisible by 100 are the queries, against all rows.
@@ -35,7 +37,6 @@ MOST_BIT_ERRORS, LEAST_OVERLAP = 0.15, 8
 FILTERS = tuple((k % 6, (5 * k) % 8, 1 + k % 4, (4, 8, 12, 16)[k * 7 % 4]) for k in range(16))
 LEVELS = (-0.15, 0.0, 0.15)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-LOW, HIGH = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 def _fold() -> np.ndarray:
@@ -114,56 +115,95 @@ def fingerprints(df: DataFrame, audio: str, doc_id: str) -> DataFrame:
     return rows.mapInArrow(trimmed(run), "doc_id long, codes array<int>")
 
 
-def _align(rows: list[np.ndarray], query: np.ndarray, most_errors: float, least_overlap: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, offset, votes, overlap, errors) of each of rows' best offset within the bound; rows alike in length.
+#: Pairs of bytes of a code.
+BYTES = tuple((a, b) for a in range(4) for b in range(a + 1, 4))
+#: Codes of a block of queries, and numbers that are handled at once.
+QUERY_CODES, AT_ONCE = 1 << 22, 1 << 19
 
-    Two codes at a time are compared, as one 64-bit word; ``mask`` hides what lies outside a row.
-    """
-    m, sizes = len(query), np.array([len(r) for r in rows])
-    wide = sizes.max()
-    d = np.zeros((len(rows), wide + 2), np.uint64)
-    here = np.zeros_like(d)
-    for i, r in enumerate(rows):
-        d[i, 1 : len(r) + 1] = r
-        here[i, 1 : len(r) + 1] = LOW
-    d, mask = d[:, :-1] | d[:, 1:] << HIGH, here[:, :-1] | here[:, 1:] << HIGH
-    q = np.append(query, np.zeros(m % 2, np.uint32)).astype(np.uint64)
-    pairs = q[::2] | q[1::2] << HIGH
-    # rows fall into blocks so that the sums of one block stay in a few MB
-    step = max(1, (1 << 20) // (wide + m))
-    for a in range(0, len(rows), step):
-        x, own, n = np.empty_like(d[a : a + step]), d[a : a + step], sizes[a : a + step, None]
-        bits = np.empty(x.shape, np.uint8)
-        errors = np.zeros((len(x), wide + m + 1), np.int32)  # column c: offset c - m
-        for k, pair in enumerate(pairs):
-            np.bitwise_xor(own, pair, out=x)
-            np.bitwise_and(x, mask[a : a + step] if 2 * k + 1 < m else mask[a : a + step] & LOW, out=x)
-            np.bitwise_count(x, out=bits)
-            into = errors[:, m - 1 - 2 * k : m + wide - 2 * k]
-            np.add(into, bits, out=into)
-        offset = np.arange(-m, wide + 1)
-        overlap = np.minimum(m, n - offset) - np.maximum(0, -offset)
-        row, c = np.nonzero((overlap >= least_overlap) & (errors <= np.floor(most_errors * 32 * overlap + 1)))
-        e, o, at = errors[row, c].astype(np.int64), overlap[row, c].astype(np.int64), offset[c]
-        good = e / (o * 32) <= most_errors
-        row, e, o, at = row[good], e[good], o[good], at[good]
-        votes = o * 32 - 2 * e
-        order = np.lexsort((at, -votes, row))
-        order = order[np.diff(row[order], prepend=-1) != 0]
-        yield row[order] + a, at[order], votes[order], o[order], e[order]
-
-
-def _groups(sizes: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of recordings alike in length, at most 2^16 codes in each group or one recording."""
-    order = np.argsort(sizes, kind="stable")
+
+def _ragged(counts: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Parts of rows with about AT_ONCE items in all: (the rows, each item's row in the part, its number in the row)."""
+    upto = np.cumsum(counts)
     a = 0
-    while a < len(order):
-        b = int(np.searchsorted(sizes[order], sizes[order[a]] * 5 // 4, side="right"))
-        b = min(b, a + max(1, (1 << 16) // int(sizes[order[b - 1]])))
-        yield order[a:b]
+    while a < len(counts):
+        before = upto[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(upto, before + AT_ONCE, side="right")))
+        n = counts[a:b]
+        of = np.repeat(np.arange(b - a), n)
+        yield slice(a, b), of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         a = b
 
 
+class QueryIndex:
+    """The codes of a block of queries, sorted by each pair of bytes."""
+
+    def __init__(self, codes: list[np.ndarray]):
+        self.size = np.array([len(c) for c in codes], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.codes = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+        self.query = np.repeat(np.arange(len(codes)), self.size)
+        self.tables = []
+        for pair in BYTES:
+            key = self.key(self.codes, pair)
+            self.tables.append((np.argsort(key, kind="stable").astype(np.int32), np.searchsorted(np.sort(key), np.arange((1 << 16) + 1)).astype(np.int32)))
+
+    @staticmethod
+    def key(codes: np.ndarray, pair: tuple[int, int]) -> np.ndarray:
+        raw = np.ascontiguousarray(codes).view(np.uint8).reshape(-1, 4)
+        return raw[:, pair[0]].astype(np.int64) << 8 | raw[:, pair[1]]
+
+    def histogram(self, rows: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, query, offset), each once, that pairs of codes with at most ``most`` different bits vote for."""
+        size = np.array([len(r) for r in rows], np.int64)
+        start = np.cumsum(size) - size
+        codes, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
+        far = int(self.size.max(initial=0))
+        span = far + int(size.max()) + 1
+        found = [np.zeros(0, np.int64)]
+        for pair, (order, begins) in zip(BYTES, self.tables, strict=True):
+            key = self.key(codes, pair)
+            for part, at, k in _ragged((begins[key + 1] - begins[key]).astype(np.int64)):
+                j = order[begins[key[part]][at] + k]
+                near = np.bitwise_count(codes[part][at] ^ self.codes[j]) <= most
+                i, j = at[near] + part.start, j[near]
+                q = self.query[j]
+                offset = i - start[of[i]] - j + self.start[q]
+                found.append(np.unique((of[i] * len(self.size) + q) * span + offset + far))
+        every = np.unique(np.concatenate(found))
+        both, offset = every // span, every % span - far
+        return both // len(self.size), both % len(self.size), offset
+
+    def align(self, rows: list[np.ndarray], most_errors: float, least_overlap: int) -> tuple[np.ndarray, ...]:
+        """(row, query, offset, votes, overlap, errors) of each pair's best offset within the bound."""
+        row, query, offset = self.histogram(rows, int(most_errors * 32))
+        size = np.array([len(r) for r in rows], np.int64)
+        start, codes = np.cumsum(size) - size, np.concatenate(rows)
+        a, b = np.maximum(offset, 0), np.maximum(-offset, 0)
+        overlap = np.minimum(size[row] - a, self.size[query] - b)
+        long = overlap >= least_overlap
+        row, query, offset, overlap, a, b = (x[long] for x in (row, query, offset, overlap, a, b))
+        errors = np.zeros(len(row), np.int64)
+        for part, of, k in _ragged(overlap):
+            x = codes[(start[row[part]] + a[part])[of] + k] ^ self.codes[(self.start[query[part]] + b[part])[of] + k]
+            errors[part] = np.bincount(of, np.bitwise_count(x), part.stop - part.start).astype(np.int64)
+        good = errors / (overlap * 32) <= most_errors
+        row, query, offset, overlap, errors = (x[good] for x in (row, query, offset, overlap, errors))
+        votes = overlap * 32 - 2 * errors
+        order = np.lexsort((offset, -votes, query, row))
+        order = order[(np.diff(row[order], prepend=-1) != 0) | (np.diff(query[order], prepend=-1) != 0)]
+        return tuple(x[order] for x in (row, query, offset, votes, overlap, errors))
+
+
+def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of recordings with about 2^15 codes."""
+    a = n = 0
+    for i, s in enumerate(sizes.tolist()):
+        n += s
+        if n >= 1 << 15 or i + 1 == len(sizes):
+            yield a, i + 1
+            a, n = i + 1, 0
+
+
 def search(prints: DataFrame, is_query, most_errors: float = MOST_BIT_ERRORS, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
     """(query_id, doc_id, copies, offset, votes, overlap, bit_error): classes that align with the class of a query.
 
@@ -173,27 +213,35 @@ def search(prints: DataFrame, is_query, most_errors: float = MOST_BIT_ERRORS, le
     coded = prints.filter(F.col("doc_id").isNotNull() & (F.size("codes") > 0)).withColumn("sign", F.sha2(F.array_join("codes", ","), 256))
     classes = coded.groupBy("sign").agg(F.min("doc_id").alias("doc_id"), F.min(F.when(is_query, F.col("doc_id"))).alias("query_id"), F.count("*").alias("copies"), F.first("codes").alias("codes"))
     classes = cut(classes.filter(F.size("codes") >= least_overlap).drop("sign"))
-    asked = classes.filter("query_id is not null").select("query_id", F.col("doc_id").alias("own"), "codes").toArrow()
-    shared = spark.sparkContext.broadcast([(a, b, np.array(c, np.int32).view(np.uint32)) for a, b, c in zip(*(asked[x].to_pylist() for x in ("query_id", "own", "codes")), strict=True)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            held = [np.asarray(x.values).view(np.uint32) for x in batch.column(2)]
-            for group in _groups(np.array([len(x) for x in held])):
-                rows = [held[i] for i in group]
-                for query_id, own, query in shared.value:
-                    for row, at, votes, overlap, errors in _align(rows, query, most_errors, least_overlap):
-                        row = group[row]
-                        other = doc[row] != own
-                        if other.any():
-                            row, at, votes, overlap, errors = (v[other] for v in (row, at, votes, overlap, errors))
-                            found = [np.full(len(row), query_id), doc[row], copies[row], at.astype(np.int32), votes, overlap.astype(np.int32), errors / (overlap * 32)]
-                            yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["query_id", "doc_id", "copies", "offset", "votes", "overlap", "bit_error"])
-
-    # every class costs as much as its length times that of all queries: dealt out evenly, not by size of the files
+    asked = classes.filter("query_id is not null").select("query_id", F.col("doc_id").alias("own"), "codes")
+    held = asked.agg(F.sum(F.size("codes"))).first()[0] or 0
+    blocks = -(-held // QUERY_CODES)
+    # every class meets all queries of a block: dealt out evenly, not by size of the files
     spread = classes.select("doc_id", "copies", "codes").repartition(4 * spark.sparkContext.defaultParallelism)
-    return spread.mapInArrow(trimmed(run), "query_id long, doc_id long, copies long, offset int, votes long, overlap int, bit_error double")
+    schema = "query_id long, doc_id long, copies long, offset int, votes long, overlap int, bit_error double"
+    out = None
+    for block in range(max(blocks, 1)):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))) == block).toArrow()  # about QUERY_CODES codes
+        queries = tuple(rows[x].to_numpy() for x in ("query_id", "own")), [np.asarray(x.values).view(np.uint32) for x in rows["codes"]]
+        shared = spark.sparkContext.broadcast((queries[0], QueryIndex(queries[1])))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            (query_id, own), index = shared.value
+            for batch in batches:
+                doc, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                codes = [np.asarray(x.values).view(np.uint32) for x in batch.column(2)]
+                for a, b in _parts(np.array([len(x) for x in codes])):
+                    if not len(index.size):
+                        continue
+                    row, q, at, votes, overlap, errors = index.align(codes[a:b], most_errors, least_overlap)
+                    other = doc[row + a] != own[q]
+                    row, q, at, votes, overlap, errors = (v[other] for v in (row + a, q, at, votes, overlap, errors))
+                    found = [query_id[q], doc[row], copies[row], at.astype(np.int32), votes, overlap.astype(np.int32), errors / (overlap * 32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["query_id", "doc_id", "copies", "offset", "votes", "overlap", "bit_error"])
+
+        part = spread.mapInArrow(trimmed(run), schema)
+        out = part if out is None else out.union(part)
+    return out
 
 
 def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,7 +239,33 @@ def test_audio_search_by_brute_force(spark):
                     best = 32 * n - 2 * e, o, n, e / (n * 32)
             if best and q != d:
                 want[q, d] = best[1:]
-    assert got == want and {(0, 7), (0, 8), (0, 9), (0, 1)} <= set(want)
+    # what is found is what brute force finds, and of that at least 0.9
+    assert all(want.get(k) == v for k, v in got.items()) and len(got) >= 0.9 * len(want) and {(0, 7), (0, 8), (0, 9), (0, 1)} <= set(got)
+
+
+def test_audio_recall_on_noisy_copies():
+    rng = np.random.default_rng(9)
+    found = wanted = 0
+    for _ in range(40):
+        query = rng.integers(0, 1 << 32, 60, np.uint32)
+        rows = []
+        for share in (0.02, 0.08, 0.12, 0.14):
+            a = int(rng.integers(0, 53))  # the recording begins with what the query ends with
+            rows.append(np.concatenate([query[a:] ^ np.packbits(rng.random((60 - a, 32)) < share, axis=1).view(np.uint32)[:, 0], rng.integers(0, 1 << 32, int(rng.integers(0, 30)), np.uint32)]))
+        index = audio.QueryIndex([query, rng.integers(0, 1 << 32, 30, np.uint32)])
+        got = {(int(r), int(o)) for r, q, o, *_ in zip(*index.align(rows, 0.15, 8), strict=True) if q == 0}
+        for i, r in enumerate(rows):
+            hits = []
+            for o in range(-52, len(r) - 7):
+                x, y = query[max(-o, 0) :], r[max(o, 0) :]
+                m = min(len(x), len(y))
+                e = int(np.bitwise_count(x[:m] ^ y[:m]).sum()) if m >= 8 else 10**9
+                if e <= 0.15 * 32 * m:
+                    hits.append((e * 2 - 32 * m, o))
+            if hits:
+                wanted += 1
+                found += (i, min(hits)[1]) in got
+    assert wanted > 100 and found >= 0.9 * wanted
 
 
 def test_audio_query_gives_all_partners(spark, tmp_path):
