@@ -5,20 +5,21 @@ Removes every byte that lies in a ``length``-byte string which also starts anywh
 1. Anchors. In each ``length``-byte window the 64-byte string of least hash is an anchor (leftmost on ties). Equal windows
    have the same anchor at the same place, so only windows around anchors that occur twice can repeat; the rest of the
    corpus is never sorted. Anchors are counted over the whole table.
-2. Suffix buckets. All occurrences of one anchor, with the bytes around them, form a bucket. Buckets are sorted in blocks
-   of at most ``ROWS`` occurrences, one suffix column at a time, so memory is bounded by a block; a larger bucket is
-   taken in narrow column slices.
-3. Ties. Suffixes are sorted by their first ``COVER`` bytes; longer ties are resolved by the ranks of a difference-cover
-   sample (mod ``COVER``), computed beforehand for the block by doubling: 64, 128, 256 bytes. The last bytes of a window,
-   which a rank would overshoot, are compared by their hash.
-4. Starts of repeated windows become spans, merged per document.
-
-Texts that occur as a whole more than once (by SHA-256) need no sorting: if long enough, all of their bytes go. Within a
-task such a text is anchored once.
-
-Nulls and edges: a null text is empty; texts under ``length`` bytes keep all bytes; rows with a null doc_id are judged
-for whole copies only; rows that repeat a doc_id share its spans; an empty table gives an empty result; further columns
-are left aside. Strings are compared by 64-bit hashes inside a bucket.
+2. Buckets. All occurrences of one anchor, with the bytes around them, form a bucket. A window reaches at least half of what
+   it has beside the anchor to one side, so an anchor of more than ``HOT`` occurrences falls into buckets by the bytes of
+   that half, one set for either side; equal windows meet in one of them.
+3. Suffixes. Buckets are taken in blocks of about ``ROWS`` rows that are laid out alike, anchor under anchor. One pass from
+   the right gives the lexicographic order of the suffixes in the columns of a difference cover (mod ``COVER``), which
+   alone are kept. Then the suffixes of one column at a time are sorted: by the few bytes up to the next cover column,
+   ties by its ranks. Equal windows are neighbours in that order.
+4. Starts of repeated windows become spans, merged per text.
+
+Texts that occur as a whole more than once (by SHA-256) need no sorting: if long enough, all of their bytes go. Rows are
+known by their texts, not by their ids, so rows that repeat a doc_id are judged each on its own.
+
+Nulls and edges: a null text is empty; texts under ``length`` bytes keep all bytes; a null doc_id makes no difference; an
+empty table gives an empty result; further columns are left aside. Neighbours are compared by 64-bit hashes of their
+windows, texts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, partitions, table, trimmed
-from .hashing import mix, powers, prefix_hash, range_hash
+from .common import blocks, cut, partitions, slices, table, trimmed
+from .hashing import prefix_hash, range_hash
 
-LENGTH, GRAM, COVER, ROWS = 400, 64, 64, 8192
+LENGTH, GRAM, COVER, ROWS, HOT = 400, 64, 64, 4096, 4096
 #: A difference cover mod 64: every difference is a multiple of 8 less a number under 8.
 SAMPLE = np.array(sorted({*range(8), *range(8, 64, 8)}))
 #: Least step from each residue to the cover.
@@ -83,69 +84,51 @@ def _anchors(texts: list[bytes], length: int, none: tuple) -> list[tuple[np.ndar
 
 
 class CoverRanks:
-    """Ranks of cover-sample strings in rows of bytes. All rows are laid out alike, so columns have one residue.
-
-    Arrays stand column by column, as suffixes of one column are sorted together.
-    """
-
-    def __init__(self, rows: np.ndarray, ranked: bool = True):
-        self.m, self.width = rows.shape
-        p, self.inverse = powers(self.width + COVER + 1)
-        self.h = np.zeros((self.width + COVER + 1, self.m), np.uint64)
-        self.h[1:] = 1
-        self.h[1 : self.width + 1] += rows.T
-        self.h[1:] *= p[: self.width + COVER, None]
-        np.cumsum(self.h, axis=0, dtype=np.uint64, out=self.h)
-        columns = [c for c in range(self.width) if c % COVER in set(SAMPLE.tolist())]
-        self.where = np.full(self.width + 1, -1)
-        self.where[columns] = np.arange(len(columns))
-        names = np.stack([self.strings(c, COVER) for c in columns])
-        for reach in (COVER, 2 * COVER):
-            # a column further on by a multiple of the modulus is in the sample as well
-            follow = np.zeros_like(names)
-            for i, c in enumerate(columns):
-                if c + reach < self.width and self.where[c + reach] >= 0:
-                    follow[i] = names[self.where[c + reach]]
-            names = mix(names * np.uint64(0x9FB21C651E98DF25) + follow)
-        # a part of a bucket keeps the names, which are equal where joint ranks would be
-        self.ranks = np.unique(names, return_inverse=True)[1].reshape(names.shape).astype(np.uint64) if ranked else names
-
-    def strings(self, c: int, n: int) -> np.ndarray:
-        return mix((self.h[c + n] - self.h[c]) * self.inverse[c])
-
-    def suffixes(self, c: int, length: int) -> np.ndarray:
-        """What tells the length-byte suffix at column c of each row apart: head, cover rank behind it, tail."""
-        rest = 4 * COVER
-        rank = self.ranks[self.where[c + STEP[c % COVER]]]
-        return mix(self.strings(c, COVER) + mix(rank + np.uint64(0x632BE59BD9B4E019)) + self.strings(c + rest, length - rest) * np.uint64(0x9FB21C651E98DF25))
-
-
-def repeated_starts(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """[row, column]: whether the window from that column on also stands in another row of the group.
+    """The lexicographic order of suffixes in cover columns, for rows of bytes laid out alike; ``columns`` holds the rows column by column."""
+
+    def __init__(self, columns: np.ndarray, upto: int):
+        self.columns = columns
+        width, m = columns.shape
+        cover = set(SAMPLE.tolist())
+        self.order: dict[int, np.ndarray] = {}
+        order = np.arange(m, dtype=np.int32)
+        for c in range(width - 1, -1, -1):
+            # the order behind this column, stably by this column's byte
+            order = order[np.argsort(columns[c][order], kind="stable")]
+            if c <= upto and c % COVER in cover:
+                self.order[c] = order
+
+    def sorted(self, c: int) -> np.ndarray:
+        """The rows in the order of their suffixes from column c on: by the bytes before the next cover column, ties by the ranks there."""
+        step = int(STEP[c % COVER])
+        order = self.order[c + step]
+        for k in range(step - 1, -1, -1):
+            order = order[np.argsort(self.columns[c + k][order], kind="stable")]
+        return order
+
+
+def repeated_starts(rows: np.ndarray, left: np.ndarray, right: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """[row, column]: whether the window from that column on also stands in another row.
 
     rows hold ``length - GRAM`` bytes before the anchor and ``length`` from it on, of which left and right are real.
     """
     back = length - GRAM
     out = np.zeros((len(rows), back + 1), bool)
-    step = back + 1 if len(rows) <= ROWS else 16
-    own = mix(group.view(np.uint64))
-    for first in range(0, back + 1, step):
-        columns = range(first, min(first + step, back + 1))
-        # one slice of suffix columns at a time, of a large bucket in parts of its rows
-        ids = np.empty((len(columns), len(rows)), np.uint64)
-        for a in range(0, len(rows), ROWS):
-            part = CoverRanks(rows[a : a + ROWS, first : min(columns[-1] + length + COVER, rows.shape[1])], len(rows) <= ROWS)
-            for i, c in enumerate(columns):
-                ids[i, a : a + ROWS] = part.suffixes(c - first, length)
-        for i, c in enumerate(columns):
-            valid = np.flatnonzero((back - c <= left) & (length - back + c <= right))
-            if len(valid) < 2:
-                continue
-            s = (ids[i] + own)[valid]
-            ordered = np.sort(s)
-            twice = ordered[1:][ordered[1:] == ordered[:-1]]
-            if len(twice):
-                out[valid[np.isin(s, twice)], c] = True
+    columns = np.ascontiguousarray(rows.T)
+    ranks = CoverRanks(columns, back + COVER)
+    r = np.uint64(0x9E3779B97F4A7C15)
+    far = np.uint64(pow(int(r), length, 1 << 64))
+    window = np.zeros(len(rows), np.uint64)  # hash of each row's window from column c on, carried from right to left
+    for c in range(len(columns) - 1, -1, -1):
+        window = window * r + columns[c] + np.uint64(1)
+        if c + length < len(columns):
+            window -= far * (columns[c + length] + np.uint64(1))
+        if c > back:
+            continue
+        order = ranks.sorted(c)
+        order = order[((back - c <= left) & (length - back + c <= right))[order]]
+        same = np.flatnonzero(window[order[1:]] == window[order[:-1]])
+        out[order[same], c] = out[order[same + 1], c] = True
     return out
 
 
@@ -169,52 +152,62 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, n):
-            yield whole.slice(at, n)
+def _node(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
-def find_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, start, end) of repeated runs, unmerged; (doc_id, text) of all documents that may have one)."""
+def find_spans(df: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """((node, start, end) of repeated runs, unmerged; (node, text) of all texts that may have one). A node is a text."""
     back = length - GRAM
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    half = back // 2
+    docs = df.select(F.col(text).cast("binary").alias("text")).filter(F.octet_length("text") >= length).select(_node(F.col("text")).alias("node"), "text")
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in _slices(batches):
-            ids, texts = [], []
+        seen: set[int] = set()
+        for batch in slices(batches):
+            nodes, texts = [], []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                digest = hashlib.blake2b(t, digest_size=16).digest()
-                if digest not in seen:
-                    seen.add(digest)
-                    ids.append(d)
+                if d not in seen:
+                    seen.add(d)
+                    nodes.append(d)
                     texts.append(t)
-            if ids:
+            if nodes:
                 found = anchors(texts, length)
                 n = [len(p) for p, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k in found])), pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.concatenate([p for p, _ in found]))], ["key", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k in found])), pa.array(np.repeat(np.array(nodes, np.int64), n)), pa.array(np.concatenate([p for p, _ in found]).astype(np.int32))], ["key", "node", "at"])
 
-    listed = cut(docs.mapInArrow(trimmed(anchor), "key long, doc_id long, at long"))
-    often = listed.groupBy("key").count().filter("count > 1").select("key")
-    hits = listed.join(often, "key").groupBy("doc_id").agg(F.collect_list(F.struct("at", "key")).alias("hits"))
-    wanted = cut(docs.join(hits, "doc_id"))
+    listed = cut(docs.mapInArrow(trimmed(anchor), "key long, node long, at int"))
+    often = listed.groupBy("key").count().filter("count > 1").select("key", (F.col("count") > HOT).alias("hot"))
+    hits = listed.join(often, "key").groupBy("node").agg(F.collect_set(F.struct("at", "key", "hot")).alias("hits"))
+    wanted = cut(docs.join(hits, "node"))
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, 64):
-            key, doc, at, left, body = [], [], [], [], []
+        seen: set[int] = set()
+        for batch in slices(batches, 32):
+            out: tuple[list, ...] = ([], [], [], [], [])
+
+            def add(bucket: int, node: int, at: int, left: int, body: bytes, out=out) -> None:
+                for column, value in zip(out, (bucket, node, at, left, body), strict=True):
+                    column.append(value)
+
             for d, t, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if d in seen:
+                    continue  # a copy
+                seen.add(d)
                 for hit in own:
-                    p = hit["at"]
-                    key.append(hit["key"])
-                    doc.append(d)
-                    at.append(p)
-                    left.append(min(p, back))
-                    body.append(t[max(0, p - back) : p + length])
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(left, pa.int64()), pa.array(body, pa.binary())], ["key", "doc_id", "at", "left", "body"])
+                    p, key = hit["at"], hit["key"]
+                    if not hit["hot"]:
+                        add(key, d, p, min(p, back), t[max(0, p - back) : p + length])
+                        continue
+                    after = t[p + GRAM : p + GRAM + back - half]
+                    if len(after) == back - half:  # windows that reach so far to the right
+                        add(_bucket(key, b"R", after), d, p, min(p, half), t[max(0, p - half) : p + length])
+                    if p > half:  # and all others, which reach further to the left
+                        add(_bucket(key, b"L", t[p - half - 1 : p]), d, p, min(p, back), t[max(0, p - back) : p + GRAM + back - half - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i == 4 else pa.int64()) for i, x in enumerate(out)], ["bucket", "node", "at", "left", "body"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # occurrences with the same bytes around them are sorted once: (key, left, bytes) to (doc_id, place, ...)
+        # occurrences with the same bytes around them are sorted once: (bucket, left, bytes) to (node, place, ...)
         kinds: dict[tuple, array] = {}
 
         def done() -> pa.RecordBatch:
@@ -227,12 +220,12 @@ def find_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length
             starts = several[:, None] & (back - column <= left[:, None]) & (length - back + column <= right[:, None])
             mixed = np.array([i for i, k in enumerate(kinds) if per_key[k[0]] > 1], np.int64)
             if len(mixed):
-                listed = list(kinds)
-                grid = np.zeros((len(mixed), -(-(back + length) // COVER) * COVER), np.uint8)
+                every = list(kinds)
+                grid = np.zeros((len(mixed), back + length), np.uint8)
                 for j, i in enumerate(mixed.tolist()):
-                    _, own, body = listed[i]
+                    _, own, body = every[i]
                     grid[j, back - own : back - own + len(body)] = np.frombuffer(body, np.uint8)
-                starts[mixed] |= repeated_starts(np.array([listed[i][0] for i in mixed.tolist()], np.int64), grid, left[mixed], right[mixed], length)
+                starts[mixed] |= repeated_starts(grid, left[mixed], right[mixed], length)
             members = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in kinds.values()]
             d, s, e = [], [], []
             for r, a, b in _runs(starts, length):
@@ -240,33 +233,37 @@ def find_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length
                 s.append(members[r][:, 1] - back + a)
                 e.append(members[r][:, 1] - back + b)
             kinds.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (d, s, e)], ["doc_id", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (d, s, e)], ["node", "start", "end"])
 
         last = None
-        for batch in _slices(batches, 4096):
-            for key, doc, at, left, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for batch in slices(batches, 2048):
+            for key, node, at, left, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if len(kinds) >= ROWS and key != last:
                     yield done()
                 last = key
-                kinds.setdefault((key, left, body), array("q")).extend((doc, at))
+                kinds.setdefault((key, left, body), array("q")).extend((node, at))
         if kinds:
             yield done()
 
-    around = wanted.mapInArrow(trimmed(context), "key long, doc_id long, at long, left long, body binary")
-    dealt = around.repartition(partitions(df.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(trimmed(sort), "doc_id long, start long, end long"), wanted.select("doc_id", "text")
+    around = wanted.mapInArrow(trimmed(context), "bucket long, node long, at long, left long, body binary")
+    dealt = around.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(trimmed(sort), "node long, start long, end long"), wanted.select("node", "text")
+
+
+def _bucket(key: int, side: bytes, beside: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(beside, digest_size=8, key=key.to_bytes(8, "little", signed=True), person=side).digest(), "little", signed=True)
 
 
 def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """Per row: doc_id, n_bytes, spans (start, end; merged), kept_sha256."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    base = cut(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha")))
+    base = cut(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), _node(body).alias("node"), F.sha2(body, 256).alias("sha")))
     copied = base.filter(F.col("n_bytes") >= length).groupBy("sha").count().filter("count > 1").select(F.col("sha").alias("copied"))
-    spans, texts = find_spans(df, text, doc_id, length)
-    per = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("found"))
+    spans, texts = find_spans(df, text, length)
+    per = spans.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("found"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             out: list[list] = [[], [], []]
             for d, t, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 own = merged([(x["start"], x["end"]) for x in found])
@@ -275,10 +272,10 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int
                 out[1].append([{"start": a, "end": b} for a, b in own])
                 out[2].append(hashlib.sha256(b"".join(t[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))).hexdigest())
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], kind), pa.array(out[2], pa.string())], ["doc_id", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], kind), pa.array(out[2], pa.string())], ["node", "spans", "kept"])
 
-    judged = texts.join(per, "doc_id").mapInArrow(trimmed(keep), "doc_id long, spans array<struct<start:long,end:long>>, kept string").dropDuplicates(["doc_id"])
-    rows = base.join(copied, base["sha"] == copied["copied"], "left").join(judged, "doc_id", "left")
+    judged = texts.join(per, "node").mapInArrow(trimmed(keep), "node long, spans array<struct<start:long,end:long>>, kept string").dropDuplicates(["node"])
+    rows = base.join(copied, base["sha"] == copied["copied"], "left").join(judged, "node", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     empty = F.sha2(F.lit("").cast("binary"), 256)
     return rows.select(

@@ -121,14 +121,46 @@ def test_suffix_dedup_by_brute_force(spark):
         assert [x for s in got[d]["spans"] for x in (s["start"], s["end"])] == edges.tolist(), d
 
 
-def test_large_bucket_in_slices(monkeypatch):
+def test_cover_ranks_sort_suffixes():
     rng = np.random.default_rng(3)
-    rows = rng.integers(97, 123, (40, 768)).astype(np.uint8)
+    rows = rng.integers(97, 99, (60, 300)).astype(np.uint8)
+    rows[7:20, 30:] = rows[7, 30:]
+    ranks = suffix_dedup.CoverRanks(np.ascontiguousarray(rows.T), 200)
+    for c in range(0, 130):
+        got = [rows[i, c:].tobytes() for i in ranks.sorted(c)]
+        assert got == sorted(got)
+
+
+def test_repeated_starts_by_brute_force():
+    rng = np.random.default_rng(4)
+    rows = rng.integers(97, 123, (40, 736)).astype(np.uint8)
     rows[7:20, 100:600] = rows[7, 100:600]
-    side = np.full(40, 336), np.full(40, 400)
-    want = suffix_dedup.repeated_starts(np.zeros(40, np.int64), rows, *side)
-    monkeypatch.setattr(suffix_dedup, "ROWS", 16)
-    assert want[7].sum() == 101 and (suffix_dedup.repeated_starts(np.zeros(40, np.int64), rows, *side) == want).all()
+    rows[25, 300:701], rows[30, 300:701] = rows[3, 300:701], rows[3, 300:701]
+    left, right = rng.integers(200, 337, 40), rng.integers(300, 401, 40)
+    got = suffix_dedup.repeated_starts(rows, left, right)
+    windows = {(i, c): rows[i, c : c + 400].tobytes() for i in range(40) for c in range(337) if 336 - c <= left[i] and 64 + c <= right[i]}
+    seen = Counter(windows.values())
+    assert {k for k, w in windows.items() if seen[w] > 1} == set(zip(*map(np.ndarray.tolist, np.nonzero(got)), strict=True)) and got.any()
+
+
+def test_suffix_dedup_with_a_hot_anchor_and_repeated_ids(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, deep = word(250), word(420)
+    texts = [word(rng.randrange(300, 700)) + passage + word(rng.randrange(300, 700)) for _ in range(60)] + [word(300) + deep + passage + word(500), word(40) + deep + passage + word(90), word(600) + passage[:200] + deep]
+    df = docs_of(spark, texts).withColumn("doc_id", F.col("doc_id") % 5)
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    raw = [t.encode() for t in texts]
+    seen = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+    want = []
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 399):
+            if seen[b[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        want.append((len(b), int(gone.sum())))
+    got = [(r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"])) for r in suffix_dedup.dedup(df).collect()]
+    assert sorted(got) == sorted(want) and sum(n > 0 for _, n in want) == 3
 
 
 def test_packing_round_trip(spark):
