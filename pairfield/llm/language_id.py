@@ -1,10 +1,10 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Texts are read as letters over a 64-sign alphabet (see ``signs``); other characters become one blank. Training counts all
-4-grams of every labelled row: each task counts its own, Spark sums them by (language, 4-gram). A 4-gram is a 24-bit
-key, so the model holds at most 2^24 rows per language at any input size. Lower orders come from the 4-gram types
-(continuation counts). The model is kept as sorted key arrays, one per order, with a log probability or back-off weight
-per language beside each key, and is broadcast.
+Texts are read as letters, lower-cased and each by its code point, in 16 bits (see ``signs``); other characters become one
+blank. Training counts all 4-grams of every labelled row: each task counts its own, Spark sums them by (language, 4-gram).
+A 4-gram is a 64-bit key. Lower orders come from the 4-gram types (continuation counts). The model is kept as sorted key
+arrays, one per order, with a log probability or back-off weight per language beside each key, and is broadcast; it grows
+with the number of different 4-grams of the corpus.
 
 A text gets the language of least cross-entropy per sign. ``score`` is that language's share (softmax of the total
 log likelihood, damped to 200 signs). A text is rejected when its cross-entropy is further above what labelled texts of
@@ -27,21 +27,21 @@ from pyspark.sql import functions as F
 
 from .common import blocks, cut, kept_as, slices, table, trimmed
 
-ORDER, BITS = 4, 6
+ORDER, BITS = 4, 16
 QUANTILE, SLACK = 0.999, 4.0
 #: The quantile's rank is exact up to one part in so many of a language's rows.
 ACCURACY = 1_000_000
 
 
 def _alphabet() -> np.ndarray:
-    """Sign of each code point: 0 for what is no letter, 1..26 for a..z, else 27..63 by a rule."""
-    out = np.zeros(0x110000, np.uint8)
+    """Sign of each code point: 0 for what is no letter, else the lower-case letter; letters beyond 16 bits share the places of the private use area."""
+    out = np.zeros(0x110000, np.uint16)
     # planes 4 to 16 have no letters
     for c in range(0x40000):
         x = chr(c)
         if x.isalpha():
             y = ord(x.lower()[0])
-            out[c] = y - 96 if 97 <= y <= 122 else 27 + (y * 40503 >> 3) % 37
+            out[c] = y if y < 1 << 16 else 0xE000 + (y * 40503 >> 3) % 0x1900
     return out
 
 
@@ -70,10 +70,10 @@ def signs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(s: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the 4-grams that end at each sign after a text's opening blanks, and where each text's begin."""
-    x = s.astype(np.uint32)
+    x = s.astype(np.uint64)
     key = x.copy()
     for k in range(1, ORDER):
-        key[k:] |= x[:-k] << np.uint32(BITS * k)
+        key[k:] |= x[:-k] << np.uint64(BITS * k)
     inside = np.ones(len(x), bool)
     for k in range(ORDER - 1):
         inside[begin[:-1] + k] = False
@@ -99,7 +99,7 @@ def count_grams(df: DataFrame, text: str = "text", label: str = "lang") -> DataF
                         n = np.bincount(at, np.concatenate([total[name][1], n]), len(u)).astype(np.int64)
                     total[name] = (u, n)
         for name, (u, n) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], ["label", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["label", "gram", "n"])
 
     rows = df.select(F.col(text).alias("text"), F.col(label).alias("label")).dropna()
     return rows.mapInArrow(trimmed(count), "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
@@ -130,16 +130,16 @@ class Model:
     def fit(cls, languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         """counts: per language the distinct 4-gram keys and how often each occurs."""
         model = cls(languages)
-        types = {name: counts.get(name, (np.zeros(0, np.uint32), np.zeros(0))) for name in languages}
+        types = {name: counts.get(name, (np.zeros(0, np.uint64), np.zeros(0))) for name in languages}
         by_order = {ORDER: types}
         for k in range(ORDER - 1, 0, -1):
             # continuation counts: in how many signs' wake a k-gram stands
-            mask = np.uint32((1 << BITS * k) - 1)
+            mask = np.uint64((1 << BITS * k) - 1)
             by_order[k] = {name: np.unique(key & mask, return_counts=True) for name, (key, _) in by_order[k + 1].items()}
         for k in range(1, ORDER + 1):
-            keys = np.unique(np.concatenate([by_order[k][name][0] for name in languages] or [np.zeros(0, np.uint32)]))
-            contexts = np.unique(keys >> np.uint32(BITS))
-            lower = model._score(keys & np.uint32((1 << BITS * (k - 1)) - 1), k - 1)
+            keys = np.unique(np.concatenate([by_order[k][name][0] for name in languages] or [np.zeros(0, np.uint64)]))
+            contexts = np.unique(keys >> np.uint64(BITS))
+            lower = model._score(keys & np.uint64((1 << BITS * (k - 1)) - 1), k - 1)
             prob, back = np.zeros((len(keys), len(languages))), np.zeros((len(contexts), len(languages)))
             for j, name in enumerate(languages):
                 key, n = by_order[k][name]
@@ -147,7 +147,7 @@ class Model:
                 d = one / (one + 2 * two) if one and two else 0.5
                 c = np.zeros(len(keys))
                 c[np.searchsorted(keys, key)] = n
-                of = np.searchsorted(contexts, keys >> np.uint32(BITS))
+                of = np.searchsorted(contexts, keys >> np.uint64(BITS))
                 total = np.bincount(of, c, len(contexts))
                 kinds = np.bincount(of, c > 0, len(contexts))
                 weight = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
@@ -166,8 +166,8 @@ class Model:
         out = np.empty((len(keys), len(self.languages)), np.float32)
         out[known] = self.prob[k][at[known]]
         rest = keys[~known]
-        shorter = self._score(rest & np.uint32((1 << BITS * (k - 1)) - 1), k - 1)
-        at, known_context = _find(self.contexts[k], rest >> np.uint32(BITS))
+        shorter = self._score(rest & np.uint64((1 << BITS * (k - 1)) - 1), k - 1)
+        at, known_context = _find(self.contexts[k], rest >> np.uint64(BITS))
         if known_context.any():
             shorter[known_context] += self.back[k][at[known_context]]
         out[~known] = shorter
@@ -209,7 +209,7 @@ def train(df: DataFrame, text: str = "text", label: str = "lang") -> Model:
     """Counts and the rejection threshold, both over all labelled rows."""
     rows = count_grams(df, text, label).toArrow()
     names = np.array(rows["label"].to_pylist(), object)
-    gram, n = rows["gram"].to_numpy().astype(np.uint32), rows["n"].to_numpy()
+    gram, n = rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     counts = {}
     for name in sorted(set(names)):
         own = names == name

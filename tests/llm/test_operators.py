@@ -237,11 +237,41 @@ def test_kneser_ney_sums_to_one():
     s = language_id.signs(["hello there world", "hello where"])
     key, n = np.unique(language_id.grams(*s)[0], return_counts=True)
     model = language_id.Model.fit(["en"], {"en": (key, n)})
-    for context in (0, int(key[5]) >> 6, 123456):
-        every = (np.uint32(context) << np.uint32(6) | np.arange(64, dtype=np.uint32)) & np.uint32((1 << 24) - 1)
+    for context in (0, int(key[5]) >> 16, 123456):
+        every = np.uint64(context) << np.uint64(16) | np.arange(1 << 16, dtype=np.uint64)
         assert np.exp2(model._score(every, 4)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_kneser_ney_by_brute_force():
+    texts = {"a": ["hello there world", "hello where"], "b": ["\u0436\u0430\u043c \u0442\u0430\u043c", "\u0442\u0430\u043c"]}
+    model = language_id.Model.fit(["a", "b"], {k: np.unique(language_id.grams(*language_id.signs(v))[0], return_counts=True) for k, v in texts.items()})
+
+    def probability(name, gram):
+        """Interpolated Kneser-Ney, straight from its definition."""
+        padded = ["\0\0\0" + t.replace(" ", "\0") + "\0" for t in texts[name]]
+        fours = Counter(t[i - 3 : i + 1] for t in padded for i in range(3, len(t)))
+        counts = {4: fours}
+        for k in (3, 2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+        def p(g):
+            if not g:
+                return 2.0**-16
+            c = counts[len(g)]
+            own = [n for x, n in c.items() if x[:-1] == g[:-1]]
+            one, two = (sum(n == v for n in c.values()) for v in (1, 2))
+            d = one / (one + 2 * two) if one and two else 0.5
+            return max(c[g] - d, 0) / sum(own) + d * len(own) / sum(own) * p(g[1:]) if own else p(g[1:])
+
+        return p(gram)
+
+    for gram in ("hell", "\0the", "ello", "\u0436\u0430\u043c\0", "zzzz", "the\0"):
+        key = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(gram))], np.uint64)
+        assert np.exp2(model._score(key, 4)[0]) == pytest.approx([probability("a", gram), probability("b", gram)], rel=1e-4), gram
+    # letters of other scripts are told apart
+    assert language_id.judge(model, ["\u0442\u0430\u043c \u0436\u0430\u043c"])[0] == ["b"] and language_id.judge(model, ["1234 !!"])[0] == ["und"]
+
+
 def test_audio_finds_a_shifted_copy(spark):
     rng = np.random.default_rng(4)
     sound = rng.integers(0, 256, 6000).astype(np.uint8)
