@@ -7,6 +7,10 @@ where an id goes follows from its place in its queue, on any executor, and defic
 alike. Windows are cut off this service order every ``size`` ids; the ids after the last full window make sequences
 whose lengths are powers of two, so nothing is padded.
 
+With target weights a queue's quantum is its weight's share among the queues that still hold ids. The service then falls
+into phases, one for each time a queue runs empty; each phase is served as above, with what its queues send in it for T_s.
+Without weights every queue lasts to the end and there is one phase.
+
 Two passes: ids are made once and cut to the shared folder by chunk (a task's rows); then each chunk gets the places
 at which its part of each queue begins (one row per chunk and queue; Spark broadcasts it only below its size threshold
 and else joins by shuffle), and cuts its own documents into pieces. Documents are not gathered by source, so a hot source
@@ -24,6 +28,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -68,27 +73,35 @@ def encode(df: DataFrame, path: str, text: str = "text", source: str = "source",
     return rows.mapInArrow(trimmed(run), "chunk int, queue int, start long, n long, doc_id long, source string, ids binary")
 
 
-class Service:
-    """The service order of queues that hold ``totals`` ids."""
+def phases(totals: list[int], weights: list[int] | None) -> list[list[int]]:
+    """Per phase, what each queue sends in it."""
+    if weights is None:
+        return [list(totals)]
+    out, left = [], list(totals)
+    while any(left):
+        time = min(Fraction(n, w) for n, w in zip(left, weights, strict=True) if n)
+        sends = [min(n, int(w * time)) for n, w in zip(left, weights, strict=True)]
+        out.append(sends)
+        left = [n - x for n, x in zip(left, sends, strict=True)]
+    return out
+
+
+class Phase:
+    """The service order of queues that send ``totals`` ids."""
 
     def __init__(self, totals: list[int], size: int):
-        self.size, self.total = size, sum(totals)
+        self.total = sum(totals)
         self.cycles = max(1, min(-(-self.total // size), 1 << 31))
         self.totals = totals
         t = np.array(totals, np.int64)
         self.whole, self.part = (t // self.cycles)[:, None], (t % self.cycles)[:, None]
-        self.full = self.total // size
-        rest = self.total % size
-        # the ids after the last full window: sequences of falling powers of two
-        self.tail = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        self.tail_begins = [self.full * size + sum(self.tail[:i]) for i in range(len(self.tail))]
 
     def sent(self, cycle: np.ndarray) -> np.ndarray:
         """Ids sent by each queue (rows) before each cycle (columns); exact in 64 bits, as cycles are at most 2^31."""
         return self.whole * cycle + self.part * cycle // self.cycles
 
-    def pieces(self, queue: int, start: int, n: int) -> list[tuple[int, int, int, int]]:
-        """(begin in the queue, length, sequence, offset) of a document's pieces."""
+    def runs(self, queue: int, start: int, n: int) -> Iterator[tuple[int, int, int]]:
+        """(begin in the queue, place in the service order, length) of what is sent of [start, start + n)."""
         t = self.totals[queue]
         first, last = ((start + 1) * self.cycles - 1) // t, ((start + n) * self.cycles - 1) // t
         cycle = np.arange(first, last + 2)
@@ -104,21 +117,46 @@ class Service:
             sent = self.sent(edges)
             at, to = np.searchsorted(edges, c), np.searchsorted(edges, c + 1)
             place[a : a + step] = sent.sum(axis=0)[at] + (sent[:queue, to] - sent[:queue, at]).sum(axis=0)
-        place += skipped
-        out: list[tuple[int, int, int, int]] = []
-        at = had = 0
+        return zip(begin.tolist(), (place + skipped).tolist(), (end - begin).tolist(), strict=True)
+
+
+class Service:
+    """Where ids of queues that hold ``totals`` ids go."""
+
+    def __init__(self, totals: list[int], size: int, weights: list[int] | None = None):
+        self.size, self.total = size, sum(totals)
+        #: Per phase: what each queue has sent before it, and the place at which it begins.
+        self.phases: list[tuple[Phase, list[int], int]] = []
+        before, place = [0] * len(totals), 0
+        for sends in phases(totals, weights):
+            self.phases.append((Phase(sends, size), before, place))
+            before, place = [x + y for x, y in zip(before, sends, strict=True)], place + sum(sends)
+        self.full = self.total // size
+        rest = self.total % size
+        # the ids after the last full window: sequences of falling powers of two
+        self.tail = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+        self.tail_begins = [self.full * size + sum(self.tail[:i]) for i in range(len(self.tail))]
+
+    def pieces(self, queue: int, start: int, n: int) -> list[tuple[int, int, int, int]]:
+        """(begin in the queue, length, sequence, offset) of a document's pieces."""
         runs: list[list[int]] = []
-        for b, e, p in zip(begin.tolist(), end.tolist(), place.tolist(), strict=True):
-            if runs and runs[-1][1] + runs[-1][2] == p and runs[-1][0] + runs[-1][2] == b:
-                runs[-1][2] += e - b
-            else:
-                runs.append([b, p, e - b])
-        for at, place_, left in runs:
+        for phase, before, began in self.phases:
+            a, b = max(start, before[queue]), min(start + n, before[queue] + phase.totals[queue])
+            if a >= b:
+                continue
+            for at, place, length in phase.runs(queue, a - before[queue], b - a):
+                at, place = at + before[queue], place + began
+                if runs and runs[-1][1] + runs[-1][2] == place and runs[-1][0] + runs[-1][2] == at:
+                    runs[-1][2] += length
+                else:
+                    runs.append([at, place, length])
+        out: list[tuple[int, int, int, int]] = []
+        for at, place, left in runs:
             while left:
-                seq, off, room = self.window(place_)
+                seq, off, room = self.window(place)
                 had = min(room, left)
                 out.append((at, had, seq, off))
-                at, place_, left = at + had, place_ + had, left - had
+                at, place, left = at + had, place + had, left - had
         return out
 
     def window(self, place: int) -> tuple[int, int, int]:
@@ -132,16 +170,21 @@ class Service:
         raise ValueError("place after the last id")
 
 
-def cut_pieces(chunks: DataFrame, size: int = SIZE) -> DataFrame:
+def cut_pieces(chunks: DataFrame, size: int = SIZE, weights: dict[str | None, int] | None = None) -> DataFrame:
     """The pieces of encoded documents; chunks as ``encode`` gives them, behind a cut."""
-    held = chunks.groupBy("chunk", "queue").agg(F.sum("n").alias("held"))
+    held = chunks.groupBy("chunk", "queue").agg(F.sum("n").alias("held"), F.first("source").alias("source"))
     run_up = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = cut(held.withColumn("base", F.coalesce(F.sum("held").over(run_up), F.lit(0))))
-    sums = {r["queue"]: r["t"] for r in base.groupBy("queue").agg(F.sum("held").alias("t")).collect()}  # one row a source
-    totals = chunks.sparkSession.sparkContext.broadcast([sums.get(q, 0) for q in range(max(sums, default=0) + 1)])
+    per = base.groupBy("queue").agg(F.sum("held").alias("t"), F.first("source").alias("source")).collect()  # one row a source
+    sums, names = {r["queue"]: r["t"] for r in per}, {r["queue"]: r["source"] for r in per}
+    queues = range(max(sums, default=0) + 1)
+    own = None if weights is None else [weights.get(names.get(q), 1) for q in queues]
+    if own is not None and min(own) <= 0:
+        raise ValueError("weights must be positive")
+    totals = chunks.sparkSession.sparkContext.broadcast(([sums.get(q, 0) for q in queues], own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        service = Service(totals.value, size)
+        service = Service(totals.value[0], size, totals.value[1])
         for batch in batches:
             rows: list[tuple] = []
             for r in range(batch.num_rows):
@@ -153,13 +196,17 @@ def cut_pieces(chunks: DataFrame, size: int = SIZE) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i == 7 else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
-    placed = chunks.join(base.drop("held"), ["chunk", "queue"]).select("doc_id", "source", "queue", (F.col("start") + F.col("base")).alias("start"), "n", "ids")
+    placed = chunks.join(base.drop("held", "source"), ["chunk", "queue"]).select("doc_id", "source", "queue", (F.col("start") + F.col("base")).alias("start"), "n", "ids")
     return placed.mapInArrow(trimmed(run), PIECES)
 
 
-def pack(df: DataFrame, path: str, size: int = SIZE) -> DataFrame:
-    """All documents of df as pieces of sequences of at most ``size`` ids."""
-    return cut_pieces(cut(encode(df, path)), size)
+def pack(df: DataFrame, path: str, size: int = SIZE, weights: dict[str | None, int] | None = None) -> DataFrame:
+    """All documents of df as pieces of sequences of at most ``size`` ids.
+
+    ``weights`` (whole numbers; 1 for sources without one) are the windows' target proportions for as long as the sources
+    last; by default the proportions are those of the whole table.
+    """
+    return cut_pieces(cut(encode(df, path)), size, weights)
 
 
 def default_path() -> str:

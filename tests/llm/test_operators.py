@@ -207,6 +207,28 @@ def test_packing_keeps_shares_of_many_sources(spark):
     assert max(abs(w[s] - t / 40) for w in full for s, t in total.items() if s != "big") <= 3
 
 
+def test_packing_to_target_weights():
+    totals, weights = [60_000, 20_000, 90_000, 0], [1, 2, 3, 5]
+    service = packing.Service(totals, 1000, weights)
+    share, filled = defaultdict(Counter), Counter()
+    for q, t in enumerate(totals):
+        for start in range(0, t, 700):
+            n = min(700, t - start)
+            pieces = service.pieces(q, start, n)
+            assert sorted(p[0] for p in pieces)[0] == start and sum(p[1] for p in pieces) == n
+            for _, length, seq, off in pieces:
+                share[seq][q] += length
+                filled[seq, off] += length
+    assert sum(filled.values()) == sum(totals)
+    ends = {seq: 0 for seq, _ in filled}
+    for (seq, off), length in sorted(filled.items()):
+        assert off == ends[seq]
+        ends[seq] += length
+    # queue 1 runs empty after 20,000 / 2 * 6 ids; then 1 : 3
+    assert all(abs(share[s][q] - 1000 * w / 6) <= 4 for s in range(58) for q, w in enumerate((1, 2, 3)))
+    assert all(abs(share[s][q] - 1000 * w / 4) <= 4 for s in range(62, 138) for q, w in ((0, 1), (2, 3)))
+
+
 def test_language_and_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
