@@ -8,7 +8,8 @@ with the number of different 4-grams of the corpus.
 
 A text gets the language of least cross-entropy per sign. ``score`` is that language's share (softmax of the total
 log likelihood, damped to 200 signs). A text is rejected when its cross-entropy is further above what labelled texts of
-that language show than their calibrated quantile allows, or when it has no letter.
+that language show than their calibrated quantile allows, or when it has no letter. Calibration covers all labelled rows and
+is held out: they fall into halves by their text, and each half is measured by the model of the other.
 
 Nulls and edges: a null or empty text, or one without letters, is ``und`` with score 0 and is rejected; ties go to the
 language first by code point; repeated rows count as often as they stand in the table; an empty or unlabelled training
@@ -82,15 +83,15 @@ def grams(s: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_grams(df: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
-    """(label, gram, n) over all rows with a text and a label."""
+    """(label, half, gram, n) over all rows with a text and a label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        total: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in slices(batches, 512):
-            labels = np.array(batch.column(1).to_pylist(), object)
-            texts = np.array(batch.column(0).to_pylist(), object)
-            for name in dict.fromkeys(labels):
-                mine = texts[labels == name].tolist()
+            labels, halves = (batch.column(i).to_pylist() for i in (1, 2))
+            texts = batch.column(0).to_pylist()
+            for name in dict.fromkeys(zip(labels, halves, strict=True)):
+                mine = [t for t, *own in zip(texts, labels, halves, strict=True) if tuple(own) == name]
                 for a, b in blocks(mine):
                     key, _ = grams(*signs(mine[a:b]))
                     u, n = np.unique(key, return_counts=True)
@@ -98,11 +99,19 @@ def count_grams(df: DataFrame, text: str = "text", label: str = "lang") -> DataF
                         u, at = np.unique(np.concatenate([total[name][0], u]), return_inverse=True)
                         n = np.bincount(at, np.concatenate([total[name][1], n]), len(u)).astype(np.int64)
                     total[name] = (u, n)
-        for name, (u, n) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["label", "gram", "n"])
+        for (name, part), (u, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(u), pa.string()), pa.array([part] * len(u), pa.int32()), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["label", "half", "gram", "n"])
 
-    rows = df.select(F.col(text).alias("text"), F.col(label).alias("label")).dropna()
-    return rows.mapInArrow(trimmed(count), "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    rows = _labelled(df, text, label)
+    return rows.mapInArrow(trimmed(count), "label string, half int, gram long, n long").groupBy("label", "half", "gram").agg(F.sum("n").alias("n"))
+
+
+def half(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
+
+
+def _labelled(df: DataFrame, text: str, label: str) -> DataFrame:
+    return df.select(F.col(text).alias("text"), F.col(label).alias("label"), half(F.col(text)).alias("half")).dropna()
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,25 +217,34 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
 def train(df: DataFrame, text: str = "text", label: str = "lang") -> Model:
     """Counts and the rejection threshold, both over all labelled rows."""
     rows = count_grams(df, text, label).toArrow()
-    names = np.array(rows["label"].to_pylist(), object)
+    names, parts = np.array(rows["label"].to_pylist(), object), rows["half"].to_numpy()
     gram, n = rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    counts = {}
-    for name in sorted(set(names)):
-        own = names == name
-        order = np.argsort(gram[own], kind="stable")
-        counts[name] = (gram[own][order], n[own][order])
-    model = Model.fit(sorted(counts), counts)
-    labelled = df.select(F.col(text).alias("text"), F.col(label).alias("label")).dropna()
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    languages = sorted(set(names))
+
+    def counted(of: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        out = {}
+        for name in languages:
+            own = of & (names == name)
+            u, at = np.unique(gram[own], return_inverse=True)
+            out[name] = u, np.bincount(at, n[own], len(u)).astype(np.int64)
+        return out
+
+    model = Model.fit(languages, counted(np.ones(len(n), bool)))
+    shared = df.sparkSession.sparkContext.broadcast([Model.fit(languages, counted(parts != k)) for k in (0, 1)])
 
     def excess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            h, n, letters = shared.value.entropy(batch.column(0).to_pylist())
-            own = np.array([shared.value.languages.index(x) for x in batch.column(1).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(h[np.arange(len(own)), own]), pa.array(n)], ["own", "h", "n"])
-
-    seen = cut(labelled.mapInArrow(trimmed(excess), "own long, h double, n long"))
-    model.usual, model.room = np.full(len(counts), np.inf), np.full(len(counts), np.inf)
+            texts, of = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+            own = np.array([languages.index(x) for x in batch.column(1).to_pylist()], np.int64)
+            h, n = np.zeros(len(own)), np.zeros(len(own), np.int64)
+            for k, other in enumerate(shared.value):
+                mine = np.flatnonzero(of == k)
+                each, n[mine], _ = other.entropy([texts[i] for i in mine])
+                h[mine] = each[np.arange(len(mine)), own[mine]]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(h), pa.array(n)], ["own", "h", "n"])
+
+    seen = cut(_labelled(df, text, label).mapInArrow(trimmed(excess), "own long, h double, n long"))
+    model.usual, model.room = np.full(len(languages), np.inf), np.full(len(languages), np.inf)
     # one row a language each
     for r in seen.groupBy("own").agg((F.sum(F.col("h") * F.col("n")) / F.sum("n")).alias("usual")).collect():
         model.usual[r["own"]] = r["usual"] if r["usual"] is not None else np.inf
