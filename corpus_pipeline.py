@@ -1,4 +1,11 @@
-"""A training-data pipeline over ``documents``: five stages, each one operator over all that the stage before kept."""
+"""A training-data pipeline over ``documents``: five stages, each one operator over all that the stage before kept.
+
+Nulls and edges, in all stages: a null or empty text has no letter and is dropped by the first stage, so later ones get
+texts; a null doc_id stays and is held against no other document; rows that repeat a doc_id are judged by their own texts
+(line dedup: share their verdicts by line number); of equal texts the smallest doc_id stays; a null source is a source of
+its own; ties are decided as the operators say; an empty table gives an empty table; columns beyond those of documents end
+with the first stage.
+"""
 
 from __future__ import annotations
 
@@ -60,11 +67,14 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are a table in the shared folder before the next one reads them."""
     docs = common.table(spark, sf_dir, "documents")
-    home = common.shared_folder(spark)
+    home, last = common.shared_folder(spark), None
     for name, stage in STAGES[:-1]:
-        to = f"{home}/pipeline-{uuid.uuid4().hex}/{name}"
+        to = f"{home}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(to)
         docs = spark.read.parquet(to)
+        if last:
+            common.discard(spark, last)
+        last = to
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
