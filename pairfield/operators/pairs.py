@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
 COLUMNS = ("id", "type", "x", "y", "z", "mass", "charge")
-#: The own cell, and of each pair of opposite neighbours one.
-HALF = tuple(o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0))
 #: Rows of a block of the direct strategy.
 BLOCK_ROWS = 2048
 
 
+def half_stencil(reach: int) -> tuple[tuple[int, int, int], ...]:
+    """The own cell, and of each pair of opposite neighbours one, that hold points within ``reach`` cell widths."""
+    gap = lambda o: sum(max(abs(x) - 1, 0) ** 2 for x in o)
+    return tuple(o for o in product(range(-reach, reach + 1), repeat=3) if o >= (0, 0, 0) and gap(o) <= reach * reach)
+
+
 def _side(df: DataFrame, suffix: str, columns: tuple[str, ...]) -> list[Column]:
     return [F.col(c).alias(c + suffix) for c in columns]
 
@@ -47,15 +51,18 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.inline(F.array(F.struct(*pairs.columns), F.struct(*map(back, pairs.columns)))))
 
 
-def grid(df: DataFrame, cutoff: float, columns: tuple[str, ...] = COLUMNS, box: tuple[float | None, ...] = (None, None, None), directed: bool = True) -> DataFrame:
-    """Pairs within the cutoff: ``columns`` with suffixes _a and _b, dx, dy, dz (from a to b) and r2; each once unless ``directed``."""
-    counts = [None if length is None else floor(length / cutoff) for length in box]
-    if any(n is not None and n < 3 for n in counts):
+def grid(df: DataFrame, cutoff: float, columns: tuple[str, ...] = COLUMNS, box: tuple[float | None, ...] = (None, None, None), directed: bool = True, per_cutoff: int = 1) -> DataFrame:
+    """Pairs within the cutoff: ``columns`` with suffixes _a and _b, dx, dy, dz (from a to b) and r2; each once unless ``directed``.
+
+    A cell is the cutoff's ``per_cutoff``-th part: smaller cells make fewer pairs to test and more copies of each row.
+    """
+    counts = [None if length is None else floor(length * per_cutoff / cutoff) for length in box]
+    if any(n is not None and n < 2 * per_cutoff + 1 for n in counts):
         return direct(df, cutoff, columns, box, directed)  # wrapped neighbours would coincide
     columns = _have(df, columns)
     cell, around = {}, {}
     for a, length, n in zip(AXES, box, counts, strict=True):
-        size = cutoff if n is None else length / n
+        size = cutoff / per_cutoff if n is None else length / n
         cell[a] = F.floor(F.col(a) / F.lit(float(size))).cast("long")
         around[a] = length, n
 
@@ -69,7 +76,7 @@ def grid(df: DataFrame, cutoff: float, columns: tuple[str, ...] = COLUMNS, box:
         return out
 
     home = df.select(*_side(df, "_a", columns), *placed("_a", cell))
-    offsets = F.array(*[F.struct(*[F.lit(o).cast("long").alias(f"o{a}") for o, a in zip(offset, AXES, strict=True)]) for offset in HALF])
+    offsets = F.array(*[F.struct(*[F.lit(o).cast("long").alias(f"o{a}") for o, a in zip(offset, AXES, strict=True)]) for offset in half_stencil(per_cutoff)])
     spread = df.select("*", *[cell[a].alias(f"__c{a}") for a in AXES], F.explode(offsets).alias("o"))
     own = (F.col("o.ox") == 0) & (F.col("o.oy") == 0) & (F.col("o.oz") == 0)
     spread = spread.select(*_side(df, "_b", columns), *placed("_b", {a: F.col(f"__c{a}") + F.col(f"o.o{a}") for a in AXES}), own.alias("own"))

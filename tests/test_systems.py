@@ -173,6 +173,8 @@ def test_pairs_once_and_batches(spark):
     for box in ((None,) * 3, (6.0, 6.0, 6.0)):
         once = pairs.grid(p, 1.5, box=box, directed=False)
         keys = {tuple(sorted(r)) for r in once.select("id_a", "id_b").collect()}
+        fine = pairs.grid(p, 1.5, box=box, directed=False, per_cutoff=2)
+        assert {tuple(sorted(r)) for r in fine.select("id_a", "id_b").collect()} == keys and fine.count() == len(keys)
         assert len(keys) == once.count() and 2 * len(keys) == pairs.direct(p, 1.5, box=box).count()
 
     def count(batches):
