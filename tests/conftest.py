@@ -10,6 +10,6 @@ from pairfield.session import local_session, ship  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, 4)
+    session = local_session(8, 4)
     session.sparkContext.setLogLevel("ERROR")
     return ship(session)
