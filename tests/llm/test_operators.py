@@ -492,3 +492,35 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     tok = Tokenizer.from_file(packing.default_path())
     was, now = out["packing"]
     assert sum(r["length"] for r in now) == sum(len(tok.encode(r["text"], add_special_tokens=False).ids) + 1 for r in was)
+
+
+def test_pareto_order_with_unequal_odds_by_brute_force(spark):
+    import hashlib
+
+    rng = random.Random(21)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 40)), "ab"[i % 3 == 0], float(1 + 9 * (i % 2))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, preference double")
+    got = {r["doc_id"]: r["copies"] for r in mixing.mix(df, preference=F.col("preference")).collect()}
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    held = Counter()
+    for i, _, s, _ in rows:
+        held[s] += size[i]
+    total, want = sum(held.values()), {}
+    for s, w in (("a", 1), ("b", 2)):
+        target = total * w / 3
+        assert target < 3 * held[s]
+        whole = int(target // held[s])
+        rest, p = target - whole * held[s], target / held[s] - whole
+        keyed = []
+        for i, _, own, preference in rows:
+            if own == s:
+                u = (int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                q = u / (1 - u) / (p / (1 - p) * preference)
+                keyed.append((int(q / (1 + q) * 2**48), i))
+        run = 0
+        for _, i in sorted(keyed):
+            run += size[i]
+            want[i] = whole + (2 * run - size[i] <= 2 * rest)
+    assert got == want
+    extra = [np.mean([got[i] - min(got.values()) for i, *_, f in rows if f == x and i % 3]) for x in (1.0, 10.0)]
+    assert extra[1] > extra[0]
