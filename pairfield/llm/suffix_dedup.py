@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, partitions, slices, table, trimmed
+from .common import blocks, cut, discard, partitions, slices, store, table, tidy, trimmed
 from .hashing import prefix_hash, range_hash
 
 LENGTH, GRAM, COVER, ROWS, HOT = 400, 64, 64, 4096, 4096
+#: Bytes of a passage of more than 50 words, shorter than which such a one hardly is: what ``n_passage_bytes`` counts.
+PASSAGE = 256
 #: A difference cover mod 64: every difference is a multiple of 8 less a number under 8.
 SAMPLE = np.array(sorted({*range(8), *range(8, 64, 8)}))
 #: Least step from each residue to the cover.
@@ -156,8 +158,8 @@ def _node(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def find_spans(df: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """((node, start, end) of repeated runs, unmerged; (node, text) of all texts that may have one). A node is a text."""
+def find_spans(df: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame, str]:
+    """((node, start, end) of repeated runs, unmerged; (node, text) of all texts that may have one; the table that both read). A node is a text."""
     back = length - GRAM
     half = back // 2
     docs = df.select(F.col(text).cast("binary").alias("text")).filter(F.octet_length("text") >= length).select(_node(F.col("text")).alias("node"), "text")
@@ -176,10 +178,12 @@ def find_spans(df: DataFrame, text: str = "text", length: int = LENGTH) -> tuple
                 n = [len(p) for p, _ in found]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k in found])), pa.array(np.repeat(np.array(nodes, np.int64), n)), pa.array(np.concatenate([p for p, _ in found]).astype(np.int32))], ["key", "node", "at"])
 
-    listed = cut(docs.mapInArrow(trimmed(anchor), "key long, node long, at int"))
-    often = listed.groupBy("key").count().filter("count > 1").select("key", (F.col("count") > HOT).alias("hot"))
+    listed, anchor_path = store(docs.mapInArrow(trimmed(anchor), "key long, node long, at int"))
+    # behind a cut, so that both sides of the join are exchanges, whose hot keys Spark splits
+    often = cut(listed.groupBy("key").count().filter("count > 1").select("key", (F.col("count") > HOT).alias("hot")))
     hits = listed.join(often, "key").groupBy("node").agg(F.collect_set(F.struct("at", "key", "hot")).alias("hits"))
-    wanted = cut(docs.join(hits, "node"))
+    wanted, path = store(docs.join(hits, "node"))
+    discard(df.sparkSession, anchor_path)
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -247,20 +251,29 @@ def find_spans(df: DataFrame, text: str = "text", length: int = LENGTH) -> tuple
 
     around = wanted.mapInArrow(trimmed(context), "bucket long, node long, at long, left long, body binary")
     dealt = around.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(trimmed(sort), "node long, start long, end long"), wanted.select("node", "text")
+    return dealt.mapInArrow(trimmed(sort), "node long, start long, end long"), wanted.select("node", "text"), path
 
 
 def _bucket(key: int, side: bytes, beside: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(beside, digest_size=8, key=key.to_bytes(8, "little", signed=True), person=side).digest(), "little", signed=True)
 
 
-def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """Per row: doc_id, n_bytes, spans (start, end; merged), kept_sha256."""
+def covered(df: DataFrame, text: str = "text", length: int = PASSAGE) -> DataFrame:
+    """(node, n): bytes of a text that lie in strings of ``length`` bytes which also start elsewhere; only texts that have some."""
+    spans, _, path = find_spans(df, text, length)
+    per = spans.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"))
+    none = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
+    total = F.aggregate("found", none, lambda a, x: F.struct(F.greatest(a["upto"], x["end"]).alias("upto"), (a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["upto"]), F.lit(0).cast("long"))).alias("n")))
+    out = cut(per.select("node", total["n"].alias("n")))
+    discard(df.sparkSession, path)
+    return out
+
+
+def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, passage: int | None = None) -> DataFrame:
+    """Per row: doc_id, n_bytes, spans (start, end; merged), kept_sha256; with ``passage`` also n_passage_bytes, the bytes in repeated strings of that length, which stay."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     base = cut(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("n_bytes"), _node(body).alias("node"), F.sha2(body, 256).alias("sha")))
-    copied = base.filter(F.col("n_bytes") >= length).groupBy("sha").count().filter("count > 1").select(F.col("sha").alias("copied"))
-    spans, texts = find_spans(df, text, length)
-    per = spans.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("found"))
+    copied = base.groupBy("sha").count().filter("count > 1").select(F.col("sha").alias("copied"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -274,18 +287,29 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], kind), pa.array(out[2], pa.string())], ["node", "spans", "kept"])
 
-    judged = texts.join(per, "node").mapInArrow(trimmed(keep), "node long, spans array<struct<start:long,end:long>>, kept string").dropDuplicates(["node"])
+    with tidy(df.sparkSession):
+        spans, texts, path = find_spans(df, text, length)
+        per = spans.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("found"))
+        judged = texts.join(per, "node").mapInArrow(trimmed(keep), "node long, spans array<struct<start:long,end:long>>, kept string")
+        judged = cut(judged.dropDuplicates(["node"]))
+        discard(df.sparkSession, path)
+        also = None if passage is None else covered(df, text, passage)
     rows = base.join(copied, base["sha"] == copied["copied"], "left").join(judged, "node", "left")
+    again = lambda n: F.col("copied").isNotNull() & (F.col("n_bytes") >= n)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     empty = F.sha2(F.lit("").cast("binary"), 256)
-    return rows.select(
+    out = [
         "doc_id", "n_bytes",
-        F.when(F.col("copied").isNotNull(), whole).otherwise(F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"))).alias("spans"),
-        F.when(F.col("copied").isNotNull(), empty).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-    )
+        F.when(again(length), whole).otherwise(F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"))).alias("spans"),
+        F.when(again(length), empty).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+    ]
+    if also is not None:
+        rows = rows.join(also, "node", "left")
+        out.append(F.when(again(passage), F.col("n_bytes")).otherwise(F.coalesce("n", F.lit(0).cast("long"))).alias("n_passage_bytes"))
+    return rows.select(*out)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(table(spark, sf_dir, "documents"))
+    out = dedup(table(spark, sf_dir, "documents"), passage=PASSAGE)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_passage_bytes")

@@ -159,8 +159,17 @@ def test_suffix_dedup_with_a_hot_anchor_and_repeated_ids(spark, monkeypatch):
             if seen[b[i : i + 400]] > 1:
                 gone[i : i + 400] = True
         want.append((len(b), int(gone.sum())))
-    got = [(r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"])) for r in suffix_dedup.dedup(df).collect()]
+    rows = suffix_dedup.dedup(df, passage=240).collect()
+    got = [(r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"])) for r in rows]
     assert sorted(got) == sorted(want) and sum(n > 0 for _, n in want) == 3
+    short, count = Counter(b[i : i + 240] for b in raw for i in range(len(b) - 239)), []
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 239):
+            if short[b[i : i + 240]] > 1:
+                gone[i : i + 240] = True
+        count.append((len(b), int(gone.sum())))
+    assert sorted((r["n_bytes"], r["n_passage_bytes"]) for r in rows) == sorted(count) and sum(n > 0 for _, n in count) >= 60
 
 
 def test_packing_round_trip(spark):
