@@ -57,32 +57,35 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(backward[: n - w + 1], forward[w - 1 : n])
 
 
-def anchors(texts: list[bytes], length: int = LENGTH) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text the places of its anchors and their keys."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def anchors(texts: list[bytes], lengths: tuple[int, ...] = (LENGTH,)) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(text, length, places, keys) of the anchors of windows of each length; a text's strings are hashed once for all."""
     for a, b in blocks(texts):
-        out += _anchors(texts[a:b], length, none)
-    return out
+        for i, length, places, keys in _anchors(texts[a:b], lengths):
+            yield a + i, length, places, keys
 
 
-def _anchors(texts: list[bytes], length: int, none: tuple) -> list[tuple[np.ndarray, np.ndarray]]:
+def _anchors(texts: list[bytes], lengths: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(texts), np.uint8)
-    w = length - GRAM + 1
-    if len(data) < length:
-        return [none] * len(texts)
+    if len(data) < GRAM:
+        return
     at = np.arange(len(data) - GRAM + 1)
     key = range_hash(prefix_hash(data), at, at + GRAM)
     bits = np.uint64(max(1, int(len(data)).bit_length()))
-    least = _sliding_min((key >> bits << bits) | at.astype(np.uint64), w)
-    # windows stay inside one text
+    placed = (key >> bits << bits) | at.astype(np.uint64)
     own = np.repeat(np.arange(len(texts)), sizes)
-    inside = own[: len(least)] == own[length - 1 : length - 1 + len(least)]
-    chosen = np.unique(least[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    cuts = np.searchsorted(chosen, begin)
-    return [(chosen[x:y] - b, key[chosen[x:y]].view(np.int64)) for x, y, b in zip(cuts[:-1], cuts[1:], begin[:-1], strict=True)]
+    for length in lengths:
+        if len(data) < length:
+            continue
+        least = _sliding_min(placed, length - GRAM + 1)
+        # windows stay inside one text
+        inside = own[: len(least)] == own[length - 1 : length - 1 + len(least)]
+        chosen = np.unique(least[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        cuts = np.searchsorted(chosen, begin)
+        for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if y > x:
+                yield i, length, chosen[x:y] - begin[i], key[chosen[x:y]].view(np.int64)
 
 
 class CoverRanks:
@@ -158,11 +161,12 @@ def _node(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def find_spans(df: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame, str]:
-    """((node, start, end) of repeated runs, unmerged; (node, text) of all texts that may have one; the table that both read). A node is a text."""
-    back = length - GRAM
-    half = back // 2
-    docs = df.select(F.col(text).cast("binary").alias("text")).filter(F.octet_length("text") >= length).select(_node(F.col("text")).alias("node"), "text")
+def _docs(df: DataFrame, text: str, length: int) -> DataFrame:
+    return df.select(F.col(text).cast("binary").alias("text")).filter(F.octet_length("text") >= length).select(_node(F.col("text")).alias("node"), "text")
+
+
+def list_anchors(df: DataFrame, text: str, lengths: tuple[int, ...]) -> tuple[DataFrame, str]:
+    """(length, key, node, at) as a table, and its path; of equal texts in a task the first."""
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -173,17 +177,28 @@ def find_spans(df: DataFrame, text: str = "text", length: int = LENGTH) -> tuple
                     seen.add(d)
                     nodes.append(d)
                     texts.append(t)
-            if nodes:
-                found = anchors(texts, length)
-                n = [len(p) for p, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k in found])), pa.array(np.repeat(np.array(nodes, np.int64), n)), pa.array(np.concatenate([p for p, _ in found]).astype(np.int32))], ["key", "node", "at"])
+            found = list(anchors(texts, lengths))
+            if found:
+                n = [len(p) for _, _, p, _ in found]
+                columns = [np.repeat(np.array([x[1] for x in found], np.int32), n), np.concatenate([x[3] for x in found]), np.repeat(np.array([nodes[x[0]] for x in found], np.int64), n), np.concatenate([x[2] for x in found]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["length", "key", "node", "at"])
 
-    listed, anchor_path = store(docs.mapInArrow(trimmed(anchor), "key long, node long, at int"))
+    return store(_docs(df, text, min(lengths)).mapInArrow(trimmed(anchor), "length int, key long, node long, at int"))
+
+
+def find_spans(df: DataFrame, text: str, length: int, anchored: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """((node, start, end) of repeated runs, unmerged; (node, text) of all texts that may have one; the table that both read).
+
+    A node is a text; ``anchored``: the rows of ``list_anchors``.
+    """
+    back = length - GRAM
+    half = back // 2
+    docs = _docs(df, text, length)
+    listed = anchored.filter(F.col("length") == length)
     # behind a cut, so that both sides of the join are exchanges, whose hot keys Spark splits
     often = cut(listed.groupBy("key").count().filter("count > 1").select("key", (F.col("count") > HOT).alias("hot")))
     hits = listed.join(often, "key").groupBy("node").agg(F.collect_set(F.struct("at", "key", "hot")).alias("hits"))
     wanted, path = store(docs.join(hits, "node"))
-    discard(df.sparkSession, anchor_path)
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -258,9 +273,9 @@ def _bucket(key: int, side: bytes, beside: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(beside, digest_size=8, key=key.to_bytes(8, "little", signed=True), person=side).digest(), "little", signed=True)
 
 
-def covered(df: DataFrame, text: str = "text", length: int = PASSAGE) -> DataFrame:
+def covered(df: DataFrame, text: str, length: int, anchored: DataFrame) -> DataFrame:
     """(node, n): bytes of a text that lie in strings of ``length`` bytes which also start elsewhere; only texts that have some."""
-    spans, _, path = find_spans(df, text, length)
+    spans, _, path = find_spans(df, text, length, anchored)
     per = spans.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"))
     none = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
     total = F.aggregate("found", none, lambda a, x: F.struct(F.greatest(a["upto"], x["end"]).alias("upto"), (a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["upto"]), F.lit(0).cast("long"))).alias("n")))
@@ -288,12 +303,14 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], kind), pa.array(out[2], pa.string())], ["node", "spans", "kept"])
 
     with tidy(df.sparkSession):
-        spans, texts, path = find_spans(df, text, length)
+        anchored, anchor_path = list_anchors(df, text, (length,) if passage in (None, length) else (length, passage))
+        spans, texts, path = find_spans(df, text, length, anchored)
         per = spans.groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("found"))
         judged = texts.join(per, "node").mapInArrow(trimmed(keep), "node long, spans array<struct<start:long,end:long>>, kept string")
         judged = cut(judged.dropDuplicates(["node"]))
         discard(df.sparkSession, path)
-        also = None if passage is None else covered(df, text, passage)
+        also = None if passage is None else covered(df, text, passage, anchored)
+        discard(df.sparkSession, anchor_path)
     rows = base.join(copied, base["sha"] == copied["copied"], "left").join(judged, "node", "left")
     again = lambda n: F.col("copied").isNotNull() & (F.col("n_bytes") >= n)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
