@@ -43,41 +43,48 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 def _fold() -> np.ndarray:
     """[bin, pitch class] for bins from 60 Hz up."""
     f = np.fft.rfftfreq(FRAME, 1 / RATE)
-    out = np.zeros((len(f), 12), np.float32)
+    out = np.zeros((len(f), 12))
     heard = f >= 60
     note = np.round(12 * np.log2(np.maximum(f, 1) / 440)).astype(int) % 12
     out[np.flatnonzero(heard), note[heard]] = 1
     return out
 
 
-_FOLD, _HANN = _fold(), np.hanning(FRAME).astype(np.float32)
+_FOLD, _HANN = _fold(), np.hanning(FRAME)
 
 
-def chroma(sound: np.ndarray) -> np.ndarray:
-    """[frame, pitch class], each frame of unit length."""
-    if len(sound) < FRAME:
-        return np.zeros((0, 12), np.float32)
-    out = []
-    starts = np.arange(0, len(sound) - FRAME + 1, HOP)
-    for a in range(0, len(starts), 8192):
-        frames = sound[starts[a : a + 8192, None] + np.arange(FRAME)].astype(np.float32) - 128
-        power = np.abs(np.fft.rfft(frames * _HANN, axis=1)).astype(np.float32) ** 2
-        classes = power @ _FOLD
-        out.append(classes / np.maximum(np.sqrt((classes**2).sum(axis=1, keepdims=True)), 1e-6))
-    return np.concatenate(out)
+#: Steps of a chroma value of 1: images are whole numbers, so sums over them are exact and do not depend on what else is summed.
+STEPS = 1 << 20
 
 
-def codes(image: np.ndarray) -> np.ndarray:
-    """One packed code per position that has SPAN frames from it on."""
-    n = len(image) - SPAN + 1
-    if n <= 0:
-        return np.zeros(0, np.int32)
-    total = np.zeros((len(image) + 1, 13))
-    total[1:, 1:] = image.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
-    t = np.arange(n)
+def chroma(sounds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The frames of all recordings, [frame, pitch class], each of unit length in STEPS; and the number of frames of each recording."""
+    count = np.array([max(0, (len(s) - FRAME) // HOP + 1) for s in sounds], np.int64)
+    image = np.zeros((int(count.sum()), 12), np.int64)
+    data = np.concatenate([*sounds, np.zeros(0, np.uint8)]) if sounds else np.zeros(0, np.uint8)
+    size = np.array([len(s) for s in sounds], np.int64)
+    begin = np.cumsum(size) - size
+    number = np.arange(len(image)) - np.repeat(np.cumsum(count) - count, count)
+    starts = np.repeat(begin, count) + number * HOP
+    for a in range(0, len(starts), 2048):
+        frames = data[starts[a : a + 2048, None] + np.arange(FRAME)].astype(np.float64) - 128
+        spectrum = np.fft.rfft(frames * _HANN, axis=1)
+        classes = (spectrum.real**2 + spectrum.imag**2) @ _FOLD
+        image[a : a + 2048] = np.rint(classes * (STEPS / np.maximum(np.sqrt((classes**2).sum(axis=1, keepdims=True)), 1e-6)))
+    return image, count
+
+
+def codes(image: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Per recording one packed code per position that has SPAN frames from it on."""
+    positions = np.maximum(count - SPAN + 1, 0)
+    upto = np.cumsum(positions)
+    n = int(upto[-1]) if len(upto) else 0
+    total = np.zeros((len(image) + 1, 13), np.int64)
+    total[1:, 1:] = image.cumsum(axis=0).cumsum(axis=1)
+    t = np.arange(n) + np.repeat(np.cumsum(count) - count - (upto - positions), positions)
 
     def area(x: int, w: int, y: int, h: int) -> np.ndarray:
-        return total[t + x + w, y + h] - total[t + x, y + h] - total[t + x + w, y] + total[t + x, y]
+        return (total[t + x + w, y + h] - total[t + x, y + h] - total[t + x + w, y] + total[t + x, y]) / STEPS
 
     out = np.zeros(n, np.uint32)
     for k, (kind, y, h, w) in enumerate(FILTERS):
@@ -98,7 +105,7 @@ def codes(image: np.ndarray) -> np.ndarray:
             a, b = whole, area(0, w, (y + 3) % 9, h)
         answer = np.log((1 + np.maximum(a, 0)) / (1 + np.maximum(b, 0)))
         out |= GRAY[np.digitize(answer, LEVELS)] << np.uint32(2 * k)
-    return out.view(np.int32)
+    return np.split(out.view(np.int32), upto[:-1]) if len(upto) else []
 
 
 def fingerprints(df: DataFrame, audio: str, doc_id: str) -> DataFrame:
@@ -106,9 +113,9 @@ def fingerprints(df: DataFrame, audio: str, doc_id: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                found = [codes(chroma(np.frombuffer(x or b"", np.uint8))) for x in batch.column(1).to_pylist()]
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                found = codes(*chroma([np.frombuffer(x or b"", np.uint8) for x in batch.column(1).to_pylist()]))
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))], ["doc_id", "codes"])
 

@@ -325,7 +325,7 @@ def test_audio_finds_a_shifted_copy(spark):
 def test_audio_search_by_brute_force(spark):
     rng = np.random.default_rng(6)
     sound = np.clip(128 + 60 * np.sin(np.cumsum(rng.uniform(0.1, 1.5, 90).repeat(100))) + rng.normal(0, 10, 9000), 0, 255).astype(np.uint8)
-    codes = [audio.codes(audio.chroma(sound[a:b])) for a, b in ((0, 5000), (320, 5320), (650, 8000), (1007, 4000), (16, 6000), (2100, 2100 + 64 * 26 + 3), (4000, 9000))]
+    codes = [audio.codes(*audio.chroma([sound[a:b]]))[0] for a, b in ((0, 5000), (320, 5320), (650, 8000), (1007, 4000), (16, 6000), (2100, 2100 + 64 * 26 + 3), (4000, 9000))]
     for share in (0.05, 0.1, 0.14, 0.2):  # noisy copies, bits flipped all over
         codes.append(codes[0] ^ np.packbits(rng.random((len(codes[0]), 32)) < share, axis=1).view(np.int32)[:, 0])
     codes += [np.tile(codes[0][20:31], 4), np.tile(codes[0][20:31], 9)[5:], codes[3][:9], codes[3][:8], codes[3][:7], np.zeros(40, np.int32), np.zeros(55, np.int32)]
@@ -347,6 +347,22 @@ def test_audio_search_by_brute_force(spark):
     assert all(want.get(k) == v for k, v in got.items()) and len(got) >= 0.9 * len(want) and {(0, 7), (0, 8), (0, 9), (0, 1)} <= set(got)
 
 
+def test_audio_codes_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(2)
+    sounds = [rng.integers(0, 256, n).astype(np.uint8) for n in (4000, 0, 255, 900, 1216, 30_000, 256)] + [np.full(3000, 128, np.uint8)]
+    together = audio.codes(*audio.chroma(sounds))
+    for s, got in zip(sounds, together, strict=True):
+        alone = audio.codes(*audio.chroma([s]))[0]
+        assert (alone == got).all() and len(got) == max(0, (len(s) - 256) // 64 + 1 - 15) if len(s) >= 256 else len(got) == 0
+    assert audio.codes(*audio.chroma([])) == []
+    # integral image against plain sums, for the first filter
+    image, count = audio.chroma(sounds[:1])
+    kind, y, h, w = audio.FILTERS[0]
+    a = image[5 : 5 + w, y : y + h].sum() / audio.STEPS * 12 / h
+    b = image[5 : 5 + w].sum() / audio.STEPS
+    assert kind == 0 and together[0][5] & 3 == audio.GRAY[np.digitize(np.log((1 + a) / (1 + b)), audio.LEVELS)]
+
+
 def test_audio_recall_on_noisy_copies():
     rng = np.random.default_rng(9)
     found = wanted = 0
