@@ -13,10 +13,12 @@ equal sets are one node, known by a 64-bit key of the set.
 3. Points. In blocks that are not one component by then, the counts of hash groups are a node's point, of about as many
    coordinates as the set has shingles. A packed R-tree over a page of points answers, for every node outside the
    block's largest component, which others may overlap enough: the overlap is at most the sum of the coordinate minima,
-   for a tree node taken over its corner of maxima. Nodes of one component are not paired again. All pairs of a block
-   that are in different components are covered, so no link between components is lost, and only pairs that pass the
-   bound leave the task.
-4. Verification by the sizes of the exact intersections, and components over the links.
+   for a tree node taken over its corner of maxima. What leaves a page are the clusters that such pairs hang together in.
+4. Verification. Clusters go through pages once more, now with the sets: those of pairs within the bound are intersected,
+   and a link makes one component of two. Nodes of one component are not paired again. All pairs of a block that are in
+   different components are covered, so no link between components is lost, and what leaves a page are fewer links than
+   it has components, not its pairs.
+5. Components over the links. Pairs with hubs are verified by the sizes of the exact intersections as well.
 
 Nulls and edges: a null text or one without words has an empty set and links with nothing; a null doc_id keeps its row
 and links with nothing; of rows that repeat a doc_id each has the component of its own text; equal texts link; empty
@@ -25,7 +27,7 @@ tables give empty results; further columns are left aside.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ from .components import components
 from .hashing import mix, shingles
 
 FANOUT, BITMAP = 16, 1 << 24
-#: Bytes of points in a page, and contents under at least so many nodes count as equally common.
-PAGE_BYTES, COMMON = 1 << 22, 4096
+#: Bytes of points in a page (of sets four times as many), shingles compared at once, and contents under at least so many nodes count as equally common.
+PAGE_BYTES, CHUNK, COMMON = 1 << 22, 1 << 18, 4096
 
 
 def differ(n: int, percent: int) -> int:
@@ -227,52 +229,175 @@ def blocks(hits: DataFrame) -> DataFrame:
     return listed.join(hubs, "content").select("content", "node", "band", "hub")
 
 
-def _probe(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that the tree leaves: per page of a block, its queries against its members. Rows: content, page, asks, node, label, n, vector."""
-
-    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        band = int(t["content"][0].as_py()) & 63
-        asks, node, label, n = (t[x].to_numpy() for x in ("asks", "node", "label", "n"))
-        points = np.frombuffer(b"".join(t["vector"].to_pylist()), _kind(band)).reshape(-1, coordinates(band))
-        members, queries = np.flatnonzero(asks < 2), np.flatnonzero(asks == 2)
-        tree, a, b = CountTree(points[members], n[members]), [], []
-        for q in queries:
-            x = members[tree.reach(points[q], n[q], percent)]
-            # of two that both ask, the smaller one does
-            x = x[(label[x] != label[q]) & ((asks[x] == 0) | (node[x] > node[q]))]
-            a.append(np.full(len(x), node[q]))
-            b.append(node[x])
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+class Page:
+    """A part of a block's members, given with their points or their sets, and which of them queries have joined."""
+
+    def __init__(self, band: int, percent: int):
+        self.band, self.percent = band, percent
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.tree: CountTree | None = None
+        self.ids: dict[int, int] = {}  # of what is joined
+        self.root, self.joined = np.zeros(0, np.int64), {}  # by id: one id for all that are joined; the ids of each
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        """Ids of keys; new ones are alone."""
+        at = np.array([self.ids.setdefault(x, len(self.ids)) for x in keys.tolist()], np.int64)
+        more = np.arange(len(self.root), len(self.ids))
+        self.root = np.concatenate([self.root, more])
+        self.joined.update((x, [x]) for x in more.tolist())
+        return at
+
+    def _join(self, x: int, y: int) -> bool:
+        """False if they were joined already."""
+        x, y = int(self.root[x]), int(self.root[y])
+        if x == y:
+            return False
+        if len(self.joined[x]) < len(self.joined[y]):
+            x, y = y, x
+        less = self.joined.pop(y)
+        self.root[less] = x
+        self.joined[x] += less
+        return True
+
+    def add(self, asks: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, points: np.ndarray, s: np.ndarray) -> None:
+        self.parts.append((asks, node, label, n, points, s))
+
+    def _members(self) -> bool:
+        """False if none was dealt to this page."""
+        if self.parts:
+            asks, self.node, self.label, self.n, points, self.s = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            self.parts, self.asks, self.start = [], asks > 0, np.cumsum(self.n) - self.n
+            self.tree = CountTree(points, self.n)
+        return self.tree is not None
+
+    def _reached(self, point: np.ndarray, n: int, node: int) -> np.ndarray:
+        x = self.tree.reach(point, n, self.percent)
+        # of two that both ask, the smaller one does
+        return x[~self.asks[x] | (self.node[x] > node)]
+
+    def meet(self, node: np.ndarray, label: np.ndarray, n: np.ndarray, points: np.ndarray) -> None:
+        """Joins queries with what they reach outside their components."""
+        if not self._members():
+            return
+        at, keys = self._known(self.node), self._known(node)
+        for q, key, own, size, point in zip(node.tolist(), keys.tolist(), label.tolist(), n.tolist(), points, strict=True):
+            x = self._reached(point, size, q)
+            x = at[x[self.label[x] != own]]
+            while len(x := x[self.root[x] != self.root[key]]):
+                self._join(key, x[0])
+
+    def met(self) -> tuple[np.ndarray, np.ndarray]:
+        """(cluster, node) of what is joined; the smallest node names the cluster."""
+        node = np.array(list(self.ids), np.int64)
+        groups = [node[x] for x in self.joined.values() if len(x) > 1]
+        if not groups:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.repeat([x.min() for x in groups], [len(x) for x in groups]), np.concatenate(groups)
+
+    def links(self, node: np.ndarray, label: np.ndarray, n: np.ndarray, points: np.ndarray, s: np.ndarray) -> list[tuple[int, int]]:
+        """(a, b) that link by their sets, one for two components of this page that become one: fewer than there are labels."""
+        out: list[tuple[int, int]] = []
+        if not self._members():
+            return out
+        at, keys = self._known(self.label), self._known(label)
+        for q, key, size, point, set_ in zip(node.tolist(), keys.tolist(), n.tolist(), points, np.split(s, np.cumsum(n)[:-1]), strict=True):
+            x, step = self._reached(point, size, q), 1
+            while len(x := x[self.root[at[x]] != self.root[key]]):
+                y, x = np.split(x, [max(1, min(step, CHUNK // int(self.n[x].max())))])
+                step *= 8
+                out += [(q, int(self.node[z])) for z in y[self._linked(set_, y)].tolist() if self._join(key, at[z])]
+        return out
+
+    def _linked(self, s: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Which members link with the set s."""
+        n = self.n[members]
+        begin = np.cumsum(n) - n
+        every = self.s[np.repeat(self.start[members] - begin, n) + np.arange(n.sum())]
+        common = np.add.reduceat(s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every, begin, dtype=np.int64)
+        return 100 * common >= self.percent * (len(s) + n - common)
+
+
+def _by_page(rows: DataFrame, ask: Callable, end: Callable, percent: int, schema: str) -> DataFrame:
+    """Per page of a block its queries against its members, as what ``ask`` and, after the page, ``end`` return: two columns.
+
+    Rows: content, page, asks, node, label, n and vector or s. Only a page's members are held, queries stream past.
+    """
+    kind = "s" if "s" in rows.columns else "vector"
+
+    def given(batch: pa.RecordBatch, band: int) -> tuple[np.ndarray, ...]:
+        node, label, n = (batch[x].to_numpy() for x in ("node", "label", "n"))
+        if kind == "vector":
+            return node, label, n, np.frombuffer(b"".join(batch["vector"].to_pylist()), _kind(band)).reshape(-1, coordinates(band)), np.zeros(0, np.uint64)
+        s = batch["s"].flatten().to_numpy().view(np.uint64)
+        return node, label, n, np.stack([count_vector(x, band) for x in np.split(s, np.cumsum(n)[:-1])]), s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        page, last = None, None
         for batch in _with_end(batches):
+            out = [(np.zeros(0, np.int64),) * 2]
             if batch is None:
-                groups, held = ([held] if held is not None else []), None
+                out += [end(page)] if page else []
             else:
-                t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-                c, p = t["content"].to_numpy(), t["page"].to_numpy()
-                edge = np.flatnonzero((c[1:] != c[:-1]) | (p[1:] != p[:-1])) + 1
-                cuts = [0, *edge.tolist(), len(c)]
-                groups, held = [t.slice(x, y - x) for x, y in zip(cuts[:-2], cuts[1:-1], strict=True)], t.slice(cuts[-2])
-            got = [pairs(g.combine_chunks()) for g in groups]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in got])), pa.array(np.concatenate([x[1] for x in got]))], ["a", "b"])
+                c, p, late = batch["content"].to_numpy(), batch["page"].to_numpy(), batch["asks"].to_numpy() == 2
+                # members of a page come before its queries
+                edge = np.flatnonzero((c[1:] != c[:-1]) | (p[1:] != p[:-1]) | (late[1:] != late[:-1])) + 1
+                for x, y in zip([0, *edge.tolist()], [*edge.tolist(), len(c)], strict=True):
+                    if last != (c[x], p[x]):
+                        out += [end(page)] if page else []
+                        page, last = Page(int(c[x]) & 63, percent), (c[x], p[x])
+                    part = batch.slice(x, y - x)
+                    if late[x]:
+                        out.append(ask(page, *given(part, page.band)))
+                    else:
+                        page.add(part["asks"].to_numpy(), *given(part, page.band))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out, strict=True)], names)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    ordered = rows.repartition(partitions(rows.sparkSession), "content", "page").sortWithinPartitions("content", "page", "asks")
+    return ordered.mapInArrow(trimmed(run), schema)
+
+
+def _near(rows: DataFrame, percent: int) -> DataFrame:
+    """(content, node, band): clusters of nodes that the tree leaves together, in place of blocks; two that may link share one. Rows with vectors."""
+
+    def ask(page: Page, node: np.ndarray, label: np.ndarray, n: np.ndarray, points: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        page.meet(node, label, n, points)
+        return (np.zeros(0, np.int64),) * 2
+
+    def end(page: Page) -> tuple[np.ndarray, np.ndarray]:
+        cluster, node = page.met()
+        return cluster & ~63 | page.band, node
+
+    met = _by_page(rows, ask, end, percent, "content long, node long").distinct()
+    return met.select("content", "node", F.col("content").bitwiseAND(F.lit(63)).cast("int").alias("band"))
+
+
+def _probe(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of different components, for each two that become one in a page. Rows with sets."""
+
+    def ask(page: Page, *given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.array(page.links(*given), np.int64).reshape(-1, 2).T
+        return a, b
+
+    def end(page: Page) -> tuple[np.ndarray, np.ndarray]:
+        return (np.zeros(0, np.int64),) * 2
 
-    ordered = rows.repartition(partitions(rows.sparkSession), "content", "page").sortWithinPartitions("content", "page")
-    return ordered.mapInArrow(trimmed(run), "a long, b long")
+    return _by_page(rows, ask, end, percent, "a long, b long")
 
 
-def _pages(open_rows: DataFrame, points: DataFrame) -> DataFrame:
-    """Rows for ``_probe``: members dealt over pages, and what is outside the largest component as queries to each page."""
+def _pages(open_rows: DataFrame, given: DataFrame, kind: str = "s") -> DataFrame:
+    """Rows for ``_by_page``: members dealt over pages, and what is outside the largest component as queries to each page. given: vector by node and band, or s by node."""
     per = open_rows.groupBy("content", "label").agg(F.count("*").alias("c"))
     state = per.groupBy("content").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.sum("c").alias("size"))
-    width = F.call_function("shiftleft", F.lit(1), F.least(F.lit(14), F.greatest(F.lit(4), F.floor(F.col("band") / 2).cast("int"))))
-    placed = open_rows.join(state, "content").withColumn("pages", F.ceil(F.col("size") * width / F.lit(PAGE_BYTES)))
+    if kind == "s":  # eight bytes a shingle
+        most, limit, key = 8 * F.pow(F.lit(2.0), (F.col("band") + 1) / 2), 4 * PAGE_BYTES, ["node"]
+    else:
+        most, limit, key = F.call_function("shiftleft", F.lit(1), F.least(F.lit(14), F.greatest(F.lit(4), F.floor(F.col("band") / 2).cast("int")))), PAGE_BYTES, ["node", "band"]
+    placed = open_rows.join(state, "content").withColumn("pages", F.ceil(F.col("size") * most / F.lit(limit)))
     asks = (F.col("label") != F.col("largest")).cast("int")
     member = placed.select("content", "node", "band", "label", asks.alias("asks"), F.pmod(F.xxhash64("node"), F.col("pages")).alias("page"))
     query = placed.filter("label <> largest").select("content", "node", "band", "label", F.lit(2).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)).alias("page"))
-    return member.unionByName(query).join(points, ["node", "band"]).select("content", "page", "asks", "node", "label", "n", "vector")
+    return member.unionByName(query).join(given.select(*key, "n", kind), key).select("content", "page", "asks", "node", "label", "n", kind)
 
 
 def _sets(df: DataFrame, text: str, doc_id: str, k: int, percent: int, wanted: DataFrame) -> DataFrame:
@@ -361,8 +486,8 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5,
         known = listed.select("content", "node", "band").join(labels, "node")
         several = known.groupBy("content").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("content")
         open_rows = cut(known.join(several, "content"))
-        found = cut(_probe(_pages(open_rows, points), percent).distinct())
-        labels = _merge(labels, _verify(found, sets, percent))
+        close = cut(_near(_pages(open_rows, points, "vector"), percent).join(labels, "node"))
+        labels = _merge(labels, _probe(_pages(close, sets), percent))
         part = labels.join(firsts, "node").groupBy("label").agg(F.min("first").alias("component_id"))
         part = cut(labels.join(part, "label").select("node", "component_id"))
         discard(spark, set_path)

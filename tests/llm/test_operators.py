@@ -92,6 +92,35 @@ def test_ngram_join_by_brute_force(spark):
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
+def test_ngram_join_pages_give_links_not_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = []
+    for size in (120, 30, 1):  # groups of near copies that no hub has settled, in one block
+        w = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+        texts += [" ".join(mutated(rng, w, rng.choice((1, 2)))) for _ in range(size)]
+    sets = shingles([x.encode() for x in texts], 4)
+    band = max(b for b, _ in ngram_join._bands(157, 85))
+    rows = [(i, band, len(s), ngram_join.count_vector(s, band).tobytes(), s.view(np.int64).tolist()) for i, s in enumerate(sets)]
+    sets_of = spark.createDataFrame(rows, "node long, band int, n long, vector binary, s array<long>")
+    open_rows = spark.createDataFrame([(band, i, band, i) for i in range(len(sets))], "content long, node long, band int, label long")
+    want = [{j for j, y in enumerate(sets) if 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y))} for x in sets]
+    for size in (ngram_join.PAGE_BYTES, 1 << 14):  # in one page and in many
+        monkeypatch.setattr(ngram_join, "PAGE_BYTES", size)
+        pages = ngram_join._pages(open_rows, sets_of)
+        found = [(r["a"], r["b"]) for r in ngram_join._probe(pages, 85).collect()]
+        assert len(found) < len(texts) * pages.select("page").distinct().count()
+        assert all(b in want[a] for a, b in found)
+        group = list(range(len(texts)))
+        for a, b in found:
+            group = [group[a] if x == group[b] else x for x in group]
+        assert all(group[i] == group[j] for i, x in enumerate(want) for j in x) and len(set(group)) > 1
+        met = {(r["content"], r["node"]) for r in ngram_join._near(ngram_join._pages(open_rows, sets_of, "vector"), 85).collect()}
+        clusters = defaultdict(set)
+        for c, i in met:
+            clusters[i].add(c)
+        assert all(clusters[i] & clusters[j] for i, x in enumerate(want) for j in x - {i})
+
+
 def test_count_tree_keeps_all_within_the_bound():
     rng = np.random.default_rng(0)
     points = rng.poisson(3, (700, 64)).astype(np.int64)
