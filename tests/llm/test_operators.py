@@ -578,3 +578,29 @@ def test_pareto_order_with_unequal_odds_by_brute_force(spark):
     assert got == want
     extra = [np.mean([got[i] - min(got.values()) for i, *_, f in rows if f == x and i % 3]) for x in (1.0, 10.0)]
     assert extra[1] > extra[0]
+
+
+def test_line_dedup_orders_words_by_a_sample_and_loses_no_match(spark):
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(900)}" for _ in range(rng.choice((6, 20, 70, 130)))] for _ in range(40)]
+    texts = []
+    for _ in range(200):
+        w = [mutated(rng, rng.choice(base), rng.choice((0, 1, 2, 5))) for _ in range(3)]
+        texts.append("\n".join([" ".join(w[0]), "\t".join(w[1]), "  " + "  ".join(w[2][: rng.choice((5, 200))]) + " \r"]))
+    df = docs_of(spark, texts)
+    removed = {r["doc_id"]: r["removed"] for r in line_dedup.later_matches(df).collect()}
+    seen, want = [], {}
+    for i, text in enumerate(texts):
+        for line, s in enumerate(text.split("\n")):
+            w = set(s.split())
+            if any(len(w & x) * 9 >= (len(w) + len(x)) * 4 for x in seen):
+                want.setdefault(i, []).append(line)
+            seen.append(w)
+    assert removed == want and 100 < sum(map(len, want.values())) < 600
+    # of two rows of one doc_id only one has the line that a later one is held against
+    odd = spark.createDataFrame([(1, "a b"), (1, "a b\nc d\n" + " ".join(map(str, range(20)))), (2, " ".join(map(str, range(1, 21))))], "doc_id long, text string")
+    assert {2: [0]}.items() <= {r["doc_id"]: r["removed"] for r in line_dedup.later_matches(odd).collect()}.items()
+    # one document of SAMPLE is counted, and long ones
+    texts = [" ".join(f"d{i}x{j}" for j in range(10)) for i in range(800)]
+    counted = lambda df: line_dedup.rarity(df, "text", "doc_id").select(F.size(F.filter("levels", lambda x: x > 0)).alias("n")).first()["n"]
+    assert 0 < counted(docs_of(spark, texts)) < 2000 and counted(docs_of(spark, [" ".join(texts * 2)])) > 7900
