@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from ..session import ship
-from . import audio, language_id, licenses, line_dedup, mixing, ngram_join, packing, periodic_runs, quality_rules, suffix_dedup, toxicity
+from . import audio, language_id, licenses, line_dedup, mixing, ngram_join, packing, periodic_runs, quality_rules, spot_signatures, suffix_dedup, toxicity, vector_codes
 
 
 def _shipped(query):
@@ -30,6 +30,8 @@ def queries() -> dict:
         "op8_suffix_dedup": _shipped(suffix_dedup.op8_suffix_dedup),
         "op9_toxicity": _shipped(toxicity.op9_toxicity),
         "op10_ngram_join": _shipped(ngram_join.op10_ngram_join),
+        "op11_vector_codes": _shipped(vector_codes.op11_vector_codes),
+        "op12_spot_signatures": _shipped(spot_signatures.op12_spot_signatures),
         "op13_periodic_runs": _shipped(periodic_runs.op13_periodic_runs),
     }
 
@@ -40,5 +42,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": quality_rules.ORACLE,
         "op5_mixing": mixing.ORACLE,
         "op6_license_scan": licenses.ORACLE,
+        "op11_vector_codes": vector_codes.ORACLE,
         "op13_periodic_runs": periodic_runs.ORACLE,
     }
