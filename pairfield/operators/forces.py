@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.laws import Law, NoForce, active, distinct_laws, law_table, of_types, scale_by_type, within
-from .pairs import bonded, both_ways, interaction_pairs
+from ..plans.laws import Law, NoForce, active, columns_of, distinct_laws, law_table, of_types, scale_by_type, within
+from .pairs import Search, binned, bins_of, bonded, both_ways, direct
+from .tiles import over_arrays, tile_forces
 
 ALIVE, DEAD, PASSIVE, STATIONARY, INVALID = 1, 2, 4, 8, 128
 EXERTING, MOVABLE, ALL = ALIVE | STATIONARY, ALIVE | PASSIVE, 15
@@ -58,15 +59,26 @@ def _one_way(pairs: DataFrame, law: Law, turned: Column) -> DataFrame:
     return _both(parts, on_a, on_a if law.symmetry == "symmetric" else [-c for c in on_a])
 
 
-def _type_parts(df: DataFrame, table: dict[tuple[int, int], Law], box) -> list[DataFrame]:
-    """Force rows of a table of laws. Laws of finite and of unlimited reach have a join each, over the types that they concern."""
+def _type_parts(df: DataFrame, table: dict[tuple[int, int], Law], box, search: Search) -> list[DataFrame]:
+    """Force rows of a table of laws. Laws of finite reach share a join in which each reach has cells of its own; those of unlimited
+    reach meet in tiles. Either has only the types that it concerns."""
     parts, laws = [], active(table)
-    for far in (False, True):
-        own = {k: v for k, v in laws.items() if (v.reach > 1e100) == far}
+    near, far = ({k: v for k, v in laws.items() if (v.reach > 1e100) == far} for far in (False, True))
+    of_laws = lambda own: df.filter(F.col("type").isin(sorted({t for pair in own for t in pair})))
+    arrays = {law: pairs for law, pairs in distinct_laws(far).items() if over_arrays(law)}
+    if arrays:
+        parts.append(tile_forces(of_laws([p for pairs in arrays.values() for p in pairs]), arrays, columns_of(arrays, df.columns), box))
+        far = {k: v for k, v in far.items() if v not in arrays}
+    for own in (near, far):
         if not own:
             continue
-        some = df.filter(F.col("type").isin(sorted({t for pair in own for t in pair})))
-        pairs = interaction_pairs(some, None if far else max(v.reach for v in own.values()), box=box)
+        columns, reach = columns_of(own.values(), df.columns), max(v.reach for v in own.values())
+        if reach > 1e100:
+            pairs = direct(of_laws(own), None, columns, box, directed=False)
+        elif search.kind == "cells" and search.per_cutoff == 1 and len({v.reach for v in own.values()}) > 1:
+            pairs = binned(of_laws(own), bins_of({k: v.reach for k, v in own.items()}), columns, box, directed=False)
+        else:
+            pairs = search.pairs(of_laws(own), reach, columns, box)
         central = {k: v for k, v in own.items() if v.central}
         if central:
             parts.append(by_scale(pairs, scale_by_type(central)))
@@ -78,8 +90,8 @@ def _type_parts(df: DataFrame, table: dict[tuple[int, int], Law], box) -> list[D
 def _bond_parts(df: DataFrame, bonds: DataFrame, law: Law | dict[int, Law]) -> list[DataFrame]:
     """One law for all bonds, or by the number in the bonds' column ``law``. src is the first of a pair."""
     if isinstance(law, Law):
-        return [_bond_part(bonded(df, bonds.select("src", "dst"), directed=False), law)]
-    pairs = bonded(df, bonds.select("src", "dst", "law"), directed=False)
+        return [_bond_part(bonded(df, bonds.select("src", "dst"), columns_of([law], df.columns), directed=False), law)]
+    pairs = bonded(df, bonds.select("src", "dst", "law"), columns_of(law.values(), df.columns), directed=False)
     return [_bond_part(pairs.filter(F.col("law") == n).drop("law"), own) for n, own in sorted(law.items()) if not isinstance(own, NoForce)]
 
 
@@ -91,38 +103,44 @@ def _bond_part(pairs: DataFrame, law: Law) -> DataFrame:
     return _one_way(pairs if law.at_zero else pairs.filter("r2 > 0"), law, F.lit(False))
 
 
-def pair_forces(df: DataFrame, law: Law | dict[tuple[int, int], Law], types: list[int] | None = None, box=(None, None, None), bonds: DataFrame | None = None, bond_law: Law | dict[int, Law] | None = None, strict_states: bool = False) -> DataFrame:
+def pair_forces(df: DataFrame, law: Law | dict[tuple[int, int], Law], types: list[int] | None = None, box=(None, None, None), bonds: DataFrame | None = None, bond_law: Law | dict[int, Law] | None = None, strict_states: bool = False, search: Search = Search()) -> DataFrame:
     """df with the net force of a law for all pairs, or of one per type pair, and of bonds beside it.
 
     By default every state exerts and receives. With ``strict_states`` dead particles take no part and passive ones
-    receive only.
+    receive only. ``search`` says how laws of finite reach find their pairs.
     """
     acting = df.filter(in_state(ALL & ~DEAD)) if strict_states else df
     if strict_states:
         # a passive particle may not act: its part of a pair is computed, the other's is left out
-        return _strict(df, acting, law, types, box, bonds, bond_law)
-    return summed(df, *_parts(acting, law, types, box, bonds, bond_law))
-
-
-def _parts(df, law, types, box, bonds, bond_law) -> list[DataFrame]:
-    if isinstance(law, Law):
-        pairs = interaction_pairs(df, None if law.reach > 1e100 else law.reach, box=box)
-        parts = [] if isinstance(law, NoForce) else [by_scale(pairs, law.scale()) if law.central and law.symmetry == "antisymmetric" else by_law(pairs, law)]
+        return _strict(df, acting, law, types, box, bonds, bond_law, search)
+    return summed(df, *_parts(acting, law, types, box, bonds, bond_law, search))
+
+
+def _parts(df, law, types, box, bonds, bond_law, search) -> list[DataFrame]:
+    if isinstance(law, NoForce):
+        parts = []
+    elif isinstance(law, Law):
+        columns = columns_of([law], df.columns)
+        if law.reach > 1e100 and over_arrays(law):
+            parts = [tile_forces(df, {law: None}, columns, box)]
+        else:
+            pairs = direct(df, None, columns, box, directed=False) if law.reach > 1e100 else search.pairs(df, law.reach, columns, box)
+            parts = [by_scale(pairs, law.scale()) if law.central and law.symmetry == "antisymmetric" else by_law(pairs, law)]
     else:
-        parts = _type_parts(df, law_table(law, types), box)
+        parts = _type_parts(df, law_table(law, types), box, search)
     if bonds is not None:
         parts += _bond_parts(df, bonds, bond_law)
     return parts
 
 
-def _strict(df, acting, law, types, box, bonds, bond_law) -> DataFrame:
+def _strict(df, acting, law, types, box, bonds, bond_law, search) -> DataFrame:
     exerting = acting.filter(in_state(EXERTING))
     passive = acting.filter(~in_state(EXERTING))
-    among = _parts(exerting, law, types, box, bonds, bond_law)
+    among = _parts(exerting, law, types, box, bonds, bond_law, search)
     # forces on passive rows: all pairs of both kinds, less those of passive rows with each other
     keep = lambda parts: [x.join(passive.select("id"), "id", "left_semi") for x in parts]
     minus = lambda parts: [x.withColumns({f"f{a}": -F.col(f"f{a}") for a in "xyz"}) for x in parts]
-    return summed(df, *among, *keep(_parts(acting, law, types, box, bonds, bond_law)), *minus(_parts(passive, law, types, box, bonds, bond_law)))
+    return summed(df, *among, *keep(_parts(acting, law, types, box, bonds, bond_law, search)), *minus(_parts(passive, law, types, box, bonds, bond_law, search)))
 
 
 def in_state(mask: int):

@@ -2,20 +2,25 @@
 
 ``grid`` hashes positions into cells of the cutoff's size and equi-joins each particle with its own cell and the 13 cells
 on one side of it, then keeps pairs by the exact distance: every unordered pair is made once, Catalyst sees an ordinary
-hash-partitioned join, and AQE may split dense cells. ``direct`` compares all pairs, for laws without a cutoff: both sides
-are dealt into blocks, as many as the row count asks for, and equi-joined on the block pair, so the work spreads over
-executors without a Cartesian product. Equality with the cutoff counts as inside. On periodic axes a cell's number says how
-often its particle has been carried around, so images cost a subtraction and no rounding per pair.
+hash-partitioned join, and AQE may split dense cells. ``binned`` does so for several reaches at once, each with cells of its
+own. ``adaptive`` is for tables with dense places: cells over a row limit are split and joined as wholes. ``direct`` compares
+all pairs, for laws without a cutoff: rows are dealt into tiles, as many as the row count asks for, and tiles are equi-joined,
+so the work spreads over executors without a Cartesian product and only whole tiles are shuffled. Equality with the cutoff
+counts as inside. On periodic axes a cell's number says how often its particle has been carried around, so images cost a
+subtraction and no rounding per pair.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 AXES = ("x", "y", "z")
 COLUMNS = ("id", "type", "x", "y", "z", "mass", "charge")
 #: Rows of a block of the direct strategy.
@@ -86,15 +91,124 @@ def grid(df: DataFrame, cutoff: float, columns: tuple[str, ...] = COLUMNS, box:
     return both_ways(pairs) if directed else pairs
 
 
+@dataclass(frozen=True)
+class Bin:
+    """Pairs of one reach: of types among themselves, or of ``types`` with ``others``."""
+
+    reach: float
+    types: tuple[int, ...]
+    others: tuple[int, ...] | None = None
+
+    def __contains__(self, pair: tuple[int, int]) -> bool:
+        a, b = pair
+        if self.others is None:
+            return a in self.types and b in self.types
+        return (a in self.types and b in self.others) or (b in self.types and a in self.others)
+
+
+def bins_of(reaches: dict[tuple[int, int], float]) -> list[Bin]:
+    """Bins that together have each type pair once. Types whose pairs all have one reach share a bin; of two different types the one
+    whose own reach is longer visits the other's cells, as there are fewer of the large."""
+    own = {a: r for (a, b), r in reaches.items() if a == b}
+    out = []
+    for reach in sorted(set(reaches.values())):
+        left = {tuple(sorted(p)) for p, r in reaches.items() if r == reach}
+        loops = sorted(a for a, b in left if a == b)
+        if all((a, b) in left for a in loops for b in loops if a <= b) and loops:
+            out.append(Bin(reach, tuple(loops)))
+            left -= {(a, b) for a in loops for b in loops}
+        else:
+            out += [Bin(reach, (a,)) for a in loops]
+            left -= {(a, a) for a in loops}
+        visits: dict[int, list[int]] = {}
+        for a, b in sorted(left):
+            a, b = sorted((a, b), key=lambda t: (own.get(t, reach), t))
+            visits.setdefault(a, []).append(b)
+        out += [Bin(reach, (a,), tuple(others)) for a, others in visits.items()]
+    return out
+
+
+def binned(df: DataFrame, bins: list[Bin], columns: tuple[str, ...] = COLUMNS, box: tuple[float | None, ...] = (None, None, None), directed: bool = True, exact: bool = True) -> DataFrame:
+    """Pairs of several reaches from one join: each bin has a grid of its own, with cells of its reach, and each row stands in the
+    cells of the bins that its type takes part in. So pairs of short reach never meet in the cells of a long one, and rows of
+    different reach meet in the grid of the reach that they have together.
+
+    ``exact=False`` leaves the test of the distance out and gives what the cells propose.
+    """
+    columns = _have(df, columns)
+    grids, wide = [], []
+    for b in bins:
+        counts = [None if length is None else floor(length / b.reach) for length in box]
+        (wide if any(n is not None and n < 3 for n in counts) else grids).append((b, counts))
+    parts = []
+    if grids:
+        describe = []
+        for i, (b, counts) in enumerate(grids):
+            sizes = [b.reach if n is None else length / n for length, n in zip(box, counts, strict=True)]
+            describe.append(F.struct(F.lit(i).alias("bin"), F.lit(float(b.reach)).alias("reach"), F.lit(b.others is None).alias("among"), *[F.lit(float(s)).alias(f"s{a}") for a, s in zip(AXES, sizes, strict=True)], *[F.lit(n or 0).cast("long").alias(f"n{a}") for a, n in zip(AXES, counts, strict=True)]))
+
+        def by_type(member: str) -> Column:
+            of: dict[int, list[Column]] = {}
+            for (b, _), d in zip(grids, describe, strict=True):
+                for t in b.types if member == "home" or b.others is None else b.others:
+                    of.setdefault(t, []).append(d)
+            return F.create_map(*[c for t, ds in of.items() for c in (F.lit(t), F.array(*ds))])[F.col("type")]
+
+        def at(a: str) -> Column:
+            return F.floor(F.col(a) / F.col(f"b.s{a}")).cast("long")
+
+        def placed(suffix: str, cell: dict[str, Column]) -> list[Column]:
+            out = []
+            for a, length in zip(AXES, box, strict=True):
+                out.append((cell[a] if length is None else F.pmod(cell[a], F.col(f"b.n{a}"))).alias(f"c{a}"))
+                out.append((F.col(a) if length is None else F.col(a) - F.lit(float(length)) * F.floor(cell[a] / F.col(f"b.n{a}")).cast("double")).alias(f"i{a}{suffix}"))
+            return out
+
+        home = df.select("*", F.explode(by_type("home")).alias("b"))
+        home = home.select(*_side(df, "_a", columns), F.col("b.bin").alias("bin"), F.col("b.reach").alias("reach"), *placed("_a", {a: at(a) for a in AXES}))
+        steps = [F.array(*[F.struct(*[F.lit(o).cast("long").alias(f"o{a}") for o, a in zip(offset, AXES, strict=True)]) for offset in stencil]) for stencil in (half_stencil(1), tuple(product((-1, 0, 1), repeat=3)))]
+        visit = df.select("*", F.explode(by_type("visit")).alias("b"))
+        visit = visit.select("*", *[at(a).alias(f"__c{a}") for a in AXES], F.explode(F.when(F.col("b.among"), steps[0]).otherwise(steps[1])).alias("o"))
+        own = F.col("b.among") & (F.col("o.ox") == 0) & (F.col("o.oy") == 0) & (F.col("o.oz") == 0)
+        visit = visit.select(*_side(df, "_b", columns), F.col("b.bin").alias("bin"), *placed("_b", {a: F.col(f"__c{a}") + F.col(f"o.o{a}") for a in AXES}), own.alias("own"))
+        pairs = home.join(visit, ["bin", *[f"c{a}" for a in AXES]]).filter("NOT own OR id_a < id_b")
+        pairs = pairs.withColumns({f"d{a}": F.col(f"i{a}_b") - F.col(f"i{a}_a") for a in AXES})
+        pairs = _squared(pairs)
+        pairs = pairs.filter(F.col("r2") <= F.col("reach") * F.col("reach")) if exact else pairs
+        parts.append(pairs.drop("bin", "cx", "cy", "cz", "own", "reach", *[f"i{a}_{s}" for a in AXES for s in "ab"]))
+    for b, _ in wide:
+        # too few cells around a periodic axis
+        rows = df.filter(F.col("type").isin(sorted({*b.types, *(b.others or ())})))
+        found = direct(rows, b.reach if exact else None, columns, box, directed=False)
+        if b.others is not None:
+            found = found.filter(F.col("type_a").isin(*b.types) & F.col("type_b").isin(*b.others) | F.col("type_b").isin(*b.types) & F.col("type_a").isin(*b.others))
+        parts.append(found)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return both_ways(out) if directed else out
+
+
+def _met(tiles: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of two tiles side by side: from ``rows_a`` and ``rows_b``, every row of one with every row of the other. Both are unrolled
+    inside the task that has them, so no pair is ever shuffled."""
+    out = tiles.select(*keep, "rows_b", F.inline("rows_a").alias(*[f"{c}_a" for c in columns]))
+    return out.select(*keep, *[f"{c}_a" for c in columns], F.inline("rows_b").alias(*[f"{c}_b" for c in columns]))
+
+
+def tiles_by_hash(df: DataFrame, columns: tuple[str, ...], blocks: int | None = None) -> DataFrame:
+    """(p, q, rows_a, rows_b): the rows dealt into tiles of about ``BLOCK_ROWS``, and each unordered pair of tiles once."""
+    blocks = blocks or max(8, ceil(df.count() / BLOCK_ROWS))
+    tiles = df.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("p"), F.struct(*columns).alias("row")).groupBy("p").agg(F.collect_list("row").alias("rows"))
+    a = tiles.select("p", F.col("rows").alias("rows_a"), F.explode(F.sequence(F.col("p"), F.lit(blocks - 1))).alias("q"))
+    b = tiles.select(F.col("p").alias("q"), F.col("rows").alias("rows_b"), F.explode(F.sequence(F.lit(0), F.col("p"))).alias("p"))
+    return a.join(b, ["p", "q"])
+
+
 def direct(df: DataFrame, cutoff: float | None = None, columns: tuple[str, ...] = COLUMNS, box: tuple[float | None, ...] = (None, None, None), directed: bool = True, blocks: int | None = None) -> DataFrame:
-    """The same over all pairs; without a cutoff every pair stays. Each block meets itself and the later ones."""
+    """The same over all pairs; without a cutoff every pair stays. Each tile of rows meets itself and the later ones."""
     columns = _have(df, columns)
-    blocks = blocks or max(4, ceil(df.count() / BLOCK_ROWS))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = df.select("*", own.alias("__own"))
-    a = dealt.select(*_side(df, "_a", columns), F.col("__own").alias("p"), F.explode(F.sequence(F.col("__own"), F.lit(blocks - 1))).alias("q"))
-    b = dealt.select(*_side(df, "_b", columns), F.col("__own").alias("q"), F.explode(F.sequence(F.lit(0), F.col("__own"))).alias("p"))
-    pairs = a.join(b, ["p", "q"]).filter("p <> q OR id_a < id_b").drop("p", "q")
+    pairs = _met(tiles_by_hash(df, columns, blocks), columns, ("p", "q")).filter("p <> q OR id_a < id_b").drop("p", "q")
     d = {}
     for x, length in zip(AXES, box, strict=True):
         delta = F.col(f"{x}_b") - F.col(f"{x}_a")
@@ -105,6 +219,85 @@ def direct(df: DataFrame, cutoff: float | None = None, columns: tuple[str, ...]
     return both_ways(pairs) if directed else pairs
 
 
+#: Most rows of an adaptive cell, and how often a cell may be halved along each axis.
+CELL_ROWS, HALVINGS = 512, 5
+#: Parts of a hot cell's rows in the join that tells rows their cells.
+SALTS = 16
+
+
+def leaves(df: DataFrame, cutoff: float, columns: tuple[str, ...], box: tuple[float | None, ...], limit: int = CELL_ROWS, halvings: int = HALVINGS) -> DataFrame:
+    """Cells of an octree by counts, a row each: ``rows`` (at most about ``limit``), the bounds of their positions and the coarse
+    cell (cx, cy, cz) of the cutoff's size that holds them.
+
+    A cell with more rows is halved along each axis, down to ``halvings`` times; what is then still over the limit (rows in
+    one place) is cut by a hash of the ids. Only cells that were cut tell their rows so, in a join with the keys of hot cells
+    salted.
+    """
+    seen, fine = [], {}
+    for a, length in zip(AXES, box, strict=True):
+        n = None if length is None else floor(length / cutoff)
+        size = cutoff if n is None else length / n
+        inside = F.col(a) if n is None else F.col(a) - F.lit(float(length)) * F.floor(F.col(a) / F.lit(float(length))).cast("double")
+        seen.append(inside.alias(f"i{a}"))
+        f = F.floor(F.col(f"i{a}") / F.lit(float(size)) * F.lit(float(1 << halvings))).cast("long")
+        fine[f"f{a}"] = f if n is None else F.least(f, F.lit((n << halvings) - 1))
+    rows = df.select(*columns, *seen).withColumns(fine)
+    keys = {d: [F.shiftright(f"f{a}", halvings - d) for a in AXES] for d in range(halvings + 1)}
+    cells = rows.groupBy(*[f"f{a}" for a in AXES]).agg(F.count("*").alias("n"))
+    # sums over ever smaller cells: all are cut by the coarse one, so they take one shuffle
+    within = lambda d: Window.partitionBy(*[k for e in range(d + 1) for k in keys[e]])
+    cells = cells.withColumns({f"n{d}": F.sum("n").over(within(d)) for d in range(halvings)} | {f"n{halvings}": F.col("n")})
+    level = F.coalesce(*[F.when(F.col(f"n{d}") <= limit, d) for d in range(halvings)], F.lit(halvings))
+    cut_ = cells.filter(F.col("n0") > limit).select(*[f"f{a}" for a in AXES], level.alias("level"), F.ceil(F.col("n") / limit).cast("int").alias("blocks"))
+    cut_ = cut_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)).cast("int")).join(cut_, [*[f"f{a}" for a in AXES], "salt"], "left")
+    rows = rows.withColumns({"level": F.coalesce("level", F.lit(0)), "blocks": F.when(F.col("level") == halvings, F.col("blocks")).otherwise(1)})
+    leaf = [F.expr(f"shiftright(f{a}, {halvings} - level)").alias(f"k{a}") for a in AXES]
+    rows = rows.select("level", *leaf, F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.struct(*columns, *[f"i{a}" for a in AXES]).alias("row"))
+    out = rows.groupBy("level", *[f"k{a}" for a in AXES], "block").agg(F.collect_list("row").alias("rows"), *[f(f"row.i{a}").alias(f"{m}{a}") for a in AXES for m, f in (("low_", F.min), ("high_", F.max))])
+    return out.select("rows", *[F.expr(f"shiftright(k{a}, level)").alias(f"c{a}") for a in AXES], *[f"{m}{a}" for a in AXES for m in ("low_", "high_")])
+
+
+def leaf_pairs(tiles: DataFrame, cutoff: float, box: tuple[float | None, ...]) -> DataFrame:
+    """(a, b, ox, oy, oz): pairs of leaves whose bounds come within the cutoff of one another, each once, and how far b is carried
+    around periodic axes. ``tiles`` have an id ``leaf``."""
+    counts = [None if length is None else floor(length / cutoff) for length in box]
+    bounds = [f"{m}{a}" for a in AXES for m in ("low_", "high_")]
+    home = tiles.select(F.col("leaf").alias("a"), *[f"c{a}" for a in AXES], *[F.col(b).alias(f"{b}_a") for b in bounds])
+    offsets = F.array(*[F.struct(*[F.lit(o).cast("long").alias(f"o{a}") for o, a in zip(offset, AXES, strict=True)]) for offset in half_stencil(1)])
+    visit = tiles.select("*", F.explode(offsets).alias("o"))
+    moved, carried = [], []
+    for a, length, n in zip(AXES, box, counts, strict=True):
+        to = F.col(f"c{a}") + F.col(f"o.o{a}")
+        moved.append((to if n is None else F.pmod(to, F.lit(n))).alias(f"c{a}"))
+        carried.append((F.lit(0.0) if n is None else F.lit(-float(length)) * F.floor(to / F.lit(n)).cast("double")).alias(f"o{a}"))
+    own = (F.col("o.ox") == 0) & (F.col("o.oy") == 0) & (F.col("o.oz") == 0)
+    visit = visit.select(F.col("leaf").alias("b"), *moved, *carried, own.alias("own"), *[F.col(b).alias(f"{b}_b") for b in bounds])
+    # of two leaves of one cell, who comes first alternates, so that all have about as many partners
+    once = F.expr("NOT own OR a = b OR (a < b) = (pmod(a + b, 2) = 0)")
+    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"low_{x}_b") + F.col(f"o{x}") - F.col(f"high_{x}_a"), F.col(f"low_{x}_a") - F.col(f"high_{x}_b") - F.col(f"o{x}")), 2) for x in AXES), F.lit(0.0))
+    met = home.join(visit, [f"c{a}" for a in AXES]).filter(once & (gap <= cutoff * cutoff * (1 + 1e-9)))
+    return met.select("a", "b", *[f"o{a}" for a in AXES])
+
+
+def adaptive(df: DataFrame, cutoff: float, columns: tuple[str, ...] = COLUMNS, box: tuple[float | None, ...] = (None, None, None), directed: bool = True, limit: int = CELL_ROWS, halvings: int = HALVINGS, exact: bool = True) -> DataFrame:
+    """The pairs of ``grid`` over cells that follow the density: see ``leaves``. Leaves whose bounds are near are joined as wholes,
+    so a task's work is a number of leaf pairs of at most ``limit`` rows a side, however dense a place is."""
+    counts = [None if length is None else floor(length / cutoff) for length in box]
+    columns = _have(df, columns)
+    if any(n is not None and n < 3 for n in counts):
+        return direct(df, cutoff, columns, box, directed)  # wrapped neighbours would coincide
+    tiles = cut(leaves(df, cutoff, columns, box, limit, halvings).withColumn("leaf", F.monotonically_increasing_id()))
+    inner = (*columns, *[f"i{a}" for a in AXES])
+    side = lambda s: tiles.select(F.col("leaf").alias(s), F.col("rows").alias(f"rows_{s}"))
+    met = leaf_pairs(tiles, cutoff, box).join(side("a"), "a").join(side("b"), "b")
+    pairs = _met(met, inner, ("a", "b", "ox", "oy", "oz")).filter("a <> b OR id_a < id_b")
+    pairs = _squared(pairs.withColumns({f"d{x}": F.col(f"i{x}_b") + F.col(f"o{x}") - F.col(f"i{x}_a") for x in AXES}))
+    pairs = pairs.filter(F.col("r2") <= F.lit(float(cutoff * cutoff))) if exact else pairs
+    pairs = pairs.drop("a", "b", *[f"o{x}" for x in AXES], *[f"i{x}_{s}" for x in AXES for s in "ab"])
+    return both_ways(pairs) if directed else pairs
+
+
 def bonded(df: DataFrame, bonds: DataFrame, columns: tuple[str, ...] = COLUMNS, directed: bool = True) -> DataFrame:
     """Explicit pairs (src, dst) with the bonds' further columns; no cutoff and no wrap."""
     columns = _have(df, columns)
@@ -113,9 +306,30 @@ def bonded(df: DataFrame, bonds: DataFrame, columns: tuple[str, ...] = COLUMNS,
     return both_ways(out) if directed else out
 
 
-def interaction_pairs(df: DataFrame, reach: float | None, columns: tuple[str, ...] = COLUMNS, box: tuple[float | None, ...] = (None, None, None), directed: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Search:
+    """How pairs within a reach are found: ``cells`` (a grid a reach, ``per_cutoff`` cells to the reach), ``adaptive`` (cells by
+    counts, at most ``rows`` each) or ``direct`` (all pairs)."""
+
+    kind: str = "cells"
+    per_cutoff: int = 1
+    rows: int = CELL_ROWS
+
+    def __post_init__(self):
+        if self.kind not in ("cells", "adaptive", "direct") or self.per_cutoff < 1 or self.rows < 1:
+            raise ValueError("no such search")
+
+    def pairs(self, df: DataFrame, reach: float, columns: tuple[str, ...] = COLUMNS, box: tuple[float | None, ...] = (None, None, None), directed: bool = False) -> DataFrame:
+        if self.kind == "adaptive":
+            return adaptive(df, reach, columns, box, directed, self.rows)
+        if self.kind == "direct":
+            return direct(df, reach, columns, box, directed)
+        return grid(df, reach, columns, box, directed, self.per_cutoff)
+
+
+def interaction_pairs(df: DataFrame, reach: float | None, columns: tuple[str, ...] = COLUMNS, box: tuple[float | None, ...] = (None, None, None), directed: bool = False, search: Search | None = None) -> DataFrame:
     """The pairs that an interaction of this reach looks at, for kernels of one's own."""
-    return direct(df, None, columns, box, directed) if reach is None or reach > 1e100 else grid(df, reach, columns, box, directed)
+    return direct(df, None, columns, box, directed) if reach is None or reach > 1e100 else (search or Search()).pairs(df, reach, columns, box, directed)
 
 
 def interaction_batches(df: DataFrame, reach: float | None, kernel, schema: str, columns: tuple[str, ...] = COLUMNS, box: tuple[float | None, ...] = (None, None, None)) -> DataFrame:

@@ -4,20 +4,34 @@ A law is a small immutable value. Central laws give ``scale``: one SQL expressio
 the particles' columns with suffixes _a and _b, so it stays inside generated code; the force is scale * r. Other laws give
 ``vector``, three expressions that may also use dx, dy and dz. ``symmetry`` says what the second particle gets: the
 opposite (antisymmetric), the same (symmetric), or what the law says with both exchanged (nonsymmetric).
+
+A law names in ``fields`` the particles' columns that it reads beside id, type and position: attributes of the user's own
+as well as masses, charges or velocities. Pair joins carry exactly the fields of the laws that they serve, and what a law
+reads without naming it, or what a table does not have, is an error before anything runs.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from math import sqrt
 
 NO_CUTOFF = 1.0e150
 
 
+#: What every pair carries.
+PLACE = ("id", "type", "x", "y", "z")
+
+
 class MixingError(ValueError):
     """Two laws that have no rule for a mixed pair."""
 
 
+class FieldError(ValueError):
+    """A law reads a column that it does not name, or names one that the particles do not have."""
+
+
 @dataclass(frozen=True)
 class Law:
     cutoff: float | None = None
@@ -26,6 +40,8 @@ class Law:
     symmetry = "antisymmetric"
     central = True
     at_zero = False
+    #: The particles' columns that the law reads beside ``PLACE``.
+    fields = ()
 
     @property
     def reach(self) -> float:
@@ -71,6 +87,7 @@ class NoForce(Law):
 @dataclass(frozen=True)
 class Gravity(Law):
     g: float = 1.0
+    fields = ("mass",)
 
     def scale(self) -> str:
         return f"({self.g!r}e0 * mass_a * mass_b / (r2 * sqrt(r2)))"
@@ -84,6 +101,7 @@ class Gravity(Law):
 @dataclass(frozen=True)
 class Coulomb(Law):
     k: float = 1.0
+    fields = ("charge",)
 
     def scale(self) -> str:
         return f"({self.k!r}e0 * charge_a * charge_b / (r2 * sqrt(r2)))"
@@ -131,6 +149,7 @@ class LennardJones(Law):
 class SoftGravity(Law):
     g: float = 1.0
     soft: float = 0.1
+    fields = ("mass",)
 
     def scale(self) -> str:
         q = f"(r2 + {self.soft * self.soft!r}e0)"
@@ -159,22 +178,59 @@ class SymmetricConstant(Constant):
     symmetry = "symmetric"
 
 
+@dataclass(frozen=True)
+class Drag(Law):
+    """Pulls on the difference of two velocities, as much as the pair is near."""
+
+    gamma: float = 1.0
+    central = False
+    fields = ("vx", "vy", "vz")
+
+    def vector(self) -> tuple[str, str, str]:
+        near = "1e0" if self.cutoff is None else f"(1e0 - sqrt(r2) / {float(self.cutoff)!r}e0)"
+        return tuple(f"({float(self.gamma)!r}e0 * {near} * (v{a}_b - v{a}_a))" for a in "xyz")
+
+    def _mixed(self, other: Drag) -> Law:
+        return Drag(self._longer(other), sqrt(self.gamma * other.gamma))
+
+
 @dataclass(frozen=True)
 class Custom(Law):
-    """Any SQL over the pair: three components, and how the second particle takes part."""
+    """Any SQL over the pair: three components, how the second particle takes part, and the fields that it reads."""
 
     parts: tuple[str, str, str] = ("0e0", "0e0", "0e0")
     kind: str = "antisymmetric"
+    reads: tuple[str, ...] = ()
     central = False
 
     @property
     def symmetry(self) -> str:
         return self.kind
 
+    @property
+    def fields(self) -> tuple[str, ...]:
+        return self.reads
+
     def vector(self) -> tuple[str, str, str]:
         return self.parts
 
 
+def columns_of(laws: Iterable[Law], have: Iterable[str]) -> tuple[str, ...]:
+    """The columns that pairs of these laws carry; raises for fields that a law does not name or that ``have`` lacks."""
+    have, out = set(have), dict.fromkeys(PLACE)
+    for law in laws:
+        if isinstance(law, NoForce):
+            continue
+        text = " ".join(law.vector())
+        unnamed = {m for m in re.findall(r"\b([A-Za-z_]\w*)_[ab]\b", text)} - set(PLACE) - set(law.fields)
+        if unnamed:
+            raise FieldError(f"{type(law).__name__} reads {sorted(unnamed)} without naming them")
+        if missing := set(law.fields) - have:
+            raise FieldError(f"{type(law).__name__} reads {sorted(missing)}, which the particles do not have")
+        out |= dict.fromkeys(law.fields)
+    return tuple(out)
+
+
 def law_table(given: dict[tuple[int, int], Law], types: list[int]) -> dict[tuple[int, int], Law]:
     """A law for each unordered type pair: given ones, else mixed from the two self-interactions."""
     known = {tuple(sorted(k)): v for k, v in given.items()}

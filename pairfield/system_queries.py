@@ -38,7 +38,7 @@ def _constant_sql() -> str:
 
 query("constant_force", _constant_sql())(lambda spark, d: rounded(forces.pair_forces(_p(spark, d), CONSTANTS, [0, 1, 2]), *FORCE))
 
-_PULL = laws.Custom(2.0, ("(mass_a * dx)", "(charge_b * dy)", "(0.5e0 * dz)"), "nonsymmetric")
+_PULL = laws.Custom(2.0, ("(mass_a * dx)", "(charge_b * dy)", "(0.5e0 * dz)"), "nonsymmetric", ("mass", "charge"))
 query("nonsymmetric_force", _summed_sql(f"SELECT id_a AS id, mass_a * dx AS fx, charge_b * dy AS fy, 0.5e0 * dz AS fz FROM ({pair_sql('p', 2.0)}) WHERE r2 > 0"))(lambda spark, d: rounded(forces.pair_forces(_p(spark, d), _PULL), *FORCE))
 
 #: One pair of types attracts at any distance; the others keep to their cutoffs.
