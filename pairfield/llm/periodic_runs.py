@@ -227,14 +227,17 @@ def find_runs(df: DataFrame, text: str | Column = "text", keep: tuple[str, ...]
 def repeating(text: Column, doc_id: Column) -> Column:
     """A stated edit of one text in ten: from some word on, the words repeat with some period (words a to a + p, over and over)."""
     h = F.crc32(doc_id.cast("string"))
-    w = words(F.when(h % 10 == 0, text))  # the words of other texts are not needed, and splitting them would be most of the work
-    n = F.size(w).cast("long")
     g = F.floor(h / 10).cast("long")
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("long")
-    cycle = F.array_repeat(F.slice(w, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int"))
-    edited = F.concat(F.slice(w, F.lit(1), a.cast("int")), F.slice(F.flatten(cycle), F.lit(1), (n - a).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.concat_ws(" ", edited)).otherwise(text)
+
+    def edited(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("long")
+        cycle = F.array_repeat(F.slice(w, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int"))
+        return F.when(n > 0, F.concat_ws(" ", F.slice(w, F.lit(1), a.cast("int")), F.slice(F.flatten(cycle), F.lit(1), (n - a).cast("int"))))
+
+    # a variable of a lambda is split into words once; a column would be at each mention
+    return F.when(h % 10 == 0, F.coalesce(F.transform(F.array(words(text)), edited)[0], text)).otherwise(text)
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
