@@ -17,9 +17,10 @@ from ..operators import boundaries as B
 from ..operators.forces import pair_forces
 from ..operators.integrate import System
 from ..operators.observables import bounding_box
+from ..operators.pairs import Search
 from . import spec
 from .geometry import Box, Domain
-from .laws import Law, law_table
+from .laws import Law, columns_of, law_table
 
 
 @dataclass(frozen=True)
@@ -64,11 +65,33 @@ class Environment:
     domain: Domain = field(default_factory=Domain)
     padding: float = 0.0
     factor: float = 0.5
+    #: Names and types of further columns that every particle has.
+    attributes: dict[str, str] = field(default_factory=dict)
+    search: Search = Search()
+    strict_states: bool = False
+
+    def with_attributes(self, **types: str) -> Environment:
+        """Columns of one's own, by name and SQL type, for laws and kernels; tables must have them, and single declarations give them."""
+        taken = {c.split()[0] for c in PARTICLE.split(", ")}
+        if clash := taken & set(types):
+            raise spec.SpecError(f"every particle already has {sorted(clash)}")
+        self.attributes |= types
+        return self
+
+    def with_neighbours(self, kind: str = "cells", **more: int) -> Environment:
+        """How pairs within a reach are found: ``cells`` (``per_cutoff`` cells to the reach), ``adaptive`` (at most ``rows`` a cell) or ``direct``."""
+        self.search = Search(kind, **more)
+        return self
+
+    def with_strict_states(self, on: bool = True) -> Environment:
+        """Dead particles take no part in interactions, passive ones receive only."""
+        self.strict_states = on
+        return self
 
-    def with_particle(self, position, velocity=(0.0, 0.0, 0.0), mass: float = 1.0, type: int = 0, id: int | None = None, charge: float = 0.0, state: int = 1) -> Environment:
+    def with_particle(self, position, velocity=(0.0, 0.0, 0.0), mass: float = 1.0, type: int = 0, id: int | None = None, charge: float = 0.0, state: int = 1, **attributes) -> Environment:
         if id is not None and any(r[0] == id for r in self.rows):
             raise spec.SpecError(f"id {id} occurs twice")
-        self.rows.append((id, type, *map(float, position), *map(float, velocity), float(mass), float(charge), state))
+        self.rows.append((id, type, *map(float, position), *map(float, velocity), float(mass), float(charge), state, attributes))
         return self
 
     def with_particles(self, particles: DataFrame | Callable[[SparkSession], DataFrame] | Iterable[dict]) -> Environment:
@@ -110,9 +133,16 @@ class Environment:
     def particles(self, spark: SparkSession) -> DataFrame:
         """All declared particles as one table, ids filled in."""
         names = [c.split()[0] for c in PARTICLE.split(", ")]
-        parts = [spark.createDataFrame([(*r, i) for i, r in enumerate(self.rows)], f"{PARTICLE}, __order long")] if self.rows else []
+        own = "".join(f", {n} {t}" for n, t in self.attributes.items())
+        for *_, given in self.rows:
+            if odd := set(given) ^ set(self.attributes):
+                raise spec.SpecError(f"attributes {sorted(odd)} are declared and not given, or given and not declared")
+        parts = [spark.createDataFrame([(*r[:-1], *[r[-1][n] for n in self.attributes], i) for i, r in enumerate(self.rows)], f"{PARTICLE}{own}, __order long")] if self.rows else []
         for i, t in enumerate(self.tables):
             df = t if isinstance(t, DataFrame) else t(spark)
+            if missing := set(self.attributes) - set(df.columns):
+                raise spec.SpecError(f"a table lacks the attributes {sorted(missing)}")
+            df = df.withColumns({n: F.col(n).cast(t) for n, t in self.attributes.items()})
             given = df.withColumns({c: F.lit({"mass": 1.0, "state": 1, "type": 0}.get(c, 0.0)) for c in names if c not in df.columns and c != "id"})
             given = given if "id" in df.columns else given.withColumn("id", F.lit(None).cast("long"))
             parts.append(given.withColumn("__order", F.monotonically_increasing_id() + F.lit((i + 1) << 53)))
@@ -152,11 +182,12 @@ class Environment:
         B.check(self.boundaries)
         types = [r["type"] for r in df.select("type").distinct().orderBy("type").collect()]  # one row a type
         by_type, laws, bonds = self._compiled(types)
+        columns_of([*law_table(by_type, types).values(), *laws.values()], df.columns)
         bond_table = spark.createDataFrame(bonds, "src long, dst long, law int")
         spec.check_bonds(df, bond_table)
         periodic = {a: self.boundaries.get((a, 1), B.Boundary("open")).kind == "periodic" for a in "xyz"}
         wrap = tuple(e if periodic[a] else None for a, e in zip("xyz", domain.extent, strict=True))
-        force = lambda d: pair_forces(d, by_type, types, wrap, bond_table if bonds else None, laws or None)
+        force = lambda d: pair_forces(d, by_type, types, wrap, bond_table if bonds else None, laws or None, self.strict_states, self.search)
         corners = (dict(zip("xyz", domain.low, strict=True)), dict(zip("xyz", domain.high, strict=True)))
         system = System(df, force, self.boundaries, *corners, list(self.fields), list(self.controllers))
         return system, BuildInfo(spec.type_map(df.select("type")), spec.id_map(df, bond_table), Box(low, high), domain)
