@@ -34,14 +34,38 @@ def intersection_graph(members: DataFrame) -> DataFrame:
     return a.join(b, "node").filter("a <> b").select("a", "b").distinct()
 
 
-def independent_partitions(adjacency: dict[int, list[int]], most: int) -> list[list[int]]:
-    """Greedy groups of at most ``most`` nodes without an edge inside. Sequential by nature; for small inputs on the driver."""
-    groups: list[list[int]] = []
-    for node in sorted(adjacency):
-        for g in groups:
-            if len(g) < most and not set(g) & set(adjacency[node]):
-                g.append(node)
-                break
-        else:
-            groups.append([node])
-    return groups
+def _first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes that a walk in their order would take if it took each one without an edge to those taken before. In rounds: a node
+    before all its open neighbours is taken, its neighbours are closed."""
+    taken = None
+    while True:
+        later = edges.select(F.greatest("a", "b").alias("node")).distinct()
+        now = cut(nodes.join(later, "node", "left_anti"))
+        taken = now if taken is None else cut(taken.unionByName(now))
+        closed = edges.join(now.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        nodes = cut(nodes.join(now, "node", "left_anti").join(closed, "node", "left_anti"))
+        if nodes.isEmpty():
+            return taken
+        edges = cut(edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi"))
+
+
+def independent_partitions(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, part): each node in the first part that has fewer than ``most`` nodes and none with an edge to it, nodes in order.
+
+    Part after part: a part is the first ``most`` of what an independent walk over the nodes left takes, which is what placing the
+    nodes one by one gives. So there are as many rounds of joins as parts, times the longest chain of nodes that wait for one another
+    within a part; ``most`` rows of a part are sorted in one place. ``edges`` (src, dst) go in any direction.
+    """
+    if most is not None and most < 1:
+        raise ValueError("a part has a node at least")
+    nodes = cut(nodes.select("node").distinct())
+    both = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).filter("a <> b").distinct())
+    done, part = nodes.limit(0).withColumn("part", F.lit(0)), 0
+    while not nodes.isEmpty():
+        taken = _first_independent(nodes, both)
+        taken = taken if most is None else cut(taken.orderBy("node").limit(most))
+        done = cut(done.unionByName(taken.withColumn("part", F.lit(part))))
+        nodes, part = cut(nodes.join(taken, "node", "left_anti")), part + 1
+        open_ = lambda c, left=nodes: left.select(F.col("node").alias(c))
+        both = cut(both.join(open_("a"), "a", "left_semi").join(open_("b"), "b", "left_semi"))
+    return done

@@ -6,12 +6,17 @@ before it runs. All are Column expressions and stay in generated code; rows outs
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+from ..session import cut, ship
 from .forces import ALL, ALIVE, in_state
 
 
@@ -66,6 +71,58 @@ def reduce(df: DataFrame, value: Column | str, fold: str | Callable[[Column], Co
     return df.filter(in_state(state)).agg(total.alias("value"))
 
 
+@dataclass(frozen=True)
+class Reducer:
+    """A fold of one's own. ``step`` takes a state and an Arrow batch of the columns that it reads; ``merge`` takes two states and
+    must be associative and commutative, with ``initial`` changing nothing. A state is a tuple of what ``schema`` says."""
+
+    reads: tuple[str, ...]
+    schema: str
+    initial: tuple
+    step: Callable[[tuple, pa.RecordBatch], tuple]
+    merge: Callable[[tuple, tuple], tuple]
+
+
+#: States that a task merges.
+FAN = 64
+
+
+def reduce_with(df: DataFrame, r: Reducer, state: int = ALIVE, fan: int = FAN) -> DataFrame:
+    """One row: the state over the particles of the mask. Each task folds its own rows batch by batch and leaves one state; states are
+    merged ``fan`` at a time until one is left, so no row of a particle is shuffled and no task sees more than ``fan`` states."""
+    if fan < 2:
+        raise ValueError("a merge takes two states at least")
+    spark = df.sparkSession
+    fields = StructType.fromDDL(r.schema).fields
+    names, arrow = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+
+    def row(of: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(of, arrow, strict=True)], names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = r.initial
+        for batch in batches:
+            now = r.step(now, batch) if batch.num_rows else now
+        yield row(now)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = r.initial
+        for batch in batches:
+            for other in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                now = r.merge(now, other)
+        yield row(now)
+
+    ship(spark)
+    states = cut(df.filter(in_state(state)).select(*r.reads).mapInArrow(fold, r.schema))
+    n = states.count()
+    if not n:
+        return spark.createDataFrame([r.initial], r.schema)
+    while n > 1:
+        n = ceil(n / fan)
+        states = cut((states.repartition(n) if n > 1 else states.coalesce(1)).mapInArrow(merge, r.schema))
+    return states
+
+
 def size(df: DataFrame, state: int = ALL) -> DataFrame:
     """One row n: the particles of the mask."""
     return df.filter(in_state(state)).agg(F.count("*").alias("n"))

@@ -375,4 +375,4 @@ def scalar_math(spark, d):
     return _p(spark, d).select("id", F.round(V.rsqrt(x + 1), 6).alias("rsqrt"), F.round(V.exp2(vx), 6).alias("exp2"), (V.truncate(vx * 3) + F.lit(0.0)).alias("trunc"), F.round(V.hypot3(x, F.col("y"), F.col("z")), 6).alias("hypot"), V.clamp(vx, F.lit(-0.5), F.lit(0.5)).alias("clamp"), (F.round(V.remainder(x, F.lit(2.0)), 6) + F.lit(0.0)).alias("remainder"))
 
 
-from . import neighbour_queries, system_queries  # noqa: E402, F401  register their queries here
+from . import neighbour_queries, source_queries, system_queries  # noqa: E402, F401  register their queries here

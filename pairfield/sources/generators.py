@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import trunc
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: One text for Spark and for other engines: a jittered lattice from part keys.
 PARTICLES_SQL = """
 SELECT p_partkey AS id, CAST(p_size % 3 AS INT) AS type,
@@ -61,3 +64,67 @@ def thermal(df: DataFrame, velocity) -> DataFrame:
 
 def maxwell_boltzmann(df: DataFrame, average: float, dims: int, seed: int = 42) -> DataFrame:
     return df.withColumns({f"v{a}": F.lit(average) * F.randn(seed + i) for i, a in enumerate("xyz"[:dims])})
+
+
+#: Fixed values of the generator of pseudo-random numbers by id: factors and a prime.
+FACTORS, PRIME = (7919, 104729, 1299709, 15485863), 1000003
+
+
+def normal_by_id(id_: Column, draw: int, seed: int = 0) -> Column:
+    """A normal variate that depends on the id, the number of the draw and the seed alone, so a table is the same however it is cut."""
+    u, v = ((F.pmod(h * h + h, F.lit(PRIME)) + F.lit(0.5)) / F.lit(float(PRIME)) for h in (F.pmod(id_ * F.lit(FACTORS[k]) + F.lit((2 * draw + k + 1) * FACTORS[k + 2] + seed), F.lit(PRIME)) for k in (0, 1)))
+    return F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(2.0) * F.pi() * v)
+
+
+def warmed(df: DataFrame, deviation: Column | str, seed: int = 0) -> DataFrame:
+    """df with thermal velocities of a standard deviation added to its mean ones, drawn by id."""
+    width = F.col(deviation) if isinstance(deviation, str) else deviation
+    return df.withColumns({f"v{a}": (F.col(f"v{a}") if f"v{a}" in df.columns else F.lit(0.0)) + width * normal_by_id(F.col("id"), i, seed) for i, a in enumerate("xyz")})
+
+
+class Lattice:
+    """A table function: the points of a plane of a generator's lattice. A box of a x b x c points from a corner, or the points strictly
+    inside an ellipsoid of radii a, b, c around a centre; ids count the lattice's places from ``first_id``, x outermost."""
+
+    RETURNS = "id bigint, x double, y double, z double"
+
+    def eval(self, kind: str, first_id: int, x: float, y: float, z: float, a: float, b: float, c: float, spacing: float, plane: int) -> Iterator[tuple[int, float, float, float]]:
+        if kind == "cuboid":
+            ny, nz = int(b), int(c)
+            for j in range(ny):
+                for k in range(nz):
+                    yield first_id + (plane * ny + j) * nz + k, x + plane * spacing, y + j * spacing, z + k * spacing
+            return
+        n = [trunc(r / spacing) for r in (a, b, c)]
+        radii = [max(r, spacing) for r in (a, b, c)]
+        dx = (plane - n[0]) * spacing
+        for j in range(2 * n[1] + 1):
+            for k in range(2 * n[2] + 1):
+                dy, dz = (j - n[1]) * spacing, (k - n[2]) * spacing
+                if dx * dx / (radii[0] * radii[0]) + dy * dy / (radii[1] * radii[1]) + dz * dz / (radii[2] * radii[2]) < 1:
+                    yield first_id + (plane * (2 * n[1] + 1) + j) * (2 * n[2] + 1) + k, x + dx, y + dy, z + dz
+
+
+#: The columns of a table of generators. For a cuboid (x, y, z) is a corner and (a, b, c) are counts, for an ellipsoid the centre and radii.
+GENERATOR = ("kind", "first_id", "x", "y", "z", "a", "b", "c", "spacing")
+
+
+def generated(generators: DataFrame, seed: int = 0) -> DataFrame:
+    """The particles of a table of generators: its rows are joined laterally with a table function, a call for each plane of a lattice, so
+    a large lattice is made by many tasks. Further columns (``type``, ``mass``, ``vx``, ...) go on to the particles; where there is a
+    column ``deviation``, thermal velocities of that width are added."""
+    spark = ship(generators.sparkSession)
+    if missing := set(GENERATOR) - set(generators.columns):
+        raise ValueError(f"a table of generators has the columns {sorted(missing)}")
+    planes = F.when(F.col("kind") == "cuboid", F.col("a")).otherwise(2 * F.floor(F.col("a") / F.col("spacing")) + 1).cast("int")
+    right = (F.col("spacing") > 0) & F.col("kind").isin("cuboid", "ellipsoid")
+    checked = generators.withColumn("spacing", F.when(right, F.col("spacing")).otherwise(F.raise_error(F.lit("a generator is a cuboid or an ellipsoid and has a spacing over 0"))))
+    slabs = checked.withColumn("plane", F.explode(F.when(planes > 0, F.sequence(F.lit(0), planes - 1))))
+    # a plane is a call of the function; dealt anew, as a few rows make many particles
+    slabs = slabs.repartition(F.col("first_id"), F.col("plane"))
+    more = [c for c in generators.columns if c not in GENERATOR]
+    kinds = {"kind": "string", "first_id": "bigint", "plane": "int"}
+    spark.udtf.register("pairfield_lattice", F.udtf(Lattice, returnType=Lattice.RETURNS))
+    arguments = ", ".join(f"CAST(g.{c} AS {kinds.get(c, 'double')})" for c in (*GENERATOR, "plane"))
+    out = spark.sql(f"SELECT {', '.join(['p.*', *[f'g.{c}' for c in more]])} FROM {{g}} g, LATERAL pairfield_lattice({arguments}) p", g=slabs)
+    return warmed(out, "deviation", seed).drop("deviation") if "deviation" in more else out

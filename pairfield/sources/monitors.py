@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from statistics import fmean, pstdev
 
 from ..streaming.triggers import Trigger, always
-from . import files
+from . import files, snapshots
 
 
 class Monitor:
@@ -42,31 +42,29 @@ class ParquetOutput(Monitor):
 
 
 class BinaryOutput(Monitor):
+    """A folder of binary parts a frame."""
+
     def __init__(self, trigger: Trigger, folder: str, base: str):
         super().__init__(trigger)
         self.folder, self.base = folder, base
 
     def record(self, system) -> None:
-        files.write_binary(system.df, self.folder, self.base, system.step)
+        snapshots.write_snapshot(system.df, f"{self.folder}/{self.base}_{system.step:05}.bin", system.step)
 
 
 class XYZOutput(Monitor):
-    """All frames in one file, begun anew by each run."""
+    """A folder of text parts a frame; a frame that is there already is written anew."""
 
-    def __init__(self, trigger: Trigger, path: str):
+    def __init__(self, trigger: Trigger, folder: str):
         super().__init__(trigger)
-        self.path = path
-
-    def init(self, *clock_of_run) -> None:
-        super().init(*clock_of_run)
-        open(self.path, "w").close()
+        self.folder = folder
 
     def record(self, system) -> None:
-        files.write_xyz(system.df, self.path, system.step, system.time)
+        files.write_xyz(system.df, self.folder, system.step, system.time)
 
 
 class VTPOutput(Monitor):
-    """A file per frame, and at the end the collection that names them with their times."""
+    """A frame of pieces each time, and at the end the collection that names them with their times."""
 
     def __init__(self, trigger: Trigger, folder: str, base: str, fields: tuple[str, ...] = ("velocity", "force", "type", "id")):
         super().__init__(trigger)
