@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.spec import ranked
 from ..session import cut, shared_dir  # noqa: F401  operators take cut from here
 
 #: A word is a maximal run of characters other than these.
@@ -39,6 +40,25 @@ def kept(keep: tuple[str, ...], own: tuple[str, ...]) -> tuple[Column, list[Colu
     return whole.alias("__kept"), [F.col("__kept")[n].alias(n) for n in names.values()]
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def by_row(df: DataFrame, text: str, doc_id: str, nulls: bool = False) -> tuple[DataFrame, str]:
+    """df and a column that tells its rows apart: the ids themselves, or where some repeat, numbers of the rows in order of id and a
+    hash of the text, null ids last. Null ids keep a null unless ``nulls`` are to be told apart as well."""
+    ids = df.select(F.col(doc_id).alias("id"))
+    ids = ids if nulls else ids.filter("id IS NOT NULL")
+    if ids.groupBy("id").count().filter("count > 1").limit(1).isEmpty():
+        return df, doc_id
+    name = fresh("__row", df)
+    out = ranked(df, name, F.col(doc_id).asc_nulls_last(), F.xxhash64(text))
+    return (out if nulls else out.withColumn(name, F.when(F.col(doc_id).isNotNull(), F.col(name)))), name
+
+
 def words(text: Column) -> Column:
     """Whitespace-delimited words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")

@@ -7,9 +7,11 @@ arrays, one per order, with a log probability or back-off weight per language be
 with the number of different 4-grams of the corpus.
 
 A text gets the language of least cross-entropy per sign. ``score`` is that language's share (softmax of the total
-log likelihood, damped to 200 signs). A text is rejected when its cross-entropy is further above what labelled texts of
-that language show than their calibrated quantile allows, or when it has no letter. Calibration covers all labelled rows and
-is held out: they fall into halves by their text, and each half is measured by the model of the other.
+log likelihood, damped to 200 signs). A text is rejected when its cross-entropy is further above the usual one of that
+language than nearly all of its labelled texts are, both by the sign and by the sign times the root of the text's length (what
+chance adds to a short text shrinks with its length; what another language adds does not), or when it has no letter. The two
+bounds are quantiles over all labelled rows and are held out: rows fall into halves by their text, and each half is measured
+by the model of the other.
 
 Nulls and edges: a null or empty text, or one without letters, is ``und`` with score 0 and is rejected; ties go to the
 language first by code point; repeated rows count as often as they stand in the table; an empty or unlabelled training
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import blocks, cut, kept_as, slices, table, trimmed
 
 ORDER, BITS = 4, 16
-QUANTILE, SLACK = 0.999, 4.0
+QUANTILE = 0.999
 #: The quantile's rank is exact up to one part in so many of a language's rows.
 ACCURACY = 1_000_000
 
@@ -134,6 +136,8 @@ class Model:
     #: Mean cross-entropy by language, and how far above it (times the root of the length) a text may lie.
     usual: np.ndarray | None = None
     room: np.ndarray | None = None
+    #: The same bound by the sign.
+    least: np.ndarray | None = None
 
     @classmethod
     def fit(cls, languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -210,7 +214,8 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     none = letters == 0
     rejected = none.copy()
     if model.usual is not None:
-        rejected |= (h[rows, best] - model.usual[best]) * np.sqrt(n) > model.room[best]
+        over = h[rows, best] - model.usual[best]
+        rejected |= (over * np.sqrt(n) > model.room[best]) & (over > model.least[best])
     return ["und" if x else model.languages[b] for x, b in zip(none, best, strict=True)], np.where(none, 0.0, share[rows, best]), rejected
 
 
@@ -244,13 +249,14 @@ def train(df: DataFrame, text: str = "text", label: str = "lang") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(h), pa.array(n)], ["own", "h", "n"])
 
     seen = cut(_labelled(df, text, label).mapInArrow(trimmed(excess), "own long, h double, n long"))
-    model.usual, model.room = np.full(len(languages), np.inf), np.full(len(languages), np.inf)
+    model.usual, model.room, model.least = (np.full(len(languages), np.inf) for _ in range(3))
     # one row a language each
     for r in seen.groupBy("own").agg((F.sum(F.col("h") * F.col("n")) / F.sum("n")).alias("usual")).collect():
         model.usual[r["own"]] = r["usual"] if r["usual"] is not None else np.inf
     usual = F.get(F.array(*map(F.lit, model.usual.tolist())), F.col("own").cast("int"))
-    for r in seen.groupBy("own").agg(F.percentile_approx((F.col("h") - usual) * F.sqrt("n"), QUANTILE, ACCURACY).alias("over")).collect():
-        model.room[r["own"]] = SLACK * max(r["over"], 1.0)
+    over = F.col("h") - usual
+    for r in seen.groupBy("own").agg(F.percentile_approx(over * F.sqrt("n"), QUANTILE, ACCURACY).alias("room"), F.percentile_approx(over, QUANTILE, ACCURACY).alias("least")).collect():
+        model.room[r["own"]], model.least[r["own"]] = max(r["room"], 1.0), max(r["least"], 0.1)
     shared.unpersist()
     return model
 

@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, words
+from .common import by_row, cut, kept_as, table, words
 
 WEIGHTS, CAP, SPAN = (1, 2, 3), 3, 4096
+OWN = ("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -62,12 +63,23 @@ def _narrow(rows: DataFrame, left: DataFrame, shift: int) -> DataFrame:
     return last.select(F.col("source").alias("s"), F.col("x.span").alias("span"), F.col("x.rest").alias("rest"))
 
 
-def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, preference: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (whole documents taken) and taken (words).
+def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, preference: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (whole documents taken) and taken (words), a row for each row of df.
 
-    ``preference`` (positive) multiplies a document's residual inclusion odds.
+    ``preference`` (positive) multiplies a document's residual inclusion odds. ``keep`` passes columns on, each row's own, with ``_in``
+    behind names that are results.
     """
-    sized = cut(df.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), (F.lit(1.0) if preference is None else preference.cast("double")).alias("preference")))
+    if keep:
+        rows, key = by_row(df, text, doc_id, nulls=True)
+        mixed = _mix(rows, text, source, doc_id, weights, cap, preference, key).withColumnRenamed("row", "__mixed")
+        names = kept_as(keep, OWN)
+        return rows.select(F.col(key).alias("__key"), *[F.col(c).alias(n) for c, n in names.items()]).join(mixed, F.col("__key").eqNullSafe(F.col("__mixed"))).select(*OWN, *names.values())
+    return _mix(df, text, source, doc_id, weights, cap, preference, doc_id).drop("row")
+
+
+def _mix(df: DataFrame, text: str, source: str, doc_id: str, weights: tuple[int, ...], cap: int, preference: Column | None, row: str) -> DataFrame:
+    """``mix`` with a column ``row`` beside its own."""
+    sized = cut(df.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), (F.lit(1.0) if preference is None else preference.cast("double")).alias("preference")))
     goal = cut(targets(sized, weights, cap))
     g = goal.select(
         F.col("source").alias("s"), "source_size", "target",
@@ -86,11 +98,11 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     placed = rows.join(cutoff, rows["source"].eqNullSafe(F.col("s")), "left").drop("s")
     span = F.floor(F.col("key") / F.lit(1 << 24))
     sure = placed.withColumn("extra", F.when(span < F.col("fine"), 1).when(span == F.col("fine"), F.lit(None).cast("int")).otherwise(0))
-    last = Window.partitionBy("source", "fine").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    last = Window.partitionBy("source", "fine").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     edge = sure.filter(F.col("extra").isNull()).withColumn("extra", F.when(2 * F.sum("size").over(last) - F.col("size") <= 2 * F.col("left"), 1).otherwise(0))
     both = sure.filter(F.col("extra").isNotNull()).unionByName(edge)
     copies = (F.col("whole") + F.when(F.col("rest") > 0, F.col("extra")).otherwise(0)).cast("long")
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, partitions, slices, store, table, tidy, trimmed
+from .common import by_row, cut, discard, partitions, slices, store, table, tidy, trimmed
 from .components import components
 from .hashing import mix, shingles
 
@@ -463,7 +463,18 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of df."""
+    """(doc_id, n_shingles, component_id) per row of df, each judged by its own text. Rows that repeat an id are linked as rows of their own."""
+    rows, key = by_row(df, text, doc_id)
+    if key == doc_id:
+        return _join(df, text, doc_id, k, percent)
+    found, ids = _join(rows, text, key, k, percent), rows.select(F.col(key).alias("row"), F.col(doc_id).alias("id")).filter("row IS NOT NULL")
+    # row numbers are in the order of the ids, so the least row of a component has its least id
+    own, least = ids.withColumnsRenamed({"row": "r", "id": "own"}), ids.withColumnsRenamed({"row": "s", "id": "least"})
+    out = found.join(own, found["doc_id"] == own["r"], "left").join(least, found["component_id"] == least["s"], "left")
+    return out.select(F.col("own").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+
+
+def _join(df: DataFrame, text: str, doc_id: str, k: int, percent: int) -> DataFrame:
     spark = df.sparkSession
     rows = cut(sizes(df, text, doc_id, k))
     firsts = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
