@@ -1,8 +1,8 @@
 """A training-data pipeline over ``documents``: five stages, each one operator over all that the stage before kept.
 
 Nulls and edges, in all stages: a null or empty text has no letter and is dropped by the first stage, so later ones get
-texts; a null doc_id stays and is held against no other document; rows that repeat a doc_id are judged by their own texts
-(line dedup: share their verdicts by line number); of equal texts the smallest doc_id stays; a null source is a source of
+texts; a null doc_id stays and is held against no other document; rows that repeat a doc_id are rows of their own, judged by their
+own texts, in order of a hash of these; of equal texts the smallest doc_id stays, of equal rows one; a null source is a source of
 its own; ties are decided as the operators say; an empty table gives an empty table; columns beyond those of documents end
 with the first stage.
 """
@@ -37,16 +37,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest doc_id; a document without words is no duplicate."""
     common.give_back(ship(spark))
-    groups = ngram_join.join(docs).filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+    rows, key = common.by_row(docs, "text", "doc_id")
+    gone = ngram_join.join(rows, doc_id=key).filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    return rows.join(gone, F.col(key) == F.col("__gone"), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     common.give_back(spark)
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("__doc")).agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__doc")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    taken = mixing.mix(docs, keep=COLUMNS).filter("copies > 0")
+    copies = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return copies.select(*[F.col(name).alias(c) for c, name in common.kept_as(COLUMNS, mixing.OWN).items()])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
