@@ -42,6 +42,17 @@ def grid_size(extent: tuple[float, float, float], reach: float, strategy: str |
     return counts, tuple(e / n for e, n in zip(extent, counts, strict=True))
 
 
+def grid_sizes(grids: DataFrame, strategies: dict[str, str | tuple[str, float]]) -> DataFrame:
+    """A table of grids (ex, ey, ez, reach, skin) with a row for each strategy: its name and ``grid_size``'s cells nx, ny, nz."""
+    some = F.least(*[F.when(F.col(f"e{a}") > 0, F.col(f"e{a}")) for a in "xyz"])
+    reach = F.when(some.isNotNull(), F.least(F.col("reach"), some / 2)).otherwise(F.col("reach"))
+    # the width is linear in the reach: what it is for a reach of 0, and how much it grows
+    plans = F.array(*[F.struct(F.lit(n).alias("strategy"), F.lit(cell_width(0.0, s)).alias("base"), F.lit(cell_width(1.0, s) - cell_width(0.0, s)).alias("slope")) for n, s in strategies.items()])
+    rows = grids.select("*", reach.alias("__reach"), F.inline(plans))
+    width = F.col("base") + F.col("slope") * F.col("__reach") + F.col("skin")
+    return rows.withColumns({f"n{a}": F.greatest(F.lit(2), F.floor(F.col(f"e{a}") / width)).cast("int") for a in "xyz"}).drop("base", "slope", "__reach")
+
+
 def reordered(df: DataFrame, bin_: Column) -> DataFrame:
     """The rows in order of a bin number, stored range by range, so that rows of one bin lie together."""
     return df.repartitionByRange(bin_).sortWithinPartitions(bin_, "id")

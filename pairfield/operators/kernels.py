@@ -71,6 +71,12 @@ def reduce(df: DataFrame, value: Column | str, fold: str | Callable[[Column], Co
     return df.filter(in_state(state)).agg(total.alias("value"))
 
 
+def flags(df: DataFrame, tests: dict[str, tuple[str, str]], state: int = ALIVE) -> DataFrame:
+    """One row: by name, whether any, all or none of the particles of the mask pass a test."""
+    folds = {"any": F.bool_or, "all": F.bool_and, "none": lambda c: ~F.bool_or(c)}
+    return df.filter(in_state(state)).agg(*[folds[kind](F.expr(test)).alias(name) for name, (kind, test) in tests.items()])
+
+
 @dataclass(frozen=True)
 class Reducer:
     """A fold of one's own. ``step`` takes a state and an Arrow batch of the columns that it reads; ``merge`` takes two states and

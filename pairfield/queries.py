@@ -13,7 +13,7 @@ from .operators import cells, forces, graph, observables, pairs
 from .operators.integrate import YOSHIDA, System
 from .plans import laws, spec
 from .session import cut
-from .sources.generators import BONDS_SQL, PARTICLES_SQL, cuboid, derived, ellipsoid
+from .sources.generators import BONDS_SQL, PARTICLES_SQL, derived, generated
 from .streaming import triggers
 
 LJ = laws.LennardJones(3.0, 5.0, 1.0)
@@ -73,31 +73,44 @@ FORCE = ("id", "fx", "fy", "fz")
 FORCE_OUT = f"id, {r6('fx')}, {r6('fy')}, {r6('fz')}"
 
 
-def _force_query(name: str, law, cutoff: float | None, box=(None, None, None)) -> None:
-    sql = f"{P} SELECT {FORCE_OUT} FROM ({with_force_sql('p', force_sql('p', law.scale(), cutoff, box if box[0] else None))})"
+def _force_query(name: str, law, scale: str, cutoff: float | None, box=(None, None, None)) -> None:
+    """``scale``: the law written out for the other engine."""
+    sql = f"{P} SELECT {FORCE_OUT} FROM ({with_force_sql('p', force_sql('p', scale, cutoff, box if box[0] else None))})"
     query(name, sql)(lambda spark, d: rounded(forces.pair_forces(_p(spark, d), law, box=box), *FORCE))
 
 
-_force_query("lj_net_force", LJ, 3.0)
-_force_query("gravity_force", laws.Gravity(None, 1.0), None)
-_force_query("coulomb_force", laws.Coulomb(4.0, 1.5), 4.0)
-_force_query("harmonic_force", laws.Harmonic(2.0, 10.0, 1.1), 2.0)
-_force_query("soft_gravity_force", laws.SoftGravity(3.0, 1.0, 0.3), 3.0)
-_force_query("periodic_force", laws.LennardJones(2.5, 1.0, 1.0), 2.5, BOX)
+LJ_SQL = "-(240e0 / (r2 * r2 * r2) - 120e0) / (r2 * r2 * r2 * r2)"
+_UNIT_LJ_SQL = "-(48e0 / (r2 * r2 * r2) - 24e0) / (r2 * r2 * r2 * r2)"
+_force_query("lj_net_force", LJ, LJ_SQL, 3.0)
+_force_query("gravity_force", laws.Gravity(None, 1.0), "mass_a * mass_b / (r2 * sqrt(r2))", None)
+_force_query("coulomb_force", laws.Coulomb(4.0, 1.5), "1.5e0 * charge_a * charge_b / (r2 * sqrt(r2))", 4.0)
+_force_query("harmonic_force", laws.Harmonic(2.0, 10.0, 1.1), "10e0 * (sqrt(r2) - 1.1e0) / sqrt(r2)", 2.0)
+_force_query("soft_gravity_force", laws.SoftGravity(3.0, 1.0, 0.3), "-mass_a * mass_b / ((r2 + 0.09e0) * sqrt(r2 + 0.09e0))", 3.0)
+_force_query("periodic_force", laws.LennardJones(2.5, 1.0, 1.0), _UNIT_LJ_SQL, 2.5, BOX)
 
 
-def _typed(name: str, given: dict) -> None:
-    table = laws.law_table(given, [0, 1, 2])
-    reach = max(x.reach for x in table.values())
-    query(name, f"{P} SELECT {FORCE_OUT} FROM ({with_force_sql('p', force_sql('p', laws.scale_by_type(table), reach))})")(lambda spark, d: rounded(forces.pair_forces(_p(spark, d), given, [0, 1, 2]), *FORCE))
+def _typed(name: str, given: dict, scale: str, reach: float) -> None:
+    query(name, f"{P} SELECT {FORCE_OUT} FROM ({with_force_sql('p', force_sql('p', scale, reach))})")(lambda spark, d: rounded(forces.pair_forces(_p(spark, d), given, [0, 1, 2]), *FORCE))
 
 
-_typed("type_pair_force", TYPE_LAWS)
-_typed("mixed_lj_force", MIXED)
+_LEAST, _MOST = "least(type_a, type_b)", "greatest(type_a, type_b)"
+_typed("type_pair_force", TYPE_LAWS, f"""CASE WHEN {_MOST} = 0 AND r2 <= 6.25e0 THEN {_UNIT_LJ_SQL} WHEN {_LEAST} = 1 AND {_MOST} = 1 AND r2 <= 4e0 THEN 3e0 * (sqrt(r2) - 1.2e0) / sqrt(r2)
+    WHEN {_LEAST} = 0 AND {_MOST} = 1 AND r2 <= 4e0 THEN 1.5e0 * mass_a * mass_b / (r2 * sqrt(r2)) WHEN {_LEAST} = 1 AND {_MOST} = 2 AND r2 <= 4.84e0 THEN 0.7e0 * charge_a * charge_b / (r2 * sqrt(r2)) ELSE 0e0 END""", 2.5)
+
+
+def _mixed_sql() -> str:
+    """Depth, width and reach of a pair from those of its types: geometric, arithmetic and geometric mean."""
+    pick = lambda s, values: f"CASE type_{s} WHEN 0 THEN {values[0]} WHEN 1 THEN {values[1]} ELSE {values[2]} END"
+    eps, sigma, reach = ([pick(s, v) for s in "ab"] for v in (("1e0", "4e0", "2e0"), ("1e0", "1.1e0", "0.9e0"), ("2e0", "2.5e0", "3e0")))
+    e, s6 = f"sqrt(({eps[0]}) * ({eps[1]}))", f"power((({sigma[0]}) + ({sigma[1]})) / 2e0, 6)"
+    return f"CASE WHEN r2 <= ({reach[0]}) * ({reach[1]}) THEN -(48e0 * {e} * {s6} * {s6} / (r2 * r2 * r2) - 24e0 * {e} * {s6}) / (r2 * r2 * r2 * r2) ELSE 0e0 END"
+
+
+_typed("mixed_lj_force", MIXED, _mixed_sql(), 3.0)
 
 _BOND = laws.Harmonic(None, 5.0, 1.0)
 _BONDED = "SELECT a.id AS id_a, b.id AS id_b, a.mass AS mass_a, b.mass AS mass_b, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z) AS r2 FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) e JOIN p a ON a.id = e.src JOIN p b ON b.id = e.dst"
-_BOND_ROWS = f"SELECT id_a AS id, {_BOND.scale()} * dx AS fx, {_BOND.scale()} * dy AS fy, {_BOND.scale()} * dz AS fz FROM ({_BONDED}) WHERE r2 > 0"
+_BOND_ROWS = "SELECT id_a AS id, " + ", ".join(f"5e0 * (sqrt(r2) - 1e0) / sqrt(r2) * d{a} AS f{a}" for a in "xyz") + f" FROM ({_BONDED}) WHERE r2 > 0"
 
 
 @query("bond_force", f"{P}, e AS ({BONDS_SQL}) SELECT {FORCE_OUT} FROM ({with_force_sql('p', f'SELECT id, sum(fx) AS fx, sum(fy) AS fy, sum(fz) AS fz FROM ({_BOND_ROWS}) GROUP BY id')})")
@@ -106,7 +119,7 @@ def bond_force(spark, d):
     return rounded(forces.summed(p, forces.by_scale(pairs.bonded(p, derived(spark, d, BONDS_SQL), directed=False), _BOND.scale())), *FORCE)
 
 
-@query("bond_plus_type_force", f"{P}, e AS ({BONDS_SQL}) SELECT {FORCE_OUT} FROM ({with_force_sql('p', force_sql('p', LJ.scale(), 3.0, None, f' UNION ALL {_BOND_ROWS}'))})")
+@query("bond_plus_type_force", f"{P}, e AS ({BONDS_SQL}) SELECT {FORCE_OUT} FROM ({with_force_sql('p', force_sql('p', LJ_SQL, 3.0, None, f' UNION ALL {_BOND_ROWS}'))})")
 def bond_plus_type_force(spark, d):
     return rounded(forces.pair_forces(_p(spark, d), LJ, bonds=derived(spark, d, BONDS_SQL), bond_law=_BOND), *FORCE)
 
@@ -128,7 +141,7 @@ def neighbor_count(spark, d):
     return p.join(n, p["id"] == n["id_a"], "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-_E = f"{laws.LennardJones(3.0, 5.0, 1.0).energy()}"
+_E = "(20e0 / (r2 * r2 * r2 * r2 * r2 * r2) - 20e0 / (r2 * r2 * r2))"
 
 
 @query("lj_potential_energy", f"{P} SELECT round(sum({_E}), 6) + 0e0 AS potential_energy, count(*) AS pairs FROM ({pair_sql('p', 3.0)}) WHERE id_a < id_b")
@@ -136,9 +149,12 @@ def lj_potential_energy(spark, d):
     return observables.potential_energy(pairs.grid(_p(spark, d), 3.0), LJ.energy()).withColumn("potential_energy", F.round("potential_energy", 6) + F.lit(0.0))
 
 
-@query("mixed_lj_params", "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {round(x.epsilon, 9)}e0, {round(x.sigma, 9)}e0, {round(x.reach, 9)}e0)" for a, b, x in [(0, 0, MIXED[0, 0]), (0, 1, MIXED[0, 0].mix(MIXED[1, 1])), (0, 2, MIXED[0, 0].mix(MIXED[2, 2])), (1, 1, MIXED[1, 1]), (1, 2, MIXED[1, 1].mix(MIXED[2, 2])), (2, 2, MIXED[2, 2])]) + ") t(type_a, type_b, epsilon, sigma, cutoff)")
+@query("mixed_lj_params", """WITH t AS (SELECT DISTINCT CAST(p_size AS INT) AS type FROM part), l AS (SELECT type, type / 10e0 AS e, 1e0 + type / 100e0 AS s, 2e0 + type % 3 AS c FROM t)
+SELECT a.type AS type_a, b.type AS type_b, round(sqrt(a.e * b.e), 9) AS epsilon, round((a.s + b.s) / 2e0, 9) AS sigma, round(CASE WHEN a.type = b.type THEN a.c ELSE sqrt(a.c * b.c) END, 9) AS cutoff FROM l a JOIN l b ON a.type <= b.type""")
 def mixed_lj_params(spark, d):
-    table = laws.law_table(MIXED, [0, 1, 2])
+    """A law for each pair of the parts' sizes, mixed from a law for each size."""
+    types = [r["type"] for r in spark.read.parquet(f"{d}/part.parquet").select(F.col("p_size").cast("int").alias("type")).distinct().orderBy("type").collect()]  # one row a type
+    table = laws.law_table({(t, t): laws.LennardJones(2.0 + t % 3, t / 10, 1 + t / 100) for t in types}, types)
     return spark.createDataFrame([(a, b, round(x.epsilon, 9), round(x.sigma, 9), round(x.reach, 9)) for (a, b), x in table.items()], "type_a int, type_b int, epsilon double, sigma double, cutoff double")
 
 
@@ -216,7 +232,17 @@ WALLS = {"repulsive_exp": B.exponential(10.0, 2.0, 3.0), "repulsive_pow": B.powe
 WALL_LOW, WALL_HIGH = dict.fromkeys("xyz", -1.0), {"x": 24.0, "y": 24.0, "z": 70.0}
 
 
+#: The same walls for the other engine, over a distance {d}.
+WALLS_SQL = {
+    "repulsive_exp": "CASE WHEN {d} > 3e0 THEN 0e0 ELSE 10e0 * exp(-{d} / 2e0) END",
+    "repulsive_pow": "CASE WHEN {d} > 3e0 THEN 0e0 ELSE 2e0 / power({d}, 2e0) END",
+    "repulsive_lj93": "CASE WHEN {d} > 3e0 THEN 0e0 ELSE 4e0 * (3e0 / ({d} * {d} * {d}) - 9e0 / ({d} * {d} * {d} * {d} * {d} * {d} * {d} * {d} * {d})) END",
+    "repulsive_adhesive": "CASE WHEN {d} > 3e0 THEN 0e0 ELSE abs(24e0 * (2e0 / power({d}, 12) - 1e0 / power({d}, 6)) / {d}) END",
+}
+
+
 def repulsive_sql(wall: str) -> str:
+    """``wall``: a size over the distance {d}."""
     out = []
     for a in "xyz":
         terms = []
@@ -224,7 +250,7 @@ def repulsive_sql(wall: str) -> str:
             at = WALL_HIGH[a] if side > 0 else WALL_LOW[a]
             edge = f"{a} BETWEEN {at - 3 if side > 0 else at}e0 AND {at if side > 0 else at + 3}e0"
             others = " AND ".join(f"{b} BETWEEN {WALL_LOW[b]}e0 AND {WALL_HIGH[b]}e0" for b in "xyz" if b != a)
-            size = wall.replace("d >", f"abs({a} - ({at}e0)) >").replace("-d /", f"-abs({a} - ({at}e0)) /").replace("(d,", f"(abs({a} - ({at}e0)),").replace("/ d)", f"/ abs({a} - ({at}e0)))")
+            size = "(" + wall.replace("{d}", f"abs({a} - ({at}e0))") + ")"
             terms.append(f"CASE WHEN state = 1 AND {edge} AND {others} THEN -({side}e0) * {size} ELSE 0e0 END")
         out.append(f"round({' + '.join(terms)}, 6) + 0e0 AS f{a}")
     return f"{P} SELECT id, {', '.join(out)} FROM p"
@@ -232,7 +258,7 @@ def repulsive_sql(wall: str) -> str:
 
 for _name, _wall in WALLS.items():
 
-    @query(_name, repulsive_sql(_wall))
+    @query(_name, repulsive_sql(WALLS_SQL[_name]))
     def _repulsive(spark, d, wall=_wall):
         p = _p(spark, d).withColumns({f"f{a}": F.lit(0.0) for a in "xyz"})
         return rounded(B.apply(p, {f: B.Boundary("repulsive", 3.0, wall) for f in B.FACES}, WALL_LOW, WALL_HIGH), *FORCE)
@@ -252,7 +278,7 @@ def local_field(spark, d):
 # -- integration --------------------------------------------------------------------------------------------------------
 def chain_sql(steps: list[float]) -> str:
     """Verlet steps as a chain of CTEs."""
-    f = lambda s: with_force_sql(s, force_sql(s, LJ.scale(), 3.0))
+    f = lambda s: with_force_sql(s, force_sql(s, LJ_SQL, 3.0))
     out, at = f"{P}, s0 AS ({f('p')})", "s0"
     for i, dt in enumerate(steps):
         out += f", k{i} AS ({kick_sql(at, dt)}), d{i} AS ({drift_sql(f'k{i}', dt)}), g{i} AS ({f(f'd{i}')}), n{i} AS ({kick_sql(f'g{i}', dt)})"
@@ -326,12 +352,24 @@ query("morton_key", f"{P} SELECT id, {_MORTON} AS key FROM ({_FLAT})")(lambda sp
 
 
 def _hilbert_sql(bits: int) -> str:
-    """A nested select per bit plane over the same table of steps."""
-    table, source = "[" + ", ".join(map(str, cells.hilbert_steps())) + "]", f"(SELECT id, cx, cy, cz, 0 AS state, 0::BIGINT AS key FROM ({_FLAT}))"
-    for b in range(bits - 1, -1, -1):
-        octant = f"((cx >> {b}) & 1) + 2 * ((cy >> {b}) & 1) + 4 * ((cz >> {b}) & 1)"
-        source = f"(SELECT id, cx, cy, cz, step >> 3 AS state, key * 8 + (step & 7) AS key FROM (SELECT *, {table}[state * 8 + {octant} + 1] AS step FROM {source}))"
-    return f"{P} SELECT id, key FROM {source}"
+    """The curve by its coordinates' bits: from the highest plane down, each axis flips the lower bits of the first or trades them with it;
+    then Gray code along the axes and down the planes, and the bits are dealt axis by axis."""
+    source = f"(SELECT id, cx AS x, cy AS y, cz AS z FROM ({_FLAT}))"
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for axis in "xyz":
+            flip, low = f"({axis} & {q}) <> 0", q - 1
+            trade = f"(xor(x, {axis}) & {low})"
+            new = {"x": f"CASE WHEN {flip} THEN xor(x, {low}) ELSE xor(x, {trade}) END", axis: f"CASE WHEN {flip} THEN {axis} ELSE xor({axis}, {trade}) END"}
+            if axis == "x":
+                new = {"x": f"CASE WHEN {flip} THEN xor(x, {low}) ELSE x END"}
+            source = f"(SELECT id, {', '.join(f'{new.get(a, a)} AS {a}' for a in 'xyz')} FROM {source})"
+    source = f"(SELECT id, x, xor(x, y) AS y, xor(xor(x, y), z) AS z FROM {source})"
+    odd = "0"
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        odd = f"xor({odd}, CASE WHEN (z & {q}) <> 0 THEN {q - 1} ELSE 0 END)"
+    source = f"(SELECT id, xor(x, t) AS x, xor(y, t) AS y, xor(z, t) AS z FROM (SELECT *, {odd} AS t FROM {source}))"
+    key = " + ".join(f"((({a} >> {b}) & 1) << {3 * b + 2 - i})" for b in range(bits) for i, a in enumerate("xyz"))
+    return f"{P} SELECT id, CAST({key} AS BIGINT) AS key FROM {source}"
 
 
 query("hilbert_key", _hilbert_sql(5))(lambda spark, d: cells.hilbert(_cells(spark, d), "cx", "cy", "cz", 5).select("id", "key"))
@@ -340,8 +378,17 @@ query("hilbert_key", _hilbert_sql(5))(lambda spark, d: cells.hilbert(_cells(spar
 query("type_map", "SELECT user_type, CAST(dense_rank() OVER (ORDER BY user_type) - 1 AS INT) AS type FROM (SELECT DISTINCT CAST(p_size AS INT) AS user_type FROM part)")(lambda spark, d: spec.type_map(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_size").cast("int").alias("type"))))
 query("id_map", f"{P}, e AS (SELECT * FROM ({BONDS_SQL})), b AS (SELECT src AS n FROM e UNION SELECT dst FROM e) SELECT p.id AS user_id, row_number() OVER (ORDER BY b.n IS NULL, p.id) - 1 AS id FROM p LEFT JOIN b ON b.n = p.id")(lambda spark, d: spec.id_map(_p(spark, d), derived(spark, d, BONDS_SQL)))
 query("auto_ids", "WITH r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey * 2 END AS id FROM part), m AS (SELECT k, row_number() OVER (ORDER BY k) AS n FROM r WHERE id IS NULL), f AS (SELECT g AS id, row_number() OVER (ORDER BY g) AS n FROM range((SELECT count(*) FROM part)) t(g) WHERE g NOT IN (SELECT id FROM r WHERE id IS NOT NULL)) SELECT k, id FROM r WHERE id IS NOT NULL UNION ALL SELECT m.k, f.id FROM m JOIN f USING (n)")(lambda spark, d: spec.assign_ids(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_partkey") * 2).alias("id")), "k"))
-query("cuboid_gen", "SELECT i AS id, 1 + (i // 12) * 5e-1 AS x, 2 + ((i // 4) % 3) * 5e-1 AS y, 3 + (i % 4) * 5e-1 AS z FROM range(24) t(i)")(lambda spark, d: cuboid(spark, (1, 2, 3), (2, 3, 4), 0.5).select("id", "x", "y", "z"))
-query("sphere_gen", "SELECT x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM range(-3, 4) a(x), range(-2, 3) b(y), range(-4, 5) c(z) WHERE x * x / 9e0 + y * y / 4e0 + z * z / 16e0 < 1")(lambda spark, d: ellipsoid(spark, (0, 0, 0), (3, 2, 4), 1.0).select("x", "y", "z"))
+#: A box for each nation and an ellipsoid for each region.
+_BOXES = "SELECT 'cuboid' AS kind, n_nationkey * 100 AS first_id, 1e0 + n_nationkey AS x, 2e0 AS y, 3e0 AS z, CAST(2 + n_regionkey AS DOUBLE) AS a, 3e0 AS b, 4e0 AS c, 5e-1 AS spacing FROM nation"
+_BALLS = "SELECT 'ellipsoid' AS kind, r_regionkey * 1000 AS first_id, r_regionkey * 1e1 AS x, 0e0 AS y, 0e0 AS z, 3e0 AS a, 1e0 + r_regionkey AS b, 4e0 AS c, 1e0 AS spacing FROM region"
+
+
+def _generated(spark, d, sql: str, table: str) -> DataFrame:
+    return generated(spark.sql(sql.replace(f"FROM {table}", "FROM {t}"), t=spark.read.parquet(f"{d}/{table}.parquet")))
+
+
+query("cuboid_gen", f"SELECT first_id + i AS id, x + (i // 12) * 5e-1 AS x, y + (i // 4 % 3) * 5e-1 AS y, z + (i % 4) * 5e-1 AS z FROM (SELECT *, unnest(range(CAST(a AS BIGINT) * 12)) AS i FROM ({_BOXES}))")(lambda spark, d: _generated(spark, d, _BOXES, "nation"))
+query("sphere_gen", f"SELECT x + i AS x, y + j AS y, z + k AS z FROM (SELECT *, unnest(range(-4, 5)) AS k FROM (SELECT *, unnest(range(-6, 7)) AS j FROM (SELECT *, unnest(range(-3, 4)) AS i FROM ({_BALLS})))) WHERE i * i / 9e0 + j * j / (b * b) + k * k / 16e0 < 1")(lambda spark, d: _generated(spark, d, _BALLS, "region").select("x", "y", "z"))
 
 
 def _clock(spark, d) -> DataFrame:

@@ -13,7 +13,7 @@ from .operators.integrate import System
 from .plans import laws
 from .plans.environment import BetweenIds, BetweenTypes, Environment, ToType
 from .plans.geometry import Box, Domain
-from .queries import BOX, FORCE, FORCE_OUT, LJ, MOVED, MOVED_COLUMNS, P, _p, drift_sql, force_sql, kick_sql, pair_sql, query, rounded, with_force_sql
+from .queries import FORCE, FORCE_OUT, LJ, LJ_SQL, MOVED, MOVED_COLUMNS, P, _p, drift_sql, force_sql, kick_sql, pair_sql, query, rounded, with_force_sql
 from .sources.generators import BONDS_SQL, derived
 from .streaming import triggers
 
@@ -43,7 +43,9 @@ query("nonsymmetric_force", _summed_sql(f"SELECT id_a AS id, mass_a * dx AS fx,
 
 #: One pair of types attracts at any distance; the others keep to their cutoffs.
 FAR = {(0, 0): laws.LennardJones(2.5, 1.0, 1.0), (1, 1): NONE, (2, 2): laws.Harmonic(2.0, 3.0, 1.2), (0, 1): NONE, (0, 2): NONE, (1, 2): laws.Gravity(None, 0.5)}
-query("mixed_reach_force", f"{P} SELECT {FORCE_OUT} FROM ({with_force_sql('p', force_sql('p', laws.scale_by_type(FAR), None))})")(lambda spark, d: rounded(forces.pair_forces(_p(spark, d), FAR, [0, 1, 2]), *FORCE))
+_FAR_SQL = """CASE WHEN greatest(type_a, type_b) = 0 AND r2 <= 6.25e0 THEN -(48e0 / (r2 * r2 * r2) - 24e0) / (r2 * r2 * r2 * r2) WHEN least(type_a, type_b) = 2 AND r2 <= 4e0 THEN 3e0 * (sqrt(r2) - 1.2e0) / sqrt(r2)
+    WHEN least(type_a, type_b) = 1 AND greatest(type_a, type_b) = 2 THEN 0.5e0 * mass_a * mass_b / (r2 * sqrt(r2)) ELSE 0e0 END"""
+query("mixed_reach_force", f"{P} SELECT {FORCE_OUT} FROM ({with_force_sql('p', force_sql('p', _FAR_SQL, None))})")(lambda spark, d: rounded(forces.pair_forces(_p(spark, d), FAR, [0, 1, 2]), *FORCE))
 
 BOND_LAWS = {0: laws.Harmonic(None, 5.0, 1.0), 1: laws.Constant(None, (-1.0, 2.0, -3.0)), 2: laws.Gravity(None, 2.0)}
 
@@ -51,7 +53,7 @@ BOND_LAWS = {0: laws.Harmonic(None, 5.0, 1.0), 1: laws.Constant(None, (-1.0, 2.0
 def _bond_laws_sql() -> str:
     ends = "SELECT e.law, a.id AS id_a, b.id AS id_b, a.mass AS mass_a, b.mass AS mass_b, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM e JOIN p a ON e.src = a.id JOIN p b ON e.dst = b.id"
     pair = f"SELECT *, dx * dx + dy * dy + dz * dz AS r2 FROM ({ends})"
-    part = lambda a, c: f"CASE law WHEN 0 THEN {BOND_LAWS[0].scale()} * d{a} WHEN 1 THEN {c}e0 ELSE {BOND_LAWS[2].scale()} * d{a} END"
+    part = lambda a, c: f"CASE law WHEN 0 THEN 5e0 * (sqrt(r2) - 1e0) / sqrt(r2) * d{a} WHEN 1 THEN {c}e0 ELSE 2e0 * mass_a * mass_b / (r2 * sqrt(r2)) * d{a} END"
     one = f"SELECT *, {part('x', -1)} AS gx, {part('y', 2)} AS gy, {part('z', -3)} AS gz FROM ({pair})"
     rows = f"SELECT id_a AS id, gx AS fx, gy AS fy, gz AS fz FROM ({one}) UNION ALL SELECT id_b, -gx, -gy, -gz FROM ({one})"
     return _summed_sql(rows).replace(P, f"{P}, e AS (SELECT src, dst, src % 3 AS law FROM ({BONDS_SQL}))", 1)
@@ -64,7 +66,7 @@ def bond_laws(spark, d):
 
 
 _STRICT = f"SELECT q.* FROM ({pair_sql('p', 3.0)}) q JOIN p a ON a.id = q.id_a JOIN p b ON b.id = q.id_b WHERE a.state <> 2 AND (b.state & 9) <> 0 AND r2 > 0"
-query("strict_state_force", _summed_sql(f"SELECT id_a AS id, {LJ.scale()} * dx AS fx, {LJ.scale()} * dy AS fy, {LJ.scale()} * dz AS fz FROM ({_STRICT})"))(lambda spark, d: rounded(forces.pair_forces(_p(spark, d), LJ, strict_states=True), *FORCE))
+query("strict_state_force", _summed_sql(f"SELECT id_a AS id, ({LJ_SQL}) * dx AS fx, ({LJ_SQL}) * dy AS fy, ({LJ_SQL}) * dz AS fz FROM ({_STRICT})"))(lambda spark, d: rounded(forces.pair_forces(_p(spark, d), LJ, strict_states=True), *FORCE))
 
 
 # -- kernels and folds --------------------------------------------------------------------------------------------------
@@ -92,10 +94,13 @@ _OVERLAP = Box.from_domain(Domain.from_center_and_size((8.0, 8.0, 2.0), (9.0, 9.
 query("box_intersection", f"{P} SELECT id FROM p WHERE x BETWEEN 3.5 AND 7.5 AND y BETWEEN 6 AND 12.5 AND z BETWEEN 1 AND 3.5")(lambda spark, d: _p(spark, d).filter(_OVERLAP.contains()).select("id"))
 
 
-@query("grid_sizing", "SELECT * FROM (VALUES ('cutoff', 7, 7, 23), ('half', 15, 15, 46), ('third', 23, 23, 69), ('factor', 11, 11, 34), ('absolute', 5, 5, 17)) t(strategy, nx, ny, nz)")
-def grid_sizing(spark, d):
-    rows = [(str(s if isinstance(s, str) else s[0]), *cells.grid_size(BOX, 3.0, s)[0]) for s in ("cutoff", "half", "third", ("factor", 2 / 3), ("absolute", 4.0))]
-    return spark.createDataFrame(rows, "strategy string, nx int, ny int, nz int")
+#: A grid for each nation: its extent, reach and skin, sized by each strategy.
+_GRIDS = "SELECT n_nationkey AS grid, 20e0 + n_nationkey AS ex, 30e0 - n_nationkey AS ey, CASE WHEN n_nationkey % 4 = 0 THEN 0e0 ELSE 12e0 END AS ez, 1e0 + n_regionkey AS reach, CASE WHEN n_nationkey % 2 = 0 THEN 25e-2 ELSE 0e0 END AS skin FROM nation"
+_SIZES = {"cutoff": "r", "half": "r * 5e-1", "third": "r * (1e0 / 3e0)", "factor": "r * 75e-2", "absolute": "4e0"}
+_BOUND = "SELECT *, least(reach, least(ex, ey, CASE WHEN ez > 0 THEN ez ELSE ex END) / 2e0) AS r FROM g"
+query("grid_sizing", f"WITH g AS ({_GRIDS}), b AS ({_BOUND}) " + " UNION ALL ".join(f"SELECT grid, '{s}' AS strategy, " + ", ".join(f"CAST(greatest(2, floor(e{a} / ({w} + skin))) AS INT) AS n{a}" for a in "xyz") + " FROM b" for s, w in _SIZES.items()))(
+    lambda spark, d: cells.grid_sizes(spark.sql(_GRIDS.replace("FROM nation", "FROM {n}"), n=spark.read.parquet(f"{d}/nation.parquet")), {"cutoff": "cutoff", "half": "half", "third": "third", "factor": ("factor", 0.75), "absolute": ("absolute", 4.0)}).select("grid", "strategy", "nx", "ny", "nz")
+)
 
 
 @query("region_by_cells", f"{P} SELECT id FROM p WHERE state = 1 AND x BETWEEN 4 AND 11 AND y BETWEEN 4 AND 11 AND z BETWEEN 0 AND 5")
@@ -160,7 +165,7 @@ query("custom_boundary", f"{P} SELECT id, CASE WHEN {{t}} THEN type + 10 ELSE ty
 
 
 @query("built_system_force", f"{P}, e(src, dst) AS (VALUES (1, 2), (3, 40)) SELECT {FORCE_OUT} FROM (" + with_force_sql("p", "SELECT id, sum(fx) AS fx, sum(fy) AS fy, sum(fz) AS fz FROM (" + " UNION ALL ".join([
-    f"SELECT id_a AS id, s * dx AS fx, s * dy AS fy, s * dz AS fz FROM (SELECT *, {laws.scale_by_type(laws.law_table({(0, 0): LJ, (1, 1): NONE, (2, 2): NONE, (0, 1): laws.Gravity(2.0, 1.5), (0, 2): NONE, (1, 2): NONE}, [0, 1, 2]))} AS s FROM ({pair_sql('p', 3.0)}) WHERE r2 > 0)",
+    f"SELECT id_a AS id, s * dx AS fx, s * dy AS fy, s * dz AS fz FROM (SELECT *, CASE WHEN greatest(type_a, type_b) = 0 THEN {LJ_SQL} WHEN least(type_a, type_b) = 0 AND greatest(type_a, type_b) = 1 AND r2 <= 4e0 THEN 1.5e0 * mass_a * mass_b / (r2 * sqrt(r2)) ELSE 0e0 END AS s FROM ({pair_sql('p', 3.0)}) WHERE r2 > 0)",
     *[f"SELECT {m}.id, {sign}4e0 * (b.x - a.x) AS fx, {sign}4e0 * (b.y - a.y) AS fy, {sign}4e0 * (b.z - a.z) AS fz FROM e JOIN p a ON e.src = a.id JOIN p b ON e.dst = b.id" for m, sign in (("a", ""), ("b", "-"))],
 ]) + ") GROUP BY id") + ")")
 def built_system_force(spark, d):
@@ -172,3 +177,17 @@ def built_system_force(spark, d):
     system, _ = env.build(spark)
     system.update_forces()
     return rounded(system.df, *FORCE)
+
+
+#: Quotients and powers that no other query has; fmod keeps the sign of what is divided.
+query("scalar_hyperbolic", f"{P} SELECT id, round(sinh(vx), 6) + 0e0 AS sinh, round(cosh(vy), 6) + 0e0 AS cosh, round(tanh(vz), 6) + 0e0 AS tanh, round(asinh(x), 6) + 0e0 AS asinh, round(acosh(1e0 + x), 6) + 0e0 AS acosh, round(atanh(vx / 2e0), 6) + 0e0 AS atanh, round(vx * 7e0 - trunc(vx * 7e0 / 2e0) * 2e0, 6) + 0e0 AS fmod, round(atan2(vy, vx), 6) + 0e0 AS atan2, round(cbrt(x), 6) + 0e0 AS cbrt, round(ln(1e0 + x), 6) + 0e0 AS log1p, round(exp(vx) - 1e0, 6) + 0e0 AS expm1 FROM p")(
+    lambda spark, d: _p(spark, d).select(
+        "id", *[(F.round(c, 6) + F.lit(0.0)).alias(n) for n, c in {
+            "sinh": F.sinh("vx"), "cosh": F.cosh("vy"), "tanh": F.tanh("vz"), "asinh": F.asinh("x"), "acosh": F.acosh(F.col("x") + 1), "atanh": F.atanh(F.col("vx") / 2), "fmod": V.fmod(F.col("vx") * 7, F.lit(2.0)),
+            "atan2": F.atan2("vy", "vx"), "cbrt": F.cbrt("x"), "log1p": F.log1p("x"), "expm1": F.expm1("vx"),
+        }.items()]
+    )
+)
+query("reduce_flags", f"{P} SELECT bool_or(vx > 0.99e0) AS any, bool_and(mass > 0.5e0) AS all, NOT bool_or(charge > 2e0) AS none FROM p WHERE (state & 1) <> 0")(
+    lambda spark, d: kernels.flags(_p(spark, d), {"any": ("any", "vx > 0.99"), "all": ("all", "mass > 0.5"), "none": ("none", "charge > 2")})
+)

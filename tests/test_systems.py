@@ -12,7 +12,7 @@ from pairfield.plans import laws, spec
 from pairfield.plans.environment import BetweenIds, BetweenTypes, Environment, ToType
 from pairfield.plans.geometry import Box, Domain
 from pairfield.sources import files, monitors, snapshots
-from pairfield.sources.generators import cuboid, thermal
+from pairfield.sources.generators import cuboid, maxwell_boltzmann, thermal
 from pairfield.streaming import triggers as T
 
 NONE = laws.NoForce()
@@ -187,3 +187,36 @@ def test_pairs_once_and_batches(spark):
 
 def test_a_law_without_a_cutoff_has_no_condition():
     assert "r2 <=" not in laws.scale_by_type(system_queries.FAR).split("0.5e0 * mass_a")[0].rpartition("WHEN")[2]
+
+
+def test_fields_controllers_and_methods_of_ones_own(spark):
+    env = env_of({"position": (0, 0, 0), "mass": 2.0}, {"position": (5, 0, 0)})
+    env.with_field(lambda d, t: forces.uniform_field(d, (4.0, 0.0, 0.0)))
+    env.with_controller(T.at_step(1), lambda d: d.withColumn("vy", F.lit(7.0))).with_controller(T.never(), lambda d: d.withColumn("vz", F.lit(9.0)))
+    env.with_controller(T.when(lambda m: m.time > 0.75), lambda d: d.withColumn("mass", F.lit(3.0)))
+    system, _ = env.build(spark)
+    # forces are taken once without fields, so the first half kick of a run is empty; triggers see the clock before a step
+    rows = {r["id"]: r for r in run(system, 0.5, 3).df.collect()}
+    assert rows[0]["vx"] == pytest.approx(4.0 / 2 * 0.5 * 2 + 4.0 / 3 * 0.25 * 0 + 4.0 / 2 * 0.25) and rows[1]["vy"] == 7.0 and rows[1]["vz"] == 0.0 and rows[1]["mass"] == 3.0
+    seen = []
+
+    def leap(s, dt):
+        seen.append(dt)
+        s.df = forces.drift(s.df, dt)
+
+    assert run(system, 0.25, 2, method=leap).step == 5 and seen == [0.25, 0.25]
+
+
+def test_cold_tables_are_lit_again(spark):
+    still = cuboid(spark, (0, 0, 0), (12, 12, 12), 1.0, mean=(3.0, 0.0, 0.0))
+    lit = observables.temperature(observables.thermostat(still, 5.0, 2.0)).first()
+    assert lit["temperature"] == pytest.approx(2.0, rel=0.1) and lit["ux"] == pytest.approx(3.0, abs=0.2)
+    assert observables.temperature(observables.thermostat(still, 0.0, 2.0)).first()["temperature"] == 0.0
+
+
+def test_shades_and_velocities(spark):
+    p = cuboid(spark, (0, 0, 0), (3, 1, 1), 1.0).withColumn("type", F.col("id") * 2)
+    assert [r["shade"] for r in files.colour_range(p).orderBy("id").collect()] == [0.0, 0.5, 1.0]
+    assert {r["shade"] for r in files.colour_range(p.withColumn("type", F.lit(4))).collect()} == {0.0}
+    v = maxwell_boltzmann(cuboid(spark, (0, 0, 0), (20, 20, 10), 1.0), 2.0, 2).agg(F.stddev("vx"), F.avg("vy"), F.max(F.abs("vz"))).first()
+    assert v[0] == pytest.approx(2.0, rel=0.1) and abs(v[1]) < 0.2 and v[2] == 0.0
