@@ -5,17 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from ..session import cut
 from ..streaming.triggers import Moment, Trigger
 from . import boundaries as B
-from .forces import drift, half_kick
+from . import kernels
+from .forces import ALIVE, ALL, drift, half_kick, inside
 
 #: The weights of the three sub-steps.
 YOSHIDA = (1.3512071919596578, -1.7024143839193153, 1.3512071919596578)
 
 
+@dataclass(frozen=True)
+class Context:
+    """What a component gets to see of a system: the clock, the box and the particles, to read and not to change."""
+
+    df: DataFrame
+    time: float
+    step: int
+    low: dict = field(default_factory=dict)
+    high: dict = field(default_factory=dict)
+
+    def size(self, state: int = ALL) -> int:
+        return kernels.size(self.df, state).first()["n"]
+
+    def id_range(self) -> tuple[int, int]:
+        """Least id, and one more than the largest."""
+        row = kernels.id_range(self.df).first()
+        return row["min_id"], row["max_id"]
+
+    def at_id(self, id_: int) -> Row:
+        return kernels.view_id(self.df, id_)
+
+    def region(self, low, high) -> DataFrame:
+        """The living particles of a closed box."""
+        return self.df.filter(inside(low, high))
+
+    def reduce(self, value, fold="plus", initial: float | None = None, state: int = ALIVE):
+        return kernels.reduce(self.df, value, fold, initial, state).first()["value"]
+
+
 @dataclass
 class System:
     """A particle table with its forces, and the clock."""
@@ -32,6 +62,9 @@ class System:
     #: Repulsive walls push after the pair forces of a step, which else would overwrite theirs.
     walls_push: bool = True
 
+    def context(self) -> Context:
+        return Context(self.df, self.time, self.step, dict(self.low), dict(self.high))
+
     def update_forces(self) -> None:
         self.df = self.force(self.df)
 
@@ -75,7 +108,7 @@ def steps_of(duration: float, dt: float) -> int:
 def run(system: System, dt: float, steps: int, method: str | Callable[[System, float], None] = "verlet", monitors: Iterable = ()) -> System:
     """Forces once without fields, then the steps; triggers are asked once per step, after the clock has moved.
 
-    A monitor is a pair (trigger, function of the system) or an object with ``trigger``, ``record`` and perhaps ``init``,
+    Monitors see the system as a ``Context``. A monitor is a pair (trigger, function) or an object with ``trigger``, ``record`` and perhaps ``init``,
     ``before_step`` and ``finalize``. ``method`` is a stage of the system or a function of one's own. A system that has run
     before goes on with its clock.
     """
@@ -89,14 +122,14 @@ def run(system: System, dt: float, steps: int, method: str | Callable[[System, f
     system.update_forces()
     for _ in range(steps):
         for m in monitors:
-            call(m, "before_step", system)
+            call(m, "before_step", system.context())
         step(system, dt)
         system.df = cut(system.df)
         system.time, system.step = system.time + dt, system.step + 1
         for m in monitors:
             trigger, record = m if isinstance(m, tuple) else (m.trigger, m.record)
             if trigger(Moment(system.time, system.step)):
-                record(system)
+                record(system.context())
     for m in monitors:
         call(m, "finalize")
     return system

@@ -6,6 +6,7 @@ validates, resolves the domain, compiles the interactions and gives a System who
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce as fold
@@ -18,6 +19,8 @@ from ..operators.forces import pair_forces
 from ..operators.integrate import System
 from ..operators.observables import bounding_box
 from ..operators.pairs import Search
+from ..session import shared_dir
+from ..sources import ordered
 from . import spec
 from .geometry import Box, Domain
 from .laws import Law, columns_of, law_table
@@ -52,6 +55,8 @@ class BuildInfo:
     ids: DataFrame
     particle_box: Box
     domain: Box
+    #: Where the particles are kept, if in order of a curve.
+    stored: str | None = None
 
 
 @dataclass
@@ -69,6 +74,7 @@ class Environment:
     attributes: dict[str, str] = field(default_factory=dict)
     search: Search = Search()
     strict_states: bool = False
+    order: tuple[float, str] | None = None
 
     def with_attributes(self, **types: str) -> Environment:
         """Columns of one's own, by name and SQL type, for laws and kernels; tables must have them, and single declarations give them."""
@@ -83,6 +89,12 @@ class Environment:
         self.search = Search(kind, **more)
         return self
 
+    def with_order(self, cell: float, kind: str = "hilbert") -> Environment:
+        """Keeps the particles in order of a curve over the domain, in a table in the shared folder; ``region`` of ``ordered`` reads that
+        table, which ``BuildInfo.stored`` names, by its row groups."""
+        self.order = cell, kind
+        return self
+
     def with_strict_states(self, on: bool = True) -> Environment:
         """Dead particles take no part in interactions, passive ones receive only."""
         self.strict_states = on
@@ -188,6 +200,11 @@ class Environment:
         periodic = {a: self.boundaries.get((a, 1), B.Boundary("open")).kind == "periodic" for a in "xyz"}
         wrap = tuple(e if periodic[a] else None for a, e in zip("xyz", domain.extent, strict=True))
         force = lambda d: pair_forces(d, by_type, types, wrap, bond_table if bonds else None, laws or None, self.strict_states, self.search)
+        stored = None
+        if self.order:
+            stored = f"{shared_dir(spark.sparkContext)}/{uuid.uuid4().hex}"
+            ordered.store(df, stored, ordered.curve_for(domain.low, domain.high, *self.order))
+            df = spark.read.parquet(stored).drop(ordered.KEY)
         corners = (dict(zip("xyz", domain.low, strict=True)), dict(zip("xyz", domain.high, strict=True)))
         system = System(df, force, self.boundaries, *corners, list(self.fields), list(self.controllers))
-        return system, BuildInfo(spec.type_map(df.select("type")), spec.id_map(df, bond_table), Box(low, high), domain)
+        return system, BuildInfo(spec.type_map(df.select("type")), spec.id_map(df, bond_table), Box(low, high), domain, stored)

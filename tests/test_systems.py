@@ -11,7 +11,7 @@ from pairfield.operators.integrate import System, run, run_for_duration
 from pairfield.plans import laws, spec
 from pairfield.plans.environment import BetweenIds, BetweenTypes, Environment, ToType
 from pairfield.plans.geometry import Box, Domain
-from pairfield.sources import files, monitors, snapshots
+from pairfield.sources import files, monitors, ordered, snapshots
 from pairfield.sources.generators import cuboid, maxwell_boltzmann, thermal
 from pairfield.streaming import triggers as T
 
@@ -220,3 +220,16 @@ def test_shades_and_velocities(spark):
     assert {r["shade"] for r in files.colour_range(p.withColumn("type", F.lit(4))).collect()} == {0.0}
     v = maxwell_boltzmann(cuboid(spark, (0, 0, 0), (20, 20, 10), 1.0), 2.0, 2).agg(F.stddev("vx"), F.avg("vy"), F.max(F.abs("vz"))).first()
     assert v[0] == pytest.approx(2.0, rel=0.1) and abs(v[1]) < 0.2 and v[2] == 0.0
+
+
+def test_context_and_kept_order(spark):
+    env = Environment().with_particles(cuboid(spark, (0, 0, 0), (5, 5, 5), 1.0)).with_interaction(ToType(0), NONE).with_order(1.0)
+    system, info = env.build(spark)
+    assert ordered.region(spark, info.stored, (0, 0, 0), (1, 1, 4)).count() == 20 == system.context().region((0, 0, 0), (1, 1, 4)).count()
+    seen = []
+    run(system, 0.5, 2, monitors=[(T.at_step(2), seen.append)])
+    c = seen[0]
+    assert (c.step, c.time, c.size(), c.id_range(), c.at_id(3)["id"], c.reduce("mass")) == (2, 1.0, 125, (0, 125), 3, 125.0)
+    with pytest.raises(AttributeError):
+        c.step = 3
+    assert not hasattr(c, "update_forces")
