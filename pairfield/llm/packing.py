@@ -4,7 +4,10 @@ Each source is a queue of token ids. Service goes in cycles of one window's wort
 quantum, its share of all ids; what a quantum leaves as a fraction of an id stays as the queue's deficit for the next
 cycle. After c cycles queue s has sent floor(c * T_s / C) ids, C cycles in all, so the deficits need no running state:
 where an id goes follows from its place in its queue, on any executor, and deficits carry over windows and partitions
-alike. Windows are cut off this service order every ``size`` ids; the ids after the last full window make sequences
+alike. A queue whose quantum is under ``least`` ids lets its turn pass and carries its deficit until it can send about that
+many at once: it then has one turn in k cycles, and such queues take turns in different cycles. So documents of small sources
+are not cut into single ids, however many sources there are, and a window is off its proportions by no more than ``least`` ids
+a source. Windows are cut off this service order every ``size`` ids; the ids after the last full window make sequences
 whose lengths are powers of two, so nothing is padded.
 
 With target weights a queue's quantum is its weight's share among the queues that still hold ids. The service then falls
@@ -40,6 +43,8 @@ from .common import cut, table, trimmed
 from .tokens import encoder
 
 SIZE, CLOSING = 4096, 2
+#: Ids that a queue of a small source gathers before it sends.
+LEAST = 64
 #: Numbers (queues times cycles) that a block of a document's cycles may hold.
 BLOCK = 1 << 19
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -89,26 +94,34 @@ def phases(totals: list[int], weights: list[int] | None) -> list[list[int]]:
 class Phase:
     """The service order of queues that send ``totals`` ids."""
 
-    def __init__(self, totals: list[int], size: int):
+    def __init__(self, totals: list[int], size: int, least: int = LEAST):
         self.total = sum(totals)
         self.cycles = max(1, min(-(-self.total // size), 1 << 31))
         self.totals = totals
-        t = np.array(totals, np.int64)
-        self.whole, self.part = (t // self.cycles)[:, None], (t % self.cycles)[:, None]
+        t = np.array(totals, np.int64)[:, None]
+        self.whole, self.part = t // self.cycles, t % self.cycles
+        #: A queue has a turn in one cycle of so many, and how far its turns are moved against those of others.
+        self.every = np.clip(-(-least * self.cycles // np.maximum(t, 1)), 1, self.cycles)
+        self.moved = np.arange(len(totals))[:, None] % self.every
 
-    def sent(self, cycle: np.ndarray) -> np.ndarray:
+    def sent(self, cycle: np.ndarray, queue: int | slice = slice(None)) -> np.ndarray:
         """Ids sent by each queue (rows) before each cycle (columns); exact in 64 bits, as cycles are at most 2^31."""
-        return self.whole * cycle + self.part * cycle // self.cycles
+        k, o = self.every[queue], self.moved[queue]
+        # cycles up to the queue's last turn; in the last cycle everything goes
+        served = np.where(cycle >= self.cycles, self.cycles, np.maximum((cycle + o) // k * k - o, 0))
+        return self.whole[queue] * served + self.part[queue] * served // self.cycles
 
     def runs(self, queue: int, start: int, n: int) -> Iterator[tuple[int, int, int]]:
         """(begin in the queue, place in the service order, length) of what is sent of [start, start + n)."""
-        t = self.totals[queue]
+        t, k, o = self.totals[queue], int(self.every[queue, 0]), int(self.moved[queue, 0])
+        # the cycles whose quanta hold the first and the last id, and the turns that send them
         first, last = ((start + 1) * self.cycles - 1) // t, ((start + n) * self.cycles - 1) // t
-        cycle = np.arange(first, last + 2)
-        own = self.whole[queue, 0] * cycle + self.part[queue, 0] * cycle // self.cycles
-        begin, end = np.maximum(own[:-1], start), np.minimum(own[1:], start + n)
+        turn = np.arange(-(-(first + 1 + o) // k), -(-(last + 1 + o) // k) + 1)
+        cycle = np.unique(np.minimum(turn * k - o - 1, self.cycles - 1))
+        own, then = self.sent(cycle, queue), self.sent(cycle + 1, queue)
+        begin, end = np.maximum(own, start), np.minimum(then, start + n)
         sends = end > begin
-        cycle, begin, end, skipped = cycle[:-1][sends], begin[sends], end[sends], begin[sends] - own[:-1][sends]
+        cycle, begin, end, skipped = cycle[sends], begin[sends], end[sends], begin[sends] - own[sends]
         place = np.empty(len(cycle), np.int64)
         step = max(1, BLOCK // len(self.totals))
         for a in range(0, len(cycle), step):
@@ -123,13 +136,13 @@ class Phase:
 class Service:
     """Where ids of queues that hold ``totals`` ids go."""
 
-    def __init__(self, totals: list[int], size: int, weights: list[int] | None = None):
+    def __init__(self, totals: list[int], size: int, weights: list[int] | None = None, least: int = LEAST):
         self.size, self.total = size, sum(totals)
         #: Per phase: what each queue has sent before it, and the place at which it begins.
         self.phases: list[tuple[Phase, list[int], int]] = []
         before, place = [0] * len(totals), 0
         for sends in phases(totals, weights):
-            self.phases.append((Phase(sends, size), before, place))
+            self.phases.append((Phase(sends, size, least), before, place))
             before, place = [x + y for x, y in zip(before, sends, strict=True)], place + sum(sends)
         self.full = self.total // size
         rest = self.total % size
