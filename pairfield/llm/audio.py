@@ -254,6 +254,22 @@ def search(prints: DataFrame, is_query, most_errors: float = MOST_BIT_ERRORS, le
     return out
 
 
+#: A class with one row of so many is sent to where its rows are; there are at most as many such classes.
+HOT = 200
+
+
+def _to_rows(rows: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """Rows with what is known of their class. Classes with much of the table are broadcast, at most ``HOT``, so that no task has all rows of
+    one; all others are joined by a shuffle."""
+    columns = [c for c in known.columns if c not in ("sign", "held")]
+    large = known.filter(F.col("held") * HOT >= n)
+    held = rows.join(F.broadcast(large.select("sign", F.struct(*columns).alias("large"))), "sign", "left")
+    here = held.filter("large IS NOT NULL").select("doc_id", "n_codes", "large.*")
+    rest = held.filter("large IS NULL").drop("large").join(known.filter(F.col("held") * HOT < n), "sign", "left").select("doc_id", "n_codes", *columns)
+    out = here.unionByName(rest)
+    return out.select("doc_id", "n_codes", "class_id", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), *[F.col(f"b.{c}").alias(c) for c in ("query_id", "offset", "overlap", "bit_error")], F.coalesce("partners", F.array()).alias("partners"))
+
+
 def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_codes, class_id (smallest id of equal codes), the query class it aligns with best, if any, and
     ``partners``: every query class it aligns with, by id."""
@@ -261,6 +277,7 @@ def op4_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(prints, F.col("doc_id") % 100 == 0)
     best = found.groupBy("doc_id").agg(F.min(F.struct("bit_error", "query_id", "offset", "overlap")).alias("b"), F.count("*").alias("n_queries"), F.array_sort(F.collect_list(F.struct("query_id", "offset", "votes", "overlap", "bit_error"))).alias("partners"))
     rows = prints.select("doc_id", F.size("codes").cast("long").alias("n_codes"), F.when(F.size("codes") > 0, F.sha2(F.array_join("codes", ","), 256)).alias("sign"))
-    classes = rows.filter("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("class_id"))
-    out = rows.join(classes, "sign", "left").join(best.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
-    return out.select("doc_id", "n_codes", "class_id", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), *[F.col(f"b.{c}").alias(c) for c in ("query_id", "offset", "overlap", "bit_error")], F.coalesce("partners", F.array()).alias("partners"))
+    classes = rows.filter("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("held"))
+    # what a class has found is joined to it first, and then goes to its rows
+    known = cut(classes.join(best.withColumnRenamed("doc_id", "class_id"), "class_id", "left"))
+    return _to_rows(rows, known, rows.count())

@@ -7,8 +7,9 @@ Template tokens are put in one global order, rarest first, by document frequency
 holds one of the template's prefix tokens (the rarest ``size - need + 1``), so only blocks around their places are looked
 at; of these only such that begin with a token of the template, as others hold no more than the next one that does, and
 that are long enough (length filter) and begin early enough before the prefix token and the text's end to hold ``need``
-tokens (positional filter). Then tokens are counted. The templates are a fixed list of a few hundred tokens, so they travel
-as literals and the join needs no shuffle; only the frequencies (at most one row per template token) are gathered.
+tokens (positional filter). Then tokens are counted. Templates and base phrases are parameters; both are short lists (some
+dozens of notices), so they travel as literals and the join needs no shuffle; only the frequencies (at most one row per
+template token) are gathered.
 
 Beside the method's labels the scan reports every place where a base phrase stands word by word.
 
@@ -19,6 +20,8 @@ with ``_in`` behind names that are results of the scan.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,27 +49,36 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
-VOCABULARY = tuple(sorted({w for _, t in TEMPLATES for w in t.split()}))
 
 
 def _tokens(lowered: Column) -> Column:
     return F.array_remove(F.split(lowered, APART), "")
 
 
-def token_order(df: DataFrame, text: str = "text") -> list[str]:
+def checked(templates: Iterable[tuple[str, str]]) -> tuple[tuple[str, str], ...]:
+    """(label, notice) pairs, each notice as its words in lower case."""
+    out = tuple((label, " ".join(w for w in re.split(APART, notice.translate(_LOWER)) if w)) for label, notice in templates)
+    if any(not notice for _, notice in out):
+        raise ValueError("a notice has a word at least")
+    return out
+
+
+def token_order(df: DataFrame, text: str = "text", templates: Iterable[tuple[str, str]] = TEMPLATES) -> list[str]:
     """Template tokens, rarest first, by the number of documents that hold them; ties by code point."""
-    held = F.array_intersect(F.array(*map(F.lit, VOCABULARY)), _tokens(ascii_lower(F.coalesce(F.col(text), F.lit("")))))
+    vocabulary = sorted({w for _, notice in checked(templates) for w in notice.split()})
+    held = F.array_intersect(F.array(*map(F.lit, vocabulary)), _tokens(ascii_lower(F.coalesce(F.col(text), F.lit("")))))
     counts = df.select(F.explode(held).alias("token")).groupBy("token").count()
-    n = {r["token"]: r["count"] for r in counts.collect()}  # at most len(VOCABULARY) rows
-    return sorted(VOCABULARY, key=lambda w: (n.get(w, 0), w))
+    n = {r["token"]: r["count"] for r in counts.collect()}  # at most len(vocabulary) rows
+    return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
-def _starts(w: Column) -> Column:
+def _starts(w: Column, phrases: dict[str, str]) -> Column:
     """(start, label) of each base phrase in a word array."""
     cases = None
-    for phrase, label in PHRASES.items():
+    for phrase, label in phrases.items():
         first, *rest = phrase.split()
         # tested from the phrase's last word, which is the rarer one to look for
         at = lambda x, i, rest=rest, first=first, phrase=phrase: (x == rest[-1]) & (F.get(w, i - len(rest)) == first) & (F.array_join(F.slice(w, F.greatest(i - len(rest), F.lit(0)) + 1, len(rest) + 1), " ") == phrase)
@@ -82,11 +94,11 @@ def _starts(w: Column) -> Column:
     return F.filter(F.transform(w, found), lambda x: x.isNotNull())
 
 
-def _templates(order: list[str], threshold: float) -> list[tuple[str, list[str], int, list[str], int]]:
+def _templates(order: list[str], threshold: float, templates: Iterable[tuple[str, str]]) -> list[tuple[str, list[str], int, list[str], int]]:
     """(label, tokens rarest first, need, prefix, most words of a block)."""
     rank = {w: i for i, w in enumerate(order)}
     out = []
-    for label, notice in TEMPLATES:
+    for label, notice in checked(templates):
         tokens = sorted(set(notice.split()), key=rank.__getitem__)
         need = ceil(round(threshold * len(tokens), 9))
         out.append((label, tokens, need, tokens[: len(tokens) - need + 1], width(notice, threshold)))
@@ -97,9 +109,13 @@ def width(notice: str, threshold: float = THRESHOLD) -> int:
     return ceil(round(len(notice.split()) / threshold, 9))
 
 
-def scan(df: DataFrame, order: list[str], text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """``keep``, n_words, places (start, label) and matches (start, words, label, containment): all blocks, by their first word."""
-    templates = _templates(order, threshold)
+def scan(df: DataFrame, order: list[str], text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, templates: Iterable[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """``keep``, n_words, places (start, label) and matches (start, words, label, containment): all blocks, by their first word.
+
+    ``templates`` are (label, notice) pairs, the ones that ``order`` was made of, and ``phrases`` map base phrases of two words or more, in
+    lower case, to labels.
+    """
+    templates = _templates(order, threshold, templates)
     prefixes = sorted({w for _, _, _, prefix, _ in templates for w in prefix})
     every = F.array(*map(F.lit, prefixes))
     kind = "array<struct<start:int,words:int,label:string,containment:double>>"
@@ -119,14 +135,14 @@ def scan(df: DataFrame, order: list[str], text: str = "text", keep: tuple[str, .
     passed, out = kept(keep, ("n_words", "places", "matches"))
     a = df.select(passed, low.alias("__t")).withColumn("__w", _tokens(F.col("__t")))
     joined = F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" "))
-    any_phrase = joined.rlike(f" ({'|'.join(PHRASES)}) ")
+    any_phrase = joined.rlike(f" ({'|'.join(phrases)}) ")
     none = F.expr("cast(array() as array<struct<start:int,label:string>>)")
     # most texts hold no prefix token at all
     any_prefix = F.col("__t").rlike(rf"(?<![0-9a-z])({'|'.join(prefixes)})(?![0-9a-z])")
     places = F.filter(F.transform("__w", lambda x, i: F.when(F.array_contains(every, x), i)), lambda i: i.isNotNull())
     a = a.withColumn("__at", F.when(any_prefix, places).otherwise(F.expr("cast(array() as array<int>)")))
     pairs = F.when(F.size("__at") > 0, matches(F.col("__w"), F.col("__at"))).otherwise(F.expr(f"cast(array() as {kind})"))
-    found = a.select("__kept", F.size("__w").cast("long").alias("__n"), F.when(any_phrase, _starts(F.col("__w"))).otherwise(none).alias("__p"), pairs.alias("__m"))
+    found = a.select("__kept", F.size("__w").cast("long").alias("__n"), F.when(any_phrase, _starts(F.col("__w"), phrases)).otherwise(none).alias("__p"), pairs.alias("__m"))
     return found.select(*out, F.col("__n").alias("n_words"), F.col("__p").alias("places"), F.col("__m").alias("matches"))
 
 

@@ -663,3 +663,16 @@ def test_languages_that_were_not_learned_are_rejected(spark):
     assert rejected.mean() >= 0.9
     held = language_id.predict(docs.filter((language_id.fold(F.col("doc_id"), 3) == 1) & F.col("lang").isNotNull()), model, keep=("doc_id", "lang")).collect()
     assert np.mean([not r["rejected"] for r in held]) >= 0.99
+
+
+def test_license_templates_are_a_parameter(spark):
+    own = [("wtf", "Do what you want with THIS, entirely at your own risk!"), ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented")]
+    phrases = {"public domain": "pd"}
+    df = docs_of(spark, ["intro words Do what you want with this entirely at own risk end", "This is in the public domain.", "altered source versions must be\nplainly marked as such and not misrepresented", "the MIT license, licensed under the apache license version 2 0", ""])
+    order = licenses.token_order(df, templates=own)
+    assert set(order) == {w for _, n in licenses.checked(own) for w in n.split()}
+    rows = {r["doc_id"]: r for r in licenses.scan(df, order, templates=own, phrases=phrases).collect()}
+    assert [sorted({m["label"] for m in rows[i]["matches"]}) for i in range(5)] == [["wtf"], [], ["zlib"], [], []]
+    assert [[(p["start"], p["label"]) for p in rows[i]["places"]] for i in range(5)] == [[], [(4, "pd")], [], [], []]
+    with pytest.raises(ValueError):
+        licenses.checked([("x", "...")])
