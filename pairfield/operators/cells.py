@@ -8,6 +8,8 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def cell_index(df: DataFrame, low: dict[str, float], size: float, counts: dict[str, int]) -> DataFrame:
     """cx, cy, cz and the flat index; -1 outside (the upper faces are outside)."""
@@ -74,10 +76,17 @@ def histogram(df: DataFrame) -> DataFrame:
 
 
 def prefix_sums(counts: DataFrame) -> DataFrame:
-    """Exclusive running count by cell: one row per cell, so the ordered window is over bins and not rows."""
+    """Exclusive running count by cell. Cells are sorted range by range; sums run inside a range, and only the ranges' totals, one row
+    each, are gathered."""
     per = counts.groupBy("cell").agg(F.sum("count").alias("n"))
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    return per.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = cut(per.repartitionByRange("cell").withColumn("__range", F.spark_partition_id()))
+    totals = {r["__range"]: r["n"] for r in placed.groupBy("__range").agg(F.sum("n").alias("n")).collect()}
+    starts, total = [], 0
+    for k in sorted(totals):
+        starts, total = [*starts, F.lit(k), F.lit(total)], total + totals[k]
+    before = Window.partitionBy("__range").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.element_at(F.create_map(*starts), F.col("__range")).cast("long") if starts else F.lit(0).cast("long")
+    return placed.withColumn("start", first + F.coalesce(F.sum("n").over(before), F.lit(0))).drop("__range")
 
 
 def morton(x: Column, y: Column, z: Column, bits: int = 21) -> Column:
