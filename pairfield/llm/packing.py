@@ -4,8 +4,9 @@ Each source is a queue of token ids. Service goes in cycles of one window's wort
 quantum, its share of all ids; what a quantum leaves as a fraction of an id stays as the queue's deficit for the next
 cycle. After c cycles queue s has sent floor(c * T_s / C) ids, C cycles in all, so the deficits need no running state:
 where an id goes follows from its place in its queue, on any executor, and deficits carry over windows and partitions
-alike. A queue whose quantum is under ``least`` ids lets its turn pass and carries its deficit until it can send about that
-many at once: it then has one turn in k cycles, and such queues take turns in different cycles. So documents of small sources
+alike. A queue whose quantum is under ``least`` ids sends about that many at once: it has one turn in k cycles, of k quanta. Such
+queues take turns in different cycles, and to begin with each has credit for the cycles between its first turn and the k-th
+cycle, so that every cycle sends a window's worth. So documents of small sources
 are not cut into single ids, however many sources there are, and a window is off its proportions by no more than ``least`` ids
 a source. Windows are cut off this service order every ``size`` ids; the ids after the last full window make sequences
 whose lengths are powers of two, so nothing is padded.
@@ -107,8 +108,8 @@ class Phase:
     def sent(self, cycle: np.ndarray, queue: int | slice = slice(None)) -> np.ndarray:
         """Ids sent by each queue (rows) before each cycle (columns); exact in 64 bits, as cycles are at most 2^31."""
         k, o = self.every[queue], self.moved[queue]
-        # cycles up to the queue's last turn; in the last cycle everything goes
-        served = np.where(cycle >= self.cycles, self.cycles, np.maximum((cycle + o) // k * k - o, 0))
+        # cycles that the queue's turns so far have served; in the last cycle everything goes
+        served = np.where(cycle >= self.cycles, self.cycles, np.minimum((cycle + o) // k * k, self.cycles))
         return self.whole[queue] * served + self.part[queue] * served // self.cycles
 
     def runs(self, queue: int, start: int, n: int) -> Iterator[tuple[int, int, int]]:
@@ -116,7 +117,7 @@ class Phase:
         t, k, o = self.totals[queue], int(self.every[queue, 0]), int(self.moved[queue, 0])
         # the cycles whose quanta hold the first and the last id, and the turns that send them
         first, last = ((start + 1) * self.cycles - 1) // t, ((start + n) * self.cycles - 1) // t
-        turn = np.arange(-(-(first + 1 + o) // k), -(-(last + 1 + o) // k) + 1)
+        turn = np.arange(first // k + 1, last // k + 2)
         cycle = np.unique(np.minimum(turn * k - o - 1, self.cycles - 1))
         own, then = self.sent(cycle, queue), self.sent(cycle + 1, queue)
         begin, end = np.maximum(own, start), np.minimum(then, start + n)

@@ -27,10 +27,11 @@ def mutated(rng, words, n):
 def test_against_duckdb(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(f"select * from ({registry.oracle_sql()[name]})").df()
     got = registry.queries()[name](spark, SF).toPandas()[list(want.columns)]
-    key = lambda d: d.astype(object).where(d.notna(), None).map(lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v).sort_values("doc_id").reset_index(drop=True)
+    key = lambda d: d.astype(object).where(d.notna(), None).map(lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v).sort_values(want.columns[0]).reset_index(drop=True)
     assert key(got).equals(key(want))
 
 
@@ -240,9 +241,14 @@ def test_packing_keeps_shares_of_many_sources(spark):
         share[r["sequence_id"]][r["source"]] += r["length"]
     full = [w for w in share.values() if sum(w.values()) == size]
     assert len(full) >= 39 and len(total) == 90
-    # window ends drift from cycle ends by rounding, one id a source and one a window, and fall into the first queue
-    assert max(abs(w["big"] - total["big"] / 40) for w in full) <= 90 + 40
-    assert max(abs(w[s] - t / 40) for w in full for s, t in total.items() if s != "big") <= 3
+    # window ends drift from cycle ends by rounding, one id a source and one a window, and by the sources whose turns do not even out
+    # over a cycle, and fall into the first queue
+    assert max(abs(w["big"] - total["big"] / 40) for w in full) <= 90 + 40 + 2 * packing.LEAST
+    # small sources send LEAST ids and more in one cycle of a few, so over as many windows their shares hold
+    for s, t in total.items():
+        if s != "big":
+            held = [share[w][s] for w in range(39)]
+            assert max(held) <= 2 * packing.LEAST and all(abs(sum(held[a : a + 12]) - 12 * t / 40) <= 2 * packing.LEAST for a in range(27))
 
 
 def test_packing_to_target_weights():

@@ -9,17 +9,20 @@ from pairfield.llm.packing import Phase, Service
 def by_turns(totals, size, least):
     """Deficit round-robin as it is told: cycle by cycle, queue by queue. The place of every id in the order of service."""
     cycles = max(1, -(-sum(totals) // size))
-    sent, deficit, place, out = [0] * len(totals), [Fraction(0)] * len(totals), 0, {}
+    every = [min(max(1, -(-least * cycles // max(t, 1))), cycles) for t in totals]
+    sent, place, out = [0] * len(totals), 0, {}
+    deficit = [Fraction(q % every[q] * t, cycles) for q, t in enumerate(totals)]
     for c in range(cycles):
         for q, t in enumerate(totals):
             deficit[q] += Fraction(t, cycles)
-            k = min(max(1, -(-least * cycles // max(t, 1))), cycles)
-            if (c + 1 + q % k) % k and c + 1 < cycles:
+            last = c + 1 == cycles
+            if (c + 1 + q % every[q]) % every[q] and not last:
                 continue
-            for _ in range(int(deficit[q])):
+            n = t - sent[q] if last else min(int(deficit[q]), t - sent[q])
+            for _ in range(n):
                 out[q, sent[q]] = place
                 sent[q], place = sent[q] + 1, place + 1
-            deficit[q] -= int(deficit[q])
+            deficit[q] -= n
     assert sent == list(totals)
     return out
 
