@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pairfield import queries
 from pairfield.operators import pairs
 
 
@@ -26,3 +27,13 @@ def test_particles_are_not_broadcast(spark, kind):
         "bonded": lambda: pairs.bonded(df, bonds),
     }[kind]()
     assert "Broadcast" not in plan(made)
+
+
+def test_morton_key_of_high_cells(spark, tmp_path):
+    """The key has ten bits of each cell number, however high the cells are."""
+    rows = [(k, "", "", "", 1 + k % 50, 1.0) for k in (0, 7, 123456, 409599, 409600, 1199999)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    cells = {r["id"]: (r["cx"], r["cy"], r["cz"]) for r in queries.Q["cell_index"](spark, str(tmp_path)).collect()}
+    assert max(c[2] for c in cells.values()) > 1023
+    want = {k: sum(((c >> b) & 1) << (3 * b + i) for b in range(10) for i, c in enumerate(v)) for k, v in cells.items()}
+    assert {r["id"]: r["key"] for r in queries.Q["morton_key"](spark, str(tmp_path)).collect()} == want
