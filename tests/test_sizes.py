@@ -58,3 +58,10 @@ def test_wide_laws_skip_what_is_apart(spark, box, monkeypatch):
     want = forces.summed(df, forces.by_scale(pairs.direct(df, 2.5, box=box, directed=False), law.scale()))
     (one, two) = ({r["id"]: (r["fx"], r["fy"], r["fz"]) for r in x.collect()} for x in (forces.pair_forces(df, law, box=box), want))
     assert one.keys() == two.keys() and all(abs(x - y) < 1e-9 * max(1.0, abs(x)) for k in one for x, y in zip(one[k], two[k], strict=True))
+
+
+@pytest.mark.parametrize("name", ["attribute_force", "bond_plus_type_force", "built_system_force", "constant_force", "drag_force", "coulomb_force", "harmonic_force", "mixed_lj_force", "nonsymmetric_force", "periodic_force", "reach_bins_force", "periodic_pairs", "soft_gravity_force", "strict_state_force", "type_pair_force"])
+def test_queries_send_no_particles_through_the_driver(spark, name):
+    """The planner takes a file of some MB for small: what is made of it may not be broadcast."""
+    made = queries.Q[name](spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in plan(made)
