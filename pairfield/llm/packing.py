@@ -118,7 +118,17 @@ class Phase:
         # the cycles whose quanta hold the first and the last id, and the turns that send them
         first, last = ((start + 1) * self.cycles - 1) // t, ((start + n) * self.cycles - 1) // t
         turn = np.arange(first // k + 1, last // k + 2)
-        cycle = np.unique(np.minimum(turn * k - o - 1, self.cycles - 1))
+        # the turns rise, so only those at the end can fall together
+        cycle = turn * k - o - 1
+        if cycle[-1] >= self.cycles:
+            cycle = np.append(cycle[cycle < self.cycles - 1], self.cycles - 1)
+        if k == 1 and (len(cycle) + 1) * len(self.totals) <= BLOCK:
+            # cycles in a row: what each ends with, the next begins with
+            sent = self.sent(np.append(cycle, cycle[-1] + 1))
+            own, then = sent[queue, :-1], sent[queue, 1:]
+            begin, end = np.maximum(own, start), np.minimum(then, start + n)
+            place = sent[:queue, 1:].sum(axis=0) + sent[queue:, :-1].sum(axis=0) + begin - own
+            return ((b, p, e - b) for b, p, e in zip(begin.tolist(), place.tolist(), end.tolist(), strict=True) if e > b)
         own, then = self.sent(cycle, queue), self.sent(cycle + 1, queue)
         begin, end = np.maximum(own, start), np.minimum(then, start + n)
         sends = end > begin
@@ -127,10 +137,8 @@ class Phase:
         step = max(1, BLOCK // len(self.totals))
         for a in range(0, len(cycle), step):
             c = cycle[a : a + step]
-            edges = np.union1d(c, c + 1)
-            sent = self.sent(edges)
-            at, to = np.searchsorted(edges, c), np.searchsorted(edges, c + 1)
-            place[a : a + step] = sent.sum(axis=0)[at] + (sent[:queue, to] - sent[:queue, at]).sum(axis=0)
+            before, behind = self.sent(c), self.sent(c + 1)
+            place[a : a + step] = before.sum(axis=0) + (behind[:queue] - before[:queue]).sum(axis=0)
         return zip(begin.tolist(), (place + skipped).tolist(), (end - begin).tolist(), strict=True)
 
 
@@ -201,8 +209,7 @@ def cut_pieces(chunks: DataFrame, size: int = SIZE, weights: dict[str | None, in
         service = Service(totals.value[0], size, totals.value[1])
         for batch in batches:
             rows: list[tuple] = []
-            for r in range(batch.num_rows):
-                doc_id, source, queue, start, n, raw = (batch.column(i)[r].as_py() for i in range(6))
+            for doc_id, source, queue, start, n, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4")
                 for at, length, seq, off in service.pieces(queue, start, n):
                     a = at - start

@@ -61,3 +61,16 @@ def test_documents_of_many_sources_stay_in_few_pieces(sources):
         for _, length, seq, _ in service.pieces(q, 0, 20_000):
             held[q, seq] = held.get((q, seq), 0) + length
     assert max(held.values()) <= 4096 / sources + 2 * 64 + 1
+
+
+def test_places_of_cycles_in_a_row_take_one_sum(monkeypatch):
+    """Queues that send in every cycle: the sums over the queues are made once a document."""
+    from pairfield.llm import packing
+
+    phase, calls = packing.Phase([4_000_000, 2_000_000, 900_000], 4096), []
+    own = phase.sent
+    monkeypatch.setattr(phase, "sent", lambda *a: calls.append(1) or own(*a))
+    got = list(phase.runs(1, 123_456, 3000))
+    assert len(calls) == 1
+    monkeypatch.setattr(packing, "BLOCK", 1)
+    assert got == list(phase.runs(1, 123_456, 3000)) and sum(n for *_, n in got) == 3000
